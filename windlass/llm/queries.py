@@ -5,22 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from windlass.llm import chat, decontaminate, knn_quality, line_dedup, lm, mixing, rules, secrets
 from windlass.llm.common import documents
 from windlass.llm.sharding import shard_documents
 from windlass.llm.simhash import near_duplicates
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_conversations(rows.unionByName(own)))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.measure(documents(spark, sf_dir)).drop("cleaned")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(documents(spark, sf_dir))
+
+
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = knn_quality.score_documents(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", knn_quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_sharding": op3_sharding}
+    made = (
+        op1_simhash, op2_lm_scores, op3_sharding, op4_decontamination, op5_secrets, op6_chat, op7_quality_rules, op8_mixing, op9_line_dedup, op10_knn_quality,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
