@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from windlass.plans import timeline_queries
+
+_ALL: dict = {**timeline_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: made[0] for name, made in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries that SQL can't express have None and are tested on fixtures instead."""
+    return {name: made[1] for name, made in _ALL.items() if made[1]}
