@@ -16,13 +16,16 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Patterns that skip most matches which ``BASE`` drops for their length. A run of these
+#: characters is matched whole from its start, so leaving short ones out changes no other match.
+LONG_ONLY = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 #: Kinds that entropy adds, by character class: name, what a candidate must and must not hold,
 #: and the least entropy in bits that one of its windows must reach.
 CLASSES = (
     ("entropy_hex", r"^[0-9A-Fa-f]+$", (r"[0-9]", r"[A-Fa-f]"), 3.1),
     ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.7),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Candidates that match one of these are no secrets: UUIDs, examples, repeated characters, dates.
 ALLOW = (
@@ -40,7 +43,7 @@ def _matches(text: Column, pattern: str, group: int, kind: int, least: int) -> C
     found = let(
         F.struct(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
+            (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None).cast("array<string>")).alias("g"),
             F.split(text, pattern, -1).alias("between"),
         ),
         lambda x: let(
@@ -49,7 +52,7 @@ def _matches(text: Column, pattern: str, group: int, kind: int, least: int) -> C
                 F.transform(
                     x["m"],
                     lambda m, i: F.struct(
-                        (F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.length(F.get(x["g"], i)).alias("n")
+                        (F.get(ends, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.length(F.get(x["g"], i) if group else m).alias("n")
                     ),
                 ),
                 lambda s: s["n"] >= least,
@@ -134,7 +137,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each return; other columns are not read. All of it is one narrow projection: no shuffle.
     """
     text = F.col("_text")
-    base = F.array_sort(F.concat(*[_matches(text, p, g, k, n) for k, (_, p, g, n) in enumerate(BASE)]))
+    base = F.array_sort(F.concat(*[_matches(text, LONG_ONLY.get(name, p), g, k, n) for k, (name, p, g, n) in enumerate(BASE)]))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = rows.select("doc_id", let(base, lambda b: F.struct(b.alias("base"), F.array_sort(_entropic(text, b, allow)).alias("added"))).alias("_f"))
     return found.select("doc_id", "_f.base", "_f.added")
