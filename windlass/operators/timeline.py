@@ -8,10 +8,12 @@ from a range join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FrameWindow = Window.partitionBy("episode_id").orderBy("frame_idx")
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("episode_id").orderBy("frame_idx")
 
 
 def episode_lengths(frames: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def object_sets(frames: DataFrame, width: int = 20, stride: int = 5) -> DataFram
 
 def boundaries(frames: DataFrame) -> DataFrame:
     """Frames whose label and the one before are both present and differ."""
-    before = F.lag("label").over(FrameWindow)
+    before = F.lag("label").over(by_frame())
     return frames.withColumn("from_label", before).where(F.col("label").isNotNull() & F.col("from_label").isNotNull() & (F.col("label") != F.col("from_label"))).select(
         "episode_id", "frame_idx", "from_label", F.col("label").alias("to_label")
     )
@@ -104,8 +106,8 @@ def boundaries(frames: DataFrame) -> DataFrame:
 
 def label_runs(frames: DataFrame) -> DataFrame:
     """Runs of one label, the missing one included, numbered within the episode."""
-    changed = F.when(F.lag("label").over(FrameWindow).eqNullSafe(F.col("label")) & (F.col("frame_idx") > 0), 0).otherwise(1)
-    marked = frames.withColumn("_c", changed).withColumn("run_index", F.sum("_c").over(FrameWindow) - 1)
+    changed = F.when(F.lag("label").over(by_frame()).eqNullSafe(F.col("label")) & (F.col("frame_idx") > 0), 0).otherwise(1)
+    marked = frames.withColumn("_c", changed).withColumn("run_index", F.sum("_c").over(by_frame()) - 1)
     return marked.groupBy("episode_id", "run_index").agg(
         F.min("label").alias("label"), F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.count("*").alias("frames")
     )
@@ -113,9 +115,9 @@ def label_runs(frames: DataFrame) -> DataFrame:
 
 def run_progress(frames: DataFrame) -> DataFrame:
     """Each frame's place in its run, from 0 to 1; a run of one frame is at 0."""
-    changed = F.when(F.lag("label").over(FrameWindow).eqNullSafe(F.col("label")) & (F.col("frame_idx") > 0), 0).otherwise(1)
+    changed = F.when(F.lag("label").over(by_frame()).eqNullSafe(F.col("label")) & (F.col("frame_idx") > 0), 0).otherwise(1)
     run = Window.partitionBy("episode_id", "_r")
-    marked = frames.withColumn("_c", changed).withColumn("_r", F.sum("_c").over(FrameWindow))
+    marked = frames.withColumn("_c", changed).withColumn("_r", F.sum("_c").over(by_frame()))
     at, size = F.row_number().over(run.orderBy("frame_idx")) - 1, F.count("*").over(run)
     return marked.select("episode_id", "frame_idx", F.round(F.when(size > 1, at / (size - 1)).otherwise(0.0), 6).alias("progress"))
 
@@ -237,4 +239,4 @@ def above_train_median(rows: DataFrame, value: str = "energy") -> DataFrame:
 
 def carried_forward(frames: DataFrame, value: str) -> DataFrame:
     """``value`` with nulls replaced by the last one before that is not."""
-    return frames.withColumn(value, F.last(value, ignorenulls=True).over(FrameWindow.rowsBetween(Window.unboundedPreceding, 0)))
+    return frames.withColumn(value, F.last(value, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0)))
