@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def q_inverse(q: Column) -> Column:
+    return let(q, _inverse)
+
+
+def _inverse(q: Column) -> Column:
     n = q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3]
     return F.array(q[0] / n, -q[1] / n, -q[2] / n, -q[3] / n)
 
 
 def q_multiply(a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: _product(p["a"], p["b"]))
+
+
+def _product(a: Column, b: Column) -> Column:
     return F.array(
         a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3],
         a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2],
@@ -22,6 +37,10 @@ def q_multiply(a: Column, b: Column) -> Column:
 
 def rotation_vector(q: Column) -> Column:
     """Axis times angle of a unit quaternion, by the shorter way round."""
+    return let(q, _vector)
+
+
+def _vector(q: Column) -> Column:
     s = F.when(q[0] < 0, -1.0).otherwise(1.0)
     v = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
     factor = F.when(v < 1e-12, 2.0 * s).otherwise(2 * F.atan2(v, q[0] * s) / v * s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Label families in their order of precedence, with the words that place a label.
@@ -137,18 +137,20 @@ def bounded_options(options: Column, most: int = 24, chars: int = 80) -> Column:
     return F.struct(F.transform(F.slice(options, 1, most), lambda o: F.substring(o, 1, chars)).alias("shown"), F.size(options).alias("total"))
 
 
-def hashed_bag(text: Column, dims: int = 64, namespace: str = "") -> Column:
-    """Hashed bag of words: tokens of letters, digits and underscores, lower-cased; md5 gives the
-    place and the sign; the vector has length one (or is all zeros)."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), F.lit(1))
-    coded = F.transform(tokens, lambda t: F.md5(F.concat(F.lit(namespace), t)))
-    place = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims
-    sign = lambda h: F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    pairs = F.transform(coded, lambda h: F.struct(place(h).alias("p"), sign(h).alias("s")))
+def hashed_bags(rows: DataFrame, key: str, text: str, dims: int = 64, namespace: str = "") -> DataFrame:
+    """(key, vector): hashed bag of words of each row's whole text; keys are distinct. Tokens are
+    letters, digits and underscores, lower-cased; md5 gives a token its place and its sign. The
+    vector has length one, or is all zeros. Tokens are summed by place before they shuffle."""
+    token = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), F.lit(1)))
+    coded = rows.select(key, token.alias("t")).select(key, F.md5(F.concat(F.lit(namespace), F.col("t")).cast("binary")).alias("h"))
+    place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims
+    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+    sums = coded.groupBy(key, place.alias("p")).agg(F.sum(sign).alias("v"))
+    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    at = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)
+    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), at)
     zero = F.array_repeat(F.lit(0.0), dims)
-    summed = F.aggregate(pairs, zero, lambda a, x: F.transform(a, lambda v, k: F.when(k == x["p"], v + x["s"]).otherwise(v)))
-    norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(summed, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+    return rows.select(key).join(packed.select(key, vector.alias("vector")), key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
 
 
 def episode_number(name: Column) -> Column:

@@ -70,7 +70,7 @@ def _imu(s, d):
 def _asof(s, d):
     f = frames(s, d)
     poses = f.where("frame_idx % 10 = 0").select("episode_id", F.col("frame_idx").alias("at"), F.col("frame_idx").alias("pose_frame"))
-    return joins.asof_forward(f.where("frame_idx % 3 = 0").select("episode_id", F.col("frame_idx").alias("at")), poses, "episode_id", "at", "pose_frame")
+    return joins.asof_forward(f.select("episode_id", F.col("frame_idx").alias("at")), poses, "episode_id", "at", "pose_frame")
 
 
 def _spans(s, d):
@@ -155,9 +155,9 @@ FROM windows w JOIN lens l USING (episode_id) JOIN frames f ON f.episode_id = w.
 SELECT episode_id, window_index, label, future_index, future_start, future_label FROM n WHERE future_index IS NOT NULL""",
     ),
     "transition_near_boundary": (
-        lambda s, d: t.near_boundary(windows(s, d), t.boundaries(frames(s, d)).where("frame_idx % 4 = 0"), 3).select("episode_id", "window_index", "center_frame", "transition"),
+        lambda s, d: t.near_boundary(windows(s, d), t.boundaries(frames(s, d)), 1).select("episode_id", "window_index", "center_frame", "transition"),
         f"""WITH {SQL_FRAMES}, {sql_windows()}, b AS (SELECT *, lag(label) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS p FROM frames)
-SELECT episode_id, window_index, center_frame, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.episode_id = w.episode_id AND b.label <> b.p AND b.frame_idx % 4 = 0 AND abs(b.frame_idx - w.center_frame) <= 3) THEN 1 ELSE 0 END AS transition FROM windows w""",
+SELECT episode_id, window_index, center_frame, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.episode_id = w.episode_id AND b.label <> b.p AND abs(b.frame_idx - w.center_frame) <= 1) THEN 1 ELSE 0 END AS transition FROM windows w""",
     ),
     "temporal_order_pairs": (
         lambda s, d: t.order_pairs(windows(s, d)),
@@ -237,6 +237,6 @@ SELECT episode_id, window_index, start_frame, end_frame, center_frame, source_in
         _asof,
         f"""WITH {SQL_FRAMES}, p AS (SELECT episode_id, frame_idx FROM frames WHERE frame_idx % 10 = 0)
 SELECT f.episode_id, f.frame_idx AS at, coalesce((SELECT min(p.frame_idx) FROM p WHERE p.episode_id = f.episode_id AND p.frame_idx >= f.frame_idx), (SELECT max(p.frame_idx) FROM p WHERE p.episode_id = f.episode_id)) AS pose_frame
-FROM frames f WHERE f.frame_idx % 3 = 0""",
+FROM frames f""",
     ),
 }
