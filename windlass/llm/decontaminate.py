@@ -15,6 +15,8 @@ from windlass.llm.common import cut
 TERMS, DIMS, SKETCH = 1 << 14, 48, 56
 #: Words of a TF-IDF passage; words of a text that a worker searches at once.
 PASSAGE, BLOCK = 128, 1 << 14
+#: Words of some texts whose passages are counted together; few enough to stay in a cache.
+SKETCH_WORDS = 1 << 14
 #: Least cosine of a window to an item for a candidate.
 MIN_COSINE = 0.55
 #: A document leaks an item if their common subsequence covers this share of the item's words,
@@ -22,8 +24,9 @@ MIN_COSINE = 0.55
 COVER, COVER_WITH_ANSWER, ANSWER = 0.75, 0.5, 4
 #: The benchmark is the stated query set and is held by every worker; more items are refused.
 MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
-#: Window lengths grow by this factor from the least one.
-GROWTH, LEAST = 1.5, 8
+#: Window lengths grow by this factor from the least one; windows begin and end at multiples of
+#: STEP words, which a power of two makes.
+GROWTH, LEAST, STEP = 1.5, 8, 4
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -53,10 +56,12 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def window_length(n: int) -> int:
-    """The window length for an item of ``n`` words: the largest of the series not above it."""
-    if n <= LEAST:
-        return n
-    return int(LEAST * GROWTH ** int(math.log(n / LEAST) / math.log(GROWTH) + 1e-9))
+    """The window length for an item of ``n`` words: the largest of the series not above it (the
+    least one for items that are shorter still)."""
+    w = LEAST
+    while (longer := int(w * GROWTH) // STEP * STEP) <= n:
+        w = longer
+    return w
 
 
 def _token_table(batches: Iterator) -> Iterator:
@@ -77,13 +82,16 @@ def _passages(batches: Iterator) -> Iterator:
         for k, value in enumerate(values):
             held.append(np.frombuffer(value.as_py(), np.uint16))
             size += len(held[-1])
-            if size and (size > 1 << 18 or k == len(values) - 1):
-                at, keys = 0, []
-                for ids in held:
-                    keys.append((at + np.arange(len(ids), dtype=np.int64) // PASSAGE) * TERMS + ids)
-                    at += -(-len(ids) // PASSAGE)
-                key, count = np.unique(np.concatenate(keys), return_counts=True)
-                yield key // TERMS, key % TERMS, count.astype(np.float32)
+            if size and (size > SKETCH_WORDS or k == len(values) - 1):
+                lengths = np.array([len(x) for x in held])
+                per = -(-lengths // PASSAGE)
+                first = np.repeat(np.cumsum(per) - per, lengths) + (np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // PASSAGE
+                ids, first = np.concatenate(held), first.astype(np.uint32)
+                for at in range(0, size, 1 << 16):  # a very long text is more than one block; its passages start anew
+                    passage = first[at : at + (1 << 16)]
+                    key = np.sort((passage - passage[0]) * np.uint32(TERMS) + ids[at : at + (1 << 16)])
+                    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    yield (key[new] // TERMS).astype(np.int64), (key[new] % TERMS).astype(np.int64), np.diff(np.append(new, len(key))).astype(np.float32)
                 held, size = [], 0
 
 
@@ -112,7 +120,7 @@ def _sketcher(idf, omega):
             row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(passage))))
             value /= np.sqrt(np.add.reduceat(value * value, starts))[row] + 1e-12
             shown = np.add.reduceat(omega[term] * value[:, None], starts, axis=0)
-            order = np.argsort(term.astype(np.uint16), kind="stable")
+            order = np.argsort(term.astype(np.uint16), kind="stable")  # a radix sort
             sorted_terms = term[order]
             first = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
             out[sorted_terms[first]] += np.add.reduceat(shown[row[order]] * value[order, None], first, axis=0)
@@ -180,23 +188,39 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
         queries[w] = np.array(members), (q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)).T.astype(np.float32)
     as_lists = [x.tolist() for x in ids]
 
-    def near(text) -> dict[int, list[tuple[int, int]]]:
-        found: dict[int, list[tuple[int, int]]] = {}
-        most = max(queries, default=0)
-        step = max(BLOCK, 2 * most)
-        for base in range(0, max(len(text), 1), step):
-            part = text[base : base + step + most]
-            sums = np.zeros((len(part) + 1, vectors.shape[1]), np.float32)
-            np.cumsum(vectors[part], axis=0, out=sums[1:])
+    most = max(queries, default=1)
+    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+
+    def near(texts: list) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Windows near an item, by (text, item). Texts stand in a row with ``most`` blank words
+        between them, so that no window meets two and short texts fit in one."""
+        lengths = np.array([len(t) for t in texts])
+        starts = most + np.concatenate([[0], np.cumsum(lengths + most)])
+        row = np.full(-(-starts[-1] // STEP) * STEP, TERMS, np.int64)
+        for t, a in zip(texts, starts, strict=False):
+            row[a : a + len(t)] = t
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        step = max(BLOCK, 4 * most)
+        for base in range(0, len(row), step):
+            part = row[base : base + step + most]
+            steps = padded[part].reshape(-1, STEP, padded.shape[1]).sum(axis=1)
+            sums = np.zeros((len(steps) + 1, steps.shape[1]), np.float32)
+            np.cumsum(steps, axis=0, out=sums[1:])
             for w, (members, q) in queries.items():
-                if len(part) < w * 2 // 3 or not w:
+                blocks, stride = w // STEP, max(STEP, w // 3 // STEP * STEP)
+                if len(steps) < blocks:
                     continue
-                size, stride = min(w, len(part)), max(1, w // 3)
-                window = sums[size::stride] - sums[: len(sums) - size : stride]
+                window = sums[blocks :: stride // STEP] - sums[: len(sums) - blocks : stride // STEP]
+                least = np.sqrt(np.einsum("ij,ij->i", window, window)) * np.float32(min_cosine) + np.float32(1e-9)
                 cos = window @ q
-                row, col = np.nonzero(cos >= min_cosine * (np.sqrt(np.einsum("ij,ij->i", window, window))[:, None] + 1e-12))
-                for r, c in zip(row.tolist(), col.tolist(), strict=True):
-                    found.setdefault(int(members[c]), []).append((base + r * stride, base + r * stride + size))
+                hit = np.flatnonzero(cos.max(axis=1) >= least)
+                for r in hit.tolist():
+                    a = base + r * stride
+                    k = int(np.searchsorted(starts, a + w - 1, side="right")) - 1
+                    lo, hi = max(0, a - int(starts[k])), min(int(lengths[k]), a + w - int(starts[k]))
+                    if hi > lo:
+                        for c in np.flatnonzero(cos[r] >= least[r]).tolist():
+                            found.setdefault((k, int(members[c])), []).append((lo, hi))
         return found
 
     def find(batches: Iterator) -> Iterator:
@@ -204,22 +228,28 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
 
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, th, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = np.frombuffer(value.as_py(), np.uint16)
-                for item, spans in near(text).items():
-                    n = len(items[item])
-                    lo = hi = -1
+            values, group, size, first = batch.column(2), [], 0, 0
+            for at, value in enumerate(values):
+                group.append(np.frombuffer(value.as_py(), np.uint16))
+                size += len(group[-1])
+                if size < BLOCK and at < len(values) - 1:
+                    continue
+                for (k, item), spans in near(group).items():
+                    text, n, lo, hi = group[k], len(items[item]), -1, -1
                     for a, b in [*sorted(spans), (1 << 60, 1 << 60)]:
                         if a <= hi:
                             hi = max(hi, b)
                             continue
                         if hi >= 0:
                             lo, hi = max(0, lo - n), min(len(text), hi + n)
-                            # Equal words have equal ids, so this can only be too long, never too short.
-                            if lcs_length(as_lists[item], text[lo:hi].tolist()) >= COVER_WITH_ANSWER * n:
-                                for column, x in zip(out, (doc_id, th, item, lo, hi), strict=True):
+                            # Equal words have equal ids, so both bounds can only be too high.
+                            there = np.zeros(TERMS, bool)
+                            there[text[lo:hi]] = True
+                            if there[ids[item]].sum() >= COVER_WITH_ANSWER * n and lcs_length(as_lists[item], text[lo:hi].tolist()) >= COVER_WITH_ANSWER * n:
+                                for column, x in zip(out, (batch.column(0)[first + k].as_py(), batch.column(1)[first + k].as_py(), item, lo, hi), strict=True):
                                     column.append(x)
                         lo, hi = a, b
+                group, size, first = [], 0, at + 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "th", "item", "lo", "hi"])
 
@@ -228,13 +258,15 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
 
 def covered(item: list[bytes], span: list[bytes]) -> tuple[float, bool]:
     """The share of ``item`` in its longest common subsequence with ``span``, at the stretch of
-    about the item's length where it is highest, and whether the answer stands whole there."""
-    n = len(item)
+    about the item's length where it is highest, and whether the answer stands whole there. The
+    share is no higher than that of the item's distinct words found there, so that a few very
+    common words in a row make no leak."""
+    n, distinct = len(item), set(item)
     width, best, answer = n + max(2, n // 3), 0.0, False
     tail = item[-ANSWER:]
     for at in range(0, max(1, len(span) - width + max(1, n // 4)), max(1, n // 4)):
         part = span[at : at + width]
-        share = lcs_length(item, part) / n
+        share = min(lcs_length(item, part) / n, len(distinct.intersection(part)) / len(distinct))
         whole = any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
         if (share, whole) > (best, answer):
             best, answer = share, whole
