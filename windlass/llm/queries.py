@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm import chat, decontaminate, knn_quality, line_dedup, lm, mixing, rules, secrets
+from windlass.llm import chat, decontaminate, knn_quality, line_dedup, lm, mixing, oracles, rules, secrets
 from windlass.llm.common import documents
 from windlass.llm.sharding import shard_documents
 from windlass.llm.simhash import near_duplicates
@@ -71,4 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that have one; the others are tested against brute force or held-out texts."""
+    return {
+        "op3_sharding": oracles.sharding_sql(),
+        "op5_secrets": oracles.secrets_sql(),
+        "op6_chat": oracles.chat_sql(),
+        "op7_quality_rules": oracles.rules_sql(),
+    }
