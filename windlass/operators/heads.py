@@ -18,7 +18,7 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """``rows`` with weight: n / (classes * count of the row's class)."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
-    return rows.join(F.broadcast(counts.join(F.broadcast(total))), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
+    return rows.join(counts.join(F.broadcast(total)), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
 def softmax_predict(train: DataFrame, test: DataFrame, label: str = "label", vector: str = "vector", l2: float = 1e-3, iterations: int = 100) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windlass.operators import numbering
+
 
 def stable_hash(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -72,38 +74,32 @@ def best_per(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFram
 
 def hash_split(rows: DataFrame, band: str, key: str, seed: str = "split", train: float = 0.75, val: float = 0.125) -> DataFrame:
     """Splits each band in the order of a stable hash of ``key``."""
-    w = Window.partitionBy(band)
-    at, n = F.row_number().over(w.orderBy(stable_hash(seed, F.col(key)), key)), F.count("*").over(w)
-    cut = lambda f: F.bround(n * f)
-    return rows.withColumn("_a", at).withColumn("_t", cut(train)).withColumn("_v", cut(train + val)).withColumn(
-        "split", F.when(F.col("_a") <= F.col("_t"), "train").when(F.col("_a") <= F.col("_v"), "val").otherwise("test")
-    ).drop("_a", "_t", "_v")
+    placed = numbering.by_hash(rows, [band], stable_hash(seed, F.col(key)), key)
+    cut = lambda f: F.bround(F.col("_n") * f)
+    split = F.when(F.col("_at") <= cut(train), "train").when(F.col("_at") <= cut(train + val), "val").otherwise("test")
+    return placed.withColumn("split", split).drop("_at", "_n")
 
 
 def guarded_split(keys: DataFrame, key: str, seed: str = "split", val: float = 0.1, test: float = 0.1) -> DataFrame:
     """Episodes to train, val and test in hash order, one at least in each where there are three."""
-    w = Window.orderBy(F.col("_h"), F.col(key))
-    n = keys.agg(F.count("*").alias("_n"))
-    numbered = keys.withColumn("_h", stable_hash(seed, F.col(key))).withColumn("_a", F.row_number().over(w)).join(F.broadcast(n))
+    placed = numbering.by_hash(keys, [], stable_hash(seed, F.col(key)), key)
     size = lambda f: F.when(F.col("_n") < 3, F.lit(0)).otherwise(F.greatest(F.lit(1), F.bround(F.col("_n") * f)))
-    return numbered.withColumn("split", F.when(F.col("_a") <= size(test), "test").when(F.col("_a") <= size(test) + size(val), "val").otherwise("train")).drop("_h", "_a", "_n")
+    split = F.when(F.col("_at") <= size(test), "test").when(F.col("_at") <= size(test) + size(val), "val").otherwise("train")
+    return placed.withColumn("split", split).drop("_at", "_n")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, fraction: float = 0.25, seed: str = "strata") -> DataFrame:
     """``fraction`` of each class to test, at least one and never all, in hash order; a class of
     one row stays in train."""
-    w = Window.partitionBy(label)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(stable_hash(seed, F.col(key)), key))
+    placed, n = numbering.by_hash(rows, [label], stable_hash(seed, F.col(key)), key), F.col("_n")
     k = F.when(n == 1, F.lit(0)).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.bround(n * fraction))))
-    return rows.withColumn("_k", k).withColumn("_a", at).withColumn("split", F.when(F.col("_a") <= F.col("_k"), "test").otherwise("train")).drop("_k", "_a")
+    return placed.withColumn("split", F.when(F.col("_at") <= k, "test").otherwise("train")).drop("_at", "_n")
 
 
 def episode_holdout(rows: DataFrame, key: str, fraction: float = 0.2) -> DataFrame:
     """The last ``max(1, round(n * fraction))`` keys in sorted order are test."""
-    keys = rows.select(key).distinct()
-    n = keys.agg(F.count("*").alias("_n"))
-    ordered = keys.withColumn("_a", F.row_number().over(Window.orderBy(F.desc(key)))).join(F.broadcast(n))
-    marked = ordered.select(key, F.when(F.col("_a") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)), "test").otherwise("train").alias("split"))
+    placed = numbering.by_order(rows.select(key).distinct(), [], [F.desc(key)])
+    marked = placed.select(key, F.when(F.col("_at") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)), "test").otherwise("train").alias("split"))
     return rows.join(marked, key)
 
 
@@ -116,12 +112,11 @@ def round_robin(rows: DataFrame, group: str, order: list[str], limit: int) -> Da
 
 def shard_numbers(rows: DataFrame, group: str, order: str, shards: int) -> DataFrame:
     """``shard``: each group's rows dealt in order to ``shards`` workers."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, F.lit(shards)))
+    return numbering.by_order(rows, [group], [order]).withColumn("shard", F.pmod(F.col("_at") - 1, F.lit(shards)).cast("int")).drop("_at", "_n")
 
 
 def strided(rows: DataFrame, group: str, order: str, stride: int, offset: int = 0) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("_a", at).where(F.pmod("_a", F.lit(stride)) == offset).drop("_a")
+    return numbering.by_order(rows, [group], [order]).where(F.pmod(F.col("_at") - 1, F.lit(stride)) == offset).drop("_at", "_n")
 
 
 def balanced_pick(rows: DataFrame, quota: int, band: str = "size_band", session: str = "session", order: tuple[str, ...] = ("score", "episode_id"), most: int = 100_000) -> DataFrame:
@@ -185,4 +180,5 @@ def encode_first_seen(rows: DataFrame, label: str, order: str, split: str | None
     keys = [F.min(F.when(F.col(split) == "train", 0).otherwise(1))] if split else [F.min(F.lit(0))]
     first = F.min(F.when(F.col(split) == "train", F.col(order))) if split else F.min(order)
     seen = rows.where(F.col(label).isNotNull()).groupBy(label).agg(keys[0].alias("_t"), first.alias("_f"), F.min(order).alias("_o"))
-    return seen.select(label, (F.row_number().over(Window.orderBy("_t", F.coalesce("_f", "_o"))) - 1).cast("long").alias("code"))
+    placed = numbering.by_order(seen, [], ["_t", F.coalesce("_f", "_o")])
+    return placed.select(label, (F.col("_at") - 1).cast("long").alias("code"))
