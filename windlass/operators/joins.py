@@ -32,15 +32,25 @@ def nearest_window(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     with the larger overlap, then the first. Adds source_index, source_start, source_end, kind,
     center_distance, overlap_frames and its shares of both.
 
-    An episode's windows are a bounded group: the nearest is taken as one minimum per dense
-    window, with partial minima before the shuffle.
+    The nearest is the last one centered at or before, or the first one after: two running
+    values over both kinds in order of their centers, instead of a join of all pairs. Of windows
+    with one center the widest overlaps most and starts first.
     """
-    s = sparse.select(F.col("episode_id").alias("_e"), F.col("window_index").alias("source_index"), F.col("start_frame").alias("source_start"), F.col("end_frame").alias("source_end"))
-    met = dense.join(s, F.col("episode_id") == F.col("_e"))
-    gap = F.abs((F.col("source_start") + F.col("source_end")) / 2.0 - (F.col("start_frame") + F.col("end_frame")) / 2.0)
-    shared = overlap(F.col("start_frame"), F.col("end_frame"), F.col("source_start"), F.col("source_end"))
-    best = F.min(F.struct(gap.alias("gap"), (-shared).alias("less"), "source_start", "source_index", "source_end"))
-    found = met.groupBy(*dense.columns).agg(best.alias("b"))
+    twice = F.col("start_frame") + F.col("end_frame")
+    spot = F.struct(F.col("window_index").alias("index"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
+    s = sparse.withColumn("_c", twice).groupBy("episode_id", "_c").agg(F.min_by(spot, F.struct("start_frame", "window_index")).alias("_s"))
+    both = dense.withColumn("_c", twice).withColumn("_q", F.lit(1)).unionByName(s.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("episode_id").orderBy("_c", "_q")
+    before = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+
+    def ranked(x: Column) -> Column:
+        gap = F.abs(x["start"] + x["end"] - F.col("_c")) / 2.0
+        less = -overlap(F.col("start_frame"), F.col("end_frame"), x["start"], x["end"])
+        return F.when(x.isNotNull(), F.struct(gap.alias("gap"), less.alias("less"), x["start"].alias("source_start"), x["index"].alias("source_index"), x["end"].alias("source_end")))
+
+    placed = both.withColumn("_before", before).withColumn("_after", after).where("_q = 1")
+    found = placed.withColumn("b", F.least(ranked(F.col("_before")), ranked(F.col("_after")))).where("b is not null")
     kind = (
         F.when((F.col("b.source_start") == F.col("start_frame")) & (F.col("b.source_end") == F.col("end_frame")), "exact_sparse_window")
         .when(F.col("b.less") < 0, "overlap_nearest_sparse_window")

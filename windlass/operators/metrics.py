@@ -7,8 +7,6 @@ number of classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +168,9 @@ def error_score(error: Column) -> Column:
 
 
 def _greedy(tolerance: int):
-    def match(key: tuple, batches: Iterator) -> Iterator:
+    def match(key, frame):
         import pandas as pd
 
-        frame = pd.concat(list(batches))
         truth, used, gaps = sorted(frame.loc[frame["is_true"], "frame_idx"].tolist()), set(), []
         guesses = sorted(frame.loc[~frame["is_true"], "frame_idx"].tolist())
         for g in guesses:
@@ -182,7 +179,7 @@ def _greedy(tolerance: int):
                 gap, k = min(near)
                 used.add(k)
                 gaps.append(gap)
-        yield pd.DataFrame([(key[0], len(truth), len(guesses), len(gaps), float(sum(gaps)))], columns=["episode_id", "true", "predicted", "matched", "gap_sum"])
+        return pd.DataFrame([(key[0], len(truth), len(guesses), len(gaps), float(sum(gaps)))], columns=["episode_id", "true", "predicted", "matched", "gap_sum"])
 
     return match
 
@@ -195,7 +192,8 @@ def boundary_matches(truth: DataFrame, predicted: DataFrame, tolerance: int = 10
     group of applyInPandas.
     """
     both = truth.select("episode_id", "frame_idx", F.lit(True).alias("is_true")).unionByName(predicted.select("episode_id", "frame_idx", F.lit(False).alias("is_true")))
-    return both.groupBy("episode_id").applyInPandas(_greedy(tolerance), "episode_id long, true long, predicted long, matched long, gap_sum double")
+    kind = truth.schema["episode_id"].dataType.simpleString()
+    return both.groupBy("episode_id").applyInPandas(_greedy(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
 
 
 def boundary_f1(matches: DataFrame) -> DataFrame:
