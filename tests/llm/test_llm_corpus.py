@@ -139,7 +139,8 @@ def test_attention_gradient():
 
     for name, g in attention.gradient(model, windows, classes).items():
         at = np.unravel_index(np.argmax(abs(g)), g.shape)
-        up, down = ({**model, name: model[name].copy()} for _ in range(2))
+        exact = {n: v.astype(np.float64) for n, v in model.items()}  # single precision would drown small differences
+        up, down = ({**exact, name: exact[name].copy()} for _ in range(2))
         up[name][at] += 1e-2
         down[name][at] -= 1e-2
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[at], rel=0.03)
