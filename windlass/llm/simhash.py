@@ -68,8 +68,9 @@ def near_links(fps: DataFrame) -> DataFrame:
     width = BITS // SEGMENTS
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     balls = [signed(1 << (s * width + b)) for s in range(SEGMENTS) for b in range(width)]
-    # Fingerprints are few bytes and their entries many: spread them before they multiply.
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Fingerprints are few bytes and their entries many: spread them before they multiply, not by
+    # key, as an exchange by "fp" that is there already would be taken and coalesced by its size.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     entries = spread.select(
         "fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(x)) for x in balls])).alias("entry")
     )
