@@ -34,7 +34,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the probabilities of raked source, language and topic weights."""
-    return mixing.mix(docs, budget=MIX_BUDGET).where("sampled").select(*docs.columns)
+    return mixing.draw(docs, budget=MIX_BUDGET)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,3 +333,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert single == {order[r] for r in set(roots)}
     assert single - clean == {len(texts) - 1}
     assert mixed == placed and {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == placed
+
+
+CLASHING = ("score", "predicted", "topic", "tokens", "weight", "probability", "sampled", "fp", "component_id", "_keep", "_leak", "_id", "_source", "_slot", "_shard", "h", "row", "Text2", "item")
+
+
+def test_clashing_columns_pass_every_stage(spark, tmp_path):
+    """Columns named like those the operators make come through with their values."""
+    rows = spark.createDataFrame(
+        [(k, f"Some words of a text number {k}, which ends here. " * 3, None, None, *[f"{c}{k}" for c in CLASHING]) for k in range(30)],
+        ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"`{c}` string" for c in CLASHING]]),
+    )
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "an item that nothing holds at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, str(tmp_path))
+            kept = made.select("doc_id", *CLASHING).collect()
+            assert all(r[c] == f"{c}{r.doc_id}" for r in kept for c in CLASHING), name
+            assert name == "sharding" or made.columns == docs.columns
+            assert bool(kept) == (docs is rows)
+    cleaned = line_dedup.dedup_lines(rows)
+    assert cleaned.columns == rows.columns and {r["_id"] for r in cleaned.collect()} == {f"_id{k}" for k in range(30)}

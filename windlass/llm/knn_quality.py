@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import fold
+from windlass.llm.common import fold, keeping
 
 #: Buckets of hashed byte trigrams (a power of two) and pseudo-terms after them.
 BUCKETS, EXTRAS = 1 << 12, 4
@@ -144,5 +144,5 @@ def held_out() -> Column:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` predicted to have label 1, columns unchanged."""
-    return score_documents(docs, labels).where("predicted = 1").select(*docs.columns)
+    """``docs`` predicted to have label 1, columns unchanged, whatever their names."""
+    return keeping(docs, ("score", "predicted"), lambda d: score_documents(d, labels).where("predicted = 1"))

@@ -126,7 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with repeated chunks cut out of their texts, columns and rows unchanged."""
     gone = removals(docs, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
     joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_spans")))).select(*docs.columns)
+    cleaned = F.when(gone["_spans"].isNull(), docs[text_col]).otherwise(without(docs[text_col], gone["_spans"]))
+    return joined.select(*[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def without(text: Column, spans: Column) -> Column:

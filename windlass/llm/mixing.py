@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import WORD, cut
+from windlass.llm.common import WORD, cut, keeping
 
 DIMS = ("source", "lang", "topic")
 #: Share of all tokens to draw, and the power that flattens observed shares into targets.
@@ -142,5 +142,10 @@ def mix(docs: DataFrame, targets: Targets | None = None, temperature: float = TE
     table, bounded = calibrate(cells, targets, temperature, budget, max_cells)
     table = table.withColumnsRenamed({d: f"_{d}" for d in DIMS})
     on = [tagged[d].eqNullSafe(table[f"_{d}"]) for d in DIMS]
-    joined = tagged.join(F.broadcast(table) if bounded else table, on).drop(*[f"_{d}" for d in DIMS])
+    joined = tagged.join(F.broadcast(table) if bounded else table, on).drop(*[table[f"_{d}"] for d in DIMS])
     return joined.withColumn("sampled", uniform(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))
+
+
+def draw(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents that ``mix`` samples, columns unchanged, whatever their names."""
+    return keeping(docs, ("topic", "tokens", "weight", "probability", "sampled"), lambda d: mix(d, **options).where("sampled"))

@@ -68,7 +68,7 @@ def shard_documents(docs: DataFrame, shards: int | list[str] = SHARDS, slots: in
     names = [f"shard-{k:05d}" for k in range(shards)] if isinstance(shards, int) else list(shards)
     table = lookup_table(docs.sparkSession, fill_table(names, slots)).withColumnsRenamed({"slot": "_slot", "shard": "_shard"})
     kept = docs.drop("slot", "shard").withColumn("slot", slot_of(docs[id_col], docs[text_col], slots))
-    return kept.join(F.broadcast(table), kept["slot"] == table["_slot"]).withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    return kept.join(F.broadcast(table), kept["slot"] == table["_slot"]).withColumn("shard", table["_shard"]).drop(table["_slot"], table["_shard"])
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
