@@ -16,8 +16,8 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FOLDS, HELD_OUT = 5, 1
 #: Words whose counts every worker holds, at most; the counts of all others are joined.
 HEAD = 200_000
-#: The model learns from one in so many blocks of words of every training document.
-BLOCK_WORDS, ONE_IN = 16, 8
+#: Words whose windows are made at once; bounds a worker's memory on very long texts.
+BLOCK_WORDS = 1 << 16
 #: Windows of one learner (their number grows with the corpus); rounds between averages of their
 #: weights; the least steps of a round; windows of a step; the first round's rate.
 PER_LEARNER, ROUNDS, LEAST_STEPS, BATCH, RATE = 160_000, 3, 200, 128, 0.02
@@ -145,46 +145,52 @@ def _encoder(shared):
     return encode
 
 
-def _windower(shared, end: int, size: int):
+def _windower(shared, kinds, end: int, size: int):
     def windows(batches: Iterator) -> Iterator:
-        """Training windows of ``size`` ids from one in ONE_IN blocks of words of each text."""
+        """Training windows of ``size`` classes over whole texts: each id and the end of a text is
+        the target of exactly one of them."""
         import numpy as np
         import pyarrow as pa
 
+        kind = pa.binary(2 * size)
         for batch in batches:
-            out, texts, picked = [], [], []
+            texts, held = [], 0
 
             def flush():
-                """Windows of the blocks held so far, whose words are encoded in one go."""
-                table = _words(shared)
-                numbers = table.numbers(picked)
-                ends = np.concatenate([[0], np.cumsum(table.sizes(numbers))])
-                ids, at = table.subwords(numbers).tolist(), 0
-                for n, first, last in texts:
-                    part, at = [end] * first + ids[ends[at] : ends[at + n]] + [end] * last, at + n
-                    for k in range(0, max(1, min(len(part) - 1, 3 * BLOCK_WORDS)), size - 1):
-                        held = part[k : k + size]
-                        out.append(np.array(held + [-1] * (size - len(held)), np.int32).tobytes())
+                """Windows of the texts, or parts of one, held so far; an end stands before each text."""
+                table, parts = _words(shared), []
+                for words, last in texts:
+                    ids = kinds[table.subwords(table.numbers(words))]
+                    part = np.concatenate([carry.pop() if carry else before, ids, before if last else before[:0]])
+                    # Windows share one id: the last target of one is the first input of the next.
+                    whole = max(0, len(part) - 1) // (size - 1)
+                    if not last:
+                        carry.append(part[whole * (size - 1) :])
+                    elif whole * (size - 1) < len(part) - 1:
+                        whole += 1
+                        part = np.pad(part, (0, whole * (size - 1) + 1 - len(part)), constant_values=-1)
+                    if whole:
+                        parts.append(np.lib.stride_tricks.sliding_window_view(part, size)[:: size - 1][:whole])
                 texts.clear()
-                picked.clear()
+                if parts:
+                    made = np.ascontiguousarray(np.concatenate(parts))
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(kind, len(made), [None, pa.py_buffer(made)]).cast(pa.binary())], names=["window"])
 
+            before, carry = np.array([kinds[end]], np.int16), []
             for value in batch.column(0).cast(pa.binary()):
                 words = value.as_py().lower().split()
-                start = len(words) * 2654435761 % (1 << 32) // 65536 % ONE_IN
-                for block in range(start, len(words) // BLOCK_WORDS + 1, ONE_IN):
-                    at = block * BLOCK_WORDS
-                    some = words[at : at + BLOCK_WORDS + size]
-                    texts.append((len(some), at == 0, at + BLOCK_WORDS + size >= len(words)))
-                    picked += some
-                if len(picked) > 1 << 16:
-                    flush()
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["window"])
+                for at in range(0, max(1, len(words)), BLOCK_WORDS):
+                    texts.append((words[at : at + BLOCK_WORDS], at + BLOCK_WORDS >= len(words)))
+                    held += len(texts[-1][0]) + 1
+                    if held > BLOCK_WORDS:
+                        yield from flush()
+                        held = 0
+            yield from flush()
 
     return windows
 
 
-def _learner(shared, model: bytes, maps, turn: int):
+def _learner(model: bytes, turn: int):
     def learn(batches: Iterator) -> Iterator:
         """One learner's weights after its share of the windows of this round."""
         import numpy as np
@@ -194,9 +200,9 @@ def _learner(shared, model: bytes, maps, turn: int):
 
         held = [x for batch in batches for x in batch.column(0).to_pylist()]
         if held:
-            windows = np.frombuffer(b"".join(held), np.int32).reshape(len(held), -1)
+            windows = np.frombuffer(b"".join(held), np.int16).reshape(len(held), -1)
             steps = max(LEAST_STEPS, -(-len(windows) // (BATCH * ROUNDS)))
-            made = attention.train(attention.unpack(model), windows, maps[0], steps, RATE / (1 + turn), turn, BATCH)
+            made = attention.train(attention.unpack(model), windows, np.arange(attention.CLASSES), steps, RATE / (1 + turn), turn, BATCH)
             yield pa.RecordBatch.from_arrays([pa.array([attention.pack(made)], pa.binary()), pa.array([1], pa.int64())], names=["model", "n"])
 
     return learn
@@ -279,9 +285,9 @@ def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> Da
     words of all documents outside the held-out fold. The model reads the words' subword ids: it
     predicts a class by causal self-attention, which for frequent ids is the id itself, and rare
     ids by their frequency in the class. Classes and frequencies come from all training words.
-    Attention learns from one in ``ONE_IN`` blocks of every training text, so its share of the
-    corpus stays the same: as many tasks as the windows need each take their part of them, a
-    number that fits a worker, and their weights are averaged after each round.
+    Attention learns from every id of every training text: as many tasks as the windows need
+    each take their part of them, a number that fits a worker, and their weights are averaged
+    after each round.
 
     The counts of up to ``head`` of the most frequent words go to every worker. Other words
     are counted within each text and joined with the counts by word.
@@ -315,11 +321,12 @@ def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> Da
     ids[end] = most.get(b" ", 0)
     maps = attention.vocabulary(ids)
     model = attention.pack(attention.start(np.bincount(maps[0], ids, attention.CLASSES)))
-    windows = cut(training.mapInArrow(_windower(shared, end, attention.CONTEXT + 1), "window binary"))
-    learners = max(1, windows.count() // PER_LEARNER)
-    windows = cut(windows.repartition(learners))
+    # A text of n ids and its end makes n // CONTEXT + 1 windows, so this many at most.
+    learners = max(1, int(ids[:end].sum() // attention.CONTEXT + ids[end]) // PER_LEARNER)
+    made = training.mapInArrow(_windower(shared, maps[0].astype(np.int16), end, attention.CONTEXT + 1), "window binary")
+    windows = cut(made.repartition(learners))
     for turn in range(ROUNDS):
-        model = _averaged(windows.mapInArrow(_learner(shared, model, maps, turn), "model binary, n long"), learners) or model
+        model = _averaged(windows.mapInArrow(_learner(model, turn), "model binary, n long"), learners) or model
 
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", part.cast("int").alias("fold"), "text")
     schema = "row long, word binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
