@@ -35,3 +35,26 @@ def test_lm_trains_on_texts_of_every_length(monkeypatch):
     windows, ids, end = windows_of(texts)
     targets = windows[:, 1:].ravel()
     assert targets[targets >= 0].tolist() == [x for i in ids for x in [*i.tolist(), end]]
+
+
+def test_lm_uses_all_windows_over_the_rounds(monkeypatch):
+    """More windows than the least steps of a round can take, and words of very many ids."""
+    monkeypatch.setattr(lm, "LEAST_STEPS", 2)
+    n, seen = 10 * lm.BATCH * lm.ROUNDS + 5, []
+    windows = np.zeros((n, attention.CONTEXT + 1), np.int16)
+    windows[:, 0], windows[:, 1] = np.arange(n) % 1000, np.arange(n) // 1000
+
+    def gradient(model, part, classes):
+        seen.extend((part[:, 0].astype(int) + 1000 * part[:, 1].astype(int)).tolist())
+        return {k: np.zeros_like(v) for k, v in model.items()}
+
+    monkeypatch.setattr(attention, "gradient", gradient)
+    model = attention.pack(attention.start(np.ones(attention.CLASSES)))
+    for turn in range(lm.ROUNDS):
+        held = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary())], names=["window"])
+        list(lm._learner(model, turn)(iter([held])))
+    assert set(seen) == set(range(n)) and len(seen) == n
+
+    text = "".join(chr(0x4E00 + k * 37 % 20000) for k in range(5000))
+    found, (ids,), end = windows_of([text])
+    assert len(ids) > 5000 and np.extract(found[:, 1:] >= 0, found[:, 1:]).tolist() == [*ids.tolist(), end]

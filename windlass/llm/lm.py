@@ -192,7 +192,8 @@ def _windower(shared, kinds, end: int, size: int):
 
 def _learner(model: bytes, turn: int):
     def learn(batches: Iterator) -> Iterator:
-        """One learner's weights after its share of the windows of this round."""
+        """One learner's weights after this round: one order of its windows, the same in every
+        round, is dealt over the rounds, so that after the last one each window has been used."""
         import numpy as np
         import pyarrow as pa
 
@@ -201,7 +202,8 @@ def _learner(model: bytes, turn: int):
         held = [x for batch in batches for x in batch.column(0).to_pylist()]
         if held:
             windows = np.frombuffer(b"".join(held), np.int16).reshape(len(held), -1)
-            steps = max(LEAST_STEPS, -(-len(windows) // (BATCH * ROUNDS)))
+            windows = windows[np.random.default_rng(len(windows)).permutation(len(windows))[turn::ROUNDS]]
+            steps = max(LEAST_STEPS, -(-len(windows) // BATCH))
             made = attention.train(attention.unpack(model), windows, np.arange(attention.CLASSES), steps, RATE / (1 + turn), turn, BATCH)
             yield pa.RecordBatch.from_arrays([pa.array([attention.pack(made)], pa.binary()), pa.array([1], pa.int64())], names=["model", "n"])
 
