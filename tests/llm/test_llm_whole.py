@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from windlass.llm import attention, lm
+from windlass.llm import attention, decontaminate, lm
 
 
 class Shared:
@@ -58,3 +58,17 @@ def test_lm_uses_all_windows_over_the_rounds(monkeypatch):
     text = "".join(chr(0x4E00 + k * 37 % 20000) for k in range(5000))
     found, (ids,), end = windows_of([text])
     assert len(ids) > 5000 and np.extract(found[:, 1:] >= 0, found[:, 1:]).tolist() == [*ids.tolist(), end]
+
+
+def test_decontamination_keeps_the_accepted_stretch():
+    """A stretch with 12 of 20 words and no answer stands before one with 11 words and the answer."""
+    item = [b"i%d" % k for k in range(20)]
+    other = [b"o%d" % k for k in range(60)]
+    span = [*item[:12], *other, *item[9:]]
+    assert decontaminate.covered(item, span) == (True, 11 / 20, True)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([5]), pa.array([b" ".join(span).decode()]), pa.array([[{"item": 0, "lo": 0, "hi": len(span)}]])], names=["doc_id", "text", "spots"]
+    )
+    assert [r for b in decontaminate._checker([item], [9])(iter([batch])) for r in b.to_pylist()] == [{"doc_id": 5, "item_id": 9, "coverage": 11 / 20, "answer": True}]
+    assert decontaminate.covered(item, [*item[:12], *other]) == (False, 12 / 20, False)
+    assert decontaminate.covered(item, other) == (False, 0.0, False)

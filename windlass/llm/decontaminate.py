@@ -256,21 +256,20 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
     return find
 
 
-def covered(item: list[bytes], span: list[bytes]) -> tuple[float, bool]:
-    """The share of ``item`` in its longest common subsequence with ``span``, at the stretch of
-    about the item's length where it is highest, and whether the answer stands whole there. The
-    share is no higher than that of the item's distinct words found there, so that a few very
-    common words in a row make no leak."""
+def covered(item: list[bytes], span: list[bytes]) -> tuple[bool, float, bool]:
+    """Whether a stretch of ``span`` of about the item's length leaks ``item``, and, of the best
+    such stretch or else of the best at all, the share of ``item`` in their longest common
+    subsequence and whether the answer stands whole there. The share is no higher than that of
+    the item's distinct words found there, so that a few very common words in a row make no leak."""
     n, distinct = len(item), set(item)
-    width, best, answer = n + max(2, n // 3), 0.0, False
+    width, best = n + max(2, n // 3), (False, 0.0, False)
     tail = item[-ANSWER:]
     for at in range(0, max(1, len(span) - width + max(1, n // 4)), max(1, n // 4)):
         part = span[at : at + width]
         share = min(lcs_length(item, part) / n, len(distinct.intersection(part)) / len(distinct))
         whole = any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
-        if (share, whole) > (best, answer):
-            best, answer = share, whole
-    return best, answer
+        best = max(best, (share >= COVER or (share >= COVER_WITH_ANSWER and whole), share, whole))
+    return best
 
 
 def _checker(items: list[list[bytes]], names: list):
@@ -283,8 +282,8 @@ def _checker(items: list[list[bytes]], names: list):
             for doc_id, value, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), spots, strict=True):
                 words = tokens(value.as_py())
                 for s in spans:
-                    share, answer = covered(items[s["item"]], words[s["lo"] : s["hi"]])
-                    if share >= COVER or (share >= COVER_WITH_ANSWER and answer):
+                    leaks, share, answer = covered(items[s["item"]], words[s["lo"] : s["hi"]])
+                    if leaks:
                         for column, x in zip(out, (doc_id, names[s["item"]], share, answer), strict=True):
                             column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
