@@ -18,15 +18,18 @@ PASSAGE, BLOCK = 128, 1 << 14
 #: Words of some texts whose passages are counted together; few enough to stay in a cache.
 SKETCH_WORDS = 1 << 14
 #: Least cosine of a window to an item for a candidate.
-MIN_COSINE = 0.55
+MIN_COSINE = 0.3
 #: A document leaks an item if their common subsequence covers this share of the item's words,
 #: or the lower share with the item's answer (its last words) standing whole in the same place.
 COVER, COVER_WITH_ANSWER, ANSWER = 0.75, 0.5, 4
 #: The benchmark is the stated query set and is held by every worker; more items are refused.
 MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
-#: Window lengths grow by this factor from the least one; windows begin and end at multiples of
-#: STEP words, which a power of two makes.
-GROWTH, LEAST, STEP = 1.5, 8, 4
+#: Window lengths grow by this factor from the least one, by STEP words at least; windows begin
+#: and end at multiples of STEP words, which a power of two makes.
+GROWTH, LEAST, STEP = 1.15, 8, 4
+#: Windows of an item, in lengths of it (a paraphrase may have words put in), and windows that
+#: begin within the length of one.
+LENGTHS, PER_WINDOW = (1.0, 1.3), 4
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -55,11 +58,11 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def window_length(n: int) -> int:
-    """The window length for an item of ``n`` words: the largest of the series not above it (the
-    least one for items that are shorter still)."""
+def window_length(n: float) -> int:
+    """The window length for ``n`` words: the largest of the series not above it (the least one
+    for items that are shorter still)."""
     w = LEAST
-    while (longer := int(w * GROWTH) // STEP * STEP) <= n:
+    while (longer := max(w + STEP, int(w * GROWTH) // STEP * STEP)) <= n:
         w = longer
     return w
 
@@ -181,25 +184,35 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
     groups: dict[int, list[int]] = {}
     for k, words in enumerate(items):
         if words:
-            groups.setdefault(window_length(len(words)), []).append(k)
+            for w in {window_length(f * len(words) + STEP / 2) for f in LENGTHS}:
+                groups.setdefault(w, []).append(k)
     queries = {}
     for w, members in groups.items():
         q = np.array([vectors[ids[k]].sum(axis=0) for k in members])
         queries[w] = np.array(members), (q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)).T.astype(np.float32)
-    as_lists = [x.tolist() for x in ids]
+    as_lists, sizes = [x.tolist() for x in ids], np.array([len(x) for x in ids])
+    kept = np.flatnonzero(sizes)
+    terms, first_term = np.concatenate([*ids, np.zeros(0, np.uint16)]), (np.cumsum(sizes) - sizes)[kept]
+
+    def possible(text):
+        """Which items have enough of their words anywhere in the text."""
+        there, met = np.zeros(TERMS, bool), np.zeros(len(ids), bool)
+        there[text] = True
+        met[kept] = np.add.reduceat(there[terms].astype(np.int64), first_term) >= COVER_WITH_ANSWER * sizes[kept]
+        return met
 
     most = max(queries, default=1)
     padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
 
-    def near(texts: list) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """Windows near an item, by (text, item). Texts stand in a row with ``most`` blank words
+    def near(texts: list) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(text, item, windows near the item). Texts stand in a row with ``most`` blank words
         between them, so that no window meets two and short texts fit in one."""
         lengths = np.array([len(t) for t in texts])
         starts = most + np.concatenate([[0], np.cumsum(lengths + most)])
         row = np.full(-(-starts[-1] // STEP) * STEP, TERMS, np.int64)
         for t, a in zip(texts, starts, strict=False):
             row[a : a + len(t)] = t
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        found: list = []
         step = max(BLOCK, 4 * most)
         for base in range(0, len(row), step):
             part = row[base : base + step + most]
@@ -207,21 +220,30 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
             sums = np.zeros((len(steps) + 1, steps.shape[1]), np.float32)
             np.cumsum(steps, axis=0, out=sums[1:])
             for w, (members, q) in queries.items():
-                blocks, stride = w // STEP, max(STEP, w // 3 // STEP * STEP)
+                blocks, stride = w // STEP, max(STEP, w // PER_WINDOW // STEP * STEP)
                 if len(steps) < blocks:
                     continue
                 window = sums[blocks :: stride // STEP] - sums[: len(sums) - blocks : stride // STEP]
                 least = np.sqrt(np.einsum("ij,ij->i", window, window)) * np.float32(min_cosine) + np.float32(1e-9)
-                cos = window @ q
-                hit = np.flatnonzero(cos.max(axis=1) >= least)
-                for r in hit.tolist():
-                    a = base + r * stride
-                    k = int(np.searchsorted(starts, a + w - 1, side="right")) - 1
-                    lo, hi = max(0, a - int(starts[k])), min(int(lengths[k]), a + w - int(starts[k]))
-                    if hi > lo:
-                        for c in np.flatnonzero(cos[r] >= least[r]).tolist():
-                            found.setdefault((k, int(members[c])), []).append((lo, hi))
-        return found
+                r, c = np.nonzero(window @ q >= least[:, None])
+                a = base + r * stride
+                k = np.searchsorted(starts, a + w - 1, side="right") - 1
+                lo, hi = np.maximum(0, a - starts[k]), np.minimum(np.append(lengths, 0)[k], a + w - starts[k])
+                good = hi > lo
+                found.append(np.array([k, members[c], lo, hi])[:, good])
+        if not found:
+            return
+        k, item, lo, hi = np.concatenate(found, axis=1)
+        may = np.zeros(len(k), bool)
+        order = np.argsort(k, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            if len(part):
+                may[part] = possible(texts[k[part[0]]])[item[part]]
+        k, item, lo, hi = (x[may] for x in (k, item, lo, hi))
+        order = np.lexsort((lo, item, k))
+        for part in np.split(order, np.flatnonzero(np.diff(k[order]) | np.diff(item[order])) + 1):
+            if len(part):
+                yield int(k[part[0]]), int(item[part[0]]), list(zip(lo[part].tolist(), hi[part].tolist(), strict=True))
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -234,9 +256,9 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
                 size += len(group[-1])
                 if size < BLOCK and at < len(values) - 1:
                     continue
-                for (k, item), spans in near(group).items():
+                for k, item, spans in near(group):
                     text, n, lo, hi = group[k], len(items[item]), -1, -1
-                    for a, b in [*sorted(spans), (1 << 60, 1 << 60)]:
+                    for a, b in [*spans, (1 << 60, 1 << 60)]:
                         if a <= hi:
                             hi = max(hi, b)
                             continue
@@ -264,7 +286,8 @@ def covered(item: list[bytes], span: list[bytes]) -> tuple[bool, float, bool]:
     n, distinct = len(item), set(item)
     width, best = n + max(2, n // 3), (False, 0.0, False)
     tail = item[-ANSWER:]
-    for at in range(0, max(1, len(span) - width + max(1, n // 4)), max(1, n // 4)):
+    step = max(1, n // 16)  # the highest stretch must not depend on where the span begins
+    for at in range(0, max(1, len(span) - width + step), step):
         part = span[at : at + width]
         share = min(lcs_length(item, part) / n, len(distinct.intersection(part)) / len(distinct))
         whole = any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
@@ -296,8 +319,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
     """(doc_id, item_id, coverage, answer): one row for each document and item that it leaks.
 
     Whole texts are turned into hashed term ids once; the latent space is fitted to all of their
-    passages; every window of about an item's length, a third of it apart, is compared with
-    the items of that length; what comes near is checked by longest common subsequence, on the
+    passages; every window of about an item's length and of 1.3 times it, a quarter apart, is
+    compared with the items of that length; what comes near is checked by longest common subsequence, on the
     ids first and then on the words themselves, and for the item's answer. Null and empty texts
     and items match nothing; repeated rows give one row; null ids return as null; extra columns
     are not read. The benchmark must hold at most ``MAX_ITEMS`` items.
