@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windlass.functions.lineage import cut
 from windlass.operators import numbering
 
 
@@ -41,13 +44,17 @@ def size_distribution(rows: DataFrame, value: str) -> DataFrame:
 def index_quantiles(rows: DataFrame, value: str) -> DataFrame:
     """The values at places n/4, n/2 and 3n/4 of the sorted column (from 0), not interpolated.
 
-    Counts by value are summed first, so the sort is over distinct values and nothing is
-    collected into one array.
+    Counts by value are summed first and dealt out by ranges of values; running sums are made
+    inside each range, and the sums of the ranges before, a small table, are added.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("_h", F.sum("c").over(Window.orderBy(value)))
-    placed = upto.join(F.broadcast(total))
+    ranged = cut(counts.repartitionByRange(value).withColumn("_b", F.spark_partition_id()))
+    whole = Window.partitionBy(F.lit(0))
+    before = ranged.groupBy("_b").agg(F.sum("c").alias("_c")).select(
+        F.col("_b").alias("_b2"), (F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("n")
+    )
+    local = ranged.withColumn("_h", F.sum("c").over(Window.partitionBy("_b").orderBy(value)))
+    placed = local.join(before, F.col("_b") == F.col("_b2")).withColumn("_h", F.col("_h") + F.col("_before"))
     pick = lambda at: F.min(F.when(F.col("_h") > at, F.col(value)))
     n = F.col("n")
     return placed.agg(pick(F.floor(n / 4)).alias("q25"), pick(F.floor(n / 2)).alias("q50"), pick(F.floor(3 * n / 4)).alias("q75"), F.max(value).alias("max"))
@@ -148,16 +155,22 @@ def balanced_pick(rows: DataFrame, quota: int, band: str = "size_band", session:
     return rows.sparkSession.createDataFrame(picked, rows.schema)
 
 
-def _packer(order: str, max_bytes: int, max_items: int):
-    def pack(frame):
-        batch = size = items = 0
-        frame, numbers = frame.sort_values(order), []
-        for b in frame["bytes"]:
-            if items and (size + b > max_bytes or items >= max_items):
-                batch, size, items = batch + 1, 0, 0
-            size, items = size + int(b), items + 1
-            numbers.append(batch)
-        return frame.assign(batch=numbers)
+def _packer(max_bytes: int, max_items: int):
+    def pack(batches: Iterator) -> Iterator:
+        """Rows sorted by group and order, with their batch; only the open batch is held."""
+        import pyarrow as pa
+
+        now = batch = size = items = None
+        for part in batches:
+            numbers = []
+            for group, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if items is None or group != now:
+                    now, batch, size, items = group, 0, 0, 0
+                if items and (size + b > max_bytes or items >= max_items):
+                    batch, size, items = batch + 1, 0, 0
+                size, items = size + b, items + 1
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int64())], names=[*part.schema.names, "batch"])
 
     return pack
 
@@ -165,10 +178,11 @@ def _packer(order: str, max_bytes: int, max_items: int):
 def pack_batches(rows: DataFrame, group: str, order: str, max_bytes: int, max_items: int) -> DataFrame:
     """``batch``: rows (group, order, bytes) of each group in order, a new batch where the next
     would pass either bound. Each batch starts where the one before ended, so a group is one
-    task; groups are the unit that is shipped, of a bounded number of files."""
+    task, but it streams through in Spark's sorted order and is never held whole."""
     picked = rows.select(group, order, F.col("bytes").cast("long").alias("bytes"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields) + ", batch long"
-    return picked.groupBy(group).applyInPandas(_packer(order, max_bytes, max_items), schema)
+    dealt = picked.repartition(group).sortWithinPartitions(F.col(group), F.col(order).asc_nulls_last(), "bytes")
+    return dealt.mapInArrow(_packer(max_bytes, max_items), schema)
 
 
 def nearest_size(rows: DataFrame, value: str, target: float, n: int, tie: str) -> DataFrame:
