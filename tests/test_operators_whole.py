@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from windlass.operators import selection
+from windlass.operators import retrieval, selection
 
 
 def test_packing_streams_and_quantiles_are_dealt_out(spark):
@@ -35,3 +36,19 @@ def test_packing_streams_and_quantiles_are_dealt_out(spark):
     assert tuple(row) == (order[n // 4], order[n // 2], order[3 * n // 4], order[-1])
     assert "windowspecdefinition(v#" not in plan  # no window over all values
     assert tuple(selection.index_quantiles(frame.where(F.lit(False)), "v").first()) == (None,) * 4
+
+
+def test_ranking_takes_queries_in_blocks(spark, monkeypatch):
+    """Several blocks of both sides, and no collect of the queries."""
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "MAX_QUERY_BYTES", 8, raising=False)  # the cap that refused more queries
+    x = np.random.default_rng(4).standard_normal((90, 6))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    queries = frame.where("id < 40").withColumn("target", (F.col("id") + 7) % 90)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    got = {r.id: r.rank for r in retrieval.ranks(queries, frame).collect()}
+    assert got == {k: 1 + int((cos[k] > cos[k, k + 7] + 1e-12).sum()) for k in range(40)}
+    top = {(r.id, r.place): r.candidate for r in retrieval.top_k(queries, frame, 5).collect()}
+    want = {(k, j + 1): int(c) for k in range(40) for j, c in enumerate([c for c in np.argsort(-cos[k]) if c != k][:5])}
+    assert top == want

@@ -1,28 +1,35 @@
-"""Ranking a stated set of queries against all candidates, and heads made of array means.
+"""Ranking queries against all candidates, and heads made of array means.
 
-Queries are held by every worker, after a check of their size; candidates stream past them in
-blocks and each block sends on one row per query. No pair is ever written down.
+Queries and candidates are cut into blocks of about a fixed size by hash; each pair of blocks is
+scored in a task and sends on one row, or ``k``, per query. No pair of rows is ever written down,
+no number of queries is refused, and none comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that workers may hold.
-MAX_QUERY_BYTES = 256 << 20
+from windlass.functions.lineage import cut
+
+#: Rows of a block of queries or of candidates, on average.
+BLOCK = 1024
+
 
+def _pairs(queries: DataFrame, candidates: DataFrame):
+    """Both sides (id, ...) grouped by block of queries and block of candidates, to be cogrouped."""
+    n, m = (max(1, -(-rows.count() // BLOCK)) for rows in (queries, candidates))
+    block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.select("*", block(n).alias("_q"), every(m).alias("_c"))
+    right = candidates.select("id", "vector", every(n).alias("_q"), block(m).alias("_c"))
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
 
-def _held(queries: DataFrame, dims: int) -> tuple:
+
+def _matrix(column):
     import numpy as np
 
-    most = MAX_QUERY_BYTES // (8 * max(1, dims))
-    rows = queries.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries; rank them in parts")
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    return np.stack(column.to_numpy()).astype(float)
 
 
 def _scores(queries, candidates, measure: str):
@@ -44,35 +51,22 @@ def ranks(queries: DataFrame, candidates: DataFrame, measure: str = "cosine") ->
     import numpy as np
     import pandas as pd
 
-    spark = queries.sparkSession
-    first = candidates.select(F.size("vector")).first()
     schema = "id long, rank long, score double"
-    if first is None:
-        return spark.createDataFrame([], schema)
     wanted = queries.join(candidates.select(F.col("id").alias("_t"), F.col("vector").alias("_v")), F.col("target") == F.col("_t"))
-    both = wanted.select("id", F.concat(F.col("vector").cast("array<double>"), F.col("_v").cast("array<double>")).alias("v"), "target")
-    ids, vectors = _held(both.select("id", "v"), 2 * first[0])
-    if not len(ids):
-        return spark.createDataFrame([], schema)
-    targets = dict(both.select("id", "target").collect())
-    target = np.array([targets[k] for k in ids.tolist()])
-    query, truth = vectors[:, : vectors.shape[1] // 2], vectors[:, vectors.shape[1] // 2 :]
-    own = np.array([_scores(q[None], t[None], measure)[0, 0] for q, t in zip(query, truth, strict=True)])
-    shared = spark.sparkContext.broadcast((ids, query, target, own))
-
-    def count(batches: Iterator) -> Iterator:
-        ids, query, target, own = shared.value
-        ahead = np.zeros(len(ids), np.int64)
-        for frame in batches:
-            for at in range(0, len(frame), 2048):
-                part = frame.iloc[at : at + 2048]
-                got = _scores(query, np.stack(part["vector"].to_numpy()).astype(float), measure)
-                cid = part["id"].to_numpy()[None]
-                equal = np.abs(got - own[:, None]) <= 1e-12
-                ahead += ((got > own[:, None]) & ~equal | equal & (cid < target[:, None])).sum(axis=1)
-        yield pd.DataFrame({"id": ids, "rank": ahead, "score": own})
-
-    return candidates.select("id", "vector").mapInPandas(count, schema).groupBy("id").agg((F.sum("rank") + 1).cast("long").alias("rank"), F.max("score").alias("score"))
+    wanted = cut(wanted.select("id", "vector", "target", "_v"))
+
+    def count(q, c):
+        if not len(q) or not len(c):
+            return pd.DataFrame({"id": [], "rank": [], "score": []})
+        query, truth, target = _matrix(q["vector"]), _matrix(q["_v"]), q["target"].to_numpy()
+        own = np.array([_scores(a[None], b[None], measure)[0, 0] for a, b in zip(query, truth, strict=True)])
+        got = _scores(query, _matrix(c["vector"]), measure)
+        equal = np.abs(got - own[:, None]) <= 1e-12
+        ahead = ((got > own[:, None]) & ~equal | equal & (c["id"].to_numpy()[None] < target[:, None])).sum(axis=1)
+        return pd.DataFrame({"id": q["id"].to_numpy(), "rank": ahead, "score": own})
+
+    counted = _pairs(wanted, candidates).applyInPandas(count, schema)
+    return counted.groupBy("id").agg((F.sum("rank") + 1).cast("long").alias("rank"), F.max("score").alias("score"))
 
 
 def summary(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -90,25 +84,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, measure: str =
     import pandas as pd
     from pyspark.sql import Window
 
-    first = queries.select(F.size("vector")).first()
-    if first is None:
-        return queries.sparkSession.createDataFrame([], "id long, place int, candidate long, score double")
-    shared = queries.sparkSession.sparkContext.broadcast(_held(queries.select("id", "vector"), first[0]))
-
-    def best(batches: Iterator) -> Iterator:
-        ids, query = shared.value
-        for frame in batches:
-            for at in range(0, len(frame), 2048):
-                part = frame.iloc[at : at + 2048]
-                got, cid = _scores(query, np.stack(part["vector"].to_numpy()).astype(float), measure), part["id"].to_numpy()
-                if exclude_self:
-                    got[ids[:, None] == cid[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(cid, got.shape), -got), axis=1)[:, :k]
-                score = np.take_along_axis(got, order, axis=1)
-                out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "candidate": cid[order].ravel(), "score": score.ravel()})
-                yield out[out["score"] > -np.inf]
-
-    found = candidates.select("id", "vector").mapInPandas(best, "id long, candidate long, score double")
+    def best(q, c):
+        if not len(q) or not len(c):
+            return pd.DataFrame({"id": [], "candidate": [], "score": []})
+        ids, cid = q["id"].to_numpy(), c["id"].to_numpy()
+        got = _scores(_matrix(q["vector"]), _matrix(c["vector"]), measure)
+        if exclude_self:
+            got[ids[:, None] == cid[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(cid, got.shape), -got), axis=1)[:, :k]
+        score = np.take_along_axis(got, order, axis=1)
+        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "candidate": cid[order].ravel(), "score": score.ravel()})
+        return out[out["score"] > -np.inf]
+
+    found = _pairs(queries.select("id", "vector"), candidates).applyInPandas(best, "id long, candidate long, score double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "candidate"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("id", "place", "candidate", "score")
 
