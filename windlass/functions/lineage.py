@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost
-    executor costs a reread and never a rerun of what came before."""
+    executor costs a reread and never a rerun of what came before. Partitions stay as they are."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table. Its size is read from the files, so the planner's estimate,
+    which a checkpoint hands on and every join multiplies, starts anew: for loops over joins."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no frame in use reads any more, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
