@@ -7,7 +7,7 @@ from collections.abc import Callable, Collection
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.functions.lineage import checkpoint_folder, cut  # noqa: F401
+from windlass.functions.lineage import checkpoint_folder, cut, delete_folder, landed  # noqa: F401
 
 #: A word is a run of anything but ASCII white space (Java and Python agree on this class).
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import cut
+from windlass.llm.common import landed
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round is written to the checkpoint folder; the rounds grow with the logarithm of the
     longest chain. An empty input gives an empty result.
     """
-    pairs = cut(
+    pairs = landed(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     )
     for _ in range(max_rounds):
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        pairs = cut(small)
+        pairs = landed(small)
         # Done when it is a set of stars: every node has one parent, and no parent has one.
         many = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         chained = pairs.join(pairs.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1)

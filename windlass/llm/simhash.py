@@ -1,4 +1,10 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing.
+
+Fingerprints are cut into segments of 32 bits. For each segment the Hamming ball of radius one
+around its value is enumerated; every (segment, value) of it is an entry. Two fingerprints that
+differ in two bits or fewer within a segment share an entry of it. What meets in an entry is a
+candidate, and the complete distance decides.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +13,45 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import cut
+from windlass.llm.common import cut, keeping, landed
 from windlass.llm.components import connected_components
 
-BITS, SEGMENTS, SHINGLE, SEED = 64, 4, 3, 42
-#: Two fingerprints at this distance or less share a point at half of it, which the tables hold.
-MAX_DISTANCE = 2
+#: Fingerprints of ``near_duplicates``: bits, words of a shingle, seed of its hash, and the
+#: distance at which two link.
+BITS, SHINGLE, SEED, MAX_DISTANCE = 64, 3, 42, 2
+#: Bits of a segment. Two segments hold 64 bits, so that two fingerprints at a distance of two
+#: always have a segment that differs in one bit at most.
+SEGMENT = 32
+#: An entry that more fingerprints share is crowded: its members are not compared pair by pair.
+CROWD = 64
+#: Fingerprints of ``similar_documents``: segments, words of a shingle, least Jaccard similarity.
+WIDE, WORDS, SIMILAR = 12, 5, 0.8
+#: Bits of a segment that are flipped in the ball: those whose vote was closest.
+DOUBTS = 10
+#: Differing bits of the wide fingerprint up to which texts are compared. Texts at similarity 0.8
+#: differ in 58 of 384 bits on average, with a deviation of seven.
+WIDE_DISTANCE = 90
 #: Shingles whose bits are counted at once; bounds a worker's memory on very long texts.
 BLOCK = 1 << 15
+#: Odd multipliers that make further hash values from one.
+_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93]
+
+
+def _grams(words: list[bytes], n: int) -> Iterator[bytes]:
+    """The shingles of ``n`` words, all words together if there are fewer."""
+    return map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else iter([b" ".join(words)])
+
+
+def _votes(hashes):
+    """For each bit, how many of the 64-bit hashes set it: bytes are summed in blocks of 255."""
+    import numpy as np
+
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    votes = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:
+        votes += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return votes
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -29,14 +66,10 @@ def fingerprint(text: bytes | None) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
-    space = b" "
     counts, n = np.zeros(BITS, np.int64), max(1, len(words) - SHINGLE + 1)
     for at in range(0, n, BLOCK):
-        part = words[at : at + BLOCK + SHINGLE - 1]
-        grams = map(space.join, zip(part, part[1:], part[2:], strict=False)) if len(words) >= SHINGLE else [space.join(words)]
-        h = np.array([xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        grams = _grams(words[at : at + BLOCK + SHINGLE - 1], SHINGLE) if len(words) >= SHINGLE else iter([b" ".join(words)])
+        counts += _votes(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64))
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -45,7 +78,7 @@ def _fingerprints(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
+        texts = batch.column(1).cast(pa.binary())
         found = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -56,30 +89,128 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _thinned(entry, key):
+    """Sorted entries with their keys, at most ``CROWD`` + 1 rows of each; and the keys in entries
+    that have more. So a crowded entry is known as such however few of its rows are sent on."""
+    import numpy as np
+
+    order = np.lexsort((key, entry))
+    entry, key = entry[order], key[order]
+    first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+    size = np.diff(np.append(first, len(entry)))
+    place = np.arange(len(entry)) - np.repeat(first, size)
+    crowded = np.repeat(size > CROWD, size)
+    keep = place <= CROWD
+    return entry[keep], key[keep], entry[crowded], key[crowded]
+
+
+def _probes(batches: Iterator) -> Iterator:
+    """(entry, key) of 64-bit fingerprints, which are their own keys. Those in a crowd of this
+    batch are named once each under a negative entry."""
+    import numpy as np
+    import pyarrow as pa
+
+    flips = np.concatenate([[0], np.int64(1) << np.arange(SEGMENT)])
+    for batch in batches:
+        for at in range(0, len(batch), BLOCK):
+            fp = np.asarray(batch.column(0).slice(at, BLOCK)).view(np.uint64)
+            halves = [((fp >> np.uint64(SEGMENT * s)) & np.uint64(0xFFFFFFFF)).astype(np.int64) | s << SEGMENT for s in range(BITS // SEGMENT)]
+            made = np.concatenate([(h[:, None] ^ flips).ravel() for h in halves])
+            entry, key, _, crowd = _thinned(made, np.tile(np.repeat(fp.view(np.int64), len(flips)), len(halves)))
+            crowd = np.unique(crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([entry, _aside(crowd)])), pa.array(np.concatenate([key, crowd]))], names=["entry", "key"])
+
+
+def _aside(keys):
+    """Negative entries, which spread rows that only pass through the exchange."""
+    return -1 - (keys & 0xFFFFF)
+
+
+def _met(batches: Iterator, passing: list) -> Iterator:
+    """Of rows sorted by entry, the keys of each entry that more than one has, as an array; rows
+    under negative entries go to ``passing`` instead."""
+    import numpy as np
+
+    rest_entry, rest_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def split(entry, key):
+        edges = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1], [True]]))
+        size = np.diff(edges)
+        for a, n in zip(edges[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            yield key[a : a + n]
+
+    for batch in batches:
+        entry = np.asarray(batch.column(0))
+        at = int(np.searchsorted(entry, 0))
+        if at:
+            passing.append(batch.slice(0, at))
+        entry, key = np.concatenate([rest_entry, entry[at:]]), np.concatenate([rest_key, np.asarray(batch.column(1))[at:]])
+        if len(entry):
+            last = int(np.searchsorted(entry, entry[-1]))
+            yield from split(entry[:last], key[:last])
+            rest_entry, rest_key = entry[last:], key[last:]
+    if len(rest_entry):
+        yield from split(rest_entry, rest_key)
+
+
+def _pairs(us: list, vs: list, crowd: list):
+    """A batch (u, v) of distinct pairs, u above v, and of the members of crowds with v null."""
+    import numpy as np
+    import pyarrow as pa
+
+    none = np.zeros(0, np.int64)
+    u, v, alone = (np.concatenate([none, *x]) for x in (us, vs, crowd))
+    pairs, alone = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0), np.unique(alone)
+    for x in (us, vs, crowd):
+        x.clear()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([pairs[:, 0], alone])), pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(alone), pa.int64())])], names=["u", "v"]
+    )
+
+
+def _compare(batches: Iterator) -> Iterator:
+    """(u, v) of the fingerprints of an entry at a distance of two at most; (u, null) for each of a
+    crowded entry."""
+    import numpy as np
+
+    us, vs, crowd, passing = [], [], [], []
+    for keys in _met(batches, passing):
+        if len(keys) > CROWD:
+            crowd.append(keys)
+        else:
+            i, j = np.triu_indices(len(keys), 1)
+            near = np.bitwise_count((keys[i] ^ keys[j]).view(np.uint64)) <= MAX_DISTANCE
+            us.append(keys[j[near]])
+            vs.append(keys[i[near]])
+        if len(us) + len(crowd) > BLOCK:
+            yield _pairs(us, vs, crowd)
+    yield _pairs(us, vs, crowd + [np.asarray(b.column(1)) for b in passing])
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` that join all those at 2 bits or less.
 
-    Multi-index tables: for each of the four 16-bit segments, the Hamming ball of radius one in
-    that segment is enumerated, with the other segments as they are. A table entry is met by at
-    most 65 fingerprints, so no bucket can be hot, and two fingerprints at distance two or less
-    meet at a point between them. In each entry the smallest fingerprint is linked to the others
-    after their complete distances have been verified, not every pair; components stay the same.
+    Two tables, one for each half of the fingerprint: an entry is a half's value, and each
+    fingerprint probes the Hamming ball of radius one around its own. Fingerprints that meet in
+    an entry are compared on all bits. Crowded entries (a group of near copies shares a half) are
+    not compared pair by pair; their members meet in a finer table, keyed by the probed half
+    together with the other half. An entry there can have 65 members at most, two fingerprints at
+    two bits or fewer always share one, and linking each to the smallest joins them all.
     """
-    width = BITS // SEGMENTS
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    balls = [signed(1 << (s * width + b)) for s in range(SEGMENTS) for b in range(width)]
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Fingerprints are few bytes and their entries many: spread them before they multiply, not by
     # key, as an exchange by "fp" that is there already would be taken and coalesced by its size.
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    entries = spread.select(
-        "fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(x)) for x in balls])).alias("entry")
-    )
-    met = entries.groupBy("entry").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return (
-        met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
-        .where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE))
-        .distinct()
+    probes = fps.select("fp").repartition(parts).mapInArrow(_probes, "entry long, key long")
+    met = landed(probes.repartition(parts, "entry").sortWithinPartitions("entry", "key").mapInArrow(_compare, "u long, v long"))
+    crowd = met.where("v is null").select(F.col("u").alias("fp")).distinct()
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    balls = F.array(*[F.lit(x).cast("long") for x in [0, *[signed(1 << b) for b in range(BITS)]]])
+    fine = crowd.select("fp", F.explode(balls).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"))
+    groups = fine.groupBy("entry").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    linked = groups.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where(
+        (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
     )
+    return met.where("v is not null").unionByName(linked.select("u", "v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,11 +230,219 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return signed.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each component, once each, columns unchanged.
+def shingle_hashes(text: bytes | None, n: int = WORDS):
+    """The distinct 64-bit hashes of a text's shingles of ``n`` words, sorted; none of a blank text."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, _grams(words, n)), np.uint64))
+
+
+def wide_fingerprint(hashes):
+    """(segments, doubts): the 32-bit segments of the SimHash of a set of shingles, and in each a
+    mask of the ``DOUBTS`` bits whose vote was closest."""
+    import numpy as np
+
+    votes = np.zeros(WIDE * SEGMENT, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        h = hashes[at : at + BLOCK, None] * np.array(_MIX[: WIDE // 2], np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_MIX[0])
+        votes += _votes(h ^ (h >> np.uint64(29)))
+    lead = (2 * votes - len(hashes)).reshape(WIDE, SEGMENT)
+    low = np.argpartition(np.abs(lead), DOUBTS, axis=1)[:, :DOUBTS]
+    return ((lead > 0) << np.arange(SEGMENT)).sum(axis=1), (np.int64(1) << low).sum(axis=1)
+
+
+def _wide(batches: Iterator) -> Iterator:
+    """(doc_id, key, segments, doubts): the key is a hash of the text's words, A-Z lower-cased."""
+    import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
 
-    Rows without an id are kept: nothing names which of them is the copy.
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            text = value.as_py() or b""
+            segments, doubts = wide_fingerprint(shingle_hashes(text))
+            key = xxh3_64_intdigest(b" ".join(text.lower().split()), SEED)
+            for column, x in zip(out, (doc_id, key - (key >> 63 << 64), segments.tobytes(), doubts.tobytes()), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "key", "segments", "doubts"])
+
+
+def _wide_entries(part):
+    """(entry, key) of a batch (key, segments, doubts): the ball in every segment."""
+    import numpy as np
+
+    weights = np.int64(1) << np.arange(SEGMENT, dtype=np.int64)
+    keys = np.asarray(part.column(0))
+    segments, doubts = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.int64).reshape(len(keys), WIDE) for k in (1, 2))
+    made = []
+    for s in range(WIDE):
+        row, bit = np.nonzero(doubts[:, s, None] & weights)
+        base = segments[:, s] | s << SEGMENT
+        made += [(base, keys), (base[row] ^ weights[bit], keys[row])]
+    return (np.concatenate(x) for x in zip(*made, strict=True))
+
+
+def _wide_probes(batches: Iterator) -> Iterator:
+    """(entry, key, mate): a row for each entry of each text, CROWD + 1 for an entry in a batch at
+    most. In an entry with more, each member has the smallest as its mate, under a negative entry."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, len(batch), BLOCK // 4):
+            entry, key, busy, member = _thinned(*_wide_entries(batch.slice(at, BLOCK // 4)))
+            edges = np.flatnonzero(np.concatenate([[True], busy[1:] != busy[:-1], [True]])) if len(busy) else np.zeros(1, np.int64)
+            pairs = np.unique(np.stack([member, np.repeat(member[edges[:-1]], np.diff(edges))], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([entry, _aside(pairs[:, 0])])),
+                    pa.array(np.concatenate([key, pairs[:, 0]])),
+                    pa.concat_arrays([pa.nulls(len(entry), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 1]))]),
+                ],
+                names=["entry", "key", "mate"],
+            )
+
+
+def _wide_all(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, len(batch), BLOCK // 4):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _wide_entries(batch.slice(at, BLOCK // 4))], names=["entry", "key"])
+
+
+def _wide_pairs(batches: Iterator) -> Iterator:
+    """(u, v) of the keys that meet in an entry: all pairs, or in a crowded entry each with the
+    smallest and with the one before it, and then also (u, null) for each."""
+    import numpy as np
+
+    us, vs, crowd, passing = [], [], [], []
+    for keys in _met(batches, passing):
+        if len(keys) > CROWD:
+            us += [keys[1:], keys[1:]]
+            vs += [np.full(len(keys) - 1, keys[0]), keys[:-1]]
+            crowd.append(keys)
+        else:
+            i, j = np.triu_indices(len(keys), 1)
+            us.append(keys[i])
+            vs.append(keys[j])
+        if len(us) > BLOCK:
+            yield _pairs(us, vs, crowd)
+    for b in passing:
+        keys, mates = np.asarray(b.column(1)), np.asarray(b.column(2))
+        other = keys != mates
+        us.append(keys[other])
+        vs.append(mates[other])
+        crowd.append(keys)
+    yield _pairs(us, vs, crowd)
+
+
+def _close(batches: Iterator) -> Iterator:
+    """(u, v) of the pairs whose complete fingerprints are near enough."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), WIDE) for k in (2, 3))
+        yield batch.filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= WIDE_DISTANCE)).select([0, 1])
+
+
+def _alike(batches: Iterator) -> Iterator:
+    """(u, v) of the pairs whose texts' shingle sets are similar enough."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(t.as_py(), np.uint64) for t in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+
+def _joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(u, v, a, b): ``pairs`` with a column of ``table`` for either end."""
+    a, b = (table.select(F.col("key").alias(k), F.col(column).alias(name)) for k, name in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, component_id) of the rows of ``docs`` that have an id: documents link where the
+    Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
+
+    ``key`` is a 64-bit hash of the text's words (A-Z lower-cased); texts of equal words are one
+    text here, blank ones too. Candidates meet by multi-index hashing of a fingerprint of twelve
+    32-bit segments: in each the ball of radius one over the ten bits with the closest votes is
+    enumerated, as near copies differ in those first. The complete distance is checked, then the
+    shingle sets themselves. In a crowded entry each member meets the smallest and its neighbour;
+    where that leaves an entry's members in several components, all pairs across these are
+    compared too, so none that meet go unseen. component_id is the smallest id reachable.
     """
-    stay = near_duplicates(docs).select(F.col("component_id").alias("_keep")).where("_keep is not null").distinct()
-    named = docs.join(stay, docs["doc_id"] == stay["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    signed = landed(texts.mapInArrow(_wide, "doc_id long, key long, segments binary, doubts binary"))
+    firsts = landed(signed.groupBy("key").agg(F.min(F.struct("doc_id", "segments", "doubts")).alias("f")).select("key", F.col("f.doc_id").alias("first_id"), "f.segments", "f.doubts"))
+    table = firsts.select("key", "segments", "doubts")
+    probes = table.repartition(parts).mapInArrow(_wide_probes, "entry long, key long, mate long")
+    met = landed(probes.repartition(parts, "entry").sortWithinPartitions("entry", "key").mapInArrow(_wide_pairs, "u long, v long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = landed(_joined(pairs, table, "segments").mapInArrow(_close, "u long, v long"))
+        wanted = close.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(firsts.select("key", "first_id"), "key")
+        # Rows under one id can hold several texts: the key says which is meant.
+        held = texts.join(wanted, texts["doc_id"] == wanted["first_id"]).select("key", "text").mapInArrow(_keyed_sets, "key long, hashes binary")
+        held = landed(held.dropDuplicates(["key"]))
+        return landed(_joined(close, held, "hashes").mapInArrow(_alike, "u long, v long"))
+
+    alike = verified(met.where("v is not null").distinct())
+    roots = landed(connected_components(alike))
+    crowd = met.where("v is null").select(F.col("u").alias("key")).distinct()
+    if not crowd.isEmpty():
+        entries = table.join(crowd, "key").select("key", "segments", "doubts").mapInArrow(_wide_all, "entry long, key long")
+        placed = landed(entries.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("root")))
+        mixed = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
+        left = landed(placed.join(mixed, "entry"))
+        right = left.withColumnsRenamed({"key": "v", "root": "other"})
+        across = left.join(right, "entry").where("root < other").select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
+        more = verified(across)
+        if not more.isEmpty():
+            roots = landed(connected_components(alike.unionByName(more)))
+    rooted = firsts.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return signed.select("doc_id", "key").join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
+
+
+def _keyed_sets(batches: Iterator) -> Iterator:
+    """(key, hashes) of the rows whose text has the key they are wanted for."""
+    import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        keys, sets = [], []
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            text = value.as_py() or b""
+            own = xxh3_64_intdigest(b" ".join(text.lower().split()), SEED)
+            if own - (own >> 63 << 64) == key:
+                keys.append(key)
+                sets.append(shingle_hashes(text).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "hashes"])
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest id of each group of similar ones, once each, columns
+    unchanged. Rows without an id are kept: nothing names which of them is the copy."""
+
+    def body(d: DataFrame) -> DataFrame:
+        stay = similar_documents(d).select(F.col("component_id").alias("_keep")).distinct()
+        named = d.join(stay, d["doc_id"] == stay["_keep"], "left_semi").dropDuplicates(["doc_id"])
+        return named.unionByName(d.where(d["doc_id"].isNull()))
+
+    return keeping(docs, ("key", "component_id"), body)
