@@ -292,7 +292,10 @@ def test_quality_votes(spark):
     assert len(sample) == 50 and not set(s["doc_id"] for s in sample) & set(held)
     model = knn_quality.fit(sample)
     x = np.stack([knn_quality.features(t.encode()) for t in (good[0], bad[0])])
-    z = (x * model["idf"]) / np.linalg.norm(x * model["idf"], axis=1, keepdims=True) @ model["project"]
+    w, edges = x * model["idf"], np.cumsum([0, *knn_quality.VIEWS])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        w[:, a:b] /= np.linalg.norm(w[:, a:b], axis=1, keepdims=True)
+    z = w / np.linalg.norm(w, axis=1, keepdims=True) @ model["project"]
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     for row, s in zip(z, knn_quality.vote(model, x), strict=True):
         cos = [float(row @ v) for v in model["vectors"]]

@@ -9,36 +9,58 @@ from pyspark.sql import functions as F
 
 from windlass.llm.common import fold, keeping
 
-#: Buckets of hashed byte trigrams (a power of two) and pseudo-terms after them.
-BUCKETS, EXTRAS = 1 << 12, 4
+#: Hashed terms of each view of a text: byte trigrams, runs of letter shapes, recency of words.
+VIEWS = (1 << 12, 1 << 10, 32)
+TERMS = sum(VIEWS)
 #: Latent dimensions; labelled documents the model is fitted on and votes with, at most.
-DIMS, MAX_LABELLED = 48, 3000
+DIMS, MAX_LABELLED = 64, 3000
 NEIGHBOURS, SHARPNESS = 25, 8.0
 #: Scores from here up predict label 1.
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 _CHUNK, _ROWS = 1 << 20, 256
-#: What a share of one adds to a pseudo-term, against counts that grow with their logarithm.
-_WEIGHT = 60.0
+_HASH = 0x9E3779B97F4A7C15
+#: Shape of a byte: lower-case and other scripts' letters, upper case, digits, marks as they are.
+_SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
+def _ngrams(a, n: int, buckets: int):
+    """Counts of the hashed runs of ``n`` bytes."""
+    import numpy as np
+
+    counts = np.zeros(buckets, np.int64)
+    for at in range(0, len(a) - n + 1, _CHUNK):
+        part = a[at : at + _CHUNK + n - 1].astype(np.uint64)
+        code = part[: len(part) - n + 1]
+        for k in range(1, n):
+            code = code << np.uint64(8) | part[k : len(part) - n + 1 + k]
+        counts += np.bincount((code * np.uint64(_HASH) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets)
+    return counts
 
 
 def features(text: bytes | None):
-    """Counts of hashed byte trigrams, then pseudo-terms: the shares of words equal to the word
-    before, of line characters in repeated lines, of upper case and of other marks."""
+    """Counts of the terms of three views of a text, all of it: byte trigrams; runs of four signs
+    of its letter shapes (repeats of a shape drawn together, as in ``Aa, a.``); and for each word
+    how long ago it stood last, in powers of two (or that it is new)."""
     import numpy as np
 
     text = text or b""
-    counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text) - 2, _CHUNK):
-        a = np.frombuffer(text, np.uint8, min(_CHUNK + 2, len(text) - at), at).astype(np.uint32)
-        code = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761) >> np.uint32(20)
-        counts += np.bincount(code, minlength=BUCKETS)
-    words, lines = text.split(), text.split(b"\n")
-    upper, mark = len(text.translate(None, bytes(set(range(256)) - set(range(65, 91))))), len(text.translate(None, bytes(set(range(256)) - set(b"#*$%&|<>!"))))
-    again = sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words))
-    repeated = 1 - sum(map(len, set(lines))) / max(1, sum(map(len, lines)))
-    extras = np.array([again, repeated, upper / max(1, len(text)), mark / max(1, len(words))])
-    return np.concatenate([np.log1p(counts), _WEIGHT * np.minimum(1, extras)]).astype(np.float32)
+    raw, shape = np.frombuffer(text, np.uint8), np.frombuffer(text.translate(_SHAPE), np.uint8)
+    keep = np.ones(len(shape), bool)
+    keep[1:] = (shape[1:] != shape[:-1]) | ((shape[1:] != 97) & (shape[1:] != 65) & (shape[1:] != 48))
+    ago, last = [0] * VIEWS[2], {}
+    for at, word in enumerate(text.split()):
+        ago[(at - last[word]).bit_length() if word in last else 0] += 1
+        last[word] = at
+    return np.concatenate([_ngrams(raw, 3, VIEWS[0]), _ngrams(shape[keep], 4, VIEWS[1]), ago]).astype(np.float32)
+
+
+def _weighted(x, idf):
+    """TF-IDF rows: each view of unit length, so that none drowns the others, then the whole."""
+    import numpy as np
+
+    edges = np.cumsum([0, *VIEWS])
+    return _normal(np.hstack([_normal(x[:, a:b] * idf[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
 
 
 def _vectors(batches: Iterator) -> Iterator:
@@ -82,8 +104,7 @@ def fit(sample: list) -> dict:
     x = np.frombuffer(b"".join(s["vector"] for s in sample), np.float32).reshape(len(sample), -1)
     labels = np.array([s["label"] for s in sample], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    idf[BUCKETS:] = 1
-    x = _normal(x * idf)
+    x = _weighted(x, idf)
     # Randomised SVD with two power steps, of a matrix whose size the bounds above fix.
     start = np.random.default_rng(3).standard_normal((x.shape[1], DIMS + 8)).astype(np.float32)
     basis = np.linalg.qr(x @ start)[0]
@@ -101,7 +122,7 @@ def vote(model: dict, x):
     n = len(model["labels"])
     if not n:
         return np.full(len(x), model["prior"])
-    cos = _normal(_normal(x * model["idf"]) @ model["project"]) @ model["vectors"].T
+    cos = _normal(_weighted(x, model["idf"]) @ model["project"]) @ model["vectors"].T
     k = min(NEIGHBOURS, n)
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(x), 1))
     weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** SHARPNESS
