@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -222,50 +223,78 @@ def test_mixing_meets_margins_both_ways(spark, corpus):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [None, ""])).where("sampled").count() == 2
 
 
-def brute_removals(texts):
-    first, gone = {}, collections.Counter()
-    for k, t in enumerate(texts):
-        raw = (t or "").encode()
-        for a, b, _, multi in line_dedup.chunk_spans(raw):
-            piece = raw[a:b].rstrip(b"\n")
-            if multi and first.setdefault(piece, k) != k:
-                gone[k] += 1
-            elif multi and (k, a) != first.setdefault((piece, "at"), (k, a)):
-                gone[k] += 1
-    return gone
-
-
-def test_line_dedup_matches_brute_force(spark):
+def brute_cleaned(rows):
+    """Texts of (id, text) rows without each line pair, or line of 50 words, that stands at an
+    earlier (id, hash, place): a plain scan of all lines, without chunks. ``rows`` are distinct."""
+    seen, gone = set(), collections.defaultdict(set)
+    for k, text in rows:
+        lines = [(m.start(), m.end()) for m in re.finditer(rb"[^\n]+", text) if m.group().strip()]
+        pieces = [(a, d, (i, i + 1)) for i, ((a, _), (_, d)) in enumerate(zip(lines, lines[1:], strict=False))]
+        pieces += [(a, b, (i,)) for i, (a, b) in enumerate(lines) if len(text[a:b].split()) >= 50]
+        for a, b, _ in sorted(pieces):
+            if text[a:b] in seen:
+                gone[k, text].add((a, min(b + 1, len(text))))
+            seen.add(text[a:b])
+    out = {}
+    for k, text in rows:
+        drop = {at for a, b in gone[k, text] for at in range(a, b)}
+        out[k, text] = bytes(c for at, c in enumerate(text) if at not in drop)
+    return out
+
+
+def line_corpus():
     rng = random.Random(6)
     line = lambda: words(rng, rng.randint(3, 12))
     passage = [line() for _ in range(12)]
+    short = [line(), line()]
     long_line = words(rng, 60)
-    texts = ["\n".join([*[line() for _ in range(rng.randint(0, 9))], *passage, *[line() for _ in range(rng.randint(0, 9))]]) for _ in range(6)]
+    some = lambda: [line() for _ in range(rng.randint(0, 9))]
+    texts = ["\n".join([*some(), *passage, *some()]) for _ in range(6)]
     texts += [f"{line()}\n{long_line}\n{line()}", f"{long_line}", "é\n\n\n" + texts[0], texts[1], None, "", "\n", "\n".join(["same line"] * 400)]
+    texts += ["\n".join([*some(), *passage[k : k + 3], *some(), *short, *some()]) for k in range(8)]
+    texts += ["\n".join(line() for _ in range(6000)) + "\n" + "\n".join(passage)]
+    return passage, short, texts
+
+
+def test_line_dedup_matches_brute_force(spark):
+    passage, short, texts = line_corpus()
     docs = frame(spark, texts)
+    want = brute_cleaned([(k, (t or "").encode()) for k, t in enumerate(texts)])
     found = {r.doc_id: r for r in line_dedup.removals(docs).collect()}
-    want = brute_removals(texts)
-    assert {k: r.n_removed for k, r in found.items() if r.n_removed} == dict(want)
     cleaned = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         for s in reversed(found[k].spans):
             raw = raw[: s["at"]] + raw[s["at"] + s["size"] :]
-        assert (cleaned[k] or "").encode() == raw
-    assert found[7].n_removed == 1 and cleaned[7] == "" and found[9].n_removed > 0
-    assert sum(p in cleaned[0] for p in passage) == 12 and sum(p in cleaned[3] for p in passage) < 6
-    assert line_dedup.removals(frame(spark, [])).count() == 0
-    assert line_dedup.removals(frame(spark, ["a\nb\nc"] * 3, [1, 1, None])).where("n_removed > 0").count() == 0
+        assert (cleaned[k] or "").encode() == raw == want[k, (t or "").encode()]
+        assert found[k].removed_bytes == len((t or "").encode()) - len(raw) and found[k].n_removed == len(found[k].spans) == len(found[k].firsts)
+    assert found[7].n_removed == 1 and cleaned[7] == "" and cleaned[9] == "" and cleaned[10] is None
+    lines = {k: (t or "").split("\n") for k, t in cleaned.items()}
+    assert sum(p in lines[0] for p in passage) == 12 and not any(p in lines[k] for p in passage for k in (3, 5, 16)) and passage[-2:] != lines[22][-2:]
+    assert [sum(p in lines[k] for p in short) for k in range(14, 22)] == [2, *[0] * 7]
+    assert line_dedup.removals(frame(spark, [])).count() == 0 and line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
 
+def test_line_dedup_texts_that_share_an_id(spark):
+    """Spans found in one text are never cut from another under the same id; repeated rows are one."""
+    a, b = "\n".join(f"line {k} of the first" for k in range(8)), "totally different text of one line that must not be touched at all"
+    docs = frame(spark, [a, a, b, a, "a\nb\nc", "a\nb\nc", "a\nb\nc"], [1, 2, 2, 2, 5, 5, None])
+    out = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert out == sorted([(1, a), (2, ""), (2, b), (2, ""), (5, "a\nb\nc"), (5, "a\nb\nc"), (-1, "a\nb\nc")])
 
-def test_chunks_cover_the_text_and_resist_shifts():
+
+def test_chunks_cover_the_lines_and_resist_shifts():
     rng = random.Random(2)
     lines = [words(rng, rng.randint(0, 70)) for _ in range(300)]
     for text in ("\n".join(lines), "", "\n", "a", "a\n", "\n\na"):
-        spans = line_dedup.chunk_spans(text.encode())
-        assert [a for a, *_ in spans] == [0, *[b for _, b, *_ in spans]][: len(spans)] and (not spans or spans[-1][1] == len(text.encode()))
-    cut = lambda t: {t.encode()[a:b] for a, b, *_ in line_dedup.chunk_spans(t.encode())}
-    assert len(cut("\n".join(lines)) - cut("\n".join(["new", *lines]))) <= 2
+        chunks, n = line_dedup.chunks_of(text.encode()), len(line_dedup.lines_of(text.encode()))
+        assert [a for a, _ in chunks] == [0, *[b for _, b in chunks]][: len(chunks)] and (chunks[-1][1] if chunks else 0) == n
+
+    def cut(text):
+        at = line_dedup.lines_of(text.encode())
+        return {text.encode()[at[a][0] : at[b - 1][1]] for a, b in line_dedup.chunks_of(text.encode())}
+
+    assert len(cut("\n".join(lines)) - cut("\n".join(["new", *lines]))) <= 2 < len(cut("\n".join(lines)))
 
 
 def quality_corpus():
