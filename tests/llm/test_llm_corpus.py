@@ -214,10 +214,9 @@ def test_mixing_meets_margins_both_ways(spark, corpus):
     drawn = sum(min(1.0, r.probability) * r.tokens for r in out)
     assert drawn == pytest.approx(mixing.BUDGET * sum(cells.values()), rel=1e-6)
     frame_ = spark.createDataFrame(listed, "source string, lang string, topic string, tokens long")
-    near = {(r.source, r.lang, r.topic): r for r in mixing.calibrate(frame_, max_cells=1, sweeps=12)[0].collect()}
-    far = {(r.source, r.lang, r.topic): r for r in mixing.calibrate(frame_)[0].collect()}
-    for k, r in far.items():
-        assert near[k].weight == pytest.approx(r.weight, rel=0.02, abs=1e-9) and near[k].probability == pytest.approx(r.probability, rel=0.02, abs=1e-9)
+    targets = {"lang": {"en": 0.7, "de": 0.3}, "source": {"s0": 1.0, "s1": 1.0, "s2": 0.5, "s3": 2.0}}
+    near, far = ({(r.source, r.lang, r.topic): r.weight for r in mixing.calibrate(frame_, targets, max_cells=n)[0].collect()} for n in (1, 99))
+    assert near == pytest.approx(far, rel=1e-6, abs=1e-9) and any(w == 0 for w in far.values())
     again = mixing.mix(docs.repartition(3)).collect()
     assert {r.doc_id for r in again if r.sampled} == {r.doc_id for r in out if r.sampled}
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [None, ""])).where("sampled").count() == 2

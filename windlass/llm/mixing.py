@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import WORD, cut, keeping
+from windlass.llm.common import WORD, keeping, landed
 
 DIMS = ("source", "lang", "topic")
 #: Share of all tokens to draw, and the power that flattens observed shares into targets.
 BUDGET, TEMPERATURE = 0.5, 0.5
-SWEEPS, TOLERANCE = 60, 1e-10
+SWEEPS, TOLERANCE = 60, 1e-8
 #: Cells (source, lang, topic) up to this many are fitted on the driver, more as DataFrames.
 MAX_CELLS = 100_000
 SEED = "mix"
@@ -73,51 +74,67 @@ def _fit_local(cells: list, targets: Targets, temperature: float, budget: float)
     return [(c["source"], c["lang"], c["topic"], float(w), float(min(1.0, high * w))) for c, w in zip(cells, weight, strict=True)]
 
 
-def _fit_spread(cells: DataFrame, targets: Targets, temperature: float, budget: float, sweeps: int) -> DataFrame:
-    """The same for more cells than the driver should hold: each step a sum by key, joined back."""
-    on = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
-    total = cells.agg(F.sum("tokens")).first()[0]
-    fitted = cells.withColumn("weight", F.lit(1.0))
+def _fit_spread(cells: DataFrame, targets: Targets, temperature: float, budget: float) -> DataFrame:
+    """The same for more cells than the driver should hold. A cell's weight is the product of one
+    factor for each dimension's value, so only these factors change from sweep to sweep: a step
+    is a sum by value over the cells with the other two factors. Each step is a table of its own."""
+    spark, total = cells.sparkSession, cells.agg(F.sum("tokens")).first()[0]
+    cells = landed(cells.groupBy(*[_named(d) for d in DIMS]).agg(F.sum("tokens").alias("tokens")))
+    factors, wants = {}, {}
     for d in DIMS:
-        had = cells.where("tokens > 0").groupBy(d).agg(F.sum("tokens").alias("had"))
+        had = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("had"))
         if d in targets:
-            given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, raw double")
-            had = had.join(given, on(had, given, [d]), "left").select(had[d], F.coalesce("raw", F.lit(0.0)).alias("raw"))
+            given = spark.createDataFrame([(v, float(x)) for v, x in targets[d].items()], f"{d} string, raw double").select(_named(d), "raw")
+            raw = had.join(given, f"_{d}", "left").select(f"_{d}", F.when(F.col("had") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0).alias("raw"))
         else:
-            had = had.select(d, F.pow("had", F.lit(temperature)).alias("raw"))
-        scale = total / had.agg(F.sum("raw")).first()[0]
-        want = had.select(F.col(d).alias("_k"), (F.col("raw") * scale).alias(f"_want_{d}"))
-        fitted = fitted.join(want, fitted[d].eqNullSafe(want["_k"]), "left").drop("_k").fillna(0.0, [f"_want_{d}"])
-    for _ in range(sweeps):
+            raw = had.select(f"_{d}", F.when(F.col("had") > 0, F.pow("had", F.lit(temperature))).otherwise(0.0).alias("raw"))
+        mass = raw.agg(F.sum("raw")).first()[0]
+        if not mass:
+            raise ValueError("no value with tokens has a positive target")
+        wants[d] = landed(raw.select(f"_{d}", (F.col("raw") * (total / mass)).alias("want")))
+        factors[d] = landed(wants[d].select(f"_{d}", F.lit(1.0).alias(f"f_{d}")))
+    weighted = lambda: functools.reduce(lambda x, d: x.join(factors[d], f"_{d}"), DIMS, cells)
+    weight = functools.reduce(lambda x, d: x * F.col(f"f_{d}"), DIMS, F.lit(1.0))
+    for _ in range(SWEEPS):
+        moved, olds = 1.0, dict(factors)
         for d in DIMS:
-            have = fitted.groupBy(F.col(d).alias("_k")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_have"))
-            fitted = (
-                fitted.join(have, fitted[d].eqNullSafe(have["_k"]))
-                .withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_want_{d}") / F.col("_have")).otherwise(0.0))
-                .drop("_k", "_have")
-            )
-        fitted = cut(fitted)
+            have = weighted().groupBy(f"_{d}").agg(F.sum(weight * F.col("tokens")).alias("have"))
+            scaled = F.when(F.col("have") > 0, F.col(f"f_{d}") * F.col("want") / F.col("have")).otherwise(0.0)
+            factors[d] = landed(factors[d].join(wants[d], f"_{d}").join(have, f"_{d}").select(f"_{d}", scaled.alias(f"f_{d}")))
+        # The largest relative change of a cell's weight, by which the local fit stops too.
+        was = functools.reduce(lambda x, d: x.join(olds[d].withColumnRenamed(f"f_{d}", f"o_{d}"), f"_{d}"), DIMS, weighted())
+        old = functools.reduce(lambda x, d: x * F.col(f"o_{d}"), DIMS, F.lit(1.0))
+        moved = was.agg(F.max(F.abs(weight - old) / F.greatest(old, F.lit(1e-300)))).first()[0]
+        if moved < TOLERANCE:
+            break
+    fitted = landed(weighted().select(*[f"_{d}" for d in DIMS], "tokens", weight.alias("weight")))
     low, high = 0.0, 1.0 / fitted.where("weight > 0").agg(F.min("weight")).first()[0]
     for _ in range(60):
         mid = (low + high) / 2
         drawn = fitted.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * mid) * F.col("tokens"))).first()[0]
         low, high = (mid, high) if drawn < budget * total else (low, mid)
-    return fitted.select(*DIMS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+    return fitted.select(*[F.when(~F.col(f"_{d}.missing"), F.col(f"_{d}.value")).alias(d) for d in DIMS], "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+
+
+def _named(d: str) -> Column:
+    """A value as a key without nulls, so that plain joins meet nulls too."""
+    return F.struct(F.coalesce(F.col(d), F.lit("")).alias("value"), F.col(d).isNull().alias("missing")).alias(f"_{d}")
 
 
 def calibrate(
-    cells: DataFrame, targets: Targets | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, max_cells: int = MAX_CELLS, sweeps: int = SWEEPS
+    cells: DataFrame, targets: Targets | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, max_cells: int = MAX_CELLS
 ) -> tuple[DataFrame, bool]:
     """(source, lang, topic, weight, probability) per cell of (source, lang, topic, tokens), and
     whether the driver fitted it, which bounds its size by ``max_cells``.
 
     Weights are raked until the weighted tokens meet every margin's target. Probabilities are
     the weights times one factor, one at most, which draws ``budget`` of all tokens; where a
-    cell is short of tokens (probability one) its margin's target can't be met in full.
+    cell is short of tokens (probability one) its margin's target can't be met in full. More
+    cells than the driver should hold are fitted as DataFrames, by the same steps and stopping rule.
     """
     if any(set(v) == {None} for v in (targets or {}).values()):
         raise ValueError("a target needs a value that is not null")
-    cells = cut(cells)
+    cells = landed(cells)
     schema = "source string, lang string, topic string, weight double, probability double"
     found = cells.limit(max_cells + 1).collect()
     if not found or not sum(c["tokens"] for c in found):
@@ -125,7 +142,7 @@ def calibrate(
             return cells.select(*DIMS, F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability")), False
     if len(found) <= max_cells:
         return cells.sparkSession.createDataFrame(_fit_local(found, targets or {}, temperature, budget), schema), True
-    return cut(_fit_spread(cells, targets or {}, temperature, budget, sweeps)), False
+    return landed(_fit_spread(cells, targets or {}, temperature, budget)), False
 
 
 def mix(docs: DataFrame, targets: Targets | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: str = SEED, max_cells: int = MAX_CELLS) -> DataFrame:
