@@ -87,7 +87,7 @@ def test_decontamination_gate_loses_few_accepted_paraphrases(spark):
     docs = [text(k % 20, rng.randint(60, 300)) for k in range(600)]
     items = [[w.encode() for w in text(k % 20, rng.randint(15, 60))] for k in range(60)]
     rows = spark.createDataFrame([(k, k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, th long, text string")
-    vectors = decontaminate.fit_space(rows.mapInArrow(decontaminate._token_table, "doc_id long, th long, ids binary"))
+    vectors, idf = decontaminate.fit_space(rows.mapInArrow(decontaminate._token_table, "doc_id long, th long, ids binary"))
     planted = []
     for kind in ("replace", "drop", "insert"):
         for keep in (0.9, 0.76, 0.7, 0.6, 0.52):
@@ -107,11 +107,11 @@ def test_decontamination_gate_loses_few_accepted_paraphrases(spark):
     for batch in find(iter([pa.RecordBatch.from_arrays(held, names=["doc_id", "th", "ids"])])):
         for r in batch.to_pylist():
             _, _, k, words = planted[r["doc_id"]]
-            if r["item"] == k and decontaminate.covered(items[k], words[r["lo"] : r["hi"]])[0]:
+            if r["item"] == k and decontaminate.covered(items[k], words[r["lo"] : r["hi"]], idf)[0]:
                 passed.add(r["doc_id"])
     found = collections.defaultdict(list)
     for j, (kind, keep, k, words) in enumerate(planted):
-        if decontaminate.covered(items[k], words)[0]:
+        if decontaminate.covered(items[k], words, idf)[0]:
             found[kind, keep].append(j in passed)
     assert len(found) == 15 and min(map(len, found.values())) >= 20
     assert min(sum(x) / len(x) for x in found.values()) >= 0.9, {k: sum(x) / len(x) for k, x in found.items()}

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import cut
+from windlass.llm.common import cut, landed
 
 #: Hashed terms (two bytes each in the token table), latent dimensions, and those sketched.
 TERMS, DIMS, SKETCH = 1 << 14, 48, 56
 #: Words of a TF-IDF passage; words of a text that a worker searches at once.
 PASSAGE, BLOCK = 128, 1 << 14
 #: Words of some texts whose passages are counted together; few enough to stay in a cache.
-SKETCH_WORDS = 1 << 14
+SKETCH_WORDS, SKETCH_ROWS = 1 << 14, 32
 #: Least cosine of a window to an item for a candidate.
-MIN_COSINE = 0.3
+MIN_COSINE = 0.15
 #: A document leaks an item if their common subsequence covers this share of the item's words,
 #: or the lower share with the item's answer (its last words) standing whole in the same place.
 COVER, COVER_WITH_ANSWER, ANSWER = 0.75, 0.5, 4
-#: The benchmark is the stated query set and is held by every worker; more items are refused.
-MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
+#: The benchmark is the stated query set; every worker holds a slice of it, of so many items and
+#: characters at most (or one item), and larger ones are searched slice by slice.
+SLICE_ITEMS, SLICE_CHARS = 20_000, 20_000_000
+#: Least words of a tile; regions and items that are compared at once.
+TILE, PAIRS = 32, 2048
 #: Window lengths grow by this factor from the least one, by STEP words at least; windows begin
 #: and end at multiples of STEP words, which a power of two makes.
 GROWTH, LEAST, STEP = 1.15, 8, 4
@@ -116,17 +119,22 @@ def _sketcher(idf, omega):
         import numpy as np
         import pyarrow as pa
 
-        out = np.zeros((TERMS, SKETCH))
+        out, place = np.zeros((TERMS, SKETCH)), np.zeros(TERMS, np.int64)
         for passage, term, count in _passages(batches):
             value = count * idf[term]
             starts = np.flatnonzero(np.diff(passage, prepend=-1))
             row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(passage))))
             value /= np.sqrt(np.add.reduceat(value * value, starts))[row] + 1e-12
-            shown = np.add.reduceat(omega[term] * value[:, None], starts, axis=0)
-            order = np.argsort(term.astype(np.uint16), kind="stable")  # a radix sort
-            sorted_terms = term[order]
-            first = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
-            out[sorted_terms[first]] += np.add.reduceat(shown[row[order]] * value[order, None], first, axis=0)
+            for lo in range(0, len(starts), SKETCH_ROWS):
+                # The passages' own terms as a dense matrix, which is small: two products.
+                part = slice(starts[lo], starts[lo + SKETCH_ROWS] if lo + SKETCH_ROWS < len(starts) else len(passage))
+                there = np.zeros(TERMS, bool)
+                there[term[part]] = True
+                own = np.flatnonzero(there)
+                place[own] = np.arange(len(own))
+                dense = np.zeros((row[part][-1] - lo + 1, len(own)), np.float32)
+                dense[row[part] - lo, place[term[part]]] = value[part]
+                out[own] += dense.T @ (dense @ omega[own])
         at = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at.astype(np.int32)), *[pa.array(out[at, j]) for j in range(SKETCH)]], names=["term", *[f"y{j}" for j in range(SKETCH)]]
@@ -136,7 +144,7 @@ def _sketcher(idf, omega):
 
 
 def fit_space(table: DataFrame):
-    """Vectors of the terms, (TERMS, DIMS): idf-weighted right singular vectors of the TF-IDF
+    """Vectors of the terms, (TERMS, DIMS), and their idf: idf-weighted right singular vectors of the TF-IDF
     passage matrix, each dimension scaled to unit variance, less the corpus mean.
 
     A randomised SVD over all passages in one distributed pass: A'(A omega) is summed by term
@@ -150,7 +158,7 @@ def fit_space(table: DataFrame):
     for term, a, b in counts.collect():
         df[term], total[term] = a, b
     if not df[TERMS]:
-        return np.zeros((TERMS, DIMS), np.float32)
+        return np.zeros((TERMS, DIMS), np.float32), np.zeros(TERMS, np.float32)
     idf = np.log((1 + df[TERMS]) / (1 + df[:TERMS])).astype(np.float32)
     omega = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, SKETCH)))[0].astype(np.float32)
     names = [f"y{j}" for j in range(SKETCH)]
@@ -173,77 +181,92 @@ def fit_space(table: DataFrame):
     use = np.flatnonzero(strength > 1e-6 * strength.max())[:DIMS]
     vectors = np.zeros((TERMS, DIMS))
     vectors[:, : len(use)] = idf[:, None] * u[:, use] / strength[use]
-    return (vectors - (total[:TERMS] / total[:TERMS].sum()) @ vectors).astype(np.float32)
+    return (vectors - (total[:TERMS] / total[:TERMS].sum()) @ vectors).astype(np.float32), idf
+
+
+def _width(n: int) -> int:
+    """Words of a stretch that is held against an item of ``n`` words."""
+    return n + max(2, n // 3)
 
 
 def _finder(vectors, items: list[list[bytes]], min_cosine: float):
-    """Candidates (item, lo, hi) of each text whose windows come near an item, in words."""
+    """Candidates (item, lo, hi) of each text, in words.
+
+    A text is cut into regions of two tiles, one tile apart, the tiles wide enough that every
+    stretch of an item's width lies in a region whole. The latent windows of a region are
+    compared with the items that a leak there is possible for at all: those of whose words the
+    region holds enough.
+    """
     import numpy as np
 
     ids = [term_ids(x) for x in items]
-    groups: dict[int, list[int]] = {}
-    for k, words in enumerate(items):
-        if words:
-            for w in {window_length(f * len(words) + STEP / 2) for f in LENGTHS}:
-                groups.setdefault(w, []).append(k)
-    queries = {}
-    for w, members in groups.items():
-        q = np.array([vectors[ids[k]].sum(axis=0) for k in members])
-        queries[w] = np.array(members), (q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)).T.astype(np.float32)
-    as_lists, sizes = [x.tolist() for x in ids], np.array([len(x) for x in ids])
-    kept = np.flatnonzero(sizes)
-    terms, first_term = np.concatenate([*ids, np.zeros(0, np.uint16)]), (np.cumsum(sizes) - sizes)[kept]
-
-    def possible(text):
-        """Which items have enough of their words anywhere in the text."""
-        there, met = np.zeros(TERMS, bool), np.zeros(len(ids), bool)
-        there[text] = True
-        met[kept] = np.add.reduceat(there[terms].astype(np.int64), first_term) >= COVER_WITH_ANSWER * sizes[kept]
-        return met
-
-    most = max(queries, default=1)
+    kept = np.array([k for k, x in enumerate(items) if x], np.int64)
+    sizes = np.array([len(x) for x in items], np.int64)
+    least = np.ceil(COVER_WITH_ANSWER * sizes)
+    terms = np.concatenate([ids[k] for k in kept]).astype(np.int64) if len(kept) else np.zeros(0, np.int64)
+    begins = np.cumsum(sizes[kept]) - sizes[kept]
+    tile = np.array([max(TILE, 1 << (_width(int(n)) - 1).bit_length()) for n in sizes], np.int64)
+    unit = np.zeros((len(items), vectors.shape[1]), np.float32)
+    for k in kept:
+        q = vectors[ids[k]].sum(axis=0)
+        unit[k] = q / (np.linalg.norm(q) + 1e-12)
+    windows = [sorted({window_length(f * n + STEP / 2) for f in LENGTHS}) for n in sizes.tolist()]
+    as_lists = [x.tolist() for x in ids]
     padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
 
-    def near(texts: list) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(text, item, windows near the item). Texts stand in a row with ``most`` blank words
-        between them, so that no window meets two and short texts fit in one."""
-        lengths = np.array([len(t) for t in texts])
-        starts = most + np.concatenate([[0], np.cumsum(lengths + most)])
-        row = np.full(-(-starts[-1] // STEP) * STEP, TERMS, np.int64)
-        for t, a in zip(texts, starts, strict=False):
-            row[a : a + len(t)] = t
-        found: list = []
-        step = max(BLOCK, 4 * most)
-        for base in range(0, len(row), step):
-            part = row[base : base + step + most]
-            steps = padded[part].reshape(-1, STEP, padded.shape[1]).sum(axis=1)
-            sums = np.zeros((len(steps) + 1, steps.shape[1]), np.float32)
-            np.cumsum(steps, axis=0, out=sums[1:])
-            for w, (members, q) in queries.items():
-                blocks, stride = w // STEP, max(STEP, w // PER_WINDOW // STEP * STEP)
-                if len(steps) < blocks:
-                    continue
-                window = sums[blocks :: stride // STEP] - sums[: len(sums) - blocks : stride // STEP]
-                least = np.sqrt(np.einsum("ij,ij->i", window, window)) * np.float32(min_cosine) + np.float32(1e-9)
-                r, c = np.nonzero(window @ q >= least[:, None])
-                a = base + r * stride
-                k = np.searchsorted(starts, a + w - 1, side="right") - 1
-                lo, hi = np.maximum(0, a - starts[k]), np.minimum(np.append(lengths, 0)[k], a + w - starts[k])
-                good = hi > lo
-                found.append(np.array([k, members[c], lo, hi])[:, good])
-        if not found:
+    def regions(text):
+        """(item, first tile) of the regions where enough of an item's words stand, whatever their order."""
+        if not len(kept):
+            return np.zeros((0, 2), np.int64)
+        there = np.zeros(TERMS, np.uint8)
+        there[text] = 1
+        may = kept[np.add.reduceat(there[terms], begins, dtype=np.int64) >= least[kept]]
+        found = [np.zeros((0, 2), np.int64)]
+        for width in np.unique(tile[may]):
+            mine = may[tile[may] == width]
+            slots = np.concatenate([ids[k] for k in mine])
+            wanted = np.zeros(TERMS, bool)
+            wanted[slots] = True
+            hit = np.flatnonzero(wanted[text])
+            number = np.cumsum(wanted) - 1
+            tiles = np.zeros((-(-len(text) // width) + 1, number[-1] + 1), np.uint8)
+            tiles[hit // width, number[text[hit]]] = 1
+            held = (tiles[:-1] | tiles[1:])[:, number[slots]]
+            enough = np.add.reduceat(held, np.cumsum(sizes[mine]) - sizes[mine], axis=1, dtype=np.int64) >= least[mine]
+            r, c = np.nonzero(enough)
+            found.append(np.stack([mine[c], r * width], axis=1))
+        return np.concatenate(found)
+
+    def near(texts: list) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, lo, hi) of the regions one of whose windows comes near the item."""
+        each = [regions(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in each])
+        if not len(owner):
             return
-        k, item, lo, hi = np.concatenate(found, axis=1)
-        may = np.zeros(len(k), bool)
-        order = np.argsort(k, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
-            if len(part):
-                may[part] = possible(texts[k[part[0]]])[item[part]]
-        k, item, lo, hi = (x[may] for x in (k, item, lo, hi))
-        order = np.lexsort((lo, item, k))
-        for part in np.split(order, np.flatnonzero(np.diff(k[order]) | np.diff(item[order])) + 1):
-            if len(part):
-                yield int(k[part[0]]), int(item[part[0]]), list(zip(lo[part].tolist(), hi[part].tolist(), strict=True))
+        item, lo = np.concatenate(each).T
+        lengths = np.array([len(t) for t in texts])
+        blocks = -(-lengths // STEP)
+        ends = np.cumsum(blocks)
+        row = np.full(ends[-1] * STEP, TERMS, np.int64)
+        for t, e, n in zip(texts, ends, blocks, strict=True):
+            row[(e - n) * STEP : (e - n) * STEP + len(t)] = t
+        sums = np.zeros((ends[-1] + 1, padded.shape[1]))
+        np.cumsum(padded[row].reshape(-1, STEP, padded.shape[1]).sum(axis=1), axis=0, out=sums[1:])
+        close = np.zeros(len(owner), bool)
+        for w in sorted({w for k in np.unique(item).tolist() for w in windows[k]}):
+            with_w = np.flatnonzero(np.fromiter((w in windows[k] for k in item.tolist()), bool, len(item)))
+            stride = max(STEP, w // PER_WINDOW // STEP * STEP)
+            for at in range(0, len(with_w), PAIRS):
+                part = with_w[at : at + PAIRS]
+                # A window ends with its text; one that would begin in the next region is left to that.
+                steps = np.arange(0, max(1, 2 * int(tile[item[part]].max()) - w + stride), stride) // STEP
+                end = ends[owner[part]]
+                a = np.minimum((end - blocks[owner[part]] + lo[part] // STEP)[:, None] + steps, end[:, None])
+                window = sums[np.minimum(a + w // STEP, end[:, None])] - sums[a]
+                dots = np.einsum("pjd,pd->pj", window, unit[item[part]])
+                close[part] |= (dots >= np.sqrt(np.einsum("pjd,pjd->pj", window, window)) * min_cosine + 1e-9).any(axis=1)
+        for k, m, a in zip(owner[close].tolist(), item[close].tolist(), lo[close].tolist(), strict=True):
+            yield k, m, a, min(int(lengths[k]), a + 2 * int(tile[m]))
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -256,21 +279,11 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
                 size += len(group[-1])
                 if size < BLOCK and at < len(values) - 1:
                     continue
-                for k, item, spans in near(group):
-                    text, n, lo, hi = group[k], len(items[item]), -1, -1
-                    for a, b in [*spans, (1 << 60, 1 << 60)]:
-                        if a <= hi:
-                            hi = max(hi, b)
-                            continue
-                        if hi >= 0:
-                            lo, hi = max(0, lo - n), min(len(text), hi + n)
-                            # Equal words have equal ids, so both bounds can only be too high.
-                            there = np.zeros(TERMS, bool)
-                            there[text[lo:hi]] = True
-                            if there[ids[item]].sum() >= COVER_WITH_ANSWER * n and lcs_length(as_lists[item], text[lo:hi].tolist()) >= COVER_WITH_ANSWER * n:
-                                for column, x in zip(out, (batch.column(0)[first + k].as_py(), batch.column(1)[first + k].as_py(), item, lo, hi), strict=True):
-                                    column.append(x)
-                        lo, hi = a, b
+                for k, item, lo, hi in near(group):
+                    # Equal words have equal ids, so this bound can only be too high.
+                    if lcs_length(as_lists[item], group[k][lo:hi].tolist()) >= least[item]:
+                        for column, x in zip(out, (batch.column(0)[first + k].as_py(), batch.column(1)[first + k].as_py(), item, lo, hi), strict=True):
+                            column.append(x)
                 group, size, first = [], 0, at + 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "th", "item", "lo", "hi"])
@@ -278,24 +291,30 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
     return find
 
 
-def covered(item: list[bytes], span: list[bytes]) -> tuple[bool, float, bool]:
+def covered(item: list[bytes], span: list[bytes], idf=None) -> tuple[bool, float, bool]:
     """Whether a stretch of ``span`` of about the item's length leaks ``item``, and, of the best
     such stretch or else of the best at all, the share of ``item`` in their longest common
     subsequence and whether the answer stands whole there. The share is no higher than that of
-    the item's distinct words found there, so that a few very common words in a row make no leak."""
-    n, distinct = len(item), set(item)
-    width, best = n + max(2, n // 3), (False, 0.0, False)
+    the item's distinct words found there, weighted by ``idf`` (by hashed term; equal weights
+    without it), so that words which are everywhere make no leak."""
+    n, distinct = len(item), list(dict.fromkeys(item))
+    weight = dict(zip(distinct, [1.0] * len(distinct) if idf is None else idf[term_ids(distinct)].tolist(), strict=True))
+    if (mass := sum(weight.values())) <= 0:
+        weight, mass = dict.fromkeys(distinct, 1.0), len(distinct)
+    width, best = _width(n), (False, 0.0, False)
     tail = item[-ANSWER:]
-    step = max(1, n // 16)  # the highest stretch must not depend on where the span begins
-    for at in range(0, max(1, len(span) - width + step), step):
+    for at in range(max(1, len(span) - width + 1)):  # every stretch: which is best must not depend on the span
         part = span[at : at + width]
-        share = min(lcs_length(item, part) / n, len(distinct.intersection(part)) / len(distinct))
-        whole = any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
-        best = max(best, (share >= COVER or (share >= COVER_WITH_ANSWER and whole), share, whole))
+        there = sum(weight[w] for w in set(part).intersection(weight)) / mass
+        if there < best[1] and (best[0] or there < COVER_WITH_ANSWER):
+            continue  # it can't be accepted, or not as well
+        share = min(lcs_length(item, part) / n, there)
+        whole = share >= COVER_WITH_ANSWER and any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
+        best = max(best, (share >= COVER or whole, share, whole))
     return best
 
 
-def _checker(items: list[list[bytes]], names: list):
+def _checker(items: list[list[bytes]], names: list, idf=None):
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -305,7 +324,7 @@ def _checker(items: list[list[bytes]], names: list):
             for doc_id, value, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), spots, strict=True):
                 words = tokens(value.as_py())
                 for s in spans:
-                    leaks, share, answer = covered(items[s["item"]], words[s["lo"] : s["hi"]])
+                    leaks, share, answer = covered(items[s["item"]], words[s["lo"] : s["hi"]], idf)
                     if leaks:
                         for column, x in zip(out, (doc_id, names[s["item"]], share, answer), strict=True):
                             column.append(x)
@@ -319,31 +338,48 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
     """(doc_id, item_id, coverage, answer): one row for each document and item that it leaks.
 
     Whole texts are turned into hashed term ids once; the latent space is fitted to all of their
-    passages; every window of about an item's length and of 1.3 times it, a quarter apart, is
-    compared with the items of that length; what comes near is checked by longest common subsequence, on the
-    ids first and then on the words themselves, and for the item's answer. Null and empty texts
+    passages; windows of about an item's length and of 1.3 times it, a quarter apart, are compared
+    with the items, wherever enough of an item's words stand together for a leak to be possible;
+    what comes near is checked by longest common subsequence, on the ids first and then on the
+    words themselves, and for the item's answer. Null and empty texts
     and items match nothing; repeated rows give one row; null ids return as null; extra columns
-    are not read. The benchmark must hold at most ``MAX_ITEMS`` items.
+    are not read. A benchmark of any size is searched in slices that fit a worker.
     """
-    listed = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(listed) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items; search them in parts")
-    listed = sorted({(x[0] is None, x[0] or 0, x[1]): x for x in listed}.items())
-    names, items = [x[1][0] for x in listed], [tokens(x[1][1].encode()) for x in listed]
-    if sum(map(len, items)) > MAX_ITEM_WORDS:
-        raise ValueError("the benchmark's texts are too long to be held by every worker")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
     table = cut(texts.mapInArrow(_token_table, "doc_id long, th long, ids binary"))
-    vectors = fit_space(table)
-    near = cut(table.mapInArrow(_finder(vectors, items, min_cosine), "doc_id long, th long, item int, lo int, hi int"))
-    spots = near.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("spots"))
-    spots = spots.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    met = texts.join(spots, (texts["th"] == spots["_th"]) & texts["doc_id"].eqNullSafe(spots["_id"])).select("doc_id", "text", "spots")
-    checked = met.mapInArrow(_checker(items, names), "doc_id long, item_id long, coverage double, answer boolean")
+    vectors, idf = fit_space(table)
+    leaks: list[DataFrame] = []
+    for names, items in _slices(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast((vectors, items, names, idf))
+        find = lambda batches, shared=shared: _finder(*shared.value[:2], min_cosine)(batches)
+        near = landed(table.mapInArrow(find, "doc_id long, th long, item int, lo int, hi int"))
+        spots = near.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("spots"))
+        spots = spots.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+        met = texts.join(spots, (texts["th"] == spots["_th"]) & texts["doc_id"].eqNullSafe(spots["_id"])).select("doc_id", "text", "spots")
+        check = lambda batches, shared=shared: _checker(*shared.value[1:])(batches)
+        leaks.append(met.mapInArrow(check, "doc_id long, item_id long, coverage double, answer boolean"))
+    if not leaks:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, answer boolean")
+    checked = functools.reduce(DataFrame.unionByName, leaks)
     return checked.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("answer").alias("answer"))
 
 
+def _slices(benchmark: DataFrame) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(ids, words) of the distinct items, in slices; the rows come one partition at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    names, items, size = [], [], 0
+    for name, text in rows.sort("item_id", "text").toLocalIterator():
+        if names and (len(names) >= SLICE_ITEMS or size + len(text) > SLICE_CHARS):
+            yield names, items
+            names, items, size = [], [], 0
+        names.append(name)
+        items.append(tokens(text.encode()))
+        size += len(text)
+    if names:
+        yield names, items
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that leak an item, columns unchanged; rows without an id stay."""
     leaks = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct())
