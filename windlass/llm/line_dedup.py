@@ -52,33 +52,34 @@ def _chunk_rows(batches: Iterator) -> Iterator:
     """Of each text: its chunks' places and hashes, each with the pairs of lines that begin in it
     (the last one reaches into the next chunk) and its long lines; no text leaves."""
     import pyarrow as pa
-    from xxhash import xxh3_128_digest
+    from xxhash import xxh3_64_intdigest
 
-    unit = pa.struct([("h", pa.binary()), ("at", pa.int32()), ("size", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("h", pa.binary()), ("units", pa.list_(unit))])
+    unit = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("units", pa.list_(unit))])
     for batch in batches:
         out: list[list] = [[] for _ in schema]
         for doc_id, th, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
             text = value.as_py() or b""
             lines = lines_of(text)
-            made = lambda a, b: (xxh3_128_digest(text[a:b]), a, b - a)
+            digest = lambda a, b: (h := xxh3_64_intdigest(text[a:b])) - (h >> 63 << 64)
+            made = lambda a, b: (digest(a, b), a, b - a)
             for first, past in chunks_of(text):
                 a, b = lines[first][0], lines[past - 1][1]
                 units = [made(lines[k][0], lines[k + 1][1]) for k in range(first, min(past, len(lines) - 1))]
                 units += [made(x, y) for x, y in lines[first:past] if y - x >= 2 * LONG_LINE - 1 and len(text[x:y].split()) >= LONG_LINE]
-                row = (doc_id, th, a, b - a, past - first, xxh3_128_digest(text[a:b]), [dict(zip(("h", "at", "size"), u, strict=True)) for u in units])
+                row = (doc_id, th, a, b - a, past - first, digest(a, b), [dict(zip(("h", "at", "size"), u, strict=True)) for u in units])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
 
 def _copies(pieces: DataFrame) -> DataFrame:
-    """Of (h, doc_id, th, at, size): those whose hash stands in an earlier place, with that place.
+    """Of (h, doc_id, th, at, size): those whose hash and size stand in an earlier place, with it.
     The least place of each hash is found by counts with map-side combining; only what is repeated is
     joined with it."""
     place = F.struct("doc_id", "th", "at")
-    firsts = landed(pieces.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first"))
-    return pieces.join(firsts, "h").where(place != F.col("first"))
+    firsts = landed(pieces.groupBy("h", "size").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "size", "first"))
+    return pieces.join(firsts, ["h", "size"]).where(place != F.col("first"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,7 +97,7 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a pair is never inside such a copy, so nothing is missed by that.
     """
     rows = _texts(docs, id_col, text_col).where("doc_id is not null")
-    kinds = "doc_id long, th long, at int, size int, n int, h binary, units array<struct<h:binary,at:int,size:int>>"
+    kinds = "doc_id long, th long, at int, size int, n int, h long, units array<struct<h:long,at:int,size:int>>"
     chunks = landed(rows.mapInArrow(_chunk_rows, kinds))
     gone = landed(_copies(chunks.where("n > 1").select("h", "doc_id", "th", "at", "size")))
     marked = chunks.join(gone.select("doc_id", "th", "at", F.lit(True).alias("gone")).distinct(), ["doc_id", "th", "at"], "left")
@@ -114,11 +115,11 @@ def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(
             "s.h", "s.stays", "doc_id", "th", "s.at",
             F.least(F.col("s.at") + F.col("s.size") + 1, F.octet_length("text")).alias("end"),
-            F.substring(F.col("text").cast("binary"), F.col("s.at") + 1, F.col("s.size")).alias("piece"),
+            "s.size", F.substring(F.col("text").cast("binary"), F.col("s.at") + 1, F.col("s.size")).alias("piece"),
         )
     )
-    kept = held.where("stays").select("h", F.col("piece").alias("kept"), F.struct("doc_id", "th", "at").alias("first")).dropDuplicates(["h"])
-    return held.where("not stays").join(kept, "h").where("piece = kept").select("doc_id", "th", "at", "end", "first").distinct()
+    kept = held.where("stays").select("h", "size", F.col("piece").alias("kept"), F.struct("doc_id", "th", "at").alias("first")).dropDuplicates(["h", "size"])
+    return held.where("not stays").join(kept, ["h", "size"]).where("piece = kept").select("doc_id", "th", "at", "end", "first").distinct()
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
