@@ -34,7 +34,7 @@ def landed(df: DataFrame) -> DataFrame:
     """The same as a Parquet table. Its size is read from the files, so the planner's estimate,
     which a checkpoint hands on and every join multiplies, starts anew: for loops over joins."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
