@@ -11,7 +11,9 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
+
 from windlass.llm import attention, components, decontaminate, knn_quality, line_dedup, lm, mixing, simhash
+from windlass.llm.queries import RANKS
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long"
 
@@ -52,6 +54,51 @@ def brute_components(fps):
     return root
 
 
+def brute_similar(texts):
+    """Groups of texts that links at a Jaccard similarity of 0.8 of 5-word shingles join."""
+    grams = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        grams[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else {()}
+    group = {k: {k} for k in texts}
+    for a in texts:
+        for b in texts:
+            both = len(grams[a] & grams[b])
+            if a < b and both >= 0.8 * (len(grams[a]) + len(grams[b]) - both) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+    return {frozenset(g) for g in group.values()}
+
+
+def test_similar_documents_match_brute_force(spark, corpus):
+    """Near copies from 0.6 to 0.99, groups larger than a crowd, blank and short texts, shared and null ids."""
+    rng = random.Random(12)
+    texts = dict(enumerate(corpus))
+    for base in (2, 3, 4, 5):
+        for changes in (1, 2, 3, 4, 6, 9):
+            near = corpus[base].split()
+            for at in rng.sample(range(len(near)), min(changes, len(near))):
+                near[at] = f"other{rng.random()}"
+            texts[len(texts)] = " ".join(near)
+    wide = words(rng, 400, 5000).split()
+    for k in range(150):
+        near = list(wide)
+        near[k * 2] = f"own{k}"
+        texts[len(texts)] = " ".join(near)
+    docs = frame(spark, list(texts.values())).unionByName(frame(spark, [corpus[7], "of another text altogether it is"], [None, 8]))
+    found = {}
+    for r in simhash.similar_documents(docs).collect():
+        found.setdefault(r.component_id, set()).add(r.doc_id)
+    want = brute_similar({**texts, 10_000: "of another text altogether it is"})
+    got = {frozenset(g) for g in found.values()}
+    assert got == {frozenset(8 if x == 10_000 else x for x in g) for g in want} and max(map(len, got)) >= 150
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {min(g) for g in got}
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 def test_simhash_matches_brute_force(spark, corpus):
     found = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, corpus)).collect()}
     fps = [brute_fingerprint(t) for t in corpus]
@@ -89,7 +136,7 @@ def test_lm_base_is_exact_and_model_learns(spark, tmp_path):
     texts = [" ".join(rng.choice(("alpha", "beta gamma", "delta epsilon zeta")) for _ in range(rng.randint(5, 60))) for _ in range(300)]
     texts += [None, "", "unseenword Alpha", "é" * 300]
     docs = frame(spark, texts)
-    found = {r.doc_id: r for r in lm.score_documents(docs, head=4).collect()}
+    found = {r.doc_id: r for r in lm.score_documents(docs, RANKS, head=4).collect()}
     assert len(found) == len(texts)
     held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
     tokens = [(t or "").encode().lower().split() for t in texts]
@@ -376,10 +423,7 @@ def test_pipeline_stages(spark, tmp_path):
         assert k == 4 or docs.columns == plain.columns
     quality, single, clean, mixed, placed = kept[1:]
     assert len(quality & set(range(len(good)))) >= 0.98 * len(good) and not quality & set(range(len(good), len(good) + len(bad)))
-    fps = {k: brute_fingerprint(texts[k]) for k in quality}
-    order = sorted(quality)
-    roots = brute_components([fps[k] for k in order])
-    assert single == {order[r] for r in set(roots)}
+    assert single == {min(group) for group in brute_similar({k: texts[k] for k in quality})}
     assert single - clean == {len(texts) - 1}
     assert mixed == placed and {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == placed
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from windlass.llm import attention, decontaminate, lm
+from windlass.llm.queries import RANKS
 
 
 class Shared:
@@ -14,36 +15,36 @@ class Shared:
         self.value = (ranks, {}, object())
 
 
-def windows_of(texts):
+def windows_of(texts, rounds=range(lm.ROUNDS)):
     """Training windows of texts, the class of each id being the id modulo 1000, and the texts' ids."""
-    with open(lm.RANKS, "rb") as f:
+    with open(RANKS, "rb") as f:
         shared = Shared(f.read())
     end = 1 + max(int(x.split()[1]) for x in shared.value[0].splitlines())
     kinds = (np.arange(end + 1) % 1000).astype(np.int16)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    made = [x for b in lm._windower(shared, kinds, end, attention.CONTEXT + 1)(iter([batch])) for x in b.column(0).to_pylist()]
-    table = lm._words(shared)
-    ids = [kinds[table.subwords(table.numbers(t.encode().lower().split()))] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["row", "doc_id", "fold", "text"])
+    encoded = list(lm._encoded(shared, end, (1, 1))(iter([batch])))
+    made = []
+    for turn in rounds:
+        parts = [b.select(["row", "ids"]) for b in encoded]
+        made += [x for b in lm._windower(kinds, end, attention.CONTEXT + 1, turn)(iter(parts)) for x in b.column(0).to_pylist()]
+    ids = [kinds[np.frombuffer(x, lm.id_type(end))] for b in encoded for x in b.column(3).to_pylist()]
     return np.frombuffer(b"".join(made), np.int16).reshape(len(made), -1), ids, kinds[end]
 
 
 def test_lm_trains_on_texts_of_every_length(monkeypatch):
     texts = [" ".join(f"w{k}x{j}" for j in range(k)) for k in range(128)]
-    for text in texts:
-        windows, (ids,), end = windows_of([text])
+    for group in (1 << 17, 7):  # texts are worked on together, or one by one
+        monkeypatch.setattr(lm, "GROUP", group)
+        windows, ids, end = windows_of(texts)
+        assert len(windows) == sum(len(i) // attention.CONTEXT + 1 for i in ids)
         targets = windows[:, 1:].ravel()
-        assert targets[targets >= 0].tolist() == [*ids.tolist(), end]
-        assert windows[0, 0] == end and len(windows) == len(ids) // attention.CONTEXT + 1
-    monkeypatch.setattr(lm, "BLOCK_WORDS", 7)  # parts of long texts join without a gap
-    windows, ids, end = windows_of(texts)
-    targets = windows[:, 1:].ravel()
-    assert targets[targets >= 0].tolist() == [x for i in ids for x in [*i.tolist(), end]]
+        assert sorted(targets[targets >= 0].tolist()) == sorted(x for i in ids for x in [*i.tolist(), end])
 
 
 def test_lm_uses_all_windows_over_the_rounds(monkeypatch):
-    """More windows than the least steps of a round can take, and words of very many ids."""
+    """Each window is in one round, and a learner's round passes over all that it gets."""
     monkeypatch.setattr(lm, "LEAST_STEPS", 2)
-    n, seen = 10 * lm.BATCH * lm.ROUNDS + 5, []
+    n, seen = 10 * lm.BATCH + 5, []
     windows = np.zeros((n, attention.CONTEXT + 1), np.int16)
     windows[:, 0], windows[:, 1] = np.arange(n) % 1000, np.arange(n) // 1000
 
@@ -53,14 +54,15 @@ def test_lm_uses_all_windows_over_the_rounds(monkeypatch):
 
     monkeypatch.setattr(attention, "gradient", gradient)
     model = attention.pack(attention.start(np.ones(attention.CLASSES)))
-    for turn in range(lm.ROUNDS):
-        held = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary())], names=["window"])
-        list(lm._learner(model, turn)(iter([held])))
+    held = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary())], names=["window"])
+    list(lm._learner(model, 0)(iter([held])))
     assert set(seen) == set(range(n)) and len(seen) == n
 
     text = "".join(chr(0x4E00 + k * 37 % 20000) for k in range(5000))
     found, (ids,), end = windows_of([text])
-    assert len(ids) > 5000 and np.extract(found[:, 1:] >= 0, found[:, 1:]).tolist() == [*ids.tolist(), end]
+    assert len(ids) > 5000 and sorted(found[:, 1:][found[:, 1:] >= 0].tolist()) == sorted([*ids.tolist(), int(end)])
+    each = [len(windows_of([text], [t])[0]) for t in range(lm.ROUNDS)]
+    assert sum(each) == len(found) and max(each) - min(each) <= 1
 
 
 def test_decontamination_keeps_the_accepted_stretch():

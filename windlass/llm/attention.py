@@ -6,6 +6,8 @@ WIDTH, CONTEXT, STRIDE = 24, 16, 12
 #: The output has two levels, GROUPS times MEMBERS classes: the most frequent ids have a class
 #: each, all others share BINS classes of about equal mass. Classes are also the input rows.
 GROUPS, MEMBERS, BINS = 32, 32, 32
+#: Windows that go through attention at once: few enough for their arrays to stay in a cache.
+CACHED = 256
 CLASSES = GROUPS * MEMBERS
 _SHAPES = {
     "embed": (CLASSES, WIDTH), "place": (CONTEXT, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH),
@@ -77,14 +79,25 @@ def _attend(m: dict, x):
     return h, q, k, v, a, o, h + (o.reshape(-1, WIDTH) @ m["o"]).reshape(h.shape)
 
 
-def _groups(classes):
-    """(group, places) of the classes, group by group."""
+def _sorted(kinds, n: int):
+    """An order of small numbers, and the edges of each of the ``n`` in it."""
     import numpy as np
 
-    group = (classes // MEMBERS).astype(np.uint8 if GROUPS <= 256 else np.int64)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    order = np.argsort(kinds.astype(np.uint8 if n <= 256 else np.uint16), kind="stable")  # a radix sort
+    return order, np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=n))])
+
+
+def _logits(m: dict, z, edges):
+    """Logits of the groups, and of the members of each row's own group, for rows sorted by group."""
+    import numpy as np
+
+    top, leaf = z @ m["top"], np.empty((len(z), MEMBERS), np.result_type(z, m["leaf"]))
+    top += m["top_bias"]
+    for g, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if b > a:
+            np.matmul(z[a:b], m["leaf"][g], out=leaf[a:b])
+            leaf[a:b] += m["leaf_bias"][g]
+    return top, leaf
 
 
 def _exponents(logits):
@@ -103,18 +116,16 @@ def _picked(logits, at):
     return found - np.log(_exponents(logits) @ np.ones(logits.shape[1], logits.dtype))
 
 
-def _softmax(logits):
-    e = _exponents(logits)
-    e /= e.sum(axis=1, keepdims=True)
-    return e
-
-
 def log_probability(m: dict, z, classes):
     """Natural log probability of a class after each state (n, WIDTH): its group's by all groups,
-    then its own by the members of that group."""
-    found = _picked(z @ m["top"] + m["top_bias"], classes // MEMBERS)
-    for g, at in _groups(classes):
-        found[at] += _picked(z[at] @ m["leaf"][g] + m["leaf_bias"][g], classes[at] % MEMBERS)
+    then its own by the members of that group. Rows are sorted by group once."""
+    import numpy as np
+
+    order, edges = _sorted(classes // MEMBERS, GROUPS)
+    y = classes[order]
+    top, leaf = _logits(m, z[order], edges)
+    found = np.empty(len(z), z.dtype)
+    found[order] = _picked(top, y // MEMBERS) + _picked(leaf, y % MEMBERS)
     return found
 
 
@@ -122,33 +133,44 @@ def gradient(m: dict, windows, classes) -> dict:
     """Of the mean negative log likelihood of the windows' ids, each from those before it."""
     import numpy as np
 
-    valid = windows[:, 1:] >= 0
-    x, y = classes[np.maximum(windows[:, :-1], 0)], classes[np.maximum(windows[:, 1:], 0)].ravel()
+    x, wanted = classes[np.maximum(windows[:, :-1], 0)], windows[:, 1:].ravel()
+    real = np.flatnonzero(wanted >= 0)
+    y = classes[wanted[real]]
+    order, edges = _sorted(y // MEMBERS, GROUPS)
+    y, at = y[order], real[order]
     h, q, k, v, a, o, z = _attend(m, x)
     flat = lambda u: np.ascontiguousarray(u).reshape(-1, u.shape[-1])
-    zf, weight = flat(z), (valid.ravel() / max(1, valid.sum())).astype(np.float32)
-    p = _softmax(zf @ m["top"] + m["top_bias"])
-    p[np.arange(len(p)), y // MEMBERS] -= 1
-    p *= weight[:, None]
+    zs, rows, share = flat(z)[at], np.arange(len(y)), np.float32(1 / max(1, len(y)))
     g = {n: np.zeros(s, np.float32) for n, s in _SHAPES.items()}
-    g["top"], g["top_bias"] = zf.T @ p, p.sum(axis=0)
-    dz = p @ m["top"].T
-    for group, at in _groups(y):
-        p = _softmax(zf[at] @ m["leaf"][group] + m["leaf_bias"][group])
-        p[np.arange(len(p)), y[at] % MEMBERS] -= 1
-        p *= weight[at, None]
-        g["leaf"][group], g["leaf_bias"][group] = zf[at].T @ p, p.sum(axis=0)
-        dz[at] += p @ m["leaf"][group].T
+    top, leaf = _logits(m, zs, edges)
+    for p, own in ((top, y // MEMBERS), (leaf, y % MEMBERS)):
+        _exponents(p)
+        p *= (share / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
+        p[rows, own] -= share
+    g["top"], g["top_bias"] = zs.T @ top, top.sum(axis=0)
+    dzs = top @ m["top"].T
+    for group, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if hi > lo:
+            p = leaf[lo:hi]
+            np.matmul(zs[lo:hi].T, p, out=g["leaf"][group])
+            np.sum(p, axis=0, out=g["leaf_bias"][group])
+            dzs[lo:hi] += p @ m["leaf"][group].T
+    dz = np.zeros((x.size, WIDTH), dzs.dtype)
+    dz[at] = dzs
     g["o"] = flat(o).T @ dz
-    dz = dz.reshape(z.shape)
-    do = dz @ m["o"].T
+    do = (dz @ m["o"].T).reshape(z.shape)
     da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2)
-    g["qkv"] = flat(h).T @ flat(dqkv)
-    dh = dz + dqkv @ m["qkv"].T
-    g["place"][: x.shape[1]] = dh.sum(axis=0)
-    np.add.at(g["embed"], x.ravel(), flat(dh))
+    da -= np.einsum("bts,bts->bt", da, a)[:, :, None]
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
+    dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * WIDTH)
+    g["qkv"] = flat(h).T @ dqkv
+    dh = dqkv @ m["qkv"].T
+    dh += dz
+    g["place"][: x.shape[1]] = dh.reshape(z.shape).sum(axis=0)
+    order, edges = _sorted(x.ravel(), CLASSES)
+    there = np.flatnonzero(np.diff(edges))
+    g["embed"][there] = np.add.reduceat(dh[order], edges[there], axis=0)
     return g
 
 
@@ -194,14 +216,18 @@ def score(m: dict, texts: list, classes, inside, end: int, block: int = 2048):
     nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
     total, steps = np.zeros(len(texts)), np.arange(CONTEXT)
     for lo in range(0, len(owner), block):
-        own, place = owner[lo : lo + block], nth[lo : lo + block]
-        within = place[:, None] * STRIDE + steps
-        real = within < sizes[own][:, None]
-        at = np.where(real, begin[own][:, None] + within, 0)
-        z = _attend(m, kinds[at])[-1]
-        wanted = real & ((place == 0)[:, None] | (steps >= CONTEXT - STRIDE))
-        # The id after a text's last is the end: it stands there as the next text's beginning.
-        target = at[wanted] + 1
-        found = log_probability(m, z[wanted], kinds[target]) + inner[target]
-        total += np.bincount(np.broadcast_to(own[:, None], wanted.shape)[wanted], found, len(texts))
+        states, targets, owners = [], [], []
+        for at in range(lo, min(lo + block, len(owner)), CACHED):
+            own, place = owner[at : min(at + CACHED, lo + block)], nth[at : min(at + CACHED, lo + block)]
+            within = place[:, None] * STRIDE + steps
+            real = within < sizes[own][:, None]
+            spot = np.where(real, begin[own][:, None] + within, 0)
+            wanted = real & ((place == 0)[:, None] | (steps >= CONTEXT - STRIDE))
+            states.append(_attend(m, kinds[spot])[-1][wanted])
+            # The id after a text's last is the end: it stands there as the next text's beginning.
+            targets.append(spot[wanted] + 1)
+            owners.append(np.broadcast_to(own[:, None], wanted.shape)[wanted])
+        target = np.concatenate(targets)
+        found = log_probability(m, np.concatenate(states), kinds[target]) + inner[target]
+        total += np.bincount(np.concatenate(owners), found, len(texts))
     return total

@@ -3,30 +3,29 @@
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import cut, fold
+from windlass.llm.common import fold, landed
 
-#: A file of token ranks (base64 bytes and rank per line); a parameter, read on the driver only.
-RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FOLDS, HELD_OUT = 5, 1
 #: Words whose counts every worker holds, at most; the counts of all others are joined.
 HEAD = 200_000
-#: Words whose windows are made at once; bounds a worker's memory on very long texts.
-BLOCK_WORDS = 1 << 16
+#: Words, or subword ids, of some texts that are worked on together.
+GROUP = 1 << 17
 #: Windows of one learner (their number grows with the corpus); rounds between averages of their
 #: weights; the least steps of a round; windows of a step; the first round's rate.
-PER_LEARNER, ROUNDS, LEAST_STEPS, BATCH, RATE = 160_000, 3, 200, 128, 0.02
+PER_LEARNER, ROUNDS, LEAST_STEPS, BATCH, RATE = 160_000, 3, 100, 512, 0.03
 #: Learners whose weights are averaged in one task, or on the driver at the end.
 MERGE = 64
 #: Distinct words that a worker remembers, and words it counts before it hands counts on.
 REMEMBER, HAND_ON = 400_000, 300_000
-#: Bytes of a word that are encoded as one piece.
-PIECE = 64
+#: Characters of a word that are encoded as one piece, as the time grows with their square.
+PIECE = 2048
 
 
 class Words:
@@ -36,7 +35,7 @@ class Words:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encode = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={})._encode_single_piece
+        self.encode = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.known = known
         self.clear()
 
@@ -48,7 +47,7 @@ class Words:
         class Numbers(dict):
             def __missing__(self, word: bytes) -> int:
                 ids = []
-                piece = b" " + word
+                piece = " " + word.decode(errors="replace")
                 for at in range(0, len(piece), PIECE):
                     ids += outer.encode(piece[at : at + PIECE])
                 outer.ids.extend(ids)
@@ -145,55 +144,84 @@ def _encoder(shared):
     return encode
 
 
-def _windower(shared, kinds, end: int, size: int):
+def _encoded(shared, end: int, totals: tuple[int, int]):
+    """Per text: its subword ids, its sizes and base score as far as the head's counts go, and the
+    words whose counts have to be joined."""
+
+    def run(batches: Iterator) -> Iterator:
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+
+        bottom, most = math.log10(totals[0] + 0.5 * (totals[1] + 1)), shared.value[1]
+        names = ["row", "doc_id", "held_out", "ids", "n_tokens", "n_known", "base", "rest"]
+        for batch in batches:
+            values, lo, group, size = batch.column(3).cast(pa.binary()), 0, [], 0
+            for k, value in enumerate(values):
+                table = _words(shared) if not group else table
+                group.append(table.numbers(value.as_py().lower().split()))
+                size += len(group[-1]) + 1
+                if size < GROUP and k < len(values) - 1:
+                    continue
+                ids, n_tokens, n_known, base, per, words, times = [], [], [], [], [0], [], []
+                for g in group:
+                    count = table.counts(g)
+                    head = count >= 0
+                    ids.append(table.subwords(g).astype(id_type(end)).tobytes())
+                    n_tokens.append(len(g) + 1)
+                    n_known.append(int(head.sum()) + (b" " in most))
+                    base.append(float(np.log10(count[head] + 0.5).sum()) + math.log10(most.get(b" ", 0) + 0.5) - bottom * (len(g) + 1))
+                    rest, n = np.unique(g[~head], return_counts=True)
+                    words += [table.word[x] for x in rest.tolist()]
+                    times.append(n)
+                    per.append(per[-1] + len(rest))
+                rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(times).astype(np.int64))], names=["word", "n"])
+                part = batch.slice(lo, len(group))
+                held = pa.array(np.asarray(part.column(2)) == HELD_OUT)
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64())
+                made = [pa.array(c, t) for c, t in zip((ids, n_tokens, n_known, base), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held, *made, pa.ListArray.from_arrays(pa.array(per, pa.int32()), rest)], names=names)
+                group, size, lo = [], 0, k + 1
+
+    return run
+
+
+def id_type(end: int):
+    """The smallest type that holds all subword ids and the end."""
+    import numpy as np
+
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def _windower(kinds, end: int, size: int, turn: int):
     def windows(batches: Iterator) -> Iterator:
-        """Training windows of ``size`` classes over whole texts: each id and the end of a text is
-        the target of exactly one of them."""
+        """This round's training windows of ``size`` classes: each id and the end of a text is the
+        target of exactly one window, and each window belongs to exactly one round."""
         import numpy as np
         import pyarrow as pa
 
-        kind = pa.binary(2 * size)
+        kind, before = pa.binary(2 * size), np.array([kinds[end]], np.int16)
         for batch in batches:
-            texts, held = [], 0
-
-            def flush():
-                """Windows of the texts, or parts of one, held so far; an end stands before each text."""
-                table, parts = _words(shared), []
-                for words, last in texts:
-                    ids = kinds[table.subwords(table.numbers(words))]
-                    part = np.concatenate([carry.pop() if carry else before, ids, before if last else before[:0]])
-                    # Windows share one id: the last target of one is the first input of the next.
-                    whole = max(0, len(part) - 1) // (size - 1)
-                    if not last:
-                        carry.append(part[whole * (size - 1) :])
-                    elif whole * (size - 1) < len(part) - 1:
-                        whole += 1
-                        part = np.pad(part, (0, whole * (size - 1) + 1 - len(part)), constant_values=-1)
-                    if whole:
-                        parts.append(np.lib.stride_tricks.sliding_window_view(part, size)[:: size - 1][:whole])
-                texts.clear()
-                if parts:
+            parts, held = [], 0
+            for at, (row, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                ids = kinds[np.frombuffer(value.as_py(), id_type(end))]
+                # Windows share one id: the last target of one is the first input of the next.
+                whole = len(ids) // (size - 1) + 1
+                part = np.concatenate([before, ids, before, np.full(whole * (size - 1) - len(ids) - 1, -1, np.int16)])
+                parts.append(np.lib.stride_tricks.sliding_window_view(part, size)[:: size - 1][(turn - row) % ROUNDS :: ROUNDS])
+                held += len(ids)
+                if held > GROUP or at == len(batch) - 1:
                     made = np.ascontiguousarray(np.concatenate(parts))
                     yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(kind, len(made), [None, pa.py_buffer(made)]).cast(pa.binary())], names=["window"])
-
-            before, carry = np.array([kinds[end]], np.int16), []
-            for value in batch.column(0).cast(pa.binary()):
-                words = value.as_py().lower().split()
-                for at in range(0, max(1, len(words)), BLOCK_WORDS):
-                    texts.append((words[at : at + BLOCK_WORDS], at + BLOCK_WORDS >= len(words)))
-                    held += len(texts[-1][0]) + 1
-                    if held > BLOCK_WORDS:
-                        yield from flush()
-                        held = 0
-            yield from flush()
+                    parts, held = [], 0
 
     return windows
 
 
 def _learner(model: bytes, turn: int):
     def learn(batches: Iterator) -> Iterator:
-        """One learner's weights after this round: one order of its windows, the same in every
-        round, is dealt over the rounds, so that after the last one each window has been used."""
+        """One learner's weights after a pass over this round's windows."""
         import numpy as np
         import pyarrow as pa
 
@@ -202,7 +230,6 @@ def _learner(model: bytes, turn: int):
         held = [x for batch in batches for x in batch.column(0).to_pylist()]
         if held:
             windows = np.frombuffer(b"".join(held), np.int16).reshape(len(held), -1)
-            windows = windows[np.random.default_rng(len(windows)).permutation(len(windows))[turn::ROUNDS]]
             steps = max(LEAST_STEPS, -(-len(windows) // BATCH))
             made = attention.train(attention.unpack(model), windows, np.arange(attention.CLASSES), steps, RATE / (1 + turn), turn, BATCH)
             yield pa.RecordBatch.from_arrays([pa.array([attention.pack(made)], pa.binary()), pa.array([1], pa.int64())], names=["model", "n"])
@@ -237,10 +264,9 @@ def _averaged(models: DataFrame, n: int) -> bytes | None:
     return _mean(held)[0] if held else None
 
 
-def _scorer(shared, maps, model: bytes, end: int, totals: tuple[int, int]):
-    """Per text: its sizes, its scores so far, and the words whose counts have to be joined."""
-
+def _scorer(maps, model: bytes, end: int):
     def run(batches: Iterator) -> Iterator:
+        """The rows with their model score for their ids."""
         import math
 
         import numpy as np
@@ -248,48 +274,33 @@ def _scorer(shared, maps, model: bytes, end: int, totals: tuple[int, int]):
 
         from windlass.llm import attention
 
-        net, bottom = attention.unpack(model), math.log10(totals[0] + 0.5 * (totals[1] + 1))
-        names = ["row", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        net = attention.unpack(model)
         for batch in batches:
-            rows, doc_ids, folds = (batch.column(k).to_pylist() for k in range(3))
-            values, group, size, lo = batch.column(3).cast(pa.binary()), [], 0, 0
-            for k, value in enumerate(values):
-                table = _words(shared) if not group else table
-                group.append(table.numbers(value.as_py().lower().split()))
+            group, size, found = [], 0, []
+            for k, value in enumerate(batch.column(0)):
+                group.append(np.frombuffer(value.as_py(), id_type(end)))
                 size += len(group[-1]) + 1
-                if size < 1 << 17 and k < len(values) - 1:
-                    continue
-                natural = attention.score(net, [table.subwords(g) for g in group], *maps, end)
-                cols: list[list] = [[] for _ in names]
-                for j, g in enumerate(group, lo):
-                    count = table.counts(g)
-                    head = count >= 0
-                    base = float(np.log10(count[head] + 0.5).sum()) + math.log10(shared.value[1].get(b" ", 0) + 0.5) - bottom * (len(g) + 1)
-                    known = int(head.sum()) + (b" " in shared.value[1])
-                    rest, n = np.unique(g[~head], return_counts=True)
-                    cols[0] += [rows[j]] * (1 + len(rest))
-                    cols[1] += [b" %d" % rows[j], *[table.word[x] for x in rest.tolist()]]
-                    cols[2] += [0, *n.tolist()]
-                    for c, x in zip(cols[3:], (doc_ids[j], folds[j] == HELD_OUT, len(g) + 1, known, base, float(natural[j - lo]) / math.log(10)), strict=True):
-                        c += [x, *[None] * len(rest)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-                group, size, lo = [], 0, k + 1
+                if size >= GROUP or k == len(batch) - 1:
+                    found.append(attention.score(net, group, *maps, end) / math.log(10))
+                    group, size = [], 0
+            score = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*batch.schema.names[1:], "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, ranks: str, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; null and empty texts are an end alone, and extra columns are not read.
 
     A text is its words, A-Z lower-cased, and an end. The base is an add-half unigram over the
-    words of all documents outside the held-out fold. The model reads the words' subword ids: it
-    predicts a class by causal self-attention, which for frequent ids is the id itself, and rare
-    ids by their frequency in the class. Classes and frequencies come from all training words.
-    Attention learns from every id of every training text: as many tasks as the windows need
-    each take their part of them, a number that fits a worker, and their weights are averaged
-    after each round.
+    words of all documents outside the held-out fold (a null id counts as the empty text). The
+    model reads the words' subword ids, by the public byte-pair vocabulary in the file ``ranks``
+    (lines of base64 bytes and a rank; read on the driver): it predicts a class by causal
+    self-attention, which for frequent ids is the id itself, and rare ids by their frequency in the class. Classes and
+    frequencies come from all training words. Attention learns from every id of every training
+    text: as many tasks as the windows need each take their part of a round's windows, and their
+    weights are averaged after the round.
 
     The counts of up to ``head`` of the most frequent words go to every worker. Other words
     are counted within each text and joined with the counts by word.
@@ -302,8 +313,7 @@ def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> Da
     end = 1 + max(int(x.split()[1]) for x in data.splitlines())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     part = fold(F.col("doc_id"), FOLDS)
-    training = texts.where(part != HELD_OUT).select("text")
-    counts = cut(training.mapInArrow(_counter, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = landed(texts.where(part != HELD_OUT).select("text").mapInArrow(_counter, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The head is cut at a step of the counts, not by a sorted limit that every task would send whole.
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -313,8 +323,7 @@ def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> Da
             break
         kept, least = kept + n, k
     most = {bytes(w): n for w, n in counts.where((step >= least) | (F.col("word") == b" ")).collect()}
-    tag = f"{spark.sparkContext.applicationId}-{id(most)}"
-    shared = spark.sparkContext.broadcast((data, most, tag))
+    shared = spark.sparkContext.broadcast((data, most, uuid.uuid4().hex))
 
     ids = np.zeros(end + 1)
     words = counts.where(F.col("word") != b" ")
@@ -323,27 +332,30 @@ def score_documents(docs: DataFrame, ranks: str = RANKS, head: int = HEAD) -> Da
     ids[end] = most.get(b" ", 0)
     maps = attention.vocabulary(ids)
     model = attention.pack(attention.start(np.bincount(maps[0], ids, attention.CLASSES)))
+
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", part.cast("int").alias("fold"), "text")
+    schema = "row long, doc_id long, held_out boolean, ids binary, n_tokens long, n_known long, base double, rest array<struct<word:binary,n:long>>"
+    encoded = landed(rows.mapInArrow(_encoded(shared, end, (total, kinds)), schema))
     # A text of n ids and its end makes n // CONTEXT + 1 windows, so this many at most.
     learners = max(1, int(ids[:end].sum() // attention.CONTEXT + ids[end]) // PER_LEARNER)
-    made = training.mapInArrow(_windower(shared, maps[0].astype(np.int16), end, attention.CONTEXT + 1), "window binary")
-    windows = cut(made.repartition(learners))
+    training = encoded.where("not held_out").select("row", "ids")
     for turn in range(ROUNDS):
-        model = _averaged(windows.mapInArrow(_learner(model, turn), "model binary, n long"), learners) or model
-
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", part.cast("int").alias("fold"), "text")
-    schema = "row long, word binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-    scored = rows.mapInArrow(_scorer(shared, maps, model, end, (total, kinds)), schema)
-    joined = scored.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    logged = F.when(F.col("n") > 0, F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).otherwise(F.col("base"))
-    return (
-        joined.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.when(F.col("n") > 0, F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
-            F.sum(logged).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        made = training.mapInArrow(_windower(maps[0].astype(np.int16), end, attention.CONTEXT + 1, turn), "window binary").repartition(learners)
+        model = _averaged(landed(made.mapInArrow(_learner(model, turn), "model binary, n long")), learners) or model
+
+    narrow = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double"
+    scored = encoded.select("ids", "row", "doc_id", "held_out", "n_tokens", "n_known", "base").mapInArrow(_scorer(maps, model, end), f"{narrow}, score double")
+    rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    added = rest.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("more"),
+    )
+    return scored.join(added, "row", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        "score",
     )

@@ -13,6 +13,10 @@ from windlass.llm.sharding import shard_documents
 from windlass.llm.simhash import near_duplicates
 
 
+#: A public byte-level BPE vocabulary for many languages, as a file of token ranks.
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(documents(spark, sf_dir))
+    return lm.score_documents(documents(spark, sf_dir), RANKS)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
