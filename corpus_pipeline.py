@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from windlass.llm import decontaminate, knn_quality, mixing, sharding, simhash
-from windlass.llm.common import checkpoint_folder
+from windlass.llm.common import checkpoint_folder, delete_folder
 
 #: Tokens that the mixing stage draws, as a share of those it gets.
 MIX_BUDGET = 0.8
@@ -23,7 +23,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near copies."""
+    """One document, of the smallest id, of each group of near copies: texts whose 5-word shingles
+    are similar to 0.8 or more, directly or through others."""
     return simhash.keep_one(docs)
 
 
@@ -52,13 +53,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; what one returns is written to the shared folder and read again."""
+    """The stages in order; what one returns is written to the shared folder and read again, and
+    deleted when the last stage has been written."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     STAGES[-1][1](spark, docs, sf_dir).write.parquet(f"{folder}/{len(STAGES) - 1}")
+    for k in range(len(STAGES) - 1):
+        delete_folder(spark, f"{folder}/{k}")
     return spark.read.parquet(f"{folder}/{len(STAGES) - 1}")
 
 
