@@ -140,17 +140,23 @@ def bounded_options(options: Column, most: int = 24, chars: int = 80) -> Column:
 def hashed_bags(rows: DataFrame, key: str, text: str, dims: int = 64, namespace: str = "") -> DataFrame:
     """(key, vector): hashed bag of words of each row's whole text; keys are distinct. Tokens are
     letters, digits and underscores, lower-cased; md5 gives a token its place and its sign. The
-    vector has length one, or is all zeros. Tokens are summed by place before they shuffle."""
-    token = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), F.lit(1)))
-    coded = rows.select(key, token.alias("t")).select(key, F.md5(F.concat(F.lit(namespace), F.col("t")).cast("binary")).alias("h"))
-    place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = coded.groupBy(key, place.alias("p")).agg(F.sum(sign).alias("v"))
-    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    at = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)
-    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), at)
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return rows.select(key).join(packed.select(key, vector.alias("vector")), key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
+    vector has length one, or is all zeros. All of a row's words are in the row: nothing shuffles."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), F.lit(1))
+    digests = F.transform(words, lambda w: F.md5(F.concat(F.lit(namespace), w).cast("binary")))
+    place = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    odd = lambda h: F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1
+    # A token as its place, or that less dims for a minus: counts of equal numbers are the sums.
+    coded = F.transform(digests, lambda h: F.when(odd(h), place(h)).otherwise(place(h) - dims))
+    made = rows.select(key, F.array_sort(coded).alias("_c")).select(
+        key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (_times("_c", k) - _times("_c", k - dims)).cast("double")).alias("_v")
+    )
+    n = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    return made.withColumn("_n", n).select(key, F.transform("_v", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("vector"))
+
+
+def _times(column: str, value: Column) -> Column:
+    """How often a number stands in an array."""
+    return F.size(F.filter(column, lambda x: x == value))
 
 
 def episode_number(name: Column) -> Column:

@@ -167,19 +167,35 @@ def error_score(error: Column) -> Column:
     return 1 / (1 + error)
 
 
-def _greedy(tolerance: int):
+def _free(links: list[int], at: int) -> int:
+    """The nearest place from ``at`` on, along ``links``, that links to itself; the way is shortened."""
+    while links[at] != at:
+        links[at] = links[links[at]]
+        at = links[at]
+    return at
+
+
+def _matcher(tolerance: int):
     def match(key, frame):
+        """Taken boundaries link to their neighbours, so the nearest free one on either side of a
+        prediction is found without passing over all of them."""
+        from bisect import bisect_left
+
         import pandas as pd
 
-        truth, used, gaps = sorted(frame.loc[frame["is_true"], "frame_idx"].tolist()), set(), []
-        guesses = sorted(frame.loc[~frame["is_true"], "frame_idx"].tolist())
-        for g in guesses:
-            near = [(abs(t - g), k) for k, t in enumerate(truth) if k not in used and abs(t - g) <= tolerance]
-            if near:
-                gap, k = min(near)
-                used.add(k)
-                gaps.append(gap)
-        return pd.DataFrame([(key[0], len(truth), len(guesses), len(gaps), float(sum(gaps)))], columns=["episode_id", "true", "predicted", "matched", "gap_sum"])
+        of = {kind: part["frame_idx"].sort_values().tolist() for kind, part in frame.groupby("is_true")}
+        places, guesses = of.get(True, []), of.get(False, [])
+        n, matched, gap_sum = len(places), 0, 0
+        below, above = list(range(n + 1)), list(range(n + 1))  # below is shifted by one, 0 is none
+        for guess in guesses:
+            at = bisect_left(places, guess)
+            left, right = _free(below, at) - 1, _free(above, at)
+            choices = [(abs(places[k] - guess), k) for k in (left, right) if 0 <= k < n]
+            gap, k = min(choices, default=(tolerance + 1, -1))
+            if gap <= tolerance:
+                below[k + 1], above[k] = k, k + 1
+                matched, gap_sum = matched + 1, gap_sum + gap
+        return pd.DataFrame([(key[0], n, len(guesses), matched, float(gap_sum))], columns=["episode_id", "true", "predicted", "matched", "gap_sum"])
 
     return match
 
@@ -193,7 +209,7 @@ def boundary_matches(truth: DataFrame, predicted: DataFrame, tolerance: int = 10
     """
     both = truth.select("episode_id", "frame_idx", F.lit(True).alias("is_true")).unionByName(predicted.select("episode_id", "frame_idx", F.lit(False).alias("is_true")))
     kind = truth.schema["episode_id"].dataType.simpleString()
-    return both.groupBy("episode_id").applyInPandas(_greedy(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
+    return both.groupBy("episode_id").applyInPandas(_matcher(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
 
 
 def boundary_f1(matches: DataFrame) -> DataFrame:

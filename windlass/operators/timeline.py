@@ -240,3 +240,9 @@ def above_train_median(rows: DataFrame, value: str = "energy") -> DataFrame:
 def carried_forward(frames: DataFrame, value: str) -> DataFrame:
     """``value`` with nulls replaced by the last one before that is not."""
     return frames.withColumn(value, F.last(value, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def ego_motion(frames: DataFrame, vector: str = "vector", ahead: int = 4) -> DataFrame:
+    """Frames that have another ``ahead`` frames later, with ``target``: its vector less their own."""
+    later = frames.select("episode_id", (F.col("frame_idx") - ahead).alias("frame_idx"), F.col(vector).alias("_later"))
+    return frames.join(later, ["episode_id", "frame_idx"]).withColumn("target", F.zip_with("_later", vector, lambda b, a: b - a)).drop("_later")

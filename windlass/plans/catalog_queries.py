@@ -54,7 +54,7 @@ def _families(s, d):
     """Part names stand for labels: their words meet the families of both tables."""
     p = table(s, d, "part").select("p_partkey", F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("pick up", "cut the", "walk to", "N/A", "hold a", "sort", "unknown"))), (F.col("p_partkey") % 7 + 1).cast("int")), "p_name").alias("label"))
     return p.select(
-        "p_partkey", tx.family(F.col("label"), tx.ACTION_FAMILIES, "other_fine_action").alias("action_family"), tx.family(F.col("label"), tx.SUBTASK_FAMILIES, "other_subtask").alias("subtask_family"),
+        "p_partkey", tx.family(F.col("label"), tx.ACTION_FAMILIES, "other_fine_action").alias("action_family"), tx.family(F.col("label"), tx.SUBTASK_FAMILIES, "other_fine_subtask").alias("subtask_family"),
         tx.category(F.col("label")).alias("category"),
     )
 
@@ -75,7 +75,7 @@ def _sql_category():
 
 def _bag(s, d):
     v = tx.hashed_bags(table(s, d, "documents"), "doc_id", "text", 16).withColumnRenamed("vector", "v")
-    return v.select("doc_id", *[F.round(F.col("v")[k], 6).alias(f"v{k}") for k in (0, 5, 15)], F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return v.select("doc_id", *[F.round(F.col("v")[k], 6).alias(f"v{k}") for k in range(16)], F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
 def _labels(s, d):
@@ -201,7 +201,7 @@ SELECT doc_id, CASE WHEN a <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' EL
     "pack_batches": (lambda s, d: selection.pack_batches(files(s, d).groupBy("session", "episode_id").agg(F.sum("bytes").alias("bytes")), "session", "episode_id", 250_000, 3), None),
     "label_families": (
         _families,
-        SQL_LABEL + f"SELECT p_partkey, {_sql_family(tx.ACTION_FAMILIES, 'other_fine_action')} AS action_family, {_sql_family(tx.SUBTASK_FAMILIES, 'other_subtask')} AS subtask_family, {_sql_category()} AS category FROM l",
+        SQL_LABEL + f"SELECT p_partkey, {_sql_family(tx.ACTION_FAMILIES, 'other_fine_action')} AS action_family, {_sql_family(tx.SUBTASK_FAMILIES, 'other_fine_subtask')} AS subtask_family, {_sql_category()} AS category FROM l",
     ),
     "label_match": (
         _labels,
@@ -213,7 +213,7 @@ SELECT p_partkey, c AS label, coalesce((SELECT o FROM o WHERE o = c), (SELECT ma
         """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), h AS (SELECT doc_id, CAST('0x' || md5(w)[1:8] AS BIGINT) % 16 AS p, CASE WHEN CAST('0x' || md5(w)[9:10] AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END AS s FROM t),
 b AS (SELECT d.doc_id, p, coalesce(sum(s), 0) AS v FROM documents d CROSS JOIN range(16) r(p) LEFT JOIN h USING (doc_id, p) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY 1)
 SELECT doc_id, """
-        + ", ".join(f"round(coalesce(sum(v) FILTER (p = {k}) / nullif(max(n), 0), 0.0), 6)::DOUBLE AS v{k}" for k in (0, 5, 15))
+        + ", ".join(f"round(coalesce(sum(v) FILTER (p = {k}) / nullif(max(n), 0), 0.0), 6)::DOUBLE AS v{k}" for k in range(16))
         + ", round(coalesce(sum(v * v) / nullif(max(n * n), 0), 0.0), 6)::DOUBLE AS norm FROM b JOIN n USING (doc_id) GROUP BY 1",
     ),
     "chat_messages": (
