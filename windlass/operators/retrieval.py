@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions.lineage import cut
+from windlass.operators import numbering
 
 #: Rows of a block of queries or of candidates, on average.
 BLOCK = 1024
+#: Values of all centroids that a worker may hold.
+MAX_TABLE = 1 << 22
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame):
@@ -33,12 +36,14 @@ def _matrix(column):
 
 
 def _scores(queries, candidates, measure: str):
-    """Larger is nearer: cosine with norms of at least 1e-8, or the negative squared distance."""
+    """Larger is nearer: cosine with norms of at least 1e-8, the dot product, or the negative squared distance."""
     import numpy as np
 
     if measure == "cosine":
         unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-8)
         return unit(queries) @ unit(candidates).T
+    if measure == "dot":
+        return queries @ candidates.T
     out = np.empty((len(queries), len(candidates)))
     for k, q in enumerate(queries):
         out[k] = -((candidates - q) ** 2).sum(axis=1)
@@ -71,10 +76,10 @@ def ranks(queries: DataFrame, candidates: DataFrame, measure: str = "cosine") ->
 
 def summary(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """mrr, mean and median rank, and the share of ranks within each k."""
-    return ranked.agg(
-        F.count("*").alias("n"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"),
-        *[F.avg((F.col("rank") <= k).cast("double")).alias(f"top_{k}") for k in ks],
-    )
+    means = ranked.agg(
+        F.count("*").alias("n"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg("rank").alias("mean_rank"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"top_{k}") for k in ks]
+    )
+    return means.join(F.broadcast(numbering.quantiles(ranked, "rank", {"median_rank": 0.5})))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, measure: str = "cosine", exclude_self: bool = True) -> DataFrame:
@@ -117,10 +122,17 @@ def centroids(train: DataFrame, label: str = "label", vector: str = "vector") ->
 
 def centroid_predict(rows: DataFrame, table: DataFrame, weight: float = 0.03, label: str = "label", vector: str = "vector") -> DataFrame:
     """``rows`` (id, ...) with predicted: the label whose centroid has the highest cosine plus
-    ``weight`` times the log of its prior; the smaller label on a tie. Centroids are one row a
-    class and are folded into one array that every worker holds."""
+    ``weight`` times the log of its prior; the smaller label on a tie. Centroids of up to
+    ``MAX_TABLE`` values are folded into one array that every worker holds; beyond, blocks of
+    rows meet blocks of centroids, and each block sends on the best of its own."""
     norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-8))
-    unit = table.select(label, F.transform("centroid", lambda x: x / norm(F.col("centroid"))).alias("c"), (weight * F.log("prior")).alias("b"))
+    unit = cut(table.select(label, F.transform("centroid", lambda x: x / norm(F.col("centroid"))).alias("c"), (weight * F.log("prior")).alias("b")))
+    if (unit.agg(F.sum(F.size("c"))).first()[0] or 0) > MAX_TABLE:
+        coded = cut(numbering.by_order(unit, [], [label]).select(label, F.col("_at").alias("id"), F.array_append("c", F.col("b")).alias("vector")))
+        asked = rows.select("id", F.array_append(F.transform(vector, lambda x: x / norm(F.col(vector))), F.lit(1.0)).alias("vector"))
+        best = top_k(asked, coded, 1, "dot", exclude_self=False).select("id", F.col("candidate").alias("_k"))
+        named = best.join(coded.select(F.col("id").alias("_k"), F.col(label).alias("predicted")), "_k").drop("_k")
+        return rows.join(named, "id", "left")
     packed = unit.agg(F.collect_list(F.struct(label, "c", "b")).alias("_classes"))
     joined = rows.join(F.broadcast(packed)).withColumn("_n", norm(F.col(vector)))
     dot = lambda c: F.aggregate(F.zip_with(c, F.col(vector), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

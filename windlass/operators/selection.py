@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windlass.functions.lineage import cut
 from windlass.operators import numbering
 
 
@@ -34,41 +33,28 @@ def episode_rollup(files: DataFrame, required: list[str]) -> DataFrame:
 
 def size_distribution(rows: DataFrame, value: str) -> DataFrame:
     """min, p05, p25, p50, p75, p95, max and mean; interpolated, rounded half to even, the mean cut."""
-    r = lambda c: F.bround(c).cast("long")
-    return rows.agg(
-        F.min(value).cast("long").alias("min"), *[r(F.percentile(value, F.lit(p))).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)],
-        F.max(value).cast("long").alias("max"), F.floor(F.avg(value)).cast("long").alias("mean"),
-    )
+    ends = rows.agg(F.min(value).cast("long").alias("min"), F.max(value).cast("long").alias("max"), F.floor(F.avg(value)).cast("long").alias("mean"))
+    shares = {f"p{round(100 * p):02d}": p for p in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    middle = numbering.quantiles(rows, value, shares).select(*[F.bround(k).cast("long").alias(k) for k in shares])
+    return ends.join(F.broadcast(middle)).select("min", *shares, "max", "mean")
 
 
 def index_quantiles(rows: DataFrame, value: str) -> DataFrame:
-    """The values at places n/4, n/2 and 3n/4 of the sorted column (from 0), not interpolated.
-
-    Counts by value are summed first and dealt out by ranges of values; running sums are made
-    inside each range, and the sums of the ranges before, a small table, are added.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ranged = cut(counts.repartitionByRange(value).withColumn("_b", F.spark_partition_id()))
-    whole = Window.partitionBy(F.lit(0))
-    before = ranged.groupBy("_b").agg(F.sum("c").alias("_c")).select(
-        F.col("_b").alias("_b2"), (F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("n")
-    )
-    local = ranged.withColumn("_h", F.sum("c").over(Window.partitionBy("_b").orderBy(value)))
-    placed = local.join(before, F.col("_b") == F.col("_b2")).withColumn("_h", F.col("_h") + F.col("_before"))
+    """The values at places n/4, n/2 and 3n/4 of the sorted column (from 0), not interpolated."""
     pick = lambda at: F.min(F.when(F.col("_h") > at, F.col(value)))
     n = F.col("n")
-    return placed.agg(pick(F.floor(n / 4)).alias("q25"), pick(F.floor(n / 2)).alias("q50"), pick(F.floor(3 * n / 4)).alias("q75"), F.max(value).alias("max"))
+    return numbering.running_counts(rows, value).agg(pick(F.floor(n / 4)).alias("q25"), pick(F.floor(n / 2)).alias("q50"), pick(F.floor(3 * n / 4)).alias("q75"), F.max(value).alias("max"))
 
 
 def percentile_filter(rows: DataFrame, value: str, p: float = 0.05, floor: float | None = None) -> DataFrame:
     """``rows`` with ``accepted``: value at least its p-quantile, and at least ``floor``."""
-    least = rows.agg(F.percentile(value, F.lit(p)).alias("_q")).select(F.greatest("_q", F.lit(float(floor or 0))).alias("_q") if floor else "_q")
+    least = numbering.quantiles(rows, value, {"_q": p}).select(F.greatest("_q", F.lit(float(floor or 0))).alias("_q") if floor else "_q")
     return rows.join(F.broadcast(least)).withColumn("accepted", F.col(value) >= F.col("_q")).drop("_q")
 
 
 def size_band(rows: DataFrame, value: str) -> DataFrame:
     """short, lower_mid, upper_mid or long by the quartiles of ``value``, each cut inclusive."""
-    q = rows.agg(*[F.percentile(value, F.lit(p)).alias(f"_q{k}") for k, p in enumerate((0.25, 0.5, 0.75))])
+    q = numbering.quantiles(rows, value, {f"_q{k}": p for k, p in enumerate((0.25, 0.5, 0.75))})
     v = F.col(value)
     band = F.when(v <= F.col("_q0"), "short").when(v <= F.col("_q1"), "lower_mid").when(v <= F.col("_q2"), "upper_mid").otherwise("long")
     return rows.join(F.broadcast(q)).withColumn("size_band", band).drop("_q0", "_q1", "_q2")

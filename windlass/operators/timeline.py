@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from windlass.operators import numbering
+
 
 def by_frame() -> WindowSpec:
     return Window.partitionBy("episode_id").orderBy("frame_idx")
@@ -233,7 +235,7 @@ def motion_energy(windows: DataFrame, values: list[str]) -> DataFrame:
 
 def above_train_median(rows: DataFrame, value: str = "energy") -> DataFrame:
     """1 where ``value`` is at least the median over the train split."""
-    middle = rows.where("split = 'train'").agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    middle = numbering.quantiles(rows.where("split = 'train'"), value, {"_m": 0.5})
     return rows.join(F.broadcast(middle)).withColumn("is_high", (F.col(value) >= F.col("_m")).cast("int")).drop("_m")
 
 

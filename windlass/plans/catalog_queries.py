@@ -198,7 +198,15 @@ SELECT doc_id, CASE WHEN a <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' EL
         lambda s, d: selection.nearest_size(episodes(s, d), "total_bytes", 100000.0, 25, "episode_id").select("episode_id", "total_bytes"),
         SQL_FILES + " SELECT episode_id, total_bytes FROM eps ORDER BY abs(total_bytes - 100000.0), episode_id LIMIT 25",
     ),
-    "pack_batches": (lambda s, d: selection.pack_batches(files(s, d).groupBy("session", "episode_id").agg(F.sum("bytes").alias("bytes")), "session", "episode_id", 250_000, 3), None),
+    "pack_batches": (
+        lambda s, d: selection.pack_batches(files(s, d).groupBy("session", "episode_id").agg(F.sum("bytes").alias("bytes")), "session", "episode_id", 250_000, 3),
+        """WITH RECURSIVE e AS (SELECT o_custkey AS session, l_orderkey AS episode_id, CAST(sum(CAST(l_quantity * 1000 AS BIGINT)) AS BIGINT) AS bytes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY episode_id) AS r FROM e),
+p AS (SELECT session, episode_id, bytes, r, 0::BIGINT AS batch, bytes AS size, 1 AS items FROM n WHERE r = 1
+  UNION ALL SELECT n.session, n.episode_id, n.bytes, n.r, CASE WHEN p.size + n.bytes > 250000 OR p.items >= 3 THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.size + n.bytes > 250000 OR p.items >= 3 THEN n.bytes ELSE p.size + n.bytes END,
+    CASE WHEN p.size + n.bytes > 250000 OR p.items >= 3 THEN 1 ELSE p.items + 1 END FROM p JOIN n ON n.session = p.session AND n.r = p.r + 1)
+SELECT session, episode_id, bytes, batch FROM p""",
+    ),
     "label_families": (
         _families,
         SQL_LABEL + f"SELECT p_partkey, {_sql_family(tx.ACTION_FAMILIES, 'other_fine_action')} AS action_family, {_sql_family(tx.SUBTASK_FAMILIES, 'other_fine_subtask')} AS subtask_family, {_sql_category()} AS category FROM l",
@@ -222,7 +230,12 @@ SELECT doc_id, """
 SELECT conv_id, 'system:21|user:' || length(coalesce(q, '')) || '|assistant:' || length(coalesce(a, '')) AS shape FROM p""",
     ),
     "stable_hash": (_hash, "SELECT doc_id, round(CAST('0x' || sha256('seed:' || doc_id)[1:12] AS BIGINT) / power(16, 12), 9) AS u, sha256('seed:' || doc_id)[1:12] AS h FROM documents"),
-    "formatted_strings": (_strings, None),
+    "formatted_strings": (
+        _strings,
+        """WITH p AS (SELECT p_partkey, p_partkey * p_partkey * 1000 AS n, p_partkey * 37 AS t FROM part), u AS (SELECT *, least(5, greatest(0, CAST(floor(log2(greatest(n, 1)) / 10) AS INTEGER))) AS a FROM p)
+SELECT p_partkey, format('{:,.2f}', n / power(1024.0, a)) || ' ' || ['B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB'][a + 1] AS size, format('{:d}:{:02d}:{:02d}', t // 3600, t // 60 % 60, t % 60) AS took, p_partkey AS number,
+  'a' || lpad(CAST(p_partkey AS VARCHAR), 18, '0') || 'b' || lpad('7', 18, '0') AS sort_key FROM u""",
+    ),
     "relative_rotation": (
         _rotation,
         """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT id, sqrt(list_dot_product(e[1:4], e[1:4])) AS na, sqrt(list_dot_product(e[5:8], e[5:8])) AS nb, e FROM v),

@@ -313,7 +313,19 @@ SELECT c AS "check", CAST(page_id AS VARCHAR) AS key, count(*) AS n FROM b WHERE
         """WITH l AS (SELECT c_custkey AS k, 'same' AS d FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'x' ELSE 'same' END AS d FROM customer WHERE c_custkey % 7 <> 0)
 SELECT coalesce(l.k, r.k) AS c_custkey, CASE WHEN l.k IS NULL THEN 'only_right' WHEN r.k IS NULL THEN 'only_left' ELSE 'differs' END AS state FROM l FULL JOIN r ON l.k = r.k WHERE l.d IS DISTINCT FROM r.d""",
     ),
-    "violation_summary": (_violations, None),
+    "violation_summary": (
+        _violations,
+        SQL_PRED
+        + """, l AS (SELECT source, string_agg(DISTINCT split, '|' ORDER BY split) AS splits FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1), c AS (SELECT split AS k, count(*) AS n FROM p GROUP BY 1),
+w AS (SELECT * FROM (VALUES ('train', 1), ('test', 2), ('val', 0)) w(k, want)), d AS (SELECT doc_id % 900 AS id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT doc_id, unnest(["""
+        + ", ".join(f"CASE WHEN regexp_matches(text, '{x}') THEN '{n}' END" for n, x in quality.FORBIDDEN.items())
+        + """]) AS n FROM documents),
+v AS (SELECT 'split_leak' AS "check", source AS key, splits AS detail FROM l UNION ALL SELECT 'split_count', coalesce(w.k, c.k), coalesce(n, 0) || '/' || coalesce(want, 0) FROM w FULL JOIN c ON c.k = w.k WHERE coalesce(n, 0) <> coalesce(want, 0)
+  UNION ALL SELECT 'duplicate_id', CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM d UNION ALL SELECT 'forbidden_text', CAST(doc_id AS VARCHAR), n FROM f WHERE n IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY key, detail) AS a FROM v)
+SELECT "check", count(*) AS n, string_agg(CASE WHEN a <= 5 THEN key END, '|' ORDER BY key) AS examples FROM r GROUP BY 1""",
+    ),
     "prediction_coverage": (
         _coverage,
         "SELECT covered, count(*) AS n FROM (SELECT conv_id, bool_or(role = 'system') AS covered FROM conversations GROUP BY 1) GROUP BY 1",

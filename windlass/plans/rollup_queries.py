@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import geometry, modalities
 from windlass.functions import text as tx
-from windlass.operators import features, joins, metrics, quality, retrieval, rollups, selection, slices
+from windlass.operators import features, heads, joins, metrics, quality, retrieval, rollups, selection, slices
 from windlass.operators import timeline as t
 from windlass.plans.tables import SQL_BASE, SQL_FRAMES, SQL_MAJORITY, frames, table, vectors
 from windlass.sources import files
@@ -250,6 +250,32 @@ def _sources(s, d):
     return c.select("o_custkey", files.first_source({"local": F.col("local"), "mirror": F.col("mirror"), "hub": F.col("hub")}, 4).alias("source"))
 
 
+def _boundaries(s, d):
+    """Action boundaries as truth; label runs' ends, some frames off, as predictions."""
+    f = frames(s, d)
+    truth = t.boundaries(f).select("episode_id", "frame_idx").distinct()
+    guess = f.where("k % 5 = 1").select("episode_id", (F.col("frame_idx") + F.col("k") % 3).alias("frame_idx")).distinct()
+    return metrics.boundary_matches(truth, guess, 4)
+
+
+def _prior(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.array_distinct(F.array((F.col("doc_id") % 3).cast("string"), (F.col("n_chars") % 11).cast("string"))).alias("true_set"))
+    made = heads.prior_predict(docs.where("doc_id % 4 > 0"), docs.where("doc_id % 4 = 0"), most=5, least=0.1)
+    return made.select("doc_id", F.array_join("predicted_set", "|").alias("predicted"))
+
+
+def _ridge(s, d):
+    rows = vectors(s, d).select("id", F.slice("vector", 1, 1).alias("x"), F.slice("vector", 2, 1).alias("y"))
+    made = heads.ridge_predict(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"), alpha=2.0)
+    return made.select("id", F.round(F.col("predicted")[0], 6).alias("predicted"))
+
+
+def _class_head(s, d):
+    """The classes of vectors by ridge regression on one-hot targets; label codes by first sight."""
+    v = vectors(s, d).where("label is not null").select("id", F.pmod(F.col("label"), F.lit(7)).cast("int").alias("label"), F.col("vector").alias("x"))
+    return heads.ridge_classify(v.where("id % 4 > 0"), v.where("id % 4 = 0"), 7).select("id", "label", "predicted")
+
+
 SQL_MARKS = lambda xs, neg: "concat_ws('|', " + ", ".join(f"CASE WHEN {'NOT ' * neg}contains(html, '{x}') THEN '{x}' END" for x in xs) + ")"
 
 QUERIES = {
@@ -457,4 +483,26 @@ SELECT episode_id, k + turn * 10 AS frame_idx, role AS theme, upper(role) AS act
         _sources,
         """SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 4 THEN 'local' WHEN count(*) FILTER (o_orderstatus = 'O') >= 4 THEN 'mirror' WHEN count(*) >= 4 THEN 'hub' END AS source FROM orders GROUP BY 1""",
     ),
+    "boundary_matches": (
+        _boundaries,
+        f"""WITH RECURSIVE {SQL_FRAMES}, b AS (SELECT episode_id, frame_idx, label, lag(label) OVER w AS before FROM frames WINDOW w AS (PARTITION BY episode_id ORDER BY frame_idx)),
+tr AS (SELECT episode_id, list(DISTINCT frame_idx) AS ts FROM b WHERE label IS NOT NULL AND before IS NOT NULL AND label <> before GROUP BY 1),
+gu AS (SELECT episode_id, list_sort(list(DISTINCT frame_idx + k % 3)) AS gs FROM frames WHERE k % 5 = 1 GROUP BY 1),
+a AS (SELECT coalesce(tr.episode_id, gu.episode_id) AS episode_id, coalesce(ts, []) AS ts, coalesce(gs, []) AS gs FROM tr FULL JOIN gu ON gu.episode_id = tr.episode_id),
+m AS (SELECT episode_id, ts, gs, 1 AS i, []::BIGINT[] AS used, 0::DOUBLE AS gap FROM a
+  UNION ALL SELECT episode_id, ts, gs, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.t) END, gap + coalesce(best.g, 0)
+  FROM (SELECT *, list_sort(list_transform(list_filter(ts, lambda x: abs(x - gs[i]) <= 4 AND NOT list_contains(used, x)), lambda x: struct_pack(g := abs(x - gs[i]), t := x)))[1] AS best FROM m WHERE i <= len(gs)))
+SELECT episode_id, len(ts) AS "true", len(gs) AS predicted, len(used) AS matched, gap AS gap_sum FROM m WHERE i = len(gs) + 1""",
+    ),
+    "prior_head": (
+        _prior,
+        """WITH d AS (SELECT doc_id, unnest(list_distinct([CAST(doc_id % 3 AS VARCHAR), CAST(n_chars % 11 AS VARCHAR)])) AS l FROM documents), c AS (SELECT l, count(*) AS n FROM d WHERE doc_id % 4 > 0 GROUP BY 1 ORDER BY n DESC, l LIMIT 5)
+SELECT doc_id, (SELECT string_agg(l, '|' ORDER BY l) FROM c WHERE n >= 0.1 * (SELECT count(*) FROM documents WHERE doc_id % 4 > 0)) AS predicted FROM documents WHERE doc_id % 4 = 0""",
+    ),
+    "ridge_head": (
+        _ridge,
+        """WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, covar_pop(x, y) AS c FROM v WHERE id % 4 > 0)
+SELECT id, round((x - mx) / sx * (n * c / sx / sy / (n + 2.0)) * sy + my, 6) AS predicted FROM v, s WHERE id % 4 = 0""",
+    ),
+    "ridge_class_head": (_class_head, None),
 }
