@@ -66,31 +66,30 @@ def _matches(text: Column, pattern: str, group: int, kind: int, least: int) -> C
 def peak_entropy(text: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of any ``window`` characters in a row of ``text``.
 
-    One pass: the sum of c * log2(c) over the counts c in the window changes only by the
-    character that enters and the one that leaves, whose counts alone are taken anew. The terms
-    are whole millionths, so nothing drifts. Null for a shorter text.
+    One pass that carries the window's counts by character: the one that enters adds one to its
+    count, the one that leaves takes one off, and the sum of c * log2(c) changes only by these
+    two. The terms are whole millionths, so nothing drifts. Null for a shorter text.
     """
-    terms = F.array(*[F.lit(round(c * math.log2(c) * _SCALE) if c else 0) for c in range(window + 2)])
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("low"))
-
-    def step(chars: Column, acc: Column, p: Column) -> Column:
-        before = F.slice(chars, F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window)))
-        x, y, full = F.get(chars, p), F.get(chars, p - window), p >= window
-        count = lambda c: F.size(F.filter(before, lambda v: v == c))
-        return let(
-            F.struct(F.when(full, count(y)).otherwise(0).alias("leaves"), (count(x) - F.when(full & (x == y), 1).otherwise(0)).alias("enters")),
-            lambda n: let(
-                acc["sum"]
-                - F.when(full, F.get(terms, n["leaves"]) - F.get(terms, n["leaves"] - 1)).otherwise(0)
-                + F.get(terms, n["enters"] + 1)
-                - F.get(terms, n["enters"]),
-                lambda s: F.struct(s.cast("long").alias("sum"), F.when(p >= window - 1, F.least(acc["low"], s.cast("long"))).otherwise(acc["low"]).alias("low")),
-            ),
-        )
+    terms = F.array(*[F.lit(round(c * math.log2(c) * _SCALE) if c else 0).cast("long") for c in range(window + 2)])
+    term = lambda n: F.get(terms, n)
+
+    def step(codes: Column, acc: Column, p: Column) -> Column:
+        full, x, y = p >= window, F.get(codes, p), F.get(codes, p - window)
+        n, m = F.get(acc["counts"], y), F.get(acc["counts"], x) - F.when(full & (x == y), 1).otherwise(0)
+        total = acc["sum"] - F.when(full, term(n) - term(n - 1)).otherwise(0) + term(m + 1) - term(m)
+        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == x, 1).otherwise(0) - F.when(full & (k == y), 1).otherwise(0))
+        return let(total, lambda s: F.struct(s.alias("sum"), F.when(p >= window - 1, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"), counts.alias("counts")))
+
+    def lowest(codes: Column, alphabet: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("low"), F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, lambda acc, p: step(codes, acc, p), lambda acc: acc["low"])
 
     low = let(
         F.split(text, ""),
-        lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, lambda acc, p: step(chars, acc, p), lambda acc: acc["low"]),
+        lambda chars: let(
+            F.array_distinct(chars),
+            lambda alphabet: let(F.transform(chars, lambda c: (F.array_position(alphabet, c) - 1).cast("int")), lambda codes: lowest(codes, alphabet)),
+        ),
     )
     return F.when(F.length(text) >= window, math.log2(window) - low / (_SCALE * window))
 
