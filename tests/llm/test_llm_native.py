@@ -122,6 +122,18 @@ def test_chat_round_trip(spark):
         assert r.formatted.count(chat.END) == len(turns)
 
 
+def test_chat_rows_without_a_conversation_and_long_texts(spark):
+    long = "<|im_end|>x" * 20_000
+    frame = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    out = chat.digest(chat.format_conversations(frame)).collect()
+    assert sorted((r.conv_id or -1, r.n_turns, r.loss_chars) for r in out) == [(-1, 1, 0), (-1, 1, 0), (-1, 1, 1), (7, 1, len(long))]
+    assert next(r for r in out if r.conv_id == 7).loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_secrets_and_rules_of_an_empty_table(spark):
+    assert secrets.digest(secrets.find_secrets(rows(spark, []))).count() == 0 and rules.measure(rows(spark, [])).count() == 0
+
+
 def test_chat_leaves_plain_text_alone(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a < b | c"), (1, 1, "assistant", "fine")], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(frame).first().formatted == "<|im_start|>user\na < b | c<|im_end|>\n<|im_start|>assistant\nfine<|im_end|>\n"

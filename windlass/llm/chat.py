@@ -84,15 +84,16 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE) -> DataFra
     """(conv_id, formatted, turns, loss_spans) per conversation of ``rows`` (conv_id, turn, role,
     text).
 
-    Turns go by ``turn`` (null first), then role and text; rows without a conv_id are one
-    conversation; repeated rows are turns of their own; other columns are not read. The text is
+    Turns go by ``turn`` (null first), then role and text; each row without a conv_id is a
+    conversation of its own; repeated rows are turns of their own; other columns are not read. The text is
     parsed again and compared with the source; if turns that were fine alone do not return
     together, all of that conversation is escaped, which holds no START or END in any body.
     ``loss_spans`` are (start, end) in code points of ``formatted`` over each ``loss_role`` body.
     A conversation is one training sample and so one value; its turns meet in one row.
     """
     turn = F.struct("turn", "role", "text", "rendered")
-    grouped = render_turns(rows).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("source"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = render_turns(rows).withColumn("_alone", alone).groupBy("conv_id", "_alone").agg(F.array_sort(F.collect_list(turn)).alias("source"))
     first = F.array_join(F.transform("source", lambda t: t["rendered"]), "")
     again = F.array_join(F.transform("source", lambda t: render(t["role"], escape(t["text"]))), "")
     tried = grouped.withColumn("_try", F.struct(first.alias("formatted"), parse(first).alias("turns")))
@@ -101,10 +102,12 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE) -> DataFra
     return fixed.select("conv_id", "_fit.formatted", "_fit.turns").withColumn("loss_spans", spans)
 
 
-def digest(formatted: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """The query's columns, read back from the formatted text through its parse."""
+def digest(formatted: DataFrame) -> DataFrame:
+    """The query's columns, read back from the formatted text: the turns through its parse, the
+    text under the loss mask cut out of it by ``loss_spans``."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
+    under = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    lost = F.array_join(under, "")
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
