@@ -56,11 +56,33 @@ def features(text: bytes | None):
 
 
 def _weighted(x, idf):
-    """TF-IDF rows: each view of unit length, so that none drowns the others, then the whole."""
+    """TF-IDF rows, in place: each view of unit length, so that none drowns the others, then the whole."""
     import numpy as np
 
     edges = np.cumsum([0, *VIEWS])
-    return _normal(np.hstack([_normal(x[:, a:b] * idf[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        x[:, a:b] *= idf[a:b]
+        _normal(x[:, a:b])
+    return _normal(x)
+
+
+def packed(counts) -> bytes:
+    """A vector of counts as the places and values that are not zero."""
+    import numpy as np
+
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.float32).tobytes()
+
+
+def unpacked(rows: list[bytes]):
+    """The matrix of packed vectors; what the driver gets is their few terms, not the matrix."""
+    import numpy as np
+
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for k, row in enumerate(rows):
+        n = len(row) // 6
+        out[k, np.frombuffer(row, np.uint16, n)] = np.frombuffer(row[2 * n :], np.float32)
+    return out
 
 
 def _vectors(batches: Iterator) -> Iterator:
@@ -69,7 +91,7 @@ def _vectors(batches: Iterator) -> Iterator:
     for batch in batches:
         values = batch.column(2).cast(pa.binary())
         for at in range(0, len(values), _ROWS):
-            made = [features(x.as_py()).tobytes() for x in values[at : at + _ROWS]]
+            made = [packed(features(x.as_py())) for x in values[at : at + _ROWS]]
             part = batch.slice(at, _ROWS)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["doc_id", "label", "vector"])
 
@@ -90,9 +112,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABEL
 
 
 def _normal(x):
+    """Rows of length one, in place."""
     import numpy as np
 
-    return x / (np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + np.float32(1e-12))
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + np.float32(1e-12)
+    return x
 
 
 def fit(sample: list) -> dict:
@@ -101,9 +125,9 @@ def fit(sample: list) -> dict:
 
     if not sample:
         return {"labels": np.zeros(0, np.float32), "prior": 0.5}
-    x = np.frombuffer(b"".join(s["vector"] for s in sample), np.float32).reshape(len(sample), -1)
+    x = unpacked([s["vector"] for s in sample])
     labels = np.array([s["label"] for s in sample], np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
     x = _weighted(x, idf)
     # Randomised SVD with two power steps, of a matrix whose size the bounds above fix.
     start = np.random.default_rng(3).standard_normal((x.shape[1], DIMS + 8)).astype(np.float32)
@@ -122,7 +146,7 @@ def vote(model: dict, x):
     n = len(model["labels"])
     if not n:
         return np.full(len(x), model["prior"])
-    cos = _normal(_weighted(x, model["idf"]) @ model["project"]) @ model["vectors"].T
+    cos = _normal(_weighted(np.array(x, np.float32), model["idf"]) @ model["project"]) @ model["vectors"].T
     k = min(NEIGHBOURS, n)
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(x), 1))
     weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** SHARPNESS
