@@ -73,6 +73,22 @@ def image_summary(pixels: DataFrame, key: str, x: str, y: str, channels: list[st
     return cells.groupBy(key).agg(*means, *stds, F.transform(F.array_sort(F.collect_list(F.struct("b", "g"))), lambda v: F.round(v["g"], 6)).alias("grid"))
 
 
+def image_edges(pixels: DataFrame, key: str, x: str, y: str, grey: Column, digits: int = 6) -> DataFrame:
+    """Mean and deviation of the horizontal and vertical gradient's magnitude of each image of
+    (key, x, y, ...): half the difference of a pixel's two neighbours, at a border the step to
+    the only one."""
+    cells = pixels.groupBy(key, x, y).agg(F.avg(grey).alias("_g"))
+
+    def slope(along: str, across: str) -> Column:
+        w = Window.partitionBy(key, across).orderBy(along)
+        low, high = F.lag("_g").over(w), F.lead("_g").over(w)
+        return F.coalesce((high - low) / 2, high - F.col("_g"), F.col("_g") - low, F.lit(0.0))
+
+    sloped = cells.withColumn("_x", F.abs(slope(x, y))).withColumn("_y", F.abs(slope(y, x)))
+    r = lambda c, name: F.round(c, digits).alias(name)
+    return sloped.groupBy(key).agg(r(F.avg("_x"), "x_mean"), r(F.avg("_y"), "y_mean"), r(F.stddev_pop("_x"), "x_std"), r(F.stddev_pop("_y"), "y_std"))
+
+
 def audio_levels(samples: DataFrame, key: str, order: str, value: str, digits: int = 6) -> DataFrame:
     """Root mean square, mean magnitude, peak, zero-crossing rate and log energy per key."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
@@ -117,6 +133,63 @@ def spectral_summary(segments: DataFrame, rate: float, bands: int = 16) -> DataF
     return picked.mapInPandas(_spectra(rate, bands), "key long, centroid double, bandwidth double, rolloff double, log_mel array<double>")
 
 
+def mel_triangles(rate: float, size: int, bands: int, low: float = 40.0):
+    """Filters (bands, size // 2 + 1) evenly spaced on the mel scale, each at least a bin wide on
+    either side of its peak and summing to one."""
+    import numpy as np
+
+    last = size // 2
+    scale = lambda hz: 2595 * np.log10(1 + hz / 700)
+    corners = 700 * (10 ** (np.linspace(scale(low), scale(rate / 2), bands + 2) / 2595) - 1)
+    at = np.clip(np.floor((size + 1) * corners / rate), 0, last)
+    left = at[:-2]
+    peak = np.minimum(np.maximum(at[1:-1], left + 1), last)
+    right = np.minimum(np.maximum(at[2:], peak + 1), last + 1)
+    bins = np.arange(last + 1)
+    rise = (bins - left[:, None]) / np.maximum(peak - left, 1)[:, None]
+    fall = (right[:, None] - bins) / np.maximum(right - peak, 1)[:, None]
+    filters = np.where(bins < peak[:, None], rise, fall).clip(0, 1)
+    filters[(bins < left[:, None]) | (bins >= right[:, None])] = 0
+    return filters / np.where(filters.sum(axis=1) < 1e-8, 1, filters.sum(axis=1))[:, None]
+
+
+def _log_mel(rate: float, size: int, hop: int, bands: int):
+    def embed(values, filters):
+        import numpy as np
+
+        x = np.nan_to_num(np.asarray(values, float), nan=0.0, posinf=0.0, neginf=0.0)
+        if not len(x):
+            return np.zeros(9 * bands + 12)
+        whole = np.pad(x, (0, max(0, size - len(x))))
+        frames = np.lib.stride_tricks.sliding_window_view(whole, size)[::hop] * np.hanning(size)
+        mel = np.log1p(np.abs(np.fft.rfft(frames, axis=1)) ** 2 @ filters.T)
+        steps = np.diff(mel, axis=0) if len(mel) > 1 else np.zeros_like(mel)
+        bands_ = [mel.mean(0), mel.std(0), mel.min(0), mel.max(0), *np.percentile(mel, (10, 50, 90), axis=0), steps.mean(0), steps.std(0)]
+        loud, power = np.abs(x), np.mean(x * x)
+        crossings = np.mean(x[1:] * x[:-1] < 0) if len(x) > 1 else 0.0
+        parts = [p.mean() if len(p) else 0.0 for p in np.array_split(loud, 3)]
+        wave = [np.sqrt(power), loud.mean(), loud.std(), loud.max(), crossings, np.log1p(power), *parts, parts[-1] - parts[0], len(x) / rate, len(mel)]
+        return np.concatenate([*bands_, wave])
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        filters = mel_triangles(rate, size, bands)
+        for frame in batches:
+            yield pd.DataFrame({"key": frame["key"], "embedding": [embed(v if v is not None else [], filters) for v in frame["samples"]]})
+
+    return run
+
+
+def log_mel_embedding(segments: DataFrame, rate: float, size: int = 1024, hop: int = 512, bands: int = 64) -> DataFrame:
+    """(key, embedding) of (key, samples array): nine statistics of each of ``bands`` log-mel bands
+    over the frames (mean, deviation, ends, percentiles 10, 50 and 90, mean and deviation of the
+    steps), then twelve of the wave. All zeros without samples. The Fourier transform has no
+    built-in, so it runs in Arrow batches, one row a segment; nothing shuffles."""
+    picked = segments.select(F.col("key").cast("long").alias("key"), F.col("samples").cast("array<double>").alias("samples"))
+    return picked.mapInPandas(_log_mel(rate, size, hop, bands), "key long, embedding array<double>")
+
+
 def block_norms(rows: DataFrame, array: str) -> DataFrame:
     """L2 norm and mean magnitude of an array column, and the norm over the largest norm."""
     norm = F.sqrt(F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

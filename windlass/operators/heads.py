@@ -10,8 +10,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a ridge system that is summed and solved densely, at most.
-MAX_RIDGE = 4096
+from windlass.functions.lineage import cut
+
+#: Columns of a ridge system that is summed and solved densely, at most; wider ones are solved by
+#: rows, of which there may be as many, in blocks of so many columns.
+MAX_RIDGE, COLUMNS, MAX_ROWS = 4096, 256, 4096
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -90,8 +93,8 @@ def ridge_predict(train: DataFrame, test: DataFrame, x: str = "x", y: str = "y",
     penalised bias, deviations under 1e-6 taken as 1.
 
     Each task sends one matrix of the model's size; Spark sums them, and the driver solves the
-    system, so rows stay where they are. (The dual form gives the same solution; it needs all
-    pairs of rows.)
+    system, so rows stay where they are. Beyond ``MAX_RIDGE`` columns the dual form gives the same
+    solution from the products of all pairs of train rows, of which there may then be as many.
     """
     import numpy as np
 
@@ -101,7 +104,7 @@ def ridge_predict(train: DataFrame, test: DataFrame, x: str = "x", y: str = "y",
         return test.withColumn("predicted", F.lit(None).cast("array<double>"))
     p, q = dims
     if p + q > MAX_RIDGE:
-        raise ValueError(f"more than {MAX_RIDGE} columns; reduce them first")
+        return _ridge_by_rows(train, test, x, y, alpha, standardize_y, p)
     parts = train.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")).mapInPandas(_products, "i int, row array<double>")
     cells = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     m = np.zeros((p + q + 1, p + q + 1))
@@ -129,6 +132,69 @@ def ridge_predict(train: DataFrame, test: DataFrame, x: str = "x", y: str = "y",
     return test.mapInPandas(predict, f"{schema}, predicted array<double>")
 
 
+def _chunks(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """(keys, chunk, part): a wide vector's columns in blocks of ``COLUMNS``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / COLUMNS)).cast("int"))
+    return rows.select(*keys, F.explode(F.transform(starts, lambda k: F.struct(k.alias("chunk"), F.slice(F.col(x).cast("array<double>"), k * COLUMNS + 1, COLUMNS).alias("part")))).alias("_c")).select(*keys, "_c.*")
+
+
+def _standard(part):
+    import numpy as np
+
+    mean, std = part.mean(axis=0), part.std(axis=0)
+    return mean, np.where(std < 1e-6, 1.0, std)
+
+
+def _ridge_by_rows(train: DataFrame, test: DataFrame, x: str, y: str, alpha: float, standardize_y: bool, p: int) -> DataFrame:
+    """The dual form: blocks of columns each give their part of the rows' products and, once the
+    system of the rows is solved on the driver, of the weights and of the predictions."""
+    import numpy as np
+    import pandas as pd
+
+    spark = train.sparkSession
+    numbered = cut(train.select(F.col(x).alias("_x"), F.col(y).cast("array<double>").alias("_y")).withColumn("_i", F.monotonically_increasing_id()))
+    targets = numbered.select("_i", "_y").limit(MAX_ROWS + 1).collect()
+    if len(targets) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_RIDGE} columns and {MAX_ROWS} rows; reduce either")
+    place = {r[0]: k for k, r in enumerate(sorted(targets))}
+    ty = np.array([r[1] for r in sorted(targets)])
+    chunks = cut(_chunks(numbered, "_x", ["_i"]))
+    ordered = lambda f: np.stack(f.assign(_k=f["_i"].map(place)).sort_values("_k")["part"].to_numpy())
+
+    def products(frame):
+        z = ordered(frame)
+        mean, std = _standard(z)
+        z = (z - mean) / std
+        return pd.DataFrame({"i": range(len(z)), "row": list(z @ z.T)})
+
+    cells = chunks.groupBy("chunk").applyInPandas(products, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    kernel = np.zeros((len(ty), len(ty)))
+    for i, j, v in cells.collect():
+        kernel[i, j] = v
+    my, sy = _standard(ty)
+    sy = sy if standardize_y else np.ones_like(sy)
+    dual = np.linalg.solve(kernel + alpha * np.eye(len(ty)), (ty - my) / sy)
+
+    def weigh(frame):
+        z = ordered(frame)
+        mean, std = _standard(z)
+        return pd.DataFrame({"chunk": [int(frame["chunk"].iloc[0])], "w": [(((z - mean) / std).T @ dual).ravel()], "mean": [mean], "std": [std]})
+
+    weights = cut(chunks.groupBy("chunk").applyInPandas(weigh, "chunk int, w array<double>, mean array<double>, std array<double>"))
+    asked = cut(test.withColumn("_i", F.monotonically_increasing_id()))
+    q = ty.shape[1]
+
+    def partial(batches: Iterator) -> Iterator:
+        for frame in batches:
+            made = [((np.asarray(a) - m) / s) @ np.reshape(w, (-1, q)) for a, w, m, s in zip(frame["part"], frame["w"], frame["mean"], frame["std"], strict=True)]
+            yield pd.DataFrame({"_i": frame["_i"], "made": made})
+
+    sums = _chunks(asked, x, ["_i"]).join(F.broadcast(weights), "chunk").select("_i", "part", "w", "mean", "std").mapInPandas(partial, "_i long, made array<double>")
+    added = sums.groupBy("_i").agg(*[F.sum(F.col("made")[k]).alias(f"_{k}") for k in range(q)])
+    predicted = F.array(*[F.col(f"_{k}") * float(sy[k]) + float(my[k]) for k in range(q)])
+    return asked.join(added.select("_i", predicted.alias("predicted")), "_i", "left").drop("_i")
+
+
 def ridge_classify(train: DataFrame, test: DataFrame, classes: int, x: str = "x", label: str = "label", alpha: float = 1.0) -> DataFrame:
     """``test`` with predicted: the class whose one-hot target ridge regression rates highest."""
     hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (F.col(label) == k).cast("double"))

@@ -135,7 +135,7 @@ def _scaled(s, d):
 def _image(s, d):
     l = table(s, d, "lineitem").select("l_returnflag", (F.col("l_partkey") % 64).alias("x"), (F.col("l_orderkey") % 64).alias("y"), F.col("l_quantity").alias("r"), (F.col("l_discount") * 100).alias("g"))  # noqa: E741
     m = features.image_summary(l, "l_returnflag", "x", "y", ["r", "g"], 2)
-    return m.select("l_returnflag", "r_mean", "g_mean", "r_std", "g_std", F.col("grid")[0].alias("g0"), F.col("grid")[3].alias("g3"))
+    return m.select("l_returnflag", "r_mean", "g_mean", "r_std", "g_std", *[F.col("grid")[k].alias(f"g{k}") for k in range(4)])
 
 
 QUERIES = {
@@ -267,7 +267,8 @@ SELECT user_id, round(sqrt(avg(x * x)), 6) AS rms, round(avg(abs(x)), 6) AS mean
     "image_summary": (
         _image,
         """WITH p AS (SELECT l_returnflag, l_partkey % 64 AS x, l_orderkey % 64 AS y, l_quantity AS r, l_discount * 100 AS g FROM lineitem)
-SELECT l_returnflag, round(avg(r), 6) AS r_mean, round(avg(g), 6) AS g_mean, round(stddev_pop(r), 6) AS r_std, round(stddev_pop(g), 6) AS g_std, round(avg((r + g) / 2) FILTER (x < 32 AND y < 32), 6) AS g0, round(avg((r + g) / 2) FILTER (x >= 32 AND y >= 32), 6) AS g3 FROM p GROUP BY 1""",
+SELECT l_returnflag, round(avg(r), 6) AS r_mean, round(avg(g), 6) AS g_mean, round(stddev_pop(r), 6) AS r_std, round(stddev_pop(g), 6) AS g_std, round(avg((r + g) / 2) FILTER (x < 32 AND y < 32), 6) AS g0, round(avg((r + g) / 2) FILTER (x >= 32 AND y < 32), 6) AS g1,
+  round(avg((r + g) / 2) FILTER (x < 32 AND y >= 32), 6) AS g2, round(avg((r + g) / 2) FILTER (x >= 32 AND y >= 32), 6) AS g3 FROM p GROUP BY 1""",
     ),
     "train_standardize": (
         _scaled,

@@ -276,6 +276,18 @@ def _class_head(s, d):
     return heads.ridge_classify(v.where("id % 4 > 0"), v.where("id % 4 = 0"), 7).select("id", "label", "predicted")
 
 
+def _edges(s, d):
+    """Vectors as images of eight by eight pixels."""
+    pixels = vectors(s, d).select("id", F.posexplode("vector").alias("at", "grey"))
+    return features.image_edges(pixels.select("id", F.pmod("at", F.lit(8)).alias("x"), F.floor(F.col("at") / 8).alias("y"), "grey"), "id", "x", "y", F.col("grey"))
+
+
+def _mel(s, d):
+    """Vectors as segments of 64 samples."""
+    made = features.log_mel_embedding(vectors(s, d).select(F.col("id").alias("key"), F.col("vector").alias("samples")), 8000.0, 32, 8, 6)
+    return made.select("key", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
 SQL_MARKS = lambda xs, neg: "concat_ws('|', " + ", ".join(f"CASE WHEN {'NOT ' * neg}contains(html, '{x}') THEN '{x}' END" for x in xs) + ")"
 
 QUERIES = {
@@ -505,4 +517,12 @@ SELECT doc_id, (SELECT string_agg(l, '|' ORDER BY l) FROM c WHERE n >= 0.1 * (SE
 SELECT id, round((x - mx) / sx * (n * c / sx / sy / (n + 2.0)) * sy + my, 6) AS predicted FROM v, s WHERE id % 4 = 0""",
     ),
     "ridge_class_head": (_class_head, None),
+    "image_edges": (
+        _edges,
+        """WITH p AS (SELECT vec_id AS id, unnest(range(64)) AS k, unnest(embedding::DOUBLE[]) AS g FROM embeddings), c AS (SELECT id, k % 8 AS x, k // 8 AS y, g FROM p),
+d AS (SELECT id, abs(coalesce((lead(g) OVER r - lag(g) OVER r) / 2, lead(g) OVER r - g, g - lag(g) OVER r)) AS dx, abs(coalesce((lead(g) OVER q - lag(g) OVER q) / 2, lead(g) OVER q - g, g - lag(g) OVER q)) AS dy
+  FROM c WINDOW r AS (PARTITION BY id, y ORDER BY x), q AS (PARTITION BY id, x ORDER BY y))
+SELECT id, round(avg(dx), 6) AS x_mean, round(avg(dy), 6) AS y_mean, round(stddev_pop(dx), 6) AS x_std, round(stddev_pop(dy), 6) AS y_std FROM d GROUP BY 1""",
+    ),
+    "log_mel_embedding": (_mel, None),
 }
