@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from windlass.functions import geometry as g
@@ -86,9 +87,10 @@ def _labels(s, d):
 
 def _messages(s, d):
     c = table(s, d, "conversations")
-    pairs = c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"), F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"))
-    made = pairs.select("conv_id", tx.chat_messages("You describe windows.", F.col("q"), F.coalesce("a", F.lit(""))).alias("m"))
-    return made.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.length(F.coalesce(x["text"], F.lit(""))).cast("string"))), "|").alias("shape"))
+    asked = F.last(F.when(F.col("role") == "user", F.coalesce("text", F.lit(""))), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    pairs = c.withColumn("q", F.coalesce(asked, F.lit(""))).where("role = 'assistant'")
+    made = pairs.select("conv_id", "turn", tx.chat_messages("You describe windows.", F.col("q"), F.coalesce("text", F.lit(""))).alias("m"))
+    return made.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["text"].cast("binary")))), "|").alias("messages"))
 
 
 def _hash(s, d):
@@ -101,15 +103,17 @@ def _strings(s, d):
 
 
 def _rotation(s, d):
-    e = F.col("vector")
-    v = vectors(s, d).select("id", g.unit(F.slice(e, 1, 4)).alias("a"), g.unit(F.slice(e, 5, 4)).alias("b"))
+    """A vector as eight pairs of quaternions."""
+    pairs = vectors(s, d).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pair"), "vector")
+    v = pairs.select("id", "pair", g.unit(F.slice("vector", F.col("pair") * 8 + 1, 4)).alias("a"), g.unit(F.slice("vector", F.col("pair") * 8 + 5, 4)).alias("b"))
     r = g.rotation_vector(g.q_multiply(g.q_inverse(F.col("a")), F.col("b")))
-    return v.select("id", *[F.round(r[k], 6).alias(f"r{k}") for k in range(3)])
+    return v.select("id", "pair", *[F.round(r[k], 6).alias(f"r{k}") for k in range(3)])
 
 
 def _softmax(s, d):
-    v = vectors(s, d).select("id", g.softmax(F.slice("vector", 1, 3)).alias("p"), g.sigmoid(F.col("vector")[0] * 500).alias("q"))
-    return v.select("id", *[F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(3)], F.round("q", 6).alias("q"))
+    v = vectors(s, d).select("id", g.softmax(F.col("vector")).alias("p"), F.transform("vector", lambda x: g.sigmoid(x * 500)).alias("q"))
+    both = v.select("id", F.posexplode(F.arrays_zip("p", "q")).alias("dim", "z"))
+    return both.select("id", "dim", F.round("z.p", 6).alias("p"), F.round("z.q", 6).alias("q"))
 
 
 def _histogram(s, d):
@@ -127,9 +131,9 @@ def _audio(s, d):
 
 
 def _scaled(s, d):
-    v = vectors(s, d).select("id", F.col("vector")[0].alias("x"), F.lit(3.0).alias("flat"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
-    made = features.standardize(v, ["x", "flat"])
-    return made.select("id", F.round("x", 6).alias("x"), F.round("flat", 6).alias("flat"))
+    v = vectors(s, d).select("id", *[F.col("vector")[k].alias(f"x{k}") for k in range(64)], F.lit(3.0).alias("flat"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    made = features.standardize(v, [*[f"x{k}" for k in range(64)], "flat"])
+    return made.select("id", F.round("flat", 6).alias("flat"), F.posexplode(F.array(*[f"x{k}" for k in range(64)])).alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 def _image(s, d):
@@ -226,8 +230,8 @@ SELECT doc_id, """
     ),
     "chat_messages": (
         _messages,
-        """WITH p AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS q, min_by(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1)
-SELECT conv_id, 'system:21|user:' || length(coalesce(q, '')) || '|assistant:' || length(coalesce(a, '')) AS shape FROM p""",
+        """WITH p AS (SELECT conv_id, turn, role, coalesce(text, '') AS a, coalesce(last_value(CASE WHEN role = 'user' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING), '') AS q FROM conversations)
+SELECT conv_id, turn, 'system:' || md5('You describe windows.') || '|user:' || md5(q) || '|assistant:' || md5(a) AS messages FROM p WHERE role = 'assistant'""",
     ),
     "stable_hash": (_hash, "SELECT doc_id, round(CAST('0x' || sha256('seed:' || doc_id)[1:12] AS BIGINT) / power(16, 12), 9) AS u, sha256('seed:' || doc_id)[1:12] AS h FROM documents"),
     "formatted_strings": (
@@ -238,15 +242,15 @@ SELECT p_partkey, format('{:,.2f}', n / power(1024.0, a)) || ' ' || ['B', 'KiB',
     ),
     "relative_rotation": (
         _rotation,
-        """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT id, sqrt(list_dot_product(e[1:4], e[1:4])) AS na, sqrt(list_dot_product(e[5:8], e[5:8])) AS nb, e FROM v),
-q AS (SELECT id, e[1] / na AS a0, -e[2] / na AS a1, -e[3] / na AS a2, -e[4] / na AS a3, e[5] / nb AS b0, e[6] / nb AS b1, e[7] / nb AS b2, e[8] / nb AS b3 FROM u),
-m AS (SELECT id, a0*b0 - a1*b1 - a2*b2 - a3*b3 AS w, a0*b1 + a1*b0 + a2*b3 - a3*b2 AS x, a0*b2 - a1*b3 + a2*b0 + a3*b1 AS y, a0*b3 + a1*b2 - a2*b1 + a3*b0 AS z FROM q),
-f AS (SELECT *, sign(w) * 2 * atan2(sqrt(x*x + y*y + z*z), abs(w)) / sqrt(x*x + y*y + z*z) AS f FROM m) SELECT id, round(x * f, 6) AS r0, round(y * f, 6) AS r1, round(z * f, 6) AS r2 FROM f""",
+        """WITH w AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CAST(unnest(range(8)) AS INTEGER) AS pair FROM embeddings), v AS (SELECT id, pair, e[8 * pair + 1:8 * pair + 8] AS e FROM w), u AS (SELECT id, pair, sqrt(list_dot_product(e[1:4], e[1:4])) AS na, sqrt(list_dot_product(e[5:8], e[5:8])) AS nb, e FROM v),
+q AS (SELECT id, pair, e[1] / na AS a0, -e[2] / na AS a1, -e[3] / na AS a2, -e[4] / na AS a3, e[5] / nb AS b0, e[6] / nb AS b1, e[7] / nb AS b2, e[8] / nb AS b3 FROM u),
+m AS (SELECT id, pair, a0*b0 - a1*b1 - a2*b2 - a3*b3 AS w, a0*b1 + a1*b0 + a2*b3 - a3*b2 AS x, a0*b2 - a1*b3 + a2*b0 + a3*b1 AS y, a0*b3 + a1*b2 - a2*b1 + a3*b0 AS z FROM q),
+f AS (SELECT *, sign(w) * 2 * atan2(sqrt(x*x + y*y + z*z), abs(w)) / sqrt(x*x + y*y + z*z) AS f FROM m) SELECT id, pair, round(x * f, 6) AS r0, round(y * f, 6) AS r1, round(z * f, 6) AS r2 FROM f""",
     ),
     "softmax_sigmoid": (
         _softmax,
-        """WITH v AS (SELECT vec_id AS id, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c, greatest(-40, least(40, embedding[1]::DOUBLE * 500)) AS x FROM embeddings)
-SELECT id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2, round(1 / (1 + exp(-x)), 6) AS q FROM v""",
+        """WITH v AS (SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
+SELECT id, dim, round(exp(x) / sum(exp(x)) OVER (PARTITION BY id), 6) AS p, round(1 / (1 + exp(-greatest(-40, least(40, x * 500)))), 6) AS q FROM v""",
     ),
     "value_histogram": (
         _histogram,
@@ -272,6 +276,7 @@ SELECT l_returnflag, round(avg(r), 6) AS r_mean, round(avg(g), 6) AS g_mean, rou
     ),
     "train_standardize": (
         _scaled,
-        "WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x FROM embeddings), t AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM v WHERE id % 3 <> 0) SELECT id, round((x - m) / s, 6) AS x, 0.0::DOUBLE AS flat FROM v, t",
+        """WITH v AS (SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings), t AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM v WHERE id % 3 <> 0 GROUP BY 1)
+SELECT id, 0.0::DOUBLE AS flat, dim, round((x - m) / s, 6) AS x FROM v JOIN t USING (dim)""",
     ),
 }

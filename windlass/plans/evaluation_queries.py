@@ -83,13 +83,14 @@ def _centroid(s, d):
 
 
 def _forecast(s, d):
-    v = vectors(s, d).select("id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
-    return rounded(retrieval.mean_delta_forecast(v.where("id % 3 <> 0"), v.where("id % 3 = 0"), "x", "y").select("id", "predicted"))
+    """The second half of each vector from its first, place by place."""
+    v = vectors(s, d).select("id", F.posexplode(F.arrays_zip(F.slice("vector", 1, 32).alias("x"), F.slice("vector", 33, 32).alias("y"))).alias("place", "z")).select("id", "place", "z.x", "z.y")
+    return rounded(retrieval.mean_delta_forecast(v.where("id % 3 <> 0"), v.where("id % 3 = 0"), "x", "y").select("id", "place", "predicted"))
 
 
 def _regression(s, d):
-    v = vectors(s, d).select(*[F.col("vector")[k].alias(f"v{k}") for k in range(4)])
-    return rounded(metrics.regression(v, [("v0", "v1"), ("v2", "v3")]))
+    v = vectors(s, d).select(*[F.col("vector")[k].alias(f"v{k}") for k in range(64)])
+    return rounded(metrics.regression(v, [(f"v{k}", f"v{k + 32}") for k in range(32)]))
 
 
 def _joints(s, d):
@@ -112,7 +113,7 @@ def _variants(s, d):
 def _answers(s, d):
     """Model replies from conversations, in the forms that models give them."""
     c = table(s, d, "conversations")
-    word = F.regexp_extract("text", r"([A-Za-z]+)", 1)
+    word = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
     body = F.concat(F.lit('{"action": " '), word, F.lit('. ", "subtask": "", "objects": ["Cup", "cup", "'), word, F.lit('", ""], "contact": "YES", "transition": "no", "next_action": "'), word, F.lit('", "evidence_window": {"start_frame": '), F.col("turn").cast("string"), F.lit("}}"))
     kind = (F.col("conv_id") + F.col("turn")) % 5
     raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Sure: "), body, F.lit(" done."))).when(kind == 3, F.lit("[1, 2]")).otherwise(F.lit("no json"))
@@ -219,9 +220,8 @@ SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, ro
     ),
     "regression_metrics": (
         _regression,
-        """WITH v AS (SELECT e[1] AS a, e[2] AS b, e[3] AS c, e[4] AS d FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings))
-SELECT round((sum(pow(a - b, 2)) + sum(pow(c - d, 2))) / (2 * count(*)), 6) AS mse, round((sum(abs(a - b)) + sum(abs(c - d))) / (2 * count(*)), 6) AS mae,
-round(1 - (sum(pow(a - b, 2)) + sum(pow(c - d, 2))) / (count(*) * (var_pop(a) + var_pop(c))), 6) AS r2 FROM v""",
+        """WITH v AS (SELECT unnest(range(32)) AS k, unnest((embedding::DOUBLE[])[1:32]) AS a, unnest((embedding::DOUBLE[])[33:64]) AS b FROM embeddings), t AS (SELECT k, sum(pow(a - b, 2)) AS s, count(*) * var_pop(a) AS v, sum(abs(a - b)) AS m, count(*) AS n FROM v GROUP BY 1)
+SELECT round(sum(s) / sum(n), 6) AS mse, round(sum(m) / sum(n), 6) AS mae, round(1 - sum(s) / sum(v), 6) AS r2 FROM t""",
     ),
     "joint_position_error": (
         _joints,
@@ -255,8 +255,8 @@ SELECT id, label, predicted FROM (SELECT *, row_number() OVER (PARTITION BY id O
     ),
     "mean_delta_forecast": (
         _forecast,
-        """WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), t AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM v WHERE id % 3 <> 0)
-SELECT id, round((x - mx) / sx * sy + my, 6) AS predicted FROM v, t WHERE id % 3 = 0""",
+        """WITH v AS (SELECT vec_id AS id, CAST(unnest(range(32)) AS INTEGER) AS place, unnest((embedding::DOUBLE[])[1:32]) AS x, unnest((embedding::DOUBLE[])[33:64]) AS y FROM embeddings),
+t AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM v WHERE id % 3 <> 0) SELECT id, place, round((x - mx) / sx * sy + my, 6) AS predicted FROM v, t WHERE id % 3 = 0""",
     ),
     "error_slices": (
         _slices,
@@ -291,7 +291,7 @@ SELECT task, round(base, 6) AS base, round(other, 6) AS other, round(gain, 6) AS
     ),
     "canonical_answers": (
         _canonical,
-        """WITH a AS (SELECT conv_id, turn, regexp_extract(text, '([A-Za-z]+)', 1) AS w, (conv_id + turn) % 5 AS k FROM conversations)
+        """WITH a AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) AS w, (conv_id + turn) % 5 AS k FROM conversations)
 SELECT conv_id, turn, k < 3 AS valid, CASE WHEN k < 3 THEN '{"action":"' || CASE WHEN w = '' THEN 'unknown' ELSE w END || '","contact":"yes","evidence_window":{"start_frame":' || turn || ',"end_frame":0},"next_action":"' || CASE WHEN w = '' THEN 'unknown' ELSE w END
   || '","objects":["Cup"' || CASE WHEN w = '' OR lower(w) = 'cup' THEN '' ELSE ',"' || w || '"' END || '],"subtask":"unknown","transition":"no"}'
   ELSE '{"action":"unknown","contact":"unknown","evidence_window":{"start_frame":0,"end_frame":0},"next_action":"unknown","objects":[],"subtask":"unknown","transition":"unknown"}' END AS answer FROM a""",
