@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm import chat, decontaminate, knn_quality, line_dedup, lm, mixing, oracles, rules, secrets
+from windlass.llm import chat, decontaminate, knn_quality, line_dedup, lm, mixing, oracles, rules, secrets, spelling
 from windlass.llm.common import documents
 from windlass.llm.sharding import shard_documents
 from windlass.llm.simhash import near_duplicates
@@ -67,9 +67,13 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", knn_quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        op1_simhash, op2_lm_scores, op3_sharding, op4_decontamination, op5_secrets, op6_chat, op7_quality_rules, op8_mixing, op9_line_dedup, op10_knn_quality,
+        op1_simhash, op2_lm_scores, op3_sharding, op4_decontamination, op5_secrets, op6_chat, op7_quality_rules, op8_mixing, op9_line_dedup, op10_knn_quality, op13_spelling,
     )
     return {f.__name__: f for f in made}
 
