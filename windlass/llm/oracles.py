@@ -98,3 +98,34 @@ b AS (SELECT r, {counts}, string_agg({label}, ',' ORDER BY start, kind, "end") A
 a AS (SELECT r, string_agg({label}, ',' ORDER BY start, kind, "end") AS s FROM (SELECT r, start, kind, "end" FROM base UNION ALL SELECT * FROM added) GROUP BY 1)
 SELECT doc_id, {", ".join(f"coalesce(n_{x[0]}, 0) AS n_{x[0]}" for x in secrets.BASE)}, sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans
 FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)"""
+
+
+def collocations_sql(min_count: int = 10, top: int = 2000, min_share: int = 50) -> str:
+    """Phrases of two and three words by counting alone."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+g1 AS (SELECT lang, w[i] AS phrase, count(*) AS f FROM spots GROUP BY ALL),
+g2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM spots WHERE i + 1 <= len(w) GROUP BY ALL),
+g3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM spots WHERE i + 2 <= len(w) GROUP BY ALL),
+cuts AS (
+  SELECT g2.lang, g2.x || ' ' || g2.y AS phrase, g2.f AS a, 1 AS k, b.f AS l, c.f AS r
+  FROM g2 JOIN g1 b ON b.lang = g2.lang AND b.phrase = g2.x JOIN g1 c ON c.lang = g2.lang AND c.phrase = g2.y WHERE g2.f >= {min_count}
+  UNION ALL
+  SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || g3.z, g3.f, 1, b.f, c.f
+  FROM g3 JOIN g1 b ON b.lang = g3.lang AND b.phrase = g3.x JOIN g2 c ON c.lang = g3.lang AND c.x = g3.y AND c.y = g3.z WHERE g3.f >= {min_count}
+  UNION ALL
+  SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || g3.z, g3.f, 2, b.f, c.f
+  FROM g3 JOIN g2 b ON b.lang = g3.lang AND b.x = g3.x AND b.y = g3.y JOIN g1 c ON c.lang = g3.lang AND c.phrase = g3.z WHERE g3.f >= {min_count}),
+scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, x || ' ' || y AS phrase, f FROM g3 WHERE f >= {min_count} UNION ALL SELECT lang, y || ' ' || z, f FROM g3 WHERE f >= {min_count}) GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN longer b ON b.lang = w.lang AND b.phrase = w.phrase WHERE b.f IS NULL OR 100 * b.f < {min_share} * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g1 GROUP BY lang)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= {top}"""
