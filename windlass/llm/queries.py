@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm import chat, collocations, decontaminate, knn_quality, line_dedup, lm, mixing, oracles, rules, secrets, spelling
+from windlass.llm import chat, collocations, decontaminate, knn_quality, line_dedup, lm, mixing, oracles, passages, rules, secrets, spelling
 from windlass.llm.common import documents
 from windlass.llm.sharding import shard_documents
 from windlass.llm.simhash import near_duplicates
@@ -71,13 +71,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir)).drop("spans")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        op1_simhash, op2_lm_scores, op3_sharding, op4_decontamination, op5_secrets, op6_chat, op7_quality_rules, op8_mixing, op9_line_dedup, op10_knn_quality, op11_collocations, op13_spelling,
+        op1_simhash, op2_lm_scores, op3_sharding, op4_decontamination, op5_secrets, op6_chat, op7_quality_rules, op8_mixing, op9_line_dedup, op10_knn_quality, op11_collocations, op12_passages, op13_spelling,
     )
     return {f.__name__: f for f in made}
 
