@@ -23,7 +23,7 @@ MIN_COUNT, MAX_WORDS, TOP, MIN_SHARE = 10, 3, 2000, 50
 NO_LANG = "und"
 #: Words that a task counts at once, n-grams that a range holds before counts are summed, n-grams
 #: for which one is a sample of the order, bytes of a bound's word, transducers united at once.
-HELD, RANGE, SAMPLE, BOUND, FAN = 1_500_000, 1_500_000, 4096, 64, 256
+HELD, RANGE, SAMPLE, BOUND, FAN = 1_000_000, 1_000_000, 4096, 64, 256
 #: Parts a language's best rows are first looked for in.
 SALTS = 64
 
