@@ -30,6 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """``df`` dealt to ``parts`` partitions by ``key`` and cut there. What is grouped or joined by
+    ``key`` later is not shuffled again: Spark knows how the cut rows lie, which it doesn't of a
+    plan that is still to be adapted, so that is off for this one job."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, key))
+    finally:
+        spark.conf.set(name, before)
+
+
 def landed(df: DataFrame) -> DataFrame:
     """The same as a Parquet table. Its size is read from the files, so the planner's estimate,
     which a checkpoint hands on and every join multiplies, starts anew: for loops over joins."""
