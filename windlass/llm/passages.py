@@ -17,7 +17,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.llm.common import cut, landed
+from windlass.functions.lineage import cut_by
+from windlass.llm.common import landed
 from windlass.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the hashes that anchor it.
@@ -25,7 +26,7 @@ WIDTH, K = 100, 50
 #: Bytes of text that are handled together, anchors of a bucket, bytes of a shard of suffixes, places
 #: hashed at once, texts that a task remembers, and texts groups an anchor may be in before its
 #: windows are counted one by one.
-TEXTS, ANCHORS, SUFFIXES, SLICE, SEEN, CROWD = 8 << 20, 2_000_000, 6 << 20, 1 << 18, 500_000, 64
+TEXTS, ANCHORS, SUFFIXES, SLICE, SEEN, CROWD = 6 << 20, 2_000_000, 3 << 20, 1 << 18, 500_000, 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -261,11 +262,12 @@ def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
     if not pieces:
         return []
     size = np.array([len(x) for x in pieces], np.int64)
-    raw = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\n".join(pieces) + b"\n\n", np.uint8).astype(np.int16) + 2
     first = np.cumsum(size + 1) - size - 1
-    raw[first + size] = 1
-    values, text = np.unique(raw, return_inverse=True)
-    text = np.append(text + 1, 0)
+    text[first + size] = 1
+    text[-1] = 0
+    present = np.bincount(text) > 0  # numbers without gaps, for the least type
+    text = (np.cumsum(present) - 1).astype(np.uint8 if present.sum() < 256 else np.int16)[text]
     order = suffix_array(text)
     equal = permuted_prefixes(text, order, 1)[order] >= WIDTH
     group = np.cumsum(~equal)
@@ -332,8 +334,9 @@ def _found(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(th, n_removed, n_spans, kept_sha256, spans) of each different text with repeats, at its
     first place."""
     size = firsts.where(F.col("n_bytes") >= WIDTH).agg(F.sum("n_bytes")).first()[0] or 0
-    groups = max(1, -(-size // TEXTS))
-    texts = cut(docs.mapInArrow(_texts(groups), "shard long, doc_id long, th binary, held binary").repartition(groups, "shard"))
+    # No fewer groups than a shuffle has tasks: Spark then leaves the texts where they are.
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXTS))
+    texts = cut_by(docs.mapInArrow(_texts(groups), "shard long, doc_id long, th binary, held binary"), groups, "shard")
     by_group = texts.groupBy("shard")
     buckets = max(1, -(-2 * size // ((WIDTH - K) * ANCHORS)))
     repeated = landed(by_group.applyInArrow(_anchors(buckets), _BUCKETS).groupBy("bucket").applyInArrow(_repeated, _REPEATED))

@@ -14,7 +14,11 @@ STEP = 1 << 15
 
 
 def _smallest(text: np.ndarray, top: int) -> np.ndarray:
-    return text.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64)
+    return text.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int32 if top < 1 << 31 else np.int64)
+
+
+def _kind(n: int) -> type:
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def _put(slots: np.ndarray, edge: np.ndarray, way: int, suffixes: np.ndarray, buckets: np.ndarray) -> None:
@@ -74,7 +78,7 @@ def _scan(slots: np.ndarray, text: np.ndarray, wanted: np.ndarray, char: np.ndar
 
 def _induced(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, char: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes, induced from the leftmost-smaller ones in the order given."""
-    slots = np.full(len(text), -1, np.int64)
+    slots = np.full(len(text), -1, _kind(len(text)))
     tails = starts[1:] - 1
     _put(slots, tails.copy(), -1, lms[::-1], text[lms[::-1]])
     _scan(slots, text, ~smaller, char, starts, 1)
@@ -108,7 +112,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     char = np.repeat(np.arange(top + 1, dtype=text.dtype), np.diff(starts))
     found = _induced(text, smaller, starts, char, lms)
     # Names of the pieces between neighbours, by order; equal pieces share a name.
-    number = np.full(n, -1, np.int64)
+    number = np.full(n, -1, _kind(n))
     number[lms] = np.arange(len(lms))
     ordered = found[number[found] >= 0]
     size = np.append(np.diff(lms) + 1, 1)[number[ordered]]
@@ -119,7 +123,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         same[pairs + 1] = np.logical_and.reduceat(equal, np.cumsum(size[pairs]) - size[pairs])
     names = np.cumsum(~same) - 1
     if same.any():
-        reduced = np.empty(len(lms), np.int64)
+        reduced = np.empty(len(lms), _kind(n))
         reduced[number[ordered]] = names
         ordered = lms[suffix_array(reduced)]
     return _induced(text, smaller, starts, char, ordered)
@@ -133,14 +137,14 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, stop: int) -> np.ndar
     to the next it otherwise loses one.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, _kind(n))
     before[order[1:]] = order[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype=_kind(n))
     known = (before > 0) & (here > 0)
     chained = np.zeros(n, bool)
     chained[known] = (text[here[known] - 1] == text[before[known] - 1]) & (text[here[known] - 1] != stop)
     free = np.flatnonzero(~chained & (before >= 0))
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, _kind(n))
     width, left, done = 16, free, np.zeros(len(free), np.int64)
     padded = np.concatenate([text, np.full(width, stop, text.dtype)])
     while len(left):
