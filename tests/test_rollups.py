@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from windlass.operators import features, heads, metrics, numbering, retrieval, rollups
+from windlass.operators import features, heads, metrics, numbering, retrieval, ridge, rollups
 
 
 def naive_matches(truth, guesses, tolerance):
@@ -71,15 +71,15 @@ def test_image_edges_and_log_mel(spark):
 
 
 def test_wide_ridge_equals_narrow(spark, monkeypatch):
-    """More columns than a summed system may have go the way of rows; the solution is the same."""
+    """More columns than a summed system may have are solved by steps; the solution is the same."""
     rng = np.random.default_rng(5)
     x, y = rng.standard_normal((40, 12)), rng.standard_normal((40, 2))
     x[:, 3] = 1.5
     rows = spark.createDataFrame([(k, x[k].tolist(), y[k].tolist()) for k in range(40)], "id long, x array<double>, y array<double>")
     for standardize in (True, False):
         narrow = {r.id: r.predicted for r in heads.ridge_predict(rows.where("id < 30"), rows, alpha=0.7, standardize_y=standardize).collect()}
-        monkeypatch.setattr(heads, "MAX_RIDGE", 5)
-        monkeypatch.setattr(heads, "COLUMNS", 4)
+        monkeypatch.setattr(ridge, "DIRECT", 5)
+        monkeypatch.setattr(ridge, "WEIGHTS", 12)
         wide = {r.id: r.predicted for r in heads.ridge_predict(rows.where("id < 30"), rows, alpha=0.7, standardize_y=standardize).collect()}
         monkeypatch.undo()
         assert all(np.allclose(narrow[k], wide[k], atol=1e-8) for k in narrow) and len(wide) == 40

@@ -43,11 +43,12 @@ def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table. Its size is read from the files, so the planner's estimate,
+def landed(df: DataFrame, group: int = 128 << 20) -> DataFrame:
+    """The same as a Parquet table, in row groups of about ``group`` bytes (a task that reads large
+    values holds a group of them at once, and so does one that writes them). Its size is read from the files, so the planner's estimate,
     which a checkpoint hands on and every join multiplies, starts anew: for loops over joins."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", group).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

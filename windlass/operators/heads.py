@@ -1,20 +1,13 @@
-"""Fitted heads. A feature matrix is a column of vectors and fitting is pyspark.ml or sums in
-Spark, so rows never meet in one task; what reaches the driver has the size of the model."""
+"""Heads by name: those fitted by descent, ridge and perceptrons, and the frequency prior."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windlass.functions.lineage import cut
-
-#: Columns of a ridge system that is summed and solved densely, at most; wider ones are solved by
-#: rows, of which there may be as many, in blocks of so many columns.
-MAX_RIDGE, COLUMNS, MAX_ROWS = 4096, 256, 4096
+from windlass.operators.descent import multilabel_predict, softmax_predict  # noqa: F401
+from windlass.operators.perceptron import mlp_predict  # noqa: F401
+from windlass.operators.ridge import ridge_classify, ridge_predict  # noqa: F401
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -24,39 +17,6 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(counts.join(F.broadcast(total)), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
-def softmax_predict(train: DataFrame, test: DataFrame, label: str = "label", vector: str = "vector", l2: float = 1e-3, iterations: int = 100) -> DataFrame:
-    """Class-weighted multinomial regression with an L2 penalty on standardised features. ``test``
-    gains predicted (a label code, as in ``label``) and confidence.
-
-    The optimiser is Spark's, over all rows in place; it finds the optimum that full-batch
-    descent goes to, so metrics agree but not to the last digit.
-    """
-    fit = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="weight", family="multinomial", regParam=l2, maxIter=iterations, predictionCol="predicted", probabilityCol="_p", rawPredictionCol="_r")
-    model = fit.fit(class_weights(train, label).withColumn("_x", array_to_vector(vector)).withColumn(label, F.col(label).cast("double")))
-    made = model.transform(test.withColumn("_x", array_to_vector(vector)))
-    return made.withColumn("confidence", F.array_max(vector_to_array("_p"))).withColumn("predicted", F.col("predicted").cast("int")).drop("_x", "_p", "_r")
-
-
-def multilabel_predict(train: DataFrame, test: DataFrame, labels: list[str], true: str = "true_set", vector: str = "vector", threshold: float = 0.5) -> DataFrame:
-    """One weighted logistic model per label; positives weigh by their rarity, clipped to [1, 20].
-    ``test`` gains predicted_set: labels at ``threshold`` or more, or else the likeliest one."""
-    made = test.withColumn("_x", array_to_vector(vector)).withColumn("_s", F.array().cast("array<struct<p:double,l:string>>"))
-    base = train.withColumn("_x", array_to_vector(vector))
-    for name in labels:
-        marked = base.withColumn("_y", F.array_contains(true, name).cast("double"))
-        share = marked.agg(F.avg("_y")).first()[0]
-        if share is None or share in (0.0, 1.0):
-            p = F.lit(float(share or 0.0))
-            made = made.withColumn("_s", F.array_append("_s", F.struct(p.alias("p"), F.lit(name).alias("l"))))
-            continue
-        weight = min(20.0, max(1.0, (1 - share) / share))
-        fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1e-3, predictionCol="_q", probabilityCol="_p", rawPredictionCol="_r")
-        model = fit.fit(marked.withColumn("_w", F.when(F.col("_y") == 1, weight).otherwise(1.0)))
-        made = model.transform(made).withColumn("_s", F.array_append("_s", F.struct(vector_to_array("_p")[1].alias("p"), F.lit(name).alias("l")))).drop("_p", "_q", "_r")
-    over = F.transform(F.filter("_s", lambda s: s["p"] >= threshold), lambda s: s["l"])
-    return made.withColumn("predicted_set", F.when(F.size(over) > 0, over).otherwise(F.array(F.array_max("_s")["l"]))).drop("_x", "_s")
-
-
 def prior_predict(train: DataFrame, test: DataFrame, true: str = "true_set", most: int = 256, least: float = 0.1) -> DataFrame:
     """``test`` with predicted_set: the labels (the ``most`` frequent at most) that at least
     ``least`` of the train rows have."""
@@ -64,140 +24,3 @@ def prior_predict(train: DataFrame, test: DataFrame, true: str = "true_set", mos
     counts = train.select(F.explode(F.array_distinct(true)).alias("l")).groupBy("l").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(most)
     chosen = counts.join(F.broadcast(n)).where(F.col("c") >= least * F.col("_n")).agg(F.array_sort(F.collect_list("l")).alias("predicted_set"))
     return test.join(F.broadcast(chosen))
-
-
-def mlp_predict(train: DataFrame, test: DataFrame, hidden: int = 32, label: str = "label", vector: str = "vector", seed: int = 7) -> DataFrame:
-    """A perceptron with one hidden layer: ``test`` gains predicted."""
-    sizes = train.agg(F.max(F.size(vector)), F.max(label)).first()
-    fit = MultilayerPerceptronClassifier(featuresCol="_x", labelCol=label, layers=[sizes[0], hidden, int(sizes[1]) + 1], seed=seed, maxIter=60, predictionCol="predicted", probabilityCol="_p", rawPredictionCol="_r")
-    model = fit.fit(train.withColumn("_x", array_to_vector(vector)))
-    return model.transform(test.withColumn("_x", array_to_vector(vector))).withColumn("predicted", F.col("predicted").cast("int")).drop("_x", "_p", "_r")
-
-
-def _products(batches: Iterator) -> Iterator:
-    """Of each block of rows (x, y): the upper part of Z'Z for Z = [x, y, 1], row by row."""
-    import numpy as np
-    import pandas as pd
-
-    total = None
-    for frame in batches:
-        if len(frame):
-            z = np.hstack([np.stack(frame["x"].to_numpy()), np.stack(frame["y"].to_numpy()), np.ones((len(frame), 1))])
-            total = z.T @ z if total is None else total + z.T @ z
-    if total is not None:
-        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-
-def ridge_predict(train: DataFrame, test: DataFrame, x: str = "x", y: str = "y", alpha: float = 1.0, standardize_y: bool = True) -> DataFrame:
-    """``test`` with predicted (an array as ``y``): ridge regression on standardised columns with a
-    penalised bias, deviations under 1e-6 taken as 1.
-
-    Each task sends one matrix of the model's size; Spark sums them, and the driver solves the
-    system, so rows stay where they are. Beyond ``MAX_RIDGE`` columns the dual form gives the same
-    solution from the products of all pairs of train rows, of which there may then be as many.
-    """
-    import numpy as np
-
-    spark = train.sparkSession
-    dims = train.select(F.size(x), F.size(y)).first()
-    if dims is None:
-        return test.withColumn("predicted", F.lit(None).cast("array<double>"))
-    p, q = dims
-    if p + q > MAX_RIDGE:
-        return _ridge_by_rows(train, test, x, y, alpha, standardize_y, p)
-    parts = train.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")).mapInPandas(_products, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    m = np.zeros((p + q + 1, p + q + 1))
-    for i, j, v in cells.collect():
-        m[i, j] = v
-    n = m[-1, -1]
-    mean = m[-1, :-1] / n
-    cov = m[:-1, :-1] - n * np.outer(mean, mean)
-    std = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-    std[std < 1e-6] = 1
-    if not standardize_y:
-        std[p:] = 1
-    cov = cov / np.outer(std, std)
-    # Centered columns make the bias column orthogonal to the others, and its own weight zero.
-    w = np.linalg.solve(cov[:p, :p] + alpha * np.eye(p), cov[:p, p:])
-    shared = spark.sparkContext.broadcast((w, mean, std))
-
-    def predict(batches: Iterator) -> Iterator:
-        w, mean, std = shared.value
-        for frame in batches:
-            made = (np.stack(frame[x].to_numpy()) - mean[:p]) / std[:p] @ w * std[p:] + mean[p:] if len(frame) else []
-            yield frame.assign(predicted=list(made))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in test.schema.fields)
-    return test.mapInPandas(predict, f"{schema}, predicted array<double>")
-
-
-def _chunks(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """(keys, chunk, part): a wide vector's columns in blocks of ``COLUMNS``."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / COLUMNS)).cast("int"))
-    return rows.select(*keys, F.explode(F.transform(starts, lambda k: F.struct(k.alias("chunk"), F.slice(F.col(x).cast("array<double>"), k * COLUMNS + 1, COLUMNS).alias("part")))).alias("_c")).select(*keys, "_c.*")
-
-
-def _standard(part):
-    import numpy as np
-
-    mean, std = part.mean(axis=0), part.std(axis=0)
-    return mean, np.where(std < 1e-6, 1.0, std)
-
-
-def _ridge_by_rows(train: DataFrame, test: DataFrame, x: str, y: str, alpha: float, standardize_y: bool, p: int) -> DataFrame:
-    """The dual form: blocks of columns each give their part of the rows' products and, once the
-    system of the rows is solved on the driver, of the weights and of the predictions."""
-    import numpy as np
-    import pandas as pd
-
-    spark = train.sparkSession
-    numbered = cut(train.select(F.col(x).alias("_x"), F.col(y).cast("array<double>").alias("_y")).withColumn("_i", F.monotonically_increasing_id()))
-    targets = numbered.select("_i", "_y").limit(MAX_ROWS + 1).collect()
-    if len(targets) > MAX_ROWS:
-        raise ValueError(f"more than {MAX_RIDGE} columns and {MAX_ROWS} rows; reduce either")
-    place = {r[0]: k for k, r in enumerate(sorted(targets))}
-    ty = np.array([r[1] for r in sorted(targets)])
-    chunks = cut(_chunks(numbered, "_x", ["_i"]))
-    ordered = lambda f: np.stack(f.assign(_k=f["_i"].map(place)).sort_values("_k")["part"].to_numpy())
-
-    def products(frame):
-        z = ordered(frame)
-        mean, std = _standard(z)
-        z = (z - mean) / std
-        return pd.DataFrame({"i": range(len(z)), "row": list(z @ z.T)})
-
-    cells = chunks.groupBy("chunk").applyInPandas(products, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    kernel = np.zeros((len(ty), len(ty)))
-    for i, j, v in cells.collect():
-        kernel[i, j] = v
-    my, sy = _standard(ty)
-    sy = sy if standardize_y else np.ones_like(sy)
-    dual = np.linalg.solve(kernel + alpha * np.eye(len(ty)), (ty - my) / sy)
-
-    def weigh(frame):
-        z = ordered(frame)
-        mean, std = _standard(z)
-        return pd.DataFrame({"chunk": [int(frame["chunk"].iloc[0])], "w": [(((z - mean) / std).T @ dual).ravel()], "mean": [mean], "std": [std]})
-
-    weights = cut(chunks.groupBy("chunk").applyInPandas(weigh, "chunk int, w array<double>, mean array<double>, std array<double>"))
-    asked = cut(test.withColumn("_i", F.monotonically_increasing_id()))
-    q = ty.shape[1]
-
-    def partial(batches: Iterator) -> Iterator:
-        for frame in batches:
-            made = [((np.asarray(a) - m) / s) @ np.reshape(w, (-1, q)) for a, w, m, s in zip(frame["part"], frame["w"], frame["mean"], frame["std"], strict=True)]
-            yield pd.DataFrame({"_i": frame["_i"], "made": made})
-
-    sums = _chunks(asked, x, ["_i"]).join(F.broadcast(weights), "chunk").select("_i", "part", "w", "mean", "std").mapInPandas(partial, "_i long, made array<double>")
-    added = sums.groupBy("_i").agg(*[F.sum(F.col("made")[k]).alias(f"_{k}") for k in range(q)])
-    predicted = F.array(*[F.col(f"_{k}") * float(sy[k]) + float(my[k]) for k in range(q)])
-    return asked.join(added.select("_i", predicted.alias("predicted")), "_i", "left").drop("_i")
-
-
-def ridge_classify(train: DataFrame, test: DataFrame, classes: int, x: str = "x", label: str = "label", alpha: float = 1.0) -> DataFrame:
-    """``test`` with predicted: the class whose one-hot target ridge regression rates highest."""
-    hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (F.col(label) == k).cast("double"))
-    made = ridge_predict(train.withColumn("_y", hot), test, x, "_y", alpha, standardize_y=False)
-    best = F.array_max(F.transform("predicted", lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))
-    return made.withColumn("predicted", -best["k"])
