@@ -45,11 +45,13 @@ def test_unions_and_compositions():
     grams, ours, theirs = one.compose(two)
     assert said(one.labels, grams, ours) == {k: v for k, v in a.items() if k in b}
     assert said(one.labels, grams, theirs) == {k: v for k, v in b.items() if k in a}
-    bounds = [(b"", b""), (b"w1", b""), (b"w1", b"w2"), (b"w3", b"zz"), (b"x", b"y")]
-    grams, counts = one.entries()
-    for g, r in zip(grams.tolist(), automata.range_numbers(one.labels, grams, bounds).tolist(), strict=True):
-        pair = (one.labels[g[0] - 1], one.labels[g[1] - 1] if g[1] else b"")
-        assert r == sum(x <= pair for x in bounds)
+    for bounds in ([], [(b"", b""), (b"w1", b""), (b"w1", b"w2"), (b"w10", b"w1"), (b"w10", b"w3"), (b"w3", b"zz"), (b"x", b"y")]):
+        ranges = {}
+        for k, piece in one.pieces(bounds):
+            ranges[k] = said(piece.labels, *automata.Transducer.load(piece.dump()).entries())
+            assert len(piece.labels) == len({w for g in ranges[k] for w in g})
+        assert {g: c for held in ranges.values() for g, c in held.items()} == a and sum(map(len, ranges.values())) == len(a)
+        assert all(k == sum(x <= (*g, b"")[:2] for x in bounds) for k, held in ranges.items() for g in held)
 
 
 @pytest.fixture(scope="module")

@@ -56,8 +56,8 @@ class Transducer:
         labels, layers = pickle.loads(zstandard.decompress(held))
         return Transducer(labels, [tuple(x.astype(np.int64) for x in a) for a in layers])
 
-    def entries(self) -> Rows:
-        """All n-grams and their counts, in order."""
+    def walk(self) -> Rows:
+        """All n-grams and their counts, shorter ones first."""
         depth = len(self.layers)
         grams, counts = [], []
         prefix, states = np.zeros((1, depth), np.int32), np.zeros(1, np.int64)
@@ -70,7 +70,53 @@ class Transducer:
             counts.append(count[arcs][said])
             on = target[arcs] >= 0
             prefix, states = prefix[on], target[arcs][on]
-        return summed(np.concatenate(grams), np.concatenate(counts), len(self.labels) + 1)
+        return np.concatenate(grams), np.concatenate(counts)
+
+    def entries(self) -> Rows:
+        """All n-grams and their counts, in order."""
+        return summed(*self.walk(), len(self.labels) + 1)
+
+    def pieces(self, bounds: list[tuple[bytes, bytes]]) -> list[tuple[int, Transducer]]:
+        """(range, transducer) of each range of prefixes that it reaches into; ``bounds`` are the first
+        two words, sorted, at which ranges begin. States are shared within a piece as they were."""
+        marks = [(0, 0), *bound_numbers(self.labels, bounds), (len(self.labels) + 1, 0)]
+        made = [(k, self._between(lo, hi)) for k, (lo, hi) in enumerate(zip(marks, marks[1:], strict=False))]
+        return [(k, piece) for k, piece in made if len(piece.layers[0][1])]
+
+    def _between(self, lo: tuple[int, int], hi: tuple[int, int]) -> Transducer:
+        _, label, count, target = self.layers[0]
+        a, b = np.searchsorted(label, lo[0]), np.searchsorted(label, hi[0] + (hi[1] > 0))
+        label, count, target = label[a:b], count[a:b].copy(), target[a:b]
+        states, start = np.unique(target[target >= 0]), self.layers[1][0] if len(self.layers) > 1 else np.zeros(1, np.int64)
+        root = np.where(target >= 0, np.searchsorted(states, target), -1) if len(states) else target
+        held = [start[states], start[states + 1]] if len(states) else [np.zeros(0, np.int64)] * 2
+        # The first words of the bounds keep a part of their second words: a state of its own.
+        for word, second, side in ((lo[0], lo[1], 0), (hi[0], hi[1], 1)):
+            at = np.flatnonzero(label == word)
+            if second and len(at):
+                k = root[at[0]]
+                if side == 0:
+                    count[at[0]] = 0
+                if k >= 0:
+                    first, last = int(held[0][k]), int(held[1][k])
+                    cut = first + int(np.searchsorted(self.layers[1][1][first:last], second))
+                    held[0], held[1] = np.append(held[0], cut if side == 0 else first), np.append(held[1], last if side == 0 else cut)
+                    root[at[0]] = len(held[0]) - 1
+        size = held[1] - held[0]
+        root = np.where((root >= 0) & (size[root] > 0), root, -1) if len(size) else root
+        kept = (count > 0) | (root >= 0)
+        reached = np.unique(root[root >= 0])
+        held, root = [x[reached] for x in held], np.where(root >= 0, np.searchsorted(reached, root), -1)
+        layers = [(np.array([0, kept.sum()]), label[kept], count[kept], root[kept])]
+        for d in range(1, len(self.layers)):
+            size = held[1] - held[0]
+            arcs = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(held[0], size)
+            _, label, count, target = (x[arcs] if k else x for k, x in enumerate(self.layers[d]))
+            states = np.unique(target[target >= 0])
+            layers.append((np.concatenate([[0], np.cumsum(size)]), label, count, np.where(target >= 0, np.searchsorted(states, target), -1) if len(states) else target))
+            held = [self.layers[d + 1][0][states + k] for k in (0, 1)] if len(states) else [np.zeros(0, np.int64)] * 2
+        used = np.unique(np.concatenate([x[1] for x in layers]))
+        return Transducer([self.labels[k - 1] for k in used.tolist()], [(s, np.searchsorted(used, x) + 1, c, t) for s, x, c, t in layers])
 
     def compose(self, other: Transducer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """N-grams that both read, in this one's numbers, with both counts: the two are walked side
@@ -139,18 +185,15 @@ class Builder:
             below[owner[first]] = self._states(d, arcs, first)
 
     def _states(self, d: int, arcs: np.ndarray, first: np.ndarray) -> list[int]:
+        """The states of the runs of ``arcs`` that begin at ``first``; what the register lacks is new."""
         raw, register, width = arcs.tobytes(), self.register[d], arcs.itemsize * 3
         bounds = (np.append(first, len(arcs)) * width).tolist()
-        found, new = [], []
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            state = register.setdefault(raw[a:b], len(register))
-            if state == len(self.sizes[d]) + len(new):
-                new.append(k)
-            found.append(state)
-        size = np.diff(np.append(first, len(arcs)))[new]
-        self.arcs[d].append(arcs[_arcs(np.append(first, len(arcs)), np.array(new, np.int64))[1]])
-        self.sizes[d] += size.tolist()
-        return found
+        runs = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        new = [r for r in dict.fromkeys(runs) if r not in register]
+        register.update(zip(new, range(len(register), len(register) + len(new)), strict=True))
+        self.arcs[d].append(np.frombuffer(b"".join(new), np.int64).reshape(-1, 3))
+        self.sizes[d] += [len(r) // width for r in new]
+        return list(map(register.__getitem__, runs))
 
     def finish(self) -> Transducer:
         layers = []
@@ -186,17 +229,16 @@ def united(parts: list[Transducer]) -> tuple[list[bytes], np.ndarray, np.ndarray
     number = {w: k + 1 for k, w in enumerate(labels)}
     held = []
     for p in parts:
-        grams, counts = p.entries()
+        grams, counts = p.walk()
         held.append((np.array([0, *(number[w] for w in p.labels)], np.int32)[grams], counts))
     return labels, *summed(np.concatenate([g for g, _ in held]), np.concatenate([c for _, c in held]), len(labels) + 1)
 
 
-def range_numbers(labels: list[bytes], grams: np.ndarray, bounds: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """How many of ``bounds``, sorted pairs of first and second word, each n-gram has reached."""
-    held = set(labels)
-    keys = []
+def bound_numbers(labels: list[bytes], bounds: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
+    """The least (first, second) word numbers that reach each of ``bounds``."""
+    found = []
     for first, second in bounds:
-        k = bisect_left(labels, first) + 1
-        keys.append((k << 32) + (0 if first not in held or not second else bisect_left(labels, second) + 1))
-    second = grams[:, 1] if grams.shape[1] > 1 else 0
-    return np.searchsorted(np.array(keys, np.int64), (grams[:, 0].astype(np.int64) << 32) + second, side="right")
+        k = bisect_left(labels, first)
+        known = k < len(labels) and labels[k] == first
+        found.append((k + 1, bisect_left(labels, second) + 1 if known and second else 0))
+    return found

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from windlass.llm.automata import Transducer, built, range_numbers, summed, united
+from windlass.llm.automata import Transducer, built, summed, united
 from windlass.llm.common import landed
 from windlass.operators.numbering import by_order
 
@@ -23,7 +23,7 @@ MIN_COUNT, MAX_WORDS, TOP, MIN_SHARE = 10, 3, 2000, 50
 NO_LANG = "und"
 #: Words that a task counts at once, n-grams that a range holds before counts are summed, n-grams
 #: for which one is a sample of the order, bytes of a bound's word, transducers united at once.
-HELD, RANGE, SAMPLE, BOUND, FAN = 1_000_000, 1_000_000, 4096, 64, 256
+HELD, RANGE, SAMPLE, BOUND, FAN = 1_500_000, 1_000_000, 4096, 64, 512
 #: Parts a language's best rows are first looked for in.
 SALTS = 64
 
@@ -137,13 +137,8 @@ def count_transducers(shards: DataFrame, bounds, min_count: int = MIN_COUNT) ->
 
         for batch in batches:
             for lang, number, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = Transducer.load(held)
-                grams, counts = part.entries()
-                ranges = range_numbers(part.labels, grams, bounds.value.get(lang, []))
-                edges = [*np.flatnonzero(np.diff(ranges, prepend=-1)).tolist(), len(ranges)]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    piece = built(part.labels, grams[a:b], counts[a:b]).dump()
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "range": pa.array([int(ranges[a])], pa.int64()), "piece": pa.array([number], pa.int64()), "held": pa.array([piece], pa.binary())})
+                for k, piece in Transducer.load(held).pieces(bounds.value.get(lang, [])):
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "range": pa.array([k], pa.int64()), "piece": pa.array([number], pa.int64()), "held": pa.array([piece.dump()], pa.binary())})
 
     def unite(last: bool):
         def body(table):
@@ -153,22 +148,18 @@ def count_transducers(shards: DataFrame, bounds, min_count: int = MIN_COUNT) ->
             words = int(counts[(grams[:, 1:] == 0).all(axis=1)].sum())
             kept = counts >= (min_count if last else 1)
             held = built(labels, grams[kept], counts[kept]).dump()
-            return pa.table({"lang": table["lang"][:1], "range": table["range"][:1], "piece": pa.array([table["piece"][0].as_py() // FAN], pa.int64()), "words": pa.array([words], pa.int64()), "held": pa.array([held], pa.binary())})
+            return pa.table({"lang": table["lang"][:1], "range": table["range"][:1], "piece": pa.array([table["group"][0].as_py() if "group" in table.column_names else 0], pa.int64()), "words": pa.array([words], pa.int64()), "held": pa.array([held], pa.binary())})
 
         return body
 
     kinds = "lang string, range long, piece long, held binary"
-    # The id holds the task above 33 bits of the row in it: pieces are numbered without gaps of tasks.
-    row, task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), F.spark_partition_id()
-    numbered = shards.select("lang", "held", row.alias("_r"), task.alias("_p"))
-    most = numbered.agg(F.max("_r"), F.max("_p")).first()
-    tasks = (most[1] or 0) + 1
-    pieces = numbered.select("lang", (F.col("_r") * tasks + F.col("_p")).alias("piece"), "held").mapInArrow(cut_up, kinds)
-    left = ((most[0] or 0) + 1) * tasks
+    pieces = shards.select("lang", F.xxhash64(F.monotonically_increasing_id()).alias("piece"), "held").mapInArrow(cut_up, kinds)
+    left = shards.count()
     while left > FAN:
-        united_kinds = "lang string, range long, piece long, words long, held binary"
-        pieces = landed(pieces.withColumn("group", F.floor(F.col("piece") / FAN)).groupBy("lang", "range", "group").applyInArrow(unite(False), united_kinds)).select("lang", "range", "piece", "held")
         left = -(-left // FAN)
+        united_kinds = "lang string, range long, piece long, words long, held binary"
+        grouped = pieces.withColumn("group", F.pmod("piece", F.lit(left))).groupBy("lang", "range", "group")
+        pieces = landed(grouped.applyInArrow(unite(False), united_kinds)).select("lang", "range", "piece", "held")
     return pieces.groupBy("lang", "range").applyInArrow(unite(True), "lang string, range long, piece long, words long, held binary").drop("piece")
 
 
