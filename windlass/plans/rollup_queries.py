@@ -264,18 +264,6 @@ def _prior(s, d):
     return made.select("doc_id", F.array_join("predicted_set", "|").alias("predicted"))
 
 
-def _ridge(s, d):
-    rows = vectors(s, d).select("id", F.slice("vector", 1, 1).alias("x"), F.slice("vector", 2, 1).alias("y"))
-    made = heads.ridge_predict(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"), alpha=2.0)
-    return made.select("id", F.round(F.col("predicted")[0], 6).alias("predicted"))
-
-
-def _class_head(s, d):
-    """The classes of vectors by ridge regression on one-hot targets; label codes by first sight."""
-    v = vectors(s, d).where("label is not null").select("id", F.pmod(F.col("label"), F.lit(7)).cast("int").alias("label"), F.col("vector").alias("x"))
-    return heads.ridge_classify(v.where("id % 4 > 0"), v.where("id % 4 = 0"), 7).select("id", "label", "predicted")
-
-
 def _edges(s, d):
     """Vectors as images of eight by eight pixels."""
     pixels = vectors(s, d).select("id", F.posexplode("vector").alias("at", "grey"))
@@ -511,12 +499,6 @@ SELECT episode_id, len(ts) AS "true", len(gs) AS predicted, len(used) AS matched
         """WITH d AS (SELECT doc_id, unnest(list_distinct([CAST(doc_id % 3 AS VARCHAR), CAST(n_chars % 11 AS VARCHAR)])) AS l FROM documents), c AS (SELECT l, count(*) AS n FROM d WHERE doc_id % 4 > 0 GROUP BY 1 ORDER BY n DESC, l LIMIT 5)
 SELECT doc_id, (SELECT string_agg(l, '|' ORDER BY l) FROM c WHERE n >= 0.1 * (SELECT count(*) FROM documents WHERE doc_id % 4 > 0)) AS predicted FROM documents WHERE doc_id % 4 = 0""",
     ),
-    "ridge_head": (
-        _ridge,
-        """WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, covar_pop(x, y) AS c FROM v WHERE id % 4 > 0)
-SELECT id, round((x - mx) / sx * (n * c / sx / sy / (n + 2.0)) * sy + my, 6) AS predicted FROM v, s WHERE id % 4 = 0""",
-    ),
-    "ridge_class_head": (_class_head, None),
     "image_edges": (
         _edges,
         """WITH p AS (SELECT vec_id AS id, unnest(range(64)) AS k, unnest(embedding::DOUBLE[]) AS g FROM embeddings), c AS (SELECT id, k % 8 AS x, k // 8 AS y, g FROM p),
