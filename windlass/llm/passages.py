@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes covered by a string of WIDTH bytes that starts earlier, too.
 
 Whole texts are never sorted against each other. Each window of WIDTH bytes belongs to an anchor,
-the least hash of K bytes inside it, so equal windows share their anchor. Anchors that stand
-only once in the corpus have no repeated window; the window runs of the others, with the bytes they
-reach over, meet by anchor in shards. A shard sorts the suffixes of what it holds by induced
+the least hash of ANCHOR bytes inside it, so equal windows share their anchor. Anchors that stand
+only once in the corpus have no repeated window; the windows of the others meet in shards, by the
+least hash of MEETING bytes in them: shorter, so that more windows in a row go to one place, and
+the bytes they reach over are sent there once. A shard sorts the suffixes of what it holds by induced
 sorting, and permuted common prefixes tell which windows are equal, by their bytes.
 """
 
@@ -21,12 +22,12 @@ from windlass.functions.lineage import cut_by
 from windlass.llm.common import landed
 from windlass.llm.suffixes import permuted_prefixes, suffix_array
 
-#: Bytes of a string that counts as repeated, and of the hashes that anchor it.
-WIDTH, K = 100, 50
+#: Bytes of a string that counts as repeated, of the hashes that anchor it, and of those it is dealt by.
+WIDTH, ANCHOR, MEETING = 100, 50, 20
 #: Bytes of text that are handled together, anchors of a bucket, bytes of a shard of suffixes, places
 #: hashed at once, texts that a task remembers, and texts groups an anchor may be in before its
 #: windows are counted one by one.
-TEXTS, ANCHORS, SUFFIXES, SLICE, SEEN, CROWD = 6 << 20, 2_000_000, 3 << 20, 1 << 18, 500_000, 64
+TEXTS, ANCHORS, SUFFIXES, SLICE, SEEN, CROWD = 6 << 20, 2_000_000, 4 << 20, 1 << 18, 500_000, 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -61,13 +62,13 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def window_runs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(text: np.ndarray, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, start, end, again): runs of neighbouring windows that share their anchor; windows
     start from ``start`` to ``end`` - 1, and ``again`` says that the anchor stands in the run more
     than once. Texts are taken in slices that overlap by a window."""
-    made, reach = [], WIDTH - K + 1
+    made, reach = [], WIDTH - k + 1
     for at in range(0, len(text) - WIDTH + 1, SLICE):
-        own = hashes(text[at : at + SLICE + WIDTH - 1], K)
+        own = hashes(text[at : at + SLICE + WIDTH - 1], k)
         least = _least(own, reach)
         first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         end, anchor, inside = np.append(first[1:], len(least)), least[first], sliding_window_view(own, reach)
@@ -213,9 +214,9 @@ def _crowded_windows(buckets: int):
 
 
 def _contexts(shards: int):
-    """Rows (bucket, shard, ...): of each run of windows that may repeat its place and bytes, for the
-    shard of suffixes that its anchor belongs to; a run of the same bytes earlier in this group
-    of texts settles it, and such runs come back as bucket -1."""
+    """Rows (bucket, shard, ...): of each run of windows that may repeat, its place and bytes for the
+    shard of suffixes it is dealt to; a run of the same bytes earlier in this group of texts
+    settles it, and such runs come back as bucket -1."""
 
     def body(table, said):
         import pyarrow as pa
@@ -226,21 +227,20 @@ def _contexts(shards: int):
         held, seen, copies, made = _Shard(table), set(), [], {}
         for k, text in enumerate(held.texts if len(repeated) else ()):
             anchor, start, end, _ = window_runs(text)
-            kept = _in(anchor, repeated)
-            hot = _in(anchor, crowded).tolist()
-            raw = text.tobytes()
-            for x in np.flatnonzero(kept).tolist():
-                pieces = [(int(start[x]), int(end[x]))]
-                if hot[x]:  # only those of its windows that stand elsewhere as well
-                    again = np.flatnonzero(np.diff(np.concatenate([[False], _in(_whole_windows(text, *pieces[0]), windows), [False]]).astype(np.int8)))
-                    pieces = [(pieces[0][0] + a, pieces[0][0] + b) for a, b in again.reshape(-1, 2).tolist()]
-                for a, b in pieces:
+            kept = np.repeat(_in(anchor, repeated), end - start)
+            for x in np.flatnonzero(_in(anchor, crowded)).tolist():  # only those that stand elsewhere as well
+                kept[start[x] : end[x]] = _in(_whole_windows(text, int(start[x]), int(end[x])), windows)
+            for first, last in _spans(kept).tolist():
+                raw = text[first : last + WIDTH - 1]
+                meeting, start_, end_, _ = window_runs(raw, MEETING)
+                raw = raw.tobytes()
+                for place, a, b in zip((meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), strict=True):
                     bytes_ = raw[a : b + WIDTH - 1]
                     if bytes_ in seen:
-                        copies.append((k, a, b + WIDTH - 1))
+                        copies.append((k, first + a, first + b + WIDTH - 1))
                     else:
                         seen.add(bytes_)
-                        made.setdefault(int(anchor[x]) % shards, []).append((k, a, bytes_))
+                        made.setdefault(place, []).append((k, first + a, bytes_))
         shard = table["shard"][0].as_py() if len(table) else 0
         out = [(-1, shard, _packed(np.array(copies, np.int64).reshape(-1, 3)), b"", b"", b"")]
         for bucket, rows in made.items():
@@ -338,14 +338,15 @@ def _found(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXTS))
     texts = cut_by(docs.mapInArrow(_texts(groups), "shard long, doc_id long, th binary, held binary"), groups, "shard")
     by_group = texts.groupBy("shard")
-    buckets = max(1, -(-2 * size // ((WIDTH - K) * ANCHORS)))
+    buckets = max(1, -(-2 * size // ((WIDTH - ANCHOR) * ANCHORS)))
     repeated = landed(by_group.applyInArrow(_anchors(buckets), _BUCKETS).groupBy("bucket").applyInArrow(_repeated, _REPEATED))
     n, crowded = repeated.agg(F.sum("n"), F.sum("n_crowded")).first()
     said = repeated.withColumn("kind", F.lit(0))
     if crowded:
         windows = by_group.cogroup(repeated.groupBy("shard")).applyInArrow(_crowded_windows(buckets), _BUCKETS)
         said = said.unionByName(landed(windows.groupBy("bucket").applyInArrow(_repeated, _REPEATED)).withColumn("kind", F.lit(1)))
-    shards = max(1, -(-(n or 0) * 3 * WIDTH // (2 * SUFFIXES)))
+    # A run of windows is about half of what may share a hash, and reaches over a window more.
+    shards = max(1, -(-(n or 0) * (WIDTH - ANCHOR) * 2 * WIDTH // ((WIDTH - MEETING) * SUFFIXES)))
     contexts = landed(by_group.cogroup(said.groupBy("shard")).applyInArrow(_contexts(shards), _CONTEXTS))
     sorted_ = contexts.where("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_shard, "shard long, spans binary")
     spans = contexts.where("bucket < 0").select("shard", F.col("places").alias("spans")).unionByName(sorted_)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Slots that a scan tries to take in one step.
-STEP = 1 << 15
+#: Slots that a scan tries to take in one step, and the length up to which ranks are doubled instead.
+STEP, SHORT = 1 << 15, 1 << 14
 
 
 def _smallest(text: np.ndarray, top: int) -> np.ndarray:
@@ -95,11 +95,26 @@ def _pieces(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """Suffixes of a short text by sorting pairs of ranks, twice as far apart each time."""
+    rank, reach, n = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, len(text)
+    while True:
+        later = np.full(n, -1, np.int64)
+        later[: n - reach] = rank[reach:]
+        key = rank * (n + 1) + later + 1
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[False], key[order][1:] != key[order][:-1]]))
+        if rank[order[-1]] == n - 1:
+            return order
+        reach *= 2
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of ``text`` in order. Its last number must be 0 and the only one."""
     n = len(text)
-    if n < 3:
-        return np.arange(n)[::-1].copy()
+    if n <= SHORT:
+        return _doubled(text)
     top = int(text.max())
     text = _smallest(text, top)
     # A suffix is smaller than the next if the next different number to its right is larger.
