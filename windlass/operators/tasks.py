@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from windlass.functions.lineage import landed
 from windlass.operators import descent, metrics, retrieval, ridge
 
-TRAIN, TEST = F.lit("train"), F.lit("test")
+TRAIN, TEST = "train", "test"
 
 
 def measures(one: DataFrame) -> DataFrame:

@@ -145,9 +145,10 @@ def next_window(windows: DataFrame, horizon: int = 1) -> DataFrame:
 def near_boundary(windows: DataFrame, bounds: DataFrame, tolerance: int = 10) -> DataFrame:
     """Windows with 1 where a boundary lies within ``tolerance`` frames of the center, else 0.
 
-    Both sides meet on buckets of ``tolerance`` frames, so the join is an equality.
+    Both sides meet on buckets of ``tolerance`` frames (one, for a tolerance of 0), so the join is
+    an equality.
     """
-    bucket = lambda c: F.floor(c / tolerance)
+    bucket = lambda c: F.floor(c / max(1, tolerance))
     keyed = windows.withColumn("_b", F.explode(F.array(*[bucket(F.col("center_frame")) + d for d in (-1, 0, 1)])))
     marks = bounds.select(F.col("episode_id").alias("_e"), F.col("frame_idx").alias("_f"), bucket(F.col("frame_idx")).alias("_k"))
     close = keyed.join(marks, (keyed["episode_id"] == marks["_e"]) & (keyed["_b"] == marks["_k"]) & (F.abs(keyed["center_frame"] - marks["_f"]) <= tolerance), "left_semi")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windlass.plans import catalog_queries, evaluation_queries, head_queries, report_queries, rollup_queries, timeline_queries
+from windlass.plans import catalog_queries, evaluation_queries, head_queries, report_queries, rollup_queries, task_queries, timeline_queries
 
-_ALL: dict = {**timeline_queries.QUERIES, **evaluation_queries.QUERIES, **catalog_queries.QUERIES, **report_queries.QUERIES, **rollup_queries.QUERIES, **head_queries.QUERIES}
+_ALL: dict = {**timeline_queries.QUERIES, **evaluation_queries.QUERIES, **catalog_queries.QUERIES, **report_queries.QUERIES, **rollup_queries.QUERIES, **head_queries.QUERIES, **task_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
