@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windlass.operators import retrieval, selection
 
 
-def test_packing_streams_and_quantiles_are_dealt_out(spark):
+def test_packing_and_quantiles_are_dealt_out(spark):
     rng = random.Random(2)
     rows = [("hot" if k % 3 else f"s{k % 7}", k, rng.randint(0, 40)) for k in rng.sample(range(3000), 3000)]
     packed = selection.pack_batches(spark.createDataFrame(rows, "session string, at long, bytes long"), "session", "at", 100, 5)
@@ -21,7 +21,11 @@ def test_packing_streams_and_quantiles_are_dealt_out(spark):
         want[group, at, b] = batch
     assert {(r.session, r.at, r.bytes): r.batch for r in packed.collect()} == want
     plan = packed._jdf.queryExecution().toString()
-    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    assert "InPandas" not in plan and "hashpartitioning(session" not in plan  # no task holds a group
+    null = spark.createDataFrame([(None, 1, 60), (None, 2, None), (None, 3, 50), (None, None, 7), ("a", 1, 500), ("a", 2, 1)], "session string, at long, bytes long")
+    found = sorted(tuple(map(str, r)) for r in selection.pack_batches(null, "session", "at", 100, 5).collect())
+    assert found == sorted([("None", "1", "60", "0"), ("None", "2", "None", "0"), ("None", "3", "50", "1"), ("None", "None", "7", "1"), ("a", "1", "500", "0"), ("a", "2", "1", "1")])
+    assert selection.pack_batches(null.limit(0), "session", "at", 100, 5).count() == 0
 
     values = [rng.randint(0, 5000) for _ in range(4001)]
     frame = spark.createDataFrame([(v,) for v in [*values, None]], "v long")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windlass.operators import scans
 from windlass.operators.timeline import window_members
 
 
@@ -30,29 +31,38 @@ def temporal_stats(frames: DataFrame, width: int = 20, stride: int = 5, value: s
     )
 
 
+QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
 def cloud_summary(points: DataFrame, key: str, axes: list[str], digits: int = 6) -> DataFrame:
-    """Per key and axis: mean, std, min, max, p10, p50, p90 (interpolated), and log1p of the size."""
+    """Per key and axis: mean, std, min, max, p10, p50, p90 (interpolated), and log1p of the size.
+    Quantiles come from counts by ranges of (key, axis, value), so a key with all points is many tasks."""
     r = lambda c, name: F.round(c, digits).alias(name)
     each = []
     for a in axes:
         each += [r(F.avg(a), f"{a}_mean"), r(F.stddev_pop(a), f"{a}_std"), r(F.min(a), f"{a}_min"), r(F.max(a), f"{a}_max")]
-        each += [r(F.percentile(a, F.lit(p)), f"{a}_p{round(100 * p)}") for p in (0.1, 0.5, 0.9)]
-    return points.groupBy(key).agg(*each, r(F.log1p(F.count("*")), "log_n"))
+    sums = points.groupBy(key).agg(*each, r(F.log1p(F.count("*")), "log_n"))
+    long = points.select(key, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in axes])).alias("s")).select(key, "s.axis", "s.v")
+    found = scans.grouped_quantiles(long, [key, "axis"], "v", QUANTILES)
+    wide = found.groupBy(F.col(key).alias("_k")).agg(*[r(F.max(F.when(F.col("axis") == a, F.col(p))), f"{a}_{p}") for a in axes for p in QUANTILES])
+    return sums.join(wide, sums[key].eqNullSafe(wide["_k"]), "left").drop("_k").select(key, *[f"{a}_{p}" for a in axes for p in ("mean", "std", "min", "max", *QUANTILES)], "log_n")
 
 
 def depth_summary(pixels: DataFrame, key: str, depth: str, confidence: str, digits: int = 6) -> DataFrame:
     """Stats of the finite depths above zero, their share, and of the confidence, which is
-    divided by 255 where its maximum is above one."""
+    divided by 255 where its maximum is above one. Quantiles are made as for clouds."""
     ok = ~F.isnan(depth) & (F.abs(depth) != float("inf")) & (F.col(depth) > 0)
     v = F.when(ok, F.col(depth))
     r = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), digits).alias(name)
     scale = F.when(F.max(confidence) > 1, 255.0).otherwise(1.0)
-    return pixels.groupBy(key).agg(
+    sums = pixels.groupBy(key).agg(
         r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), r(F.min(v), "min"), r(F.max(v), "max"),
-        *[r(F.percentile(v, F.lit(p)), f"p{round(100 * p)}") for p in (0.1, 0.5, 0.9)],
         r(F.avg(F.when(ok, 1.0).otherwise(0.0)), "valid_share"),
         r(F.avg(confidence) / scale, "conf_mean"), r(F.stddev_pop(confidence) / scale, "conf_std"), r(F.min(confidence) / scale, "conf_min"), r(F.max(confidence) / scale, "conf_max"),
     )
+    found = scans.grouped_quantiles(pixels.select(key, v.cast("double").alias("v")), [key], "v", QUANTILES).withColumnRenamed(key, "_k")
+    met = sums.join(found, sums[key].eqNullSafe(found["_k"]), "left")
+    return met.select(sums[key], "mean", "std", "min", "max", *[r(F.col(p), p) for p in QUANTILES], "valid_share", "conf_mean", "conf_std", "conf_min", "conf_max")
 
 
 def value_histogram(rows: DataFrame, key: str, value: str, low: float, high: float, bins: int = 8) -> DataFrame:

@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windlass.operators import scans
+
 
 def asof_forward(queries: DataFrame, table: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Each query (key, at) with ``value`` of the first row at or after it, or of the key's last
-    row if there is none. One sort of both sides by key and time replaces the range join."""
-    q = queries.select("*", F.lit(None).cast(table.schema[value].dataType).alias(value), F.lit(1).alias("_q"))
-    t = table.select(key, at, value, F.lit(0).alias("_q"))
-    w = Window.partitionBy(key).orderBy(F.col(at), F.col("_q"))
-    both = q.unionByName(t, allowMissingColumns=True)
-    # Rows of the table at the query's own time sort before it, so both directions are looked at.
-    same = Window.partitionBy(key, at)
-    later = F.first(F.when(F.col("_q") == 0, F.col(value)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    last = F.last(F.when(F.col("_q") == 0, F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    equal = F.min(F.when(F.col("_q") == 0, F.col(value))).over(same)
-    found = both.withColumn("_v", F.coalesce(equal, later, last)).where("_q = 1")
-    return found.drop(value, "_q").withColumnRenamed("_v", value)
+    """Each query (key, at) with ``value`` of the first row at or after it (the smallest of those at
+    one time), or of the key's last row if there is none. Both sides are laid out by key and time
+    in ranges, so a key's rows are many tasks, and what is next is carried over the ranges."""
+    q = queries.select("*", F.lit(None).cast(table.schema[value].dataType).alias(value), F.lit(0).alias("_q"))
+    both = q.unionByName(table.select(key, at, value, F.lit(1).alias("_q")), allowMissingColumns=True)
+    found = scans.carry(both, [key], [at, "_q", value], {"_last": value}, {"_next": value}).where("_q = 0")
+    return found.withColumn(value, F.coalesce("_next", "_last")).drop("_q", "_next", "_last")
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -32,24 +28,20 @@ def nearest_window(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     with the larger overlap, then the first. Adds source_index, source_start, source_end, kind,
     center_distance, overlap_frames and its shares of both.
 
-    The nearest is the last one centered at or before, or the first one after: two running
-    values over both kinds in order of their centers, instead of a join of all pairs. Of windows
-    with one center the widest overlaps most and starts first.
+    The nearest is the last one centered at or before, or the first one after: two values carried
+    over both kinds in ranges of their centers, instead of a join of all pairs; an episode is as
+    many tasks as its rows fill. Of windows with one center the widest overlaps most and starts first.
     """
     twice = F.col("start_frame") + F.col("end_frame")
     spot = F.struct(F.col("window_index").alias("index"), F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
     s = sparse.withColumn("_c", twice).groupBy("episode_id", "_c").agg(F.min_by(spot, F.struct("start_frame", "window_index")).alias("_s"))
     both = dense.withColumn("_c", twice).withColumn("_q", F.lit(1)).unionByName(s.withColumn("_q", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("episode_id").orderBy("_c", "_q")
-    before = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-
     def ranked(x: Column) -> Column:
         gap = F.abs(x["start"] + x["end"] - F.col("_c")) / 2.0
         less = -overlap(F.col("start_frame"), F.col("end_frame"), x["start"], x["end"])
         return F.when(x.isNotNull(), F.struct(gap.alias("gap"), less.alias("less"), x["start"].alias("source_start"), x["index"].alias("source_index"), x["end"].alias("source_end")))
 
-    placed = both.withColumn("_before", before).withColumn("_after", after).where("_q = 1")
+    placed = scans.carry(both, ["episode_id"], ["_c", "_q"], {"_before": "_s"}, {"_after": "_s"}).where("_q = 1")
     found = placed.withColumn("b", F.least(ranked(F.col("_before")), ranked(F.col("_after")))).where("b is not null")
     kind = (
         F.when((F.col("b.source_start") == F.col("start_frame")) & (F.col("b.source_end") == F.col("end_frame")), "exact_sparse_window")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windlass.operators import numbering
+from windlass.functions.lineage import landed
+from windlass.operators import numbering, scans
 
 
 def stable_hash(seed: str, key: Column) -> Column:
@@ -141,34 +140,41 @@ def balanced_pick(rows: DataFrame, quota: int, band: str = "size_band", session:
     return rows.sparkSession.createDataFrame(picked, rows.schema)
 
 
-def _packer(max_bytes: int, max_items: int):
-    def pack(batches: Iterator) -> Iterator:
-        """Rows sorted by group and order, with their batch; only the open batch is held."""
-        import pyarrow as pa
-
-        now = batch = size = items = None
-        for part in batches:
-            numbers = []
-            for group, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                if items is None or group != now:
-                    now, batch, size, items = group, 0, 0, 0
-                if items and (size + b > max_bytes or items >= max_items):
-                    batch, size, items = batch + 1, 0, 0
-                size, items = size + b, items + 1
-                numbers.append(batch)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int64())], names=[*part.schema.names, "batch"])
-
-    return pack
-
-
 def pack_batches(rows: DataFrame, group: str, order: str, max_bytes: int, max_items: int) -> DataFrame:
     """``batch``: rows (group, order, bytes) of each group in order, a new batch where the next
-    would pass either bound. Each batch starts where the one before ended, so a group is one
-    task, but it streams through in Spark's sorted order and is never held whole."""
+    would pass either bound; a row that passes it alone is a batch. Null bytes count as 0.
+
+    Where the batch that a row begins would end is the first row whose running sum of bytes passes
+    the row's own by the bound, carried back from later rows. Which rows do begin one follows from
+    the first of each group by doubling: each round knows the rows twice as many batches ahead. No
+    step needs the rows of a group together; the rounds grow with the logarithm of its batches.
+    """
     picked = rows.select(group, order, F.col("bytes").cast("long").alias("bytes"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields) + ", batch long"
-    dealt = picked.repartition(group).sortWithinPartitions(F.col(group), F.col(order).asc_nulls_last(), "bytes")
-    return dealt.mapInArrow(_packer(max_bytes, max_items), schema)
+    place = [F.col(group), F.col(order).asc_nulls_last(), F.col("bytes")]
+    numbered = landed(numbering.by_order(picked, [], place).drop("_n").withColumnRenamed("_at", "_i"))
+    size = F.coalesce("bytes", F.lit(0).cast("long"))
+    summed = scans.running(numbered, [], ["_i"], {"_sum": size}).drop("_at")
+    first = numbered.groupBy(group).agg(F.min("_i").alias("_start")).select("_start")
+    marked = summed.join(first, summed["_i"] == first["_start"], "left")
+    marked = landed(scans.carry(marked, [], ["_i"], following={"_group_end": "_start"}))
+    # Thresholds and sums in one order: what follows a threshold is the first row that passes it.
+    asked = marked.select((F.col("_sum") - size + max_bytes).alias("at"), F.lit(1).alias("_q"), F.col("_i").alias("_from"), F.lit(None).cast("long").alias("to"))
+    held = marked.select(F.col("_sum").alias("at"), F.lit(0).alias("_q"), F.lit(None).cast("long").alias("_from"), F.col("_i").alias("to"))
+    passed = scans.carry(asked.unionByName(held), [], ["at", "_q", F.coalesce("to", "_from")], following={"_passed": "to"}).where("_q = 1").select("_from", "_passed")
+    end = F.least("_passed", "_group_end", F.col("_i") + max_items)
+    jumps = landed(marked.join(passed, marked["_i"] == passed["_from"]).select("_i", F.greatest(end, F.col("_i") + 1).alias("_to")))
+    starts = landed(marked.where("_start is not null").select("_i"))
+    while True:
+        ahead = starts.join(jumps, "_i").select(F.col("_to").alias("_i"))
+        more = landed(starts.union(ahead.join(marked.select("_i"), "_i", "left_semi")).distinct())
+        if more.count() == starts.count():
+            break
+        on = jumps.select(F.col("_i").alias("_j"), F.col("_to").alias("_k"))
+        starts, jumps = more, landed(jumps.join(on, F.col("_to") == F.col("_j")).select("_i", F.col("_k").alias("_to")))
+    begun = marked.join(starts.withColumn("_begins", F.lit(1)), "_i", "left")
+    counted = scans.running(begun, [], ["_i"], {"_b_no": F.coalesce("_begins", F.lit(0)).cast("long")}).drop("_at")
+    base = scans.carry(counted.withColumn("_v", F.when(F.col("_start").isNotNull(), F.col("_b_no"))), [], ["_i"], {"_base": "_v"})
+    return base.select(group, order, "bytes", (F.col("_b_no") - F.col("_base")).alias("batch"))
 
 
 def nearest_size(rows: DataFrame, value: str, target: float, n: int, tie: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from windlass.operators import numbering
+from windlass.operators import numbering, scans
 
 
 def by_frame() -> WindowSpec:
@@ -241,8 +241,9 @@ def above_train_median(rows: DataFrame, value: str = "energy") -> DataFrame:
 
 
 def carried_forward(frames: DataFrame, value: str) -> DataFrame:
-    """``value`` with nulls replaced by the last one before that is not."""
-    return frames.withColumn(value, F.last(value, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0)))
+    """``value`` with nulls replaced by the last one before that is not, carried over ranges of
+    frames, so that an episode is many tasks."""
+    return scans.carry(frames, ["episode_id"], ["frame_idx"], {"_kept": value}).withColumn(value, F.col("_kept")).drop("_kept")
 
 
 def ego_motion(frames: DataFrame, vector: str = "vector", ahead: int = 4) -> DataFrame:
