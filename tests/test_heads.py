@@ -146,3 +146,28 @@ def test_perceptrons_learn_what_lines_cannot(spark, monkeypatch, learner):
     assert (error**2).sum() < 0.25 * ((values[::5] - values[::5].mean(axis=0)) ** 2).sum()
     again = perceptron.fit_regressor(train, "vector", "y", settings=settings)
     assert all(np.allclose(a, b) for a, b in zip(model.arrays, again.arrays, strict=True))
+
+
+def test_shifted_ranks_over_blocks_and_groups(spark, monkeypatch):
+    from windlass.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    rng = np.random.default_rng(12)
+    groups = {"a": 37, "b": 5}
+    p, v = {g: rng.normal(size=(n, 3)) for g, n in groups.items()}, {g: rng.normal(size=(n, 3)) for g, n in groups.items()}
+    v["a"][7] = v["a"][3]
+    rows = spark.createDataFrame([(g, k, p[g][k].tolist(), v[g][k].tolist()) for g, n in groups.items() for k in range(n)], "group string, place long, predicted array<double>, vector array<double>")
+    shifts = [-40, -6, 0, 1, 20]
+    made = {(r.group, r.shift, r.place): r.rank for r in retrieval.shifted_ranks(rows, shifts).collect()}
+    want = {}
+    for g, n in groups.items():
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        cos = unit(p[g]) @ unit(v[g]).T
+        for s in shifts:
+            valid = [i for i in range(n) if 0 <= i + s < n]
+            for i in valid:
+                row = cos[i + s]
+                want[g, s, i] = 1 + sum(row[j] > row[i] + 1e-12 or (abs(row[j] - row[i]) <= 1e-12 and j < i) for j in valid)
+    assert made == want
+    by = {r.shift: r for r in retrieval.alignment_stress(retrieval.shifted_ranks(rows, shifts)).collect()}
+    assert set(by) == {-6, 0, 1, 20} and by[0].queries == 42

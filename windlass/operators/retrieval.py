@@ -147,3 +147,69 @@ def mean_delta_forecast(train: DataFrame, test: DataFrame, x: str, y: str) -> Da
     s = s.select("mx", "my", *[F.when(F.col(c) < 1e-6, 1.0).otherwise(F.col(c)).alias(c) for c in ("sx", "sy")])
     # The mean of z(y) - z(x) over the train pairs is 0 by standardisation but for rounding.
     return test.join(F.broadcast(s)).withColumn("predicted", (F.col(x) - F.col("mx")) / F.col("sx") * F.col("sy") + F.col("my")).drop("mx", "my", "sx", "sy")
+
+
+def shifted_ranks(rows: DataFrame, shifts: list[int]) -> DataFrame:
+    """(group, shift, place, rank) of ``rows`` (group, place, predicted, vector): the row at ``place``
+    is looked for by the prediction made ``shift`` places later, among the rows for which there is
+    such a prediction; places run from 0 without gaps in each group. Ranks by cosine; of equal
+    scores the earlier place comes first.
+
+    All shifts share one pass: a block of predictions meets a block of rows once, and each
+    prediction counts, for every shift, the rows of the block that come before its own.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = cut(rows.select("group", "place", "predicted", "vector"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("_n"))
+    sized = rows.join(sizes, "group")
+    asked = sized.select("group", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("shift"), F.col("place").alias("_from"), "predicted", "_n")
+    asked = asked.withColumn("place", F.col("_from") - F.col("shift")).where("place >= 0 and place < _n")
+    own = rows.select("group", "place", F.col("vector").alias("_own"))
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-8))
+    dot = F.aggregate(F.zip_with("predicted", "_own", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    truth = asked.join(own, ["group", "place"]).withColumn("score", dot / norm(F.col("predicted")) / norm(F.col("_own")))
+    wanted = truth.groupBy("group", "_from", "_n").agg(F.any_value("predicted").alias("predicted"), F.collect_list(F.struct("shift", "place", "score")).alias("own"))
+    blocks = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK))
+    left = wanted.select("*", F.floor(F.col("_from") / BLOCK).alias("_q"), F.explode(blocks).alias("_c"))
+    right = sized.select("group", "place", "vector", "_n", F.explode(blocks).alias("_q"), F.floor(F.col("place") / BLOCK).alias("_c")).drop("_n")
+
+    def count(q, c):
+        out = {"group": [], "shift": [], "place": [], "ahead": []}
+        if len(q) and len(c):
+            scores, places, n = _scores(_matrix(q["predicted"]), _matrix(c["vector"]), "cosine"), c["place"].to_numpy(), int(q["_n"].iloc[0])
+            for row, own in zip(scores, q["own"], strict=True):
+                for s in own:
+                    reached = (places + s["shift"] >= 0) & (places + s["shift"] < n)
+                    equal = np.abs(row - s["score"]) <= 1e-12
+                    ahead = (reached & ((row > s["score"]) & ~equal | equal & (places < s["place"]))).sum()
+                    for key, value in zip(out, (q["group"].iloc[0], s["shift"], s["place"], int(ahead)), strict=True):
+                        out[key].append(value)
+        return pd.DataFrame(out)
+
+    kind = rows.schema["group"].dataType.simpleString()
+    right = right.toDF("_group", "place", "vector", "_q2", "_c2")  # of the same table: other names
+    counted = left.groupBy("group", "_q", "_c").cogroup(right.groupBy("_group", "_q2", "_c2")).applyInPandas(count, f"group {kind}, shift long, place long, ahead long")
+    return counted.groupBy("group", "shift", "place").agg((F.sum("ahead") + 1).alias("rank"))
+
+
+def alignment_stress(ranked: DataFrame) -> DataFrame:
+    """By shift of ranks from ``shifted_ranks``: queries, mrr, mean rank, and the shares within 1, 5
+    and 10."""
+    shares = [F.avg((F.col("rank") <= k).cast("double")).alias(f"top_{k}") for k in (1, 5, 10)]
+    return ranked.groupBy("shift").agg(F.count("*").alias("queries"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg("rank").alias("mean_rank"), *shares)
+
+
+def future_metrics(ranked: DataFrame, best: DataFrame, episodes: DataFrame, width: int, k: int = 5) -> DataFrame:
+    """One row of the measures of future retrieval: mrr, recall at ``k``, the share of queries whose
+    best candidate is of their own episode, and the mean error, the distance to the true future
+    over the root of ``width``. ``ranked`` (id, rank, score = minus the squared distance), ``best``
+    (id, place, candidate), ``episodes`` (id, episode)."""
+    named = episodes.select(F.col("id").alias("candidate"), F.col("episode").alias("_theirs"))
+    same = best.where("place = 1").join(episodes, "id").join(named, "candidate", "left").select("id", F.coalesce(F.col("episode") == F.col("_theirs"), F.lit(False)).cast("double").alias("_same"))
+    met = ranked.join(same, "id", "left")
+    return met.agg(
+        F.count("*").alias("queries"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}"),
+        F.avg(F.coalesce("_same", F.lit(0.0))).alias("temporal_consistency"), F.avg(F.sqrt(-F.col("score")) / width**0.5).alias("reconstruction_error"),
+    )

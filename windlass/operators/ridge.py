@@ -28,6 +28,7 @@ class Ridge:
     x_deviation: object
     y_scale: object
     bias: object
+    y_mean: object
     steps: int
 
     def predict(self, x):
@@ -101,7 +102,7 @@ def fit_ridge(train: DataFrame, x: str | Column = "x", y: str | Column = "y", al
     t = lambda y: (y - y_mean) / scale
     weights, steps = (_directly if held.p <= DIRECT else _stepwise)(held, z, t, alpha)
     bias = y_mean if standardize_y else y_mean * held.rows / (held.rows + alpha)
-    return Ridge(weights, x_mean, x_deviation, scale, bias, steps)
+    return Ridge(weights, x_mean, x_deviation, scale, bias, y_mean, steps)
 
 
 def ridge_scores(model: Ridge, test: DataFrame, x: str = "x") -> DataFrame:
@@ -109,6 +110,19 @@ def ridge_scores(model: Ridge, test: DataFrame, x: str = "x") -> DataFrame:
     return blocks.mapped(test, x, lambda m: [list(model.predict(m))], "predicted array<double>")
 
 
+def standard_scores(model: Ridge, test: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """``test`` with predicted and vector, the prediction and ``y`` both in the targets' standard
+    scale of the train rows."""
+
+    def predict(m):
+        return [list((model.predict(m) - model.y_mean) / model.y_scale)]
+
+    both = blocks.mapped(test, x, predict, "predicted array<double>")
+    lit = lambda v: F.array(*map(F.lit, map(float, v)))
+    moved = F.zip_with(y, lit(model.y_mean), lambda a, b: a - b)
+    return both.withColumn("vector", F.zip_with(moved, lit(model.y_scale), lambda a, b: a / b))
+
+
 def ridge_predict(train: DataFrame, test: DataFrame, x: str = "x", y: str | Column = "y", alpha: float = 1.0, standardize_y: bool = True) -> DataFrame:
     """Fit on ``train`` and predict ``test``; null predictions if ``train`` has no rows."""
     if train.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windlass.operators import descent, perceptron, ridge
+from windlass.operators import descent, numbering, perceptron, retrieval, ridge
 from windlass.plans import sql_heads
 from windlass.plans.tables import vectors
 
@@ -73,6 +73,58 @@ def _perceptron_values(s, d):
     return made.select("id", F.posexplode("predicted").alias("place", "predicted")).select("id", "place", F.round("predicted", 6).alias("predicted"))
 
 
+SHIFTS, STRESS = [-40, -20, -10, -5, 0, 5, 10, 20, 40], {"language": (1, 16), "motion": (17, 16), "audio": (33, 8)}
+_TARGET = (41, 24)
+
+
+def _alignment(s, d):
+    """Vectors as windows in the order of their ids, the last 30 % for tests; each group of features is
+    projected into the target's space once."""
+    v = vectors(s, d)
+    at = lambda part: F.slice("vector", part[0], part[1])
+    made = None
+    for name, part in STRESS.items():
+        rows = numbering.by_order(v.select("id", at(part).alias("x"), at(_TARGET).alias("y")), [], ["id"])
+        k = F.greatest(F.lit(1), F.least(F.bround(F.col("_n") * 0.7), F.col("_n") - 1)).cast("long")
+        rows = rows.withColumn("place", F.col("_at") - 1 - k)
+        train, test = rows.where("place < 0"), rows.where("place >= 0")
+        model = ridge.fit_ridge(train, alpha=ALPHA)
+        part = ridge.standard_scores(model, test).select(F.lit(name).alias("group"), "place", "predicted", "vector")
+        made = part if made is None else made.unionByName(part)
+    ranked = retrieval.shifted_ranks(made, SHIFTS)
+    return ranked.groupBy("group", "shift").agg(F.count("*").alias("queries"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 6).alias("top_5"))
+
+
+def _sql_alignment():
+    parts = []
+    for name, (a, n) in STRESS.items():
+        parts.append(f"""SELECT * FROM (WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS i, count(*) OVER () AS n FROM embeddings),
+rows AS MATERIALIZED (SELECT i - 1 - greatest(1, least(round_even(n * 0.7, 0), n - 1)) AS id, i <= greatest(1, least(round_even(n * 0.7, 0), n - 1)) AS train, embedding[{a}:{a + n - 1}]::DOUBLE[] AS x, embedding[{_TARGET[0]}:{_TARGET[0] + _TARGET[1] - 1}]::DOUBLE[] AS y FROM o),
+{sql_heads.ridge(n, _TARGET[1], ALPHA)},
+pairs AS MATERIALIZED (SELECT id, list((v - m) / s ORDER BY k) AS t, list((p - m) / s ORDER BY k) AS p FROM scored JOIN t_0 USING (id, k) JOIN t_s USING (k) GROUP BY id),
+cos AS MATERIALIZED (SELECT q.id AS q, c.id AS c, list_cosine_similarity(q.p, c.t) AS v FROM pairs q, pairs c),
+size AS (SELECT count(*) AS n FROM pairs),
+own AS (SELECT shift, q, c, v FROM cos, (SELECT unnest({SHIFTS}) AS shift) WHERE q - c = shift),
+ranks AS (SELECT own.shift, own.c, 1 + count(*) FILTER (x.v > own.v + 1e-12 OR (abs(x.v - own.v) <= 1e-12 AND x.c < own.c)) AS r FROM own JOIN cos x ON x.q = own.q, size WHERE x.c + own.shift BETWEEN 0 AND n - 1 GROUP BY 1, 2)
+SELECT '{name}' AS "group", CAST(shift AS BIGINT) AS shift, count(*) AS queries, round(avg(1.0 / r), 6) AS mrr, round(avg(r), 6) AS mean_rank, round(avg(CAST(r <= 5 AS INTEGER)), 6) AS top_5 FROM ranks GROUP BY shift)""")
+    return " UNION ALL ".join(parts)
+
+
+def _future(s, d):
+    """The second half of a vector is its future; labels stand for episodes."""
+    v = vectors(s, d)
+    q = v.where("id % 20 = 0").select("id", F.slice("vector", 1, 32).alias("vector"), F.col("id").alias("target"))
+    c = v.select("id", F.slice("vector", 33, 32).alias("vector"))
+    best = retrieval.top_k(q, c, 1, "l2", exclude_self=False)
+    made = retrieval.future_metrics(retrieval.ranks(q, c, "l2"), best, v.select("id", F.col("label").alias("episode")), 32)
+    return made.select("queries", *[F.round(x, 6).alias(x) for x in made.columns if x != "queries"])
+
+
+SQL_FUTURE = """WITH v AS (SELECT vec_id AS id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b, label FROM embeddings),
+p AS (SELECT q.id, q.label, c.id AS c, c.label AS their, list_sum(list_transform(list_zip(q.a, c.b), lambda z: (z[1] - z[2]) ** 2)) AS d FROM v q, v c WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, c) AS r FROM p)
+SELECT count(*) AS queries, round(avg(1.0 / r), 6) AS mrr, round(avg(CAST(r <= 5 AS INTEGER)), 6) AS recall_at_5, round((SELECT avg(CAST(coalesce(label = their, false) AS INTEGER)) FROM r WHERE r = 1), 6) AS temporal_consistency, round(avg(sqrt(d) / sqrt(32)), 6) AS reconstruction_error FROM r WHERE id = c"""
+
 SQL_VECTORS = "vec_id AS id, vec_id % 4 > 0 AS train"
 SQL_LABELLED = f"rows AS MATERIALIZED (SELECT {SQL_VECTORS}, embedding::DOUBLE[] AS x, CAST(((label % {CLASSES}) + {CLASSES}) % {CLASSES} AS INTEGER) AS y FROM embeddings WHERE label IS NOT NULL)"
 SQL_SETS = f"rows AS MATERIALIZED (SELECT {SQL_VECTORS}, embedding::DOUBLE[] AS x, [label % 2 = 0, label % 3 = 0, vec_id % 10 < 8, label % 7 = 0, false]::INTEGER[] AS y FROM embeddings WHERE label IS NOT NULL)"
@@ -87,6 +139,8 @@ QUERIES = {
         _ridge_classes,
         f"WITH RECURSIVE {SQL_LABELLED.replace('rows AS', 'labelled AS', 1)}, {SQL_HOT}, {sql_heads.ridge(64, CLASSES, 1.0, False)} SELECT id, any_value(label) AS label, CAST(arg_max(k - 1, (p, -k)) AS INTEGER) AS predicted FROM scored JOIN rows USING (id) GROUP BY id",
     ),
+    "alignment_shift_ranks": (_alignment, _sql_alignment()),
+    "future_retrieval_metrics": (_future, SQL_FUTURE),
     "perceptron_classes": (_perceptron_classes, None),
     "perceptron_labels": (_perceptron_labels, None),
     "perceptron_values": (_perceptron_values, None),
