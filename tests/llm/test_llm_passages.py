@@ -14,6 +14,7 @@ def test_suffix_arrays_and_prefixes_equal_brute_force(monkeypatch):
         rng = random.Random(seed)
         monkeypatch.setattr(suffixes, "STEP", rng.choice([1, 3, 64, 1 << 15]))
         monkeypatch.setattr(suffixes, "SHORT", rng.choice([2, 2, 20]))
+        monkeypatch.setattr(suffixes, "BUCKET", rng.choice([0, 0, 3, 256]))
         text = [rng.randint(1, rng.choice([1, 2, 3, 5, 50, 400])) for _ in range(rng.randint(0, 120))]
         text = np.array(text * rng.choice([1, 3]) + [0])
         order = suffixes.suffix_array(text)

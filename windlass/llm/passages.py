@@ -11,6 +11,7 @@ sorting, and permuted common prefixes tell which windows are equal, by their byt
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,19 +63,25 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def window_runs(text: np.ndarray, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(text: np.ndarray, k: int = ANCHOR, look: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, start, end, again): runs of neighbouring windows that share their anchor; windows
-    start from ``start`` to ``end`` - 1, and ``again`` says that the anchor stands in the run more
-    than once. Texts are taken in slices that overlap by a window."""
+    start from ``start`` to ``end`` - 1, and ``again`` says, with ``look``, that the anchor stands in
+    the run more than once. Texts are taken in slices that overlap by a window."""
     made, reach = [], WIDTH - k + 1
     for at in range(0, len(text) - WIDTH + 1, SLICE):
         own = hashes(text[at : at + SLICE + WIDTH - 1], k)
         least = _least(own, reach)
         first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        end, anchor, inside = np.append(first[1:], len(least)), least[first], sliding_window_view(own, reach)
-        left = first + (inside[first] == anchor[:, None]).argmax(axis=1)
-        right = end - 1 + reach - 1 - (inside[end - 1, ::-1] == anchor[:, None]).argmax(axis=1)
-        made.append((anchor, at + first, at + end, left != right))
+        end, anchor, again = np.append(first[1:], len(least)), least[first], np.zeros(len(first), bool)
+        if look:
+            # An anchor that comes into the window, or leaves it, stands at its end; else look for it.
+            before, after = np.append(np.zeros(1, _U), least[first[1:] - 1]), np.append(least[end[:-1]], np.zeros(1, _U))
+            left, right, inside = first + reach - 1, end - 1, sliding_window_view(own, reach)
+            x, y = np.flatnonzero(before <= anchor), np.flatnonzero(after <= anchor)
+            left[x] = first[x] + (inside[first[x]] == anchor[x, None]).argmax(axis=1)
+            right[y] = end[y] - 1 + reach - 1 - (inside[end[y] - 1, ::-1] == anchor[y, None]).argmax(axis=1)
+            again = left != right
+        made.append((anchor, at + first, at + end, again))
     return tuple(map(np.concatenate, zip(*made, strict=True)))
 
 
@@ -188,7 +195,7 @@ def _anchors(buckets: int):
     def body(table):
         found = []
         for text in _Shard(table).texts:
-            anchor, _, _, again = window_runs(text)
+            anchor, _, _, again = window_runs(text, look=True)
             found += [anchor, anchor[again]]
         return _buckets(table["shard"][0].as_py(), *np.unique(np.concatenate(found), return_counts=True), buckets)
 
@@ -234,19 +241,19 @@ def _contexts(shards: int):
                 raw = text[first : last + WIDTH - 1]
                 meeting, start_, end_, _ = window_runs(raw, MEETING)
                 raw = raw.tobytes()
-                for place, a, b in zip((meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), strict=True):
+                for h, place, a, b in zip(meeting.view(np.int64).tolist(), (meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), strict=True):
                     bytes_ = raw[a : b + WIDTH - 1]
                     if bytes_ in seen:
                         copies.append((k, first + a, first + b + WIDTH - 1))
                     else:
                         seen.add(bytes_)
-                        made.setdefault(place, []).append((k, first + a, bytes_))
+                        made.setdefault(place, []).append((k, first + a, bytes_, h))
         shard = table["shard"][0].as_py() if len(table) else 0
         out = [(-1, shard, _packed(np.array(copies, np.int64).reshape(-1, 3)), b"", b"", b"")]
         for bucket, rows in made.items():
-            at = np.array([(held.ids[k], a, len(x)) for k, a, x in rows], np.int64)
-            digests = b"".join(held.digests[k] for k, _, _ in rows)
-            out.append((bucket, shard, _packed(at), _packed(np.array([k for k, _, _ in rows], np.int64)), _packed(np.frombuffer(digests, np.uint8)), _packed(np.frombuffer(b"".join(x for _, _, x in rows), np.uint8))))
+            at = np.array([(held.ids[k], a, len(x), h) for k, a, x, h in rows], np.int64)
+            digests, raw = b"".join(held.digests[k] for k, *_ in rows), b"".join(x for _, _, x, _ in rows)
+            out.append((bucket, shard, _packed(at), _packed(np.array([k for k, *_ in rows], np.int64)), _packed(np.frombuffer(digests, np.uint8)), _packed(np.frombuffer(raw, np.uint8))))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shard", "places", "texts", "digests", "held"])
 
@@ -289,17 +296,21 @@ def _sorted_shard(table):
 
     rows = []
     for shard, places, texts, digests, held in zip(*(table[c].to_pylist() for c in ("shard", "places", "texts", "digests", "held")), strict=True):
-        at, number, th, raw = _unpacked(places, np.int64).reshape(-1, 3), _unpacked(texts, np.int64), _unpacked(digests, np.uint8).tobytes(), _unpacked(held, np.uint8).tobytes()
+        at, number, th, raw = _unpacked(places, np.int64).reshape(-1, 4), _unpacked(texts, np.int64), _unpacked(digests, np.uint8).tobytes(), _unpacked(held, np.uint8).tobytes()
         end = np.cumsum(at[:, 2]).tolist()
-        rows += [(d, th[32 * k : 32 * k + 32], a, shard, n, raw[e - s : e]) for k, ((d, a, s), n, e) in enumerate(zip(at.tolist(), number.tolist(), end, strict=True))]
+        rows += [(d, th[32 * k : 32 * k + 32], a, shard, n, raw[e - s : e], h) for k, ((d, a, s, h), n, e) in enumerate(zip(at.tolist(), number.tolist(), end, strict=True))]
     rows.sort(key=lambda r: r[:3])
-    seen, kept, spans = set(), [], {}
+    seen, kept, spans, runs = set(), [], {}, Counter()
     for r in rows:
         if r[5] in seen:  # the same bytes at an earlier place
             spans.setdefault(r[3], []).append((r[4], r[2], r[2] + len(r[5])))
         else:
             seen.add(r[5])
             kept.append(r)
+            runs[r[6]] += 1
+    # Windows are equal only under one hash: a run that is alone under its hash and no longer than what
+    # one place of it reaches has nothing to be compared with.
+    kept = [r for r in kept if runs[r[6]] > 1 or window_runs(np.frombuffer(r[5], np.uint8), MEETING, look=True)[3].any()]
     for r, windows in zip(kept, repeated_windows([r[5] for r in kept]), strict=True):
         spans.setdefault(r[3], []).extend((r[4], r[2] + a, r[2] + b + WIDTH - 1) for a, b in _spans(windows).tolist())
     return pa.table({"shard": pa.array(list(spans), pa.int64()), "spans": pa.array([_packed(np.array(v, np.int64).reshape(-1, 3)) for v in spans.values()], pa.binary())})

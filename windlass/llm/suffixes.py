@@ -1,16 +1,18 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in numpy.
 
-A scan of induced sorting goes through the array in runs of slots that induce nothing into
-themselves, so that a run is one array step; within a bucket that induces into itself a step is
-all that the step before has put there.
+A scan of induced sorting over few, large buckets goes through the array in runs of slots that
+induce nothing into themselves, so that a run is one array step; within a bucket that induces into
+itself a step is all that the step before has put there. Over many small buckets, as reduced texts
+have them, it goes slot by slot.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Slots that a scan tries to take in one step, and the length up to which ranks are doubled instead.
-STEP, SHORT = 1 << 15, 1 << 14
+#: Slots that a scan tries to take in one step, the length up to which ranks are doubled instead, and
+#: the slots of a bucket, on average, under which a scan goes slot by slot.
+STEP, SHORT, BUCKET = 1 << 15, 1 << 12, 256
 
 
 def _smallest(text: np.ndarray, top: int) -> np.ndarray:
@@ -37,11 +39,27 @@ def _put(slots: np.ndarray, edge: np.ndarray, way: int, suffixes: np.ndarray, bu
     edge[at] += way * size
 
 
+def _scan_by_slot(slots: np.ndarray, text: np.ndarray, wanted: np.ndarray, edge: np.ndarray, way: int) -> None:
+    # By suffix: the bucket of the one before it, if that is to be put; none for an empty slot, -1.
+    bucket = np.full(len(slots) + 1, -1, np.int64)
+    bucket[1:-1] = np.where(wanted[:-1], text[:-1].astype(np.int64), -1)
+    held, edges, bucket = slots.tolist(), edge.tolist(), bucket.tolist()
+    for j in held if way == 1 else reversed(held):  # what is put ahead is met later on
+        c = bucket[j]
+        if c >= 0:
+            held[edges[c]] = j - 1
+            edges[c] += way
+    slots[:] = held
+
+
 def _scan(slots: np.ndarray, text: np.ndarray, wanted: np.ndarray, char: np.ndarray, starts: np.ndarray, way: int) -> None:
     """Put each suffix whose type is ``wanted`` beside the heads (way 1, from the left) or tails
     (way -1, from the right) of its bucket, in the order of the suffixes that follow them."""
     n = len(slots)
     edge = starts[:-1].copy() if way == 1 else starts[1:] - 1
+    if n < BUCKET * len(edge):
+        _scan_by_slot(slots, text, wanted, edge, way)
+        return
     at, step = (0, STEP) if way == 1 else (n - 1, STEP)
     while 0 <= at < n:
         end = min(n, at + step) if way == 1 else max(-1, at - step)
