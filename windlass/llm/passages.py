@@ -239,20 +239,20 @@ def _contexts(shards: int):
                 kept[start[x] : end[x]] = _in(_whole_windows(text, int(start[x]), int(end[x])), windows)
             for first, last in _spans(kept).tolist():
                 raw = text[first : last + WIDTH - 1]
-                meeting, start_, end_, _ = window_runs(raw, MEETING)
+                meeting, start_, end_, again = window_runs(raw, MEETING, look=True)
                 raw = raw.tobytes()
-                for h, place, a, b in zip(meeting.view(np.int64).tolist(), (meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), strict=True):
+                for h, place, a, b, twice in zip(meeting.view(np.int64).tolist(), (meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), again.tolist(), strict=True):
                     bytes_ = raw[a : b + WIDTH - 1]
                     if bytes_ in seen:
                         copies.append((k, first + a, first + b + WIDTH - 1))
                     else:
                         seen.add(bytes_)
-                        made.setdefault(place, []).append((k, first + a, bytes_, h))
+                        made.setdefault(place, []).append((k, first + a, bytes_, h, twice))
         shard = table["shard"][0].as_py() if len(table) else 0
         out = [(-1, shard, _packed(np.array(copies, np.int64).reshape(-1, 3)), b"", b"", b"")]
         for bucket, rows in made.items():
-            at = np.array([(held.ids[k], a, len(x), h) for k, a, x, h in rows], np.int64)
-            digests, raw = b"".join(held.digests[k] for k, *_ in rows), b"".join(x for _, _, x, _ in rows)
+            at = np.array([(held.ids[k], a, len(x), h, twice) for k, a, x, h, twice in rows], np.int64)
+            digests, raw = b"".join(held.digests[k] for k, *_ in rows), b"".join(r[2] for r in rows)
             out.append((bucket, shard, _packed(at), _packed(np.array([k for k, *_ in rows], np.int64)), _packed(np.frombuffer(digests, np.uint8)), _packed(np.frombuffer(raw, np.uint8))))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shard", "places", "texts", "digests", "held"])
@@ -296,9 +296,9 @@ def _sorted_shard(table):
 
     rows = []
     for shard, places, texts, digests, held in zip(*(table[c].to_pylist() for c in ("shard", "places", "texts", "digests", "held")), strict=True):
-        at, number, th, raw = _unpacked(places, np.int64).reshape(-1, 4), _unpacked(texts, np.int64), _unpacked(digests, np.uint8).tobytes(), _unpacked(held, np.uint8).tobytes()
+        at, number, th, raw = _unpacked(places, np.int64).reshape(-1, 5), _unpacked(texts, np.int64), _unpacked(digests, np.uint8).tobytes(), _unpacked(held, np.uint8).tobytes()
         end = np.cumsum(at[:, 2]).tolist()
-        rows += [(d, th[32 * k : 32 * k + 32], a, shard, n, raw[e - s : e], h) for k, ((d, a, s, h), n, e) in enumerate(zip(at.tolist(), number.tolist(), end, strict=True))]
+        rows += [(d, th[32 * k : 32 * k + 32], a, shard, n, raw[e - s : e], h, twice) for k, ((d, a, s, h, twice), n, e) in enumerate(zip(at.tolist(), number.tolist(), end, strict=True))]
     rows.sort(key=lambda r: r[:3])
     seen, kept, spans, runs = set(), [], {}, Counter()
     for r in rows:
@@ -310,7 +310,7 @@ def _sorted_shard(table):
             runs[r[6]] += 1
     # Windows are equal only under one hash: a run that is alone under its hash and no longer than what
     # one place of it reaches has nothing to be compared with.
-    kept = [r for r in kept if runs[r[6]] > 1 or window_runs(np.frombuffer(r[5], np.uint8), MEETING, look=True)[3].any()]
+    kept = [r for r in kept if runs[r[6]] > 1 or r[7]]
     for r, windows in zip(kept, repeated_windows([r[5] for r in kept]), strict=True):
         spans.setdefault(r[3], []).extend((r[4], r[2] + a, r[2] + b + WIDTH - 1) for a, b in _spans(windows).tolist())
     return pa.table({"shard": pa.array(list(spans), pa.int64()), "spans": pa.array([_packed(np.array(v, np.int64).reshape(-1, 3)) for v in spans.values()], pa.binary())})
