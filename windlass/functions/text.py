@@ -140,23 +140,18 @@ def bounded_options(options: Column, most: int = 24, chars: int = 80) -> Column:
 def hashed_bags(rows: DataFrame, key: str, text: str, dims: int = 64, namespace: str = "") -> DataFrame:
     """(key, vector): hashed bag of words of each row's whole text; keys are distinct. Tokens are
     letters, digits and underscores, lower-cased; md5 gives a token its place and its sign. The
-    vector has length one, or is all zeros. All of a row's words are in the row: nothing shuffles."""
+    vector has length one, or is all zeros. Words become rows that are counted by (key, place) where
+    they stand; what is shuffled is at most ``dims`` counts a row of the input."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), F.lit(1))
-    digests = F.transform(words, lambda w: F.md5(F.concat(F.lit(namespace), w).cast("binary")))
-    place = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
-    odd = lambda h: F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1
-    # A token as its place, or that less dims for a minus: counts of equal numbers are the sums.
-    coded = F.transform(digests, lambda h: F.when(odd(h), place(h)).otherwise(place(h) - dims))
-    made = rows.select(key, F.array_sort(coded).alias("_c")).select(
-        key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (_times("_c", k) - _times("_c", k - dims)).cast("double")).alias("_v")
-    )
+    digest = F.md5(F.concat(F.lit(namespace), F.col("_w")).cast("binary"))
+    place = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.conv(F.substring("_h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
+    coded = rows.select(key, F.explode_outer(words).alias("_w")).select(key, digest.alias("_h")).select(key, place.alias("_p"), sign.alias("_s"))
+    counts = coded.groupBy(key, "_p").agg(F.sum(F.when(F.col("_p").isNotNull(), F.col("_s"))).alias("_c"))
+    held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "_c")))).alias("_m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0)).cast("double"))
     n = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    return made.withColumn("_n", n).select(key, F.transform("_v", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("vector"))
-
-
-def _times(column: str, value: Column) -> Column:
-    """How often a number stands in an array."""
-    return F.size(F.filter(column, lambda x: x == value))
+    return held.select(key, vector.alias("_v")).withColumn("_n", n).select(key, F.transform("_v", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("vector"))
 
 
 def episode_number(name: Column) -> Column:

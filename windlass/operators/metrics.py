@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windlass.operators import scans
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(empty).cast("double"))
@@ -204,12 +206,20 @@ def boundary_matches(truth: DataFrame, predicted: DataFrame, tolerance: int = 10
     """Per episode the one-to-one matches of predicted to true boundaries (episode_id, frame_idx):
     predictions in order each take the nearest free true one, the earlier on a tie.
 
-    What is free depends on all choices before, so an episode, whose boundaries are few, is one
-    group of applyInPandas.
+    What is free depends on the choices before only within reach: an episode is cut wherever no
+    boundary of either kind follows within ``tolerance`` frames, the cuts are found by scans over
+    ranges, and each piece is matched by itself. (A stretch without any such gap stays one piece.)
     """
     both = truth.select("episode_id", "frame_idx", F.lit(True).alias("is_true")).unionByName(predicted.select("episode_id", "frame_idx", F.lit(False).alias("is_true")))
     kind = truth.schema["episode_id"].dataType.simpleString()
-    return both.groupBy("episode_id").applyInPandas(_matcher(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
+    frames = both.select("episode_id", "frame_idx").distinct()
+    ended = (F.coalesce(F.col("_next") - F.col("frame_idx"), F.lit(tolerance + 1)) > tolerance).cast("int")
+    marked = scans.carry(frames, ["episode_id"], ["frame_idx"], following={"_next": "frame_idx"}).withColumn("_end", ended)
+    numbered = scans.running(marked.drop("_next"), ["episode_id"], ["frame_idx"], {"_ends": F.col("_end")})
+    pieces = numbered.select(F.col("episode_id").alias("_e"), F.col("frame_idx").alias("_f"), (F.col("_ends") - F.col("_end")).alias("piece"))
+    met = both.join(pieces, both["episode_id"].eqNullSafe(pieces["_e"]) & (both["frame_idx"] == pieces["_f"])).select("episode_id", "piece", "frame_idx", "is_true")
+    found = met.groupBy("episode_id", "piece").applyInPandas(_matcher(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
+    return found.groupBy("episode_id").agg(*[F.sum(c).alias(c) for c in ("true", "predicted", "matched", "gap_sum")])
 
 
 def boundary_f1(matches: DataFrame) -> DataFrame:

@@ -111,33 +111,26 @@ def strided(rows: DataFrame, group: str, order: str, stride: int, offset: int =
     return numbering.by_order(rows, [group], [order]).where(F.pmod(F.col("_at") - 1, F.lit(stride)) == offset).drop("_at", "_n")
 
 
-def balanced_pick(rows: DataFrame, quota: int, band: str = "size_band", session: str = "session", order: tuple[str, ...] = ("score", "episode_id"), most: int = 100_000) -> DataFrame:
+def balanced_pick(rows: DataFrame, quota: int, band: str = "size_band", session: str = "session", order: tuple[str, ...] = ("score", "episode_id")) -> DataFrame:
     """``quota`` episodes of each band, no session twice over all bands; bands left short are
     filled up from what remains.
 
-    What a band may take depends on the bands before, so it is one fold in order. Only the best
-    row of each (session, band) can be picked, and only the first ``quota`` times the number of
-    bands of these can be reached in a band, which bounds what the driver folds.
+    Bands, of which there are a few, take their turn by name: each takes its first rows whose
+    session no band before has used. What is short is filled in order over all bands by the best
+    row of each session left. Rows are placed over ranges and joined with the sessions used; none
+    come to the driver and no quota is refused. ``order`` must tell rows apart.
     """
-    best = best_per(rows, [session, band], order[0], order[1])
+    best = landed(best_per(rows, [session, band], order[0], order[1]))
     bands = sorted(r[0] for r in best.select(band).distinct().collect())
-    reach = quota * max(1, len(bands))
-    if reach * len(bands) > most:
-        raise ValueError("quota too large for a fold on the driver")
-    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy(band).orderBy(*order))).where(F.col("_r") <= reach).orderBy(band, "_r").select(*rows.columns).collect()
-    used, picked = set(), []
+    first = lambda left, n: landed(numbering.by_order(left, [], list(order)).where(F.col("_at") <= n).drop("_at", "_n"))
+    free = lambda left, picked: left.join(picked.select(session), session, "left_anti").select(*rows.columns)
+    picked = landed(best.limit(0))
     for b in bands:
-        taken = 0
-        for r in ranked:
-            if r[band] == b and r[session] not in used and taken < quota:
-                used.add(r[session])
-                picked.append(r)
-                taken += 1
-    for r in sorted(ranked, key=lambda r: tuple(r[c] for c in order)):
-        if len(picked) < reach and r[session] not in used:
-            used.add(r[session])
-            picked.append(r)
-    return rows.sparkSession.createDataFrame(picked, rows.schema)
+        picked = landed(picked.unionByName(first(free(best.where(F.col(band) == b), picked), quota)))
+    short = quota * len(bands) - picked.count()
+    if short > 0:
+        picked = picked.unionByName(first(best_per(free(best, picked), [session], order[0], order[1]), short))
+    return picked.select(*rows.columns)
 
 
 def pack_batches(rows: DataFrame, group: str, order: str, max_bytes: int, max_items: int) -> DataFrame:

@@ -142,6 +142,25 @@ def _image(s, d):
     return m.select("l_returnflag", "r_mean", "g_mean", "r_std", "g_std", *[F.col("grid")[k].alias(f"g{k}") for k in range(4)])
 
 
+def _sql_balanced(quota: int = 10):
+    """Band after band by name, then the rest, as the bands of sizes are known."""
+    bands = sorted(["short", "lower_mid", "upper_mid", "long"])
+    fields, order = "episode_id, session, size_band, score", "ORDER BY score, episode_id"
+    steps = ["p0 AS (SELECT * FROM best WHERE false)"]
+    for k, b in enumerate(bands):
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} UNION ALL SELECT * FROM (SELECT {fields} FROM best WHERE size_band = '{b}' AND session NOT IN (SELECT session FROM p{k}) {order} LIMIT {quota}))")
+    last = f"p{len(bands)}"
+    return (
+        SQL_FILES
+        + f""", s AS (SELECT episode_id, session, size_band, abs(total_bytes - 90000)::DOUBLE AS score FROM banded),
+best AS MATERIALIZED (SELECT {fields} FROM (SELECT *, row_number() OVER (PARTITION BY session, size_band {order}) AS r FROM s) WHERE r = 1),
+{", ".join(steps)},
+rest AS (SELECT {fields} FROM (SELECT *, row_number() OVER (PARTITION BY session {order}) AS r FROM best WHERE session NOT IN (SELECT session FROM {last})) WHERE r = 1),
+fill AS (SELECT {fields} FROM (SELECT *, row_number() OVER ({order}) AS r FROM rest) WHERE r <= {quota} * (SELECT count(DISTINCT size_band) FROM best) - (SELECT count(*) FROM {last}))
+SELECT * FROM {last} UNION ALL SELECT * FROM fill"""
+    )
+
+
 QUERIES = {
     "episode_rollup": (_rollup, SQL_FILES + " SELECT session, episode_id, file_count, total_bytes, training_bytes, video_bytes, annotation_bytes, array_to_string(missing, '|') AS missing FROM eps"),
     "size_distribution": (
@@ -164,7 +183,7 @@ QUERIES = {
         lambda s, d: selection.best_per(banded(s, d), ["session", "size_band"], "total_bytes", "episode_id").select("session", "size_band", "episode_id"),
         SQL_FILES + " SELECT session, size_band, episode_id FROM (SELECT *, row_number() OVER (PARTITION BY session, size_band ORDER BY total_bytes, episode_id) AS r FROM banded) WHERE r = 1",
     ),
-    "balanced_pick": (_balanced, None),
+    "balanced_pick": (_balanced, _sql_balanced()),
     "hash_split": (
         lambda s, d: selection.hash_split(banded(s, d), "size_band", "episode_id").select("episode_id", "size_band", "split"),
         SQL_FILES
