@@ -60,8 +60,10 @@ def size_band(rows: DataFrame, value: str) -> DataFrame:
 
 
 def best_per(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    """The row of least score of each group, the least ``tie`` first."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(score, tie))).where("_r = 1").drop("_r")
+    """The row of least score of each group, the least ``tie`` first; found by an aggregate, so that a
+    group is combined where its rows are."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.struct(score, tie)).alias("_b"))
+    return best.select("_b.*")
 
 
 def hash_split(rows: DataFrame, band: str, key: str, seed: str = "split", train: float = 0.75, val: float = 0.125) -> DataFrame:

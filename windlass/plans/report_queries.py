@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from windlass.functions import text as tx
 from windlass.operators import reports
 from windlass.operators import timeline as t
 from windlass.plans.tables import SQL_BASE, SQL_MAJORITY, frames, table
+from windlass.sources import files
 
 FPS = 20.0
 PHASES = [("smoke", 1), ("smoke_plus", 3), ("pilot", 16), ("next", 32), ("small", 64), ("medium", 128), ("heavy", 256)]
@@ -42,7 +44,23 @@ def _state(s, d):
     return reports.evaluation_state(counts, {"final": F.col("final"), "partial": F.col("partial")}, F.col("total"), F.col("age"), 365)
 
 
+def _last_rows(s, d):
+    return files.last_per_key(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+def _present(s, d):
+    """Event types between blanks, missing ones as N/A in either case; users of odd numbers by theme."""
+    raw = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "N/A").otherwise(" n/a ")).when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat(F.lit("  "), "event_type", F.lit(" ")))
+    theme = F.concat(F.lit("theme "), (F.col("event_id") % 3).cast("string"), F.lit(" "))
+    return table(s, d, "events").select("event_id", tx.present(F.when(F.col("user_id") % 2 == 1, theme).otherwise(raw)).alias("label"))
+
+
 QUERIES = {
+    "last_row_per_key": (_last_rows, "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
+    "present_labels": (
+        _present,
+        """SELECT event_id, CASE WHEN user_id % 2 = 1 THEN 'theme ' || (event_id % 3) WHEN event_type = 'error' OR event_id % 5 = 0 THEN NULL ELSE event_type END AS label FROM events""",
+    ),
     "viewer_rows": (
         _viewer,
         SQL_BASE

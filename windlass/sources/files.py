@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QA_SCHEMA = """
@@ -43,7 +43,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+    """The row of largest ``order`` of each key, by an aggregate."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.struct(order)).alias("_b")).select("_b.*")
 
 
 def read_features(spark: SparkSession, path: str, blocks: list[str] | None = None, keys: tuple[str, ...] = ("episode_id", "window_index")) -> DataFrame:
