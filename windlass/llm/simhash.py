@@ -26,6 +26,9 @@ SEGMENT = 32
 CROWD = 64
 #: Fingerprints of ``similar_documents``: segments, words of a shingle, least Jaccard similarity.
 WIDE, WORDS, SIMILAR = 12, 5, 0.8
+#: Members of an entry up to which ``similar_documents`` compares all of them at once; of more, it first
+#: compares each with two and then only those that this has not joined.
+WIDE_CROWD = 3
 #: Bits of a segment that are flipped in the ball: those whose vote was closest.
 DOUBTS = 10
 #: Differing bits of the wide fingerprint up to which texts are compared. Texts at similarity 0.8
@@ -89,8 +92,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _thinned(entry, key):
-    """Sorted entries with their keys, at most ``CROWD`` + 1 rows of each; and the keys in entries
+def _thinned(entry, key, crowd: int = CROWD):
+    """Sorted entries with their keys, at most ``crowd`` + 1 rows of each; and the keys in entries
     that have more. So a crowded entry is known as such however few of its rows are sent on."""
     import numpy as np
 
@@ -99,8 +102,8 @@ def _thinned(entry, key):
     first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
     size = np.diff(np.append(first, len(entry)))
     place = np.arange(len(entry)) - np.repeat(first, size)
-    crowded = np.repeat(size > CROWD, size)
-    keep = place <= CROWD
+    crowded = np.repeat(size > crowd, size)
+    keep = place <= crowd
     return entry[keep], key[keep], entry[crowded], key[crowded]
 
 
@@ -290,14 +293,14 @@ def _wide_entries(part):
 
 
 def _wide_probes(batches: Iterator) -> Iterator:
-    """(entry, key, mate): a row for each entry of each text, CROWD + 1 for an entry in a batch at
-    most. In an entry with more, each member has the smallest as its mate, under a negative entry."""
+    """(entry, key, mate): a row for each entry of each text, WIDE_CROWD + 1 for an entry in a batch
+    at most. In an entry with more, each member has the smallest as its mate, under a negative entry."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         for at in range(0, len(batch), BLOCK // 4):
-            entry, key, busy, member = _thinned(*_wide_entries(batch.slice(at, BLOCK // 4)))
+            entry, key, busy, member = _thinned(*_wide_entries(batch.slice(at, BLOCK // 4)), WIDE_CROWD)
             edges = np.flatnonzero(np.concatenate([[True], busy[1:] != busy[:-1], [True]])) if len(busy) else np.zeros(1, np.int64)
             pairs = np.unique(np.stack([member, np.repeat(member[edges[:-1]], np.diff(edges))], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays(
@@ -325,7 +328,7 @@ def _wide_pairs(batches: Iterator) -> Iterator:
 
     us, vs, crowd, passing = [], [], [], []
     for keys in _met(batches, passing):
-        if len(keys) > CROWD:
+        if len(keys) > WIDE_CROWD:
             us += [keys[1:], keys[1:]]
             vs += [np.full(len(keys) - 1, keys[0]), keys[:-1]]
             crowd.append(keys)
@@ -396,7 +399,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def verified(pairs: DataFrame) -> DataFrame:
         close = landed(_joined(pairs, table, "segments").mapInArrow(_close, "u long, v long"))
-        wanted = close.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(firsts.select("key", "first_id"), "key")
+        wanted = close.select(F.col("u").alias("key")).distinct().union(close.select("v").distinct()).distinct().join(firsts.select("key", "first_id"), "key")
         # Rows under one id can hold several texts: the key says which is meant.
         held = texts.join(wanted, texts["doc_id"] == wanted["first_id"]).select("key", "text").mapInArrow(_keyed_sets, "key long, hashes binary")
         held = landed(held.dropDuplicates(["key"]))
