@@ -23,6 +23,8 @@ def test_carried_values_equal_windows(rows):
     made = scans.carry(rows, ["key"], ["at"], {"a": "v"}, {"b": "v"})
     assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
     assert scans.carry(rows.limit(0), ["key"], ["at"], {"a": "v"}).count() == 0
+    # A frame that is open to the end costs the square of its rows.
+    assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower()
 
 
 def test_running_sums_equal_windows(rows):

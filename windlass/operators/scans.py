@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions.lineage import cut
 
-_BEFORE, _AFTER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def laid(rows: DataFrame, groups: list[str], order: list[Column | str]) -> DataFrame:
@@ -40,21 +40,23 @@ def _over(groups: list[str], *more: str) -> Window:
 def carry(rows: DataFrame, groups: list[str], order: list[Column | str], last: dict[str, str] | None = None, following: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with new columns by name: of ``last``, the latest value that is not null of a column
     up to the row itself; of ``following``, the first one after the row, in the order of the group.
-    ``order`` is ascending, nulls first, and tells the rows apart that have values."""
+    ``order`` is ascending, nulls first, and tells the rows apart that have values. What follows is
+    what came last in the order turned round: a frame that is open to the end is summed anew at
+    each row, and costs the square of a range's rows."""
     last, following = last or {}, following or {}
     ranged, place = laid(rows, groups, order), F.struct(*order)
     ends = {f"_l{k}": F.max_by(c, F.when(F.col(c).isNotNull(), place)) for k, c in enumerate(last.values())}
     ends |= {f"_f{k}": F.min_by(c, F.when(F.col(c).isNotNull(), place)) for k, c in enumerate(following.values())}
-    across = _over(groups).orderBy("_b")
+    across, back = _over(groups).orderBy("_b"), _over(groups).orderBy(F.desc("_b"))
     edges = _edges(ranged, groups, ends)
     edges = edges.select(
         *groups, "_b", *[F.last(f"_l{k}", ignorenulls=True).over(across.rowsBetween(*_BEFORE)).alias(f"_l{k}") for k in range(len(last))],
-        *[F.first(f"_f{k}", ignorenulls=True).over(across.rowsBetween(*_AFTER)).alias(f"_f{k}") for k in range(len(following))],
+        *[F.last(f"_f{k}", ignorenulls=True).over(back.rowsBetween(*_BEFORE)).alias(f"_f{k}") for k in range(len(following))],
     )
-    inside = _over(groups, "_b").orderBy(*order)
+    inside, turned = _over(groups, "_b").orderBy(*order), _over(groups, "_b").orderBy(*[F.desc(o) for o in order])
     local = ranged.withColumns(
         {f"_in_{n}": F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n, c in last.items()}
-        | {f"_in_{n}": F.first(c, ignorenulls=True).over(inside.rowsBetween(*_AFTER)) for n, c in following.items()}
+        | {f"_in_{n}": F.last(c, ignorenulls=True).over(turned.rowsBetween(*_BEFORE)) for n, c in following.items()}
     )
     met = _with(local, edges, groups)
     found = {n: F.coalesce(f"_in_{n}", f"_l{k}") for k, n in enumerate(last)} | {n: F.coalesce(f"_in_{n}", f"_f{k}") for k, n in enumerate(following)}
