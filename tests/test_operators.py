@@ -230,6 +230,10 @@ def test_quality_checks(spark):
     assert [r.key for r in gaps.collect()] == ["b"]
     claims = quality.claims(spark.createDataFrame([(1, "It is state of the art. It is not state of the art.")], "id long, t string"), "id", "t", ["state of the art"])
     assert claims.count() == 1
+    odd = [(1, "A. 1 the. 2 the. x.\n\tthe a"), (2, "\u3000the x.\u00a0 b the\u2003"), (3, "caf\u00e9 the\u00e9"), (4, "licen\u017fed"), (5, "l\u0131censed"), (6, "the of\u00e9"), (7, "the y.\x0bthe z"), (8, "the\x01b"), (9, "the\u017f")]
+    found = quality.claims(spark.createDataFrame(odd, "id long, t string"), "id", "t", ["the", "licensed"], r"(?i)\b(?:of|and)\b")
+    want = [("1", "1 the."), ("1", "2 the."), ("1", "\tthe a"), ("2", "the x.\u00a0 b the"), ("3", "caf\u00e9 the\u00e9"), ("4", "licen\u017fed"), ("7", "the y.\x0bthe z"), ("8", "the"), ("9", "the\u017f")]
+    assert sorted((r.key, r.detail) for r in found.collect()) == sorted(want)
     counts = quality.split_counts(spark.createDataFrame([("train",), ("odd",)], "split string"), {"train": 1, "test": 2})
     assert sorted(r.key for r in counts.collect()) == ["odd", "test"]
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windlass.functions.text import html_attributes, sentences
+from windlass.functions.text import html_attributes, plain_bounds, sentences
 from windlass.operators.joins import leaks
 
 # Patterns of what must not be published.
@@ -119,6 +119,8 @@ def repeated_anchors(pages: DataFrame, key: str = "page_id", html: str = "html")
 
 def claims(rows: DataFrame, key: str, text: str, phrases: list[str], negations: str = r"(?i)\b(?:no|not|never|without)\b") -> DataFrame:
     """Sentences that hold one of ``phrases`` and no negation."""
-    any_of = "(?i)" + "|".join(rf"\b{p}\b" for p in phrases)
-    said = rows.select(F.col(key), F.explode(sentences(F.col(text))).alias("_s")).where(F.col("_s").rlike(any_of) & ~F.col("_s").rlike(negations))
+    any_of, none_of = plain_bounds("(?i)" + "|".join(rf"\b{p}\b" for p in phrases)), plain_bounds(negations)
+    # Java folds the dotted and the dotless i of Turkish to i; no phrase in other letters means them.
+    seen = F.translate("_s", "\u0130\u0131", "\u00a4\u00a4") if not set("\u0130\u0131") & set(any_of + none_of) else F.col("_s")
+    said = rows.select(F.col(key), F.explode(sentences(F.col(text))).alias("_s")).where(seen.rlike(any_of) & ~seen.rlike(none_of))
     return said.select(*violation("claim", F.col(key), F.col("_s")))
