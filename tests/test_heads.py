@@ -169,5 +169,25 @@ def test_shifted_ranks_over_blocks_and_groups(spark, monkeypatch):
                 row = cos[i + s]
                 want[g, s, i] = 1 + sum(row[j] > row[i] + 1e-12 or (abs(row[j] - row[i]) <= 1e-12 and j < i) for j in valid)
     assert made == want
+    # Wider blocks, each row sent to fewer of them.
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    monkeypatch.setattr(retrieval, "BLOCKS", 3)
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    sent = retrieval.shifted_ranks(rows, shifts)
+    assert {(r.group, r.shift, r.place): r.rank for r in sent.collect()} == want
     by = {r.shift: r for r in retrieval.alignment_stress(retrieval.shifted_ranks(rows, shifts)).collect()}
     assert set(by) == {-6, 0, 1, 20} and by[0].queries == 42
+
+
+def test_candidates_ahead_are_counted_for_all_shifts_by_one_sort():
+    from windlass.operators import retrieval
+
+    rng, n, shifts = np.random.default_rng(5), 60, [-9, -1, 0, 4]
+    scores, places, at = rng.integers(0, 9, (20, 24)) / 9, np.arange(30, 54), rng.integers(0, n, (20, 4))
+    own = rng.integers(0, 9, (20, 4)) / 9
+    reached = [(max(0, -s), min(n, n - s)) for s in shifts]
+    reached[3] = (33, 50)
+    got = retrieval._ahead(scores, own, places, at, reached)
+    for r in range(20):
+        for k, (a, b) in enumerate(reached):
+            assert got[r, k] == sum(a <= p < b and (s > own[r, k] + 1e-12 or abs(s - own[r, k]) <= 1e-12 and p < at[r, k]) for s, p in zip(scores[r], places, strict=True))

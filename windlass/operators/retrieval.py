@@ -15,6 +15,8 @@ from windlass.operators import numbering
 
 #: Rows of a block of queries or of candidates, on average.
 BLOCK = 1024
+#: Blocks that a side of shifted ranks has until they are ``WIDEST`` times ``BLOCK`` rows, and rows scored at once.
+BLOCKS, WIDEST, ROWS = 12, 8, 256
 #: Values of all centroids that a worker may hold.
 MAX_TABLE = 1 << 22
 
@@ -149,6 +151,32 @@ def mean_delta_forecast(train: DataFrame, test: DataFrame, x: str, y: str) -> Da
     return test.join(F.broadcast(s)).withColumn("predicted", (F.col(x) - F.col("mx")) / F.col("sx") * F.col("sy") + F.col("my")).drop("mx", "my", "sx", "sy")
 
 
+def _ahead(scores, own, places, at, reached):
+    """How many of the candidates (columns of ``scores``, at ``places`` in order) come before each
+    row's own of ``own`` scores, which stand at places ``at``: one column a shift, and of each shift
+    only the candidates from ``reached[k][0]`` up to ``reached[k][1]`` count.
+
+    A row is sorted once for all shifts; only where scores are within 1e-12 of an own one are the
+    places looked at."""
+    import numpy as np
+
+    bounds = [np.searchsorted(places, ends) for ends in reached]
+    ordered = np.sort(scores, axis=1)
+    above, not_below = np.empty(own.shape, dtype=np.int64), np.empty(own.shape, dtype=np.int64)
+    for r, row in enumerate(ordered):
+        above[r] = len(row) - np.searchsorted(row, own[r] + 1e-12, "right")
+        not_below[r] = len(row) - np.searchsorted(row, own[r] - 1e-12, "left")
+    for r, k in zip(*np.nonzero(not_below > above), strict=True):
+        equal = np.abs(scores[r] - own[r, k]) <= 1e-12
+        above[r, k] = ((scores[r] > own[r, k]) & ~equal | equal & (places < at[r, k])).sum()
+    for k, (a, b) in enumerate(bounds):
+        for beyond in (slice(0, a), slice(b, len(places))):
+            out, mine = scores[:, beyond], own[:, k, None]
+            equal = np.abs(out - mine) <= 1e-12
+            above[:, k] -= ((out > mine) & ~equal | equal & (places[beyond] < at[:, k, None])).sum(axis=1)
+    return above
+
+
 def shifted_ranks(rows: DataFrame, shifts: list[int]) -> DataFrame:
     """(group, shift, place, rank) of ``rows`` (group, place, predicted, vector): the row at ``place``
     is looked for by the prediction made ``shift`` places later, among the rows for which there is
@@ -156,37 +184,41 @@ def shifted_ranks(rows: DataFrame, shifts: list[int]) -> DataFrame:
     scores the earlier place comes first.
 
     All shifts share one pass: a block of predictions meets a block of rows once, and each
-    prediction counts, for every shift, the rows of the block that come before its own.
+    prediction counts, for every shift, the rows of the block that come before its own. Ranks are
+    exact, so the pairs grow with the square of a group. Blocks grow with it up to ``WIDEST`` times
+    ``BLOCK`` rows: up to there a row is sent to ``BLOCKS`` of them and no more.
     """
     import numpy as np
     import pandas as pd
 
     rows = cut(rows.select("group", "place", "predicted", "vector"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("_n"))
-    sized = rows.join(sizes, "group")
-    asked = sized.select("group", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("shift"), F.col("place").alias("_from"), "predicted", "_n")
+    size = F.least(F.lit(WIDEST * BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("_n") / BLOCKS)))
+    sized = rows.join(sizes, "group").withColumn("_size", size)
+    asked = sized.select("group", F.explode(F.array(*[F.lit(s).cast("long") for s in shifts])).alias("shift"), F.col("place").alias("_from"), "predicted", "_n", "_size")
     asked = asked.withColumn("place", F.col("_from") - F.col("shift")).where("place >= 0 and place < _n")
     own = rows.select("group", "place", F.col("vector").alias("_own"))
     norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-8))
     dot = F.aggregate(F.zip_with("predicted", "_own", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     truth = asked.join(own, ["group", "place"]).withColumn("score", dot / norm(F.col("predicted")) / norm(F.col("_own")))
-    wanted = truth.groupBy("group", "_from", "_n").agg(F.any_value("predicted").alias("predicted"), F.collect_list(F.struct("shift", "place", "score")).alias("own"))
-    blocks = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK))
-    left = wanted.select("*", F.floor(F.col("_from") / BLOCK).alias("_q"), F.explode(blocks).alias("_c"))
-    right = sized.select("group", "place", "vector", "_n", F.explode(blocks).alias("_q"), F.floor(F.col("place") / BLOCK).alias("_c")).drop("_n")
+    # One score a shift; those without a row in reach are 0 and not sent on.
+    scores = F.array(*[F.coalesce(F.max(F.when(F.col("shift") == s, F.col("score"))), F.lit(0.0)) for s in shifts])
+    wanted = truth.groupBy("group", "_from", "_n", "_size").agg(F.any_value("predicted").alias("predicted"), scores.alias("own"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("_size")))
+    left = wanted.select("*", F.floor(F.col("_from") / F.col("_size")).alias("_q"), F.explode(blocks).alias("_c")).drop("_size")
+    right = sized.select("group", "place", "vector", F.explode(blocks).alias("_q"), F.floor(F.col("place") / F.col("_size")).alias("_c"))
+    shift = np.array(shifts, dtype=np.int64)
 
     def count(q, c):
-        out = {"group": [], "shift": [], "place": [], "ahead": []}
-        if len(q) and len(c):
-            scores, places, n = _scores(_matrix(q["predicted"]), _matrix(c["vector"]), "cosine"), c["place"].to_numpy(), int(q["_n"].iloc[0])
-            for row, own in zip(scores, q["own"], strict=True):
-                for s in own:
-                    reached = (places + s["shift"] >= 0) & (places + s["shift"] < n)
-                    equal = np.abs(row - s["score"]) <= 1e-12
-                    ahead = (reached & ((row > s["score"]) & ~equal | equal & (places < s["place"]))).sum()
-                    for key, value in zip(out, (q["group"].iloc[0], s["shift"], s["place"], int(ahead)), strict=True):
-                        out[key].append(value)
-        return pd.DataFrame(out)
+        if not len(q) or not len(c):
+            return pd.DataFrame({"group": [], "shift": [], "place": [], "ahead": []})
+        c, n, name = c.sort_values("place"), int(q["_n"].iloc[0]), q["group"].iloc[0]
+        places, vectors, predicted, own = c["place"].to_numpy(), _matrix(c["vector"]), _matrix(q["predicted"]), _matrix(q["own"])
+        at = q["_from"].to_numpy()[:, None] - shift[None]
+        reached = [(max(0, -s), min(n, n - s)) for s in shift]
+        found = np.concatenate([_ahead(_scores(predicted[k : k + ROWS], vectors, "cosine"), own[k : k + ROWS], places, at[k : k + ROWS], reached) for k in range(0, len(q), ROWS)])
+        valid = (at >= 0) & (at < n)
+        return pd.DataFrame({"group": name, "shift": np.broadcast_to(shift, at.shape)[valid], "place": at[valid], "ahead": found[valid]})
 
     kind = rows.schema["group"].dataType.simpleString()
     right = right.toDF("_group", "place", "vector", "_q2", "_c2")  # of the same table: other names
