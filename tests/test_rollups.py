@@ -28,6 +28,7 @@ def test_boundary_matches(spark):
         found = {r.episode_id: (r.true, r.predicted, r.matched, r.gap_sum) for r in metrics.boundary_matches(rows(truth), rows(guess), tolerance).collect()}
         want = {e: (len(truth[e]), len(guess[e]), *naive_matches(truth[e], guess[e], tolerance)) for e in truth if truth[e] or guess[e]}
         assert found == want
+    assert "InPandas" not in metrics.boundary_matches(rows(truth), rows(guess), 4)._jdf.queryExecution().toString()  # no frame a piece
 
 
 def test_quantiles(spark):

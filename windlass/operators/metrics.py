@@ -177,38 +177,59 @@ def _free(links: list[int], at: int) -> int:
     return at
 
 
+def _match(places: list[int], guesses: list[int], tolerance: int) -> tuple[int, int, int, float]:
+    """Sizes, matches and sum of gaps of a piece, both lists in order. Taken boundaries link to their
+    neighbours, so the nearest free one on either side of a prediction is found without passing over
+    all of them."""
+    from bisect import bisect_left
+
+    n, matched, gap_sum = len(places), 0, 0
+    below, above = list(range(n + 1)), list(range(n + 1))  # below is shifted by one, 0 is none
+    for guess in guesses:
+        at = bisect_left(places, guess)
+        left, right = _free(below, at) - 1, _free(above, at)
+        choices = [(abs(places[k] - guess), k) for k in (left, right) if 0 <= k < n]
+        gap, k = min(choices, default=(tolerance + 1, -1))
+        if gap <= tolerance:
+            below[k + 1], above[k] = k, k + 1
+            matched, gap_sum = matched + 1, gap_sum + gap
+    return n, len(guesses), matched, float(gap_sum)
+
+
 def _matcher(tolerance: int):
-    def match(key, frame):
-        """Taken boundaries link to their neighbours, so the nearest free one on either side of a
-        prediction is found without passing over all of them."""
-        from bisect import bisect_left
-
-        import pandas as pd
-
-        of = {kind: part["frame_idx"].sort_values().tolist() for kind, part in frame.groupby("is_true")}
-        places, guesses = of.get(True, []), of.get(False, [])
-        n, matched, gap_sum = len(places), 0, 0
-        below, above = list(range(n + 1)), list(range(n + 1))  # below is shifted by one, 0 is none
-        for guess in guesses:
-            at = bisect_left(places, guess)
-            left, right = _free(below, at) - 1, _free(above, at)
-            choices = [(abs(places[k] - guess), k) for k in (left, right) if 0 <= k < n]
-            gap, k = min(choices, default=(tolerance + 1, -1))
-            if gap <= tolerance:
-                below[k + 1], above[k] = k, k + 1
-                matched, gap_sum = matched + 1, gap_sum + gap
-        return pd.DataFrame([(key[0], n, len(guesses), matched, float(gap_sum))], columns=["episode_id", "true", "predicted", "matched", "gap_sum"])
+    def match(batches):
+        """A row a piece of rows sorted by (episode_id, piece, frame_idx); a piece may span batches."""
+        import pyarrow as pa
+
+        names, at, held, kind = ["episode_id", "true", "predicted", "matched", "gap_sum"], None, ([], []), None
+        for batch in batches:
+            kind, done = batch.schema.field("episode_id").type, []
+            for episode, piece, frame, is_true in zip(*(batch.column(c).to_pylist() for c in ("episode_id", "piece", "frame_idx", "is_true")), strict=True):
+                if at != (episode, piece):
+                    if at is not None:
+                        done.append((at[0], *_match(*held, tolerance)))
+                    at, held = (episode, piece), ([], [])
+                held[0 if is_true else 1].append(frame)
+            yield _rows(pa, names, kind, done)
+        if at is not None:
+            yield _rows(pa, names, kind, [(at[0], *_match(*held, tolerance))])
 
     return match
 
 
+def _rows(pa, names, kind, rows):
+    types = (kind, pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
 def boundary_matches(truth: DataFrame, predicted: DataFrame, tolerance: int = 10) -> DataFrame:
     """Per episode the one-to-one matches of predicted to true boundaries (episode_id, frame_idx):
     predictions in order each take the nearest free true one, the earlier on a tie.
 
     What is free depends on the choices before only within reach: an episode is cut wherever no
     boundary of either kind follows within ``tolerance`` frames, the cuts are found by scans over
-    ranges, and each piece is matched by itself. (A stretch without any such gap stays one piece.)
+    ranges, and each piece is matched by itself; a task reads its pieces as one sorted stream, as there
+    are too many for a frame each. (A stretch without any such gap stays one piece.)
     """
     both = truth.select("episode_id", "frame_idx", F.lit(True).alias("is_true")).unionByName(predicted.select("episode_id", "frame_idx", F.lit(False).alias("is_true")))
     kind = truth.schema["episode_id"].dataType.simpleString()
@@ -218,7 +239,8 @@ def boundary_matches(truth: DataFrame, predicted: DataFrame, tolerance: int = 10
     numbered = scans.running(marked.drop("_next"), ["episode_id"], ["frame_idx"], {"_ends": F.col("_end")})
     pieces = numbered.select(F.col("episode_id").alias("_e"), F.col("frame_idx").alias("_f"), (F.col("_ends") - F.col("_end")).alias("piece"))
     met = both.join(pieces, both["episode_id"].eqNullSafe(pieces["_e"]) & (both["frame_idx"] == pieces["_f"])).select("episode_id", "piece", "frame_idx", "is_true")
-    found = met.groupBy("episode_id", "piece").applyInPandas(_matcher(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
+    laid = met.repartition("episode_id", "piece").sortWithinPartitions("episode_id", "piece", "frame_idx")
+    found = laid.mapInArrow(_matcher(tolerance), f"episode_id {kind}, true long, predicted long, matched long, gap_sum double")
     return found.groupBy("episode_id").agg(*[F.sum(c).alias(c) for c in ("true", "predicted", "matched", "gap_sum")])
 
 
