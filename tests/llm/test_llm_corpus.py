@@ -99,6 +99,28 @@ def test_similar_documents_match_brute_force(spark, corpus):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """A text and its near copies with one to five changes, some shared: all links, by far fewer pairs than there are."""
+    made, joined = [], simhash._joined
+    monkeypatch.setattr(simhash, "_joined", lambda pairs, *rest: made.append(pairs.count()) or joined(pairs, *rest))
+    rng, compared = random.Random(5), []
+    base = words(rng, 120, 4000).split()
+    for size in (100, 300):
+        texts = [" ".join(base)]
+        while len(texts) < size:
+            near = list(base)
+            for at in rng.sample(range(len(near)), rng.randrange(1, 6)):
+                near[at] = f"new{rng.randrange(4)}" if rng.random() < 0.3 else f"own{rng.random()}"
+            texts.append(" ".join(near))
+        found = {}
+        for r in simhash.similar_documents(frame(spark, texts)).collect():
+            found.setdefault(r.component_id, set()).add(r.doc_id)
+        assert {frozenset(g) for g in found.values()} == brute_similar(dict(enumerate(texts)))
+        compared.append(sum(made))
+        made.clear()
+    assert compared[1] < 10 * 300 and compared[1] < 5 * compared[0]
+
+
 def test_simhash_matches_brute_force(spark, corpus):
     found = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, corpus)).collect()}
     fps = [brute_fingerprint(t) for t in corpus]

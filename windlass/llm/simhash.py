@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windlass.llm.common import cut, keeping, landed
@@ -26,14 +26,17 @@ SEGMENT = 32
 CROWD = 64
 #: Fingerprints of ``similar_documents``: segments, words of a shingle, least Jaccard similarity.
 WIDE, WORDS, SIMILAR = 12, 5, 0.8
-#: Members of an entry up to which ``similar_documents`` compares all of them at once; of more, it first
-#: compares each with two and then only those that this has not joined.
+#: Members of an entry up to which ``similar_documents`` compares all of them at once; of more, those
+#: that can link at all are compared with one first and then only where this has not joined them.
 WIDE_CROWD = 3
+#: Times that sets without enough shared shingles are left out of what the others can share.
+PRUNE = 2
 #: Bits of a segment that are flipped in the ball: those whose vote was closest.
 DOUBTS = 10
 #: Differing bits of the wide fingerprint up to which texts are compared. Texts at similarity 0.8
 #: differ in 58 of 384 bits on average, with a deviation of seven.
 WIDE_DISTANCE = 90
+_GRAM = "h long, key long, size long, reach long, mine long, root long, both long"
 #: Shingles whose bits are counted at once; bounds a worker's memory on very long texts.
 BLOCK = 1 << 15
 #: Odd multipliers that make further hash values from one.
@@ -293,58 +296,150 @@ def _wide_entries(part):
 
 
 def _wide_probes(batches: Iterator) -> Iterator:
-    """(entry, key, mate): a row for each entry of each text, WIDE_CROWD + 1 for an entry in a batch
-    at most. In an entry with more, each member has the smallest as its mate, under a negative entry."""
+    """(entry, key): a row for each entry of each text, WIDE_CROWD + 1 for an entry in a batch at
+    most. Those in an entry with more are named once each under a negative entry."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         for at in range(0, len(batch), BLOCK // 4):
-            entry, key, busy, member = _thinned(*_wide_entries(batch.slice(at, BLOCK // 4)), WIDE_CROWD)
-            edges = np.flatnonzero(np.concatenate([[True], busy[1:] != busy[:-1], [True]])) if len(busy) else np.zeros(1, np.int64)
-            pairs = np.unique(np.stack([member, np.repeat(member[edges[:-1]], np.diff(edges))], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([entry, _aside(pairs[:, 0])])),
-                    pa.array(np.concatenate([key, pairs[:, 0]])),
-                    pa.concat_arrays([pa.nulls(len(entry), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 1]))]),
-                ],
-                names=["entry", "key", "mate"],
-            )
-
-
-def _wide_all(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        for at in range(0, len(batch), BLOCK // 4):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _wide_entries(batch.slice(at, BLOCK // 4))], names=["entry", "key"])
+            entry, key, _, crowd = _thinned(*_wide_entries(batch.slice(at, BLOCK // 4)), WIDE_CROWD)
+            crowd = np.unique(crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([entry, _aside(crowd)])), pa.array(np.concatenate([key, crowd]))], names=["entry", "key"])
 
 
 def _wide_pairs(batches: Iterator) -> Iterator:
-    """(u, v) of the keys that meet in an entry: all pairs, or in a crowded entry each with the
-    smallest and with the one before it, and then also (u, null) for each."""
+    """(u, v) of the keys that meet in an entry, or (u, null) for each of a crowded one."""
     import numpy as np
 
     us, vs, crowd, passing = [], [], [], []
     for keys in _met(batches, passing):
         if len(keys) > WIDE_CROWD:
-            us += [keys[1:], keys[1:]]
-            vs += [np.full(len(keys) - 1, keys[0]), keys[:-1]]
             crowd.append(keys)
         else:
             i, j = np.triu_indices(len(keys), 1)
             us.append(keys[i])
             vs.append(keys[j])
-        if len(us) > BLOCK:
+        if len(us) + len(crowd) > BLOCK:
             yield _pairs(us, vs, crowd)
-    for b in passing:
-        keys, mates = np.asarray(b.column(1)), np.asarray(b.column(2))
-        other = keys != mates
-        us.append(keys[other])
-        vs.append(mates[other])
-        crowd.append(keys)
-    yield _pairs(us, vs, crowd)
+    yield _pairs(us, vs, crowd + [np.asarray(b.column(1)) for b in passing])
+
+
+def _wide_all(batches: Iterator) -> Iterator:
+    """(entry, key, size, reach, weight, root): every entry of each text, with its other columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, len(batch), BLOCK // 4):
+            part = batch.slice(at, BLOCK // 4)
+            entry, place = _wide_entries(part.set_column(0, "key", pa.array(np.arange(len(part)))))
+            place = pa.array(place)
+            yield pa.RecordBatch.from_arrays([pa.array(entry), *[part.column(k).take(place) for k in (0, 3, 4, 5, 6)]], names=["entry", "key", *part.schema.names[3:]])
+
+
+def _runs(batches: Iterator) -> Iterator:
+    """Of rows of longs sorted by their first column, the other columns of each run of equal ones."""
+    import numpy as np
+
+    def split(rows):
+        edges = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
+        return (rows[1:, a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+    rest = None
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns])
+        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        yield from split(rows[:, :last]) if last else ()
+        rest = rows[:, last:]
+    if rest is not None and rest.shape[1]:
+        yield from split(rest)
+
+
+def _to_centre(batches: Iterator) -> Iterator:
+    """(key, centre, heavy): each member of an entry with its centre, the one of the greatest weight,
+    and that weight; of the entries of a batch the heaviest centre of each."""
+    import numpy as np
+    import pyarrow as pa
+
+    found, held = [], 0
+
+    def best():
+        key, centre, heavy = np.concatenate(found, axis=1)
+        order = np.lexsort((centre, heavy, key))
+        last = order[np.append(key[order][1:] != key[order][:-1], True)]
+        return pa.RecordBatch.from_arrays([pa.array(x[last]) for x in (key, centre, heavy)], names=["key", "centre", "heavy"])
+
+    for key, size, reach, weight, _ in _runs(batches):
+        at = np.lexsort((key, weight))[-1]
+        may = (key != key[at]) & (size <= reach[at]) & (size[at] <= reach)
+        n = int(may.sum())
+        found.append(np.stack([key[may], np.full(n, key[at]), np.full(n, weight[at])]))
+        held += n
+        if held > BLOCK or len(found) > BLOCK:
+            yield best()
+            found, held = [], 0
+    if found:
+        yield best()
+
+
+def _across(batches: Iterator) -> Iterator:
+    """(u, v): members of an entry that belong to different roots and reach each other."""
+    import numpy as np
+
+    us, vs, held = [], [], 0
+    for rows in _runs(batches):
+        # One whose reach ends below the least size meets none.
+        key, size, reach, _, root = rows[:, rows[2] >= rows[1].min()]
+        if not len(key) or (root == root[0]).all():
+            continue
+        for at in range(len(key) - 1):
+            may = at + 1 + np.flatnonzero((root[at + 1 :] != root[at]) & (size[at + 1 :] <= reach[at]) & (size[at] <= reach[at + 1 :]))
+            us.append(key[may])
+            vs.append(np.full(len(may), key[at]))
+            held += len(may)
+            if held > BLOCK * 16 or len(us) > BLOCK:
+                yield _pairs(us, vs, [])
+                held = 0
+    yield _pairs(us, vs, [])
+
+
+def _outside(batches: Iterator) -> Iterator:
+    """Of runs of one shingle: (u, v, of_u, of_v, least_u, least_v) of members that belong to different
+    roots and reach each other, one of which has the shingle outside its centre. of_u counts the
+    shingles outside u's centre that v has, least_u is how many a link takes; sums of many parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    found, held = [], 0
+
+    def sums():
+        rows = np.concatenate(found, axis=1)
+        order = np.lexsort((rows[1], rows[0]))
+        rows = rows[:, order]
+        first = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))[: rows.shape[1]]
+        counts = [np.add.reduceat(rows[k], first) if len(first) else rows[k] for k in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0, first], rows[1, first], *counts, rows[4, first], rows[5, first])], names=["u", "v", "of_u", "of_v", "least_u", "least_v"])
+
+    for rows in _runs(batches):
+        stay = rows[2] >= rows[1].min()
+        key, size, reach, mine, root, both = rows[:, stay]
+        if not mine.any() or (root == root[0]).all():
+            continue
+        for at in np.flatnonzero(mine).tolist():
+            may = np.flatnonzero((root != root[at]) & (size <= reach[at]) & (size[at] <= reach))
+            one, none = np.ones(len(may), np.int64), np.zeros(len(may), np.int64)
+            least = -(-4 * (size[may] + size[at]) // 9)
+            own, other = (np.full(len(may), key[at]), one, least - both[at]), (key[may], none, least - both[may])
+            up = own[0] > other[0]
+            found.append(np.stack([np.where(up, x, y) for k in range(3) for x, y in ((own[k], other[k]), (other[k], own[k]))]))
+            held += len(may)
+            if held > BLOCK * 16 or len(found) > BLOCK:
+                yield sums()
+                found, held = [], 0
+    if found:
+        yield sums()
 
 
 def _close(batches: Iterator) -> Iterator:
@@ -359,16 +454,25 @@ def _close(batches: Iterator) -> Iterator:
 
 def _alike(batches: Iterator) -> Iterator:
     """(u, v) of the pairs whose texts' shingle sets are similar enough."""
+    import pyarrow.compute as pc
+
+    for batch in _overlaps(batches):
+        yield batch.filter(pc.field("alike")).select([0, 1])
+
+
+def _overlaps(batches: Iterator) -> Iterator:
+    """(u, v, both, alike): the number of shingles that both have, and whether that is enough."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        keep = []
+        shared, alike = [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(t.as_py(), np.uint64) for t in (a, b))
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            shared.append(both)
+            alike.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(alike, pa.bool_())], names=["u", "v", "both", "alike"])
 
 
 def _joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -377,6 +481,114 @@ def _joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
 
 
+def _spread(batches: Iterator) -> Iterator:
+    """(h, key, ...): a row for each shingle of each set (key, hashes, centre's hashes, ...), with
+    the other columns; in place of the centre, whether the shingle is outside it."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            sets, n, out = [], [], []
+            for x, y in zip(part.column(1), part.column(2), strict=True):
+                own = np.frombuffer(x.as_py(), np.int64)
+                sets.append(own)
+                n.append(len(own))
+                out.append(~np.isin(own, np.frombuffer(y.as_py(), np.int64)) if y.is_valid else np.zeros(len(own), bool))
+            place = pa.array(np.repeat(np.arange(len(part)), n))
+            key, size, reach, root, both = (part.column(k).take(place) for k in (0, 3, 4, 5, 6))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sets)), key, size, reach, pa.array(np.concatenate(out).astype(np.int64)), root, both], names=["h", "key", "size", "reach", "mine", "root", "both"]
+            )
+
+
+def _weighed(batches: Iterator) -> Iterator:
+    """(key, lone, weight) of rows (h, key, ...) sorted by h: how many of a set's shingles no other
+    set has, and eight times the sum of the logarithms of how many have each; sums of many parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, sizes, held = [], [], 0
+
+    def sums():
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.repeat(sizes, [len(k) for k in keys])
+        lone, weight = np.bincount(at, n == 1, len(key)), np.bincount(at, 8 * np.log2(n), len(key))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(lone.astype(np.int64)), pa.array(weight.astype(np.int64))], names=["key", "lone", "weight"])
+
+    for (key, *_,) in _runs(batches):
+        keys.append(key)
+        sizes.append(len(key))
+        held += len(key)
+        if held > BLOCK * 16:
+            yield sums()
+            keys, sizes, held = [], [], 0
+    if keys:
+        yield sums()
+
+
+def _reach(shared: str) -> Column:
+    """The largest size of a set that a set which shares that much at most can be similar enough to."""
+    return F.floor((9 * F.col(shared) - 4 * F.col("size")) / 4)
+
+
+def linkable(held: DataFrame) -> DataFrame:
+    """(key, size, shared, weight, reach) of the sets of shingles (key, hashes) that can be similar enough to
+    another of them: ``reach`` is the largest size such another one can have, ``weight`` the mean
+    logarithm of how many sets have a shingle.
+
+    Of a set, s shingles (``shared``) are in any other; it has 9 s >= 4 (size + other size) with each one at a
+    similarity of 0.8, whose size is at least 0.8 of its own. Only counts by shingle and by key are
+    made, so the work grows with the sets, not with their pairs.
+    """
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(0).cast("long")
+    for _ in range(PRUNE):
+        grams = held.select("key", "hashes", F.lit(None).cast("binary").alias("centre"), *[none.alias(c) for c in ("size", "reach", "root", "both")])
+        rows = grams.mapInArrow(_spread, _GRAM).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_weighed, "key long, lone long, weight long")
+        sized = held.select("key", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+        sized = sized.join(rows.groupBy("key").agg(F.sum("lone").alias("lone"), F.sum("weight").alias("weight")), "key")
+        sized = sized.select("key", "size", (F.col("size") - F.col("lone")).alias("shared"), F.floor(1000 * F.col("weight") / F.col("size")).alias("weight"))
+        found = landed(sized.withColumn("reach", _reach("shared")).where("5 * reach >= 4 * size"))
+        held = held.join(found.select("key"), "key", "left_semi")
+    return found
+
+
+def _crowd_links(members: DataFrame, held: DataFrame, alike: DataFrame, parts: int) -> DataFrame:
+    """(u, v): links among ``members`` of crowds (key, segments, doubts and the columns of
+    ``linkable``), of which ``held`` has the shingles, so that with those in ``alike`` all that link
+    to each other are joined.
+
+    Each is compared with one first, the heaviest centre of its entries. A text that has o shingles
+    in its centre shares o with any other at most, and those of its others that the other has. So
+    two that are not joined yet are compared if o allows it for both, or with what each has outside
+    its centre and the other has too. Pairs within a component are not made.
+    """
+    row = "entry long, key long, size long, reach long, weight long, root long"
+
+    def entries(rows: DataFrame) -> DataFrame:
+        made = rows.select("key", "segments", "doubts", "size", "reach", "weight", "root").mapInArrow(_wide_all, row)
+        return made.repartition(parts, "entry").sortWithinPartitions("entry", "key")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return landed(_joined(pairs, held, "hashes").mapInArrow(_overlaps, "u long, v long, both long, alike boolean"))
+
+    centres = entries(members.withColumn("root", F.col("key"))).mapInArrow(_to_centre, "key long, centre long, heavy long")
+    stars = compared(centres.groupBy("key").agg(F.max(F.struct("heavy", "centre")).alias("c")).select(F.col("key").alias("u"), F.col("c.centre").alias("v")))
+    roots = connected_components(alike.unionByName(stars.where("alike").select("u", "v"))).withColumnRenamed("node", "key")
+    to = stars.select(F.col("u").alias("key"), F.col("v").alias("centre"), "both")
+    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(to, "key", "left")
+    placed = landed(placed.withColumn("both", F.least("both", "shared")))  # of null and a number, the number
+    direct = entries(placed.withColumn("reach", _reach("both"))).mapInArrow(_across, "u long, v long")
+    other = held.select(F.col("key").alias("centre"), F.col("hashes").alias("other"))
+    grams = placed.join(held, "key").join(other, "centre", "left").select("key", "hashes", "other", "size", "reach", "root", "both").mapInArrow(_spread, _GRAM)
+    outside = grams.repartition(parts, "h").sortWithinPartitions("h", "key").mapInArrow(_outside, "u long, v long, of_u long, of_v long, least_u long, least_v long")
+    outside = outside.groupBy("u", "v", "least_u", "least_v").agg(F.sum("of_u").alias("of_u"), F.sum("of_v").alias("of_v")).where("of_u >= least_u and of_v >= least_v")
+    more = compared(direct.unionByName(outside.select("u", "v")).distinct())
+    return stars.unionByName(more).where("alike").select("u", "v")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, component_id) of the rows of ``docs`` that have an id: documents link where the
     Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
@@ -385,39 +597,46 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text here, blank ones too. Candidates meet by multi-index hashing of a fingerprint of twelve
     32-bit segments: in each the ball of radius one over the ten bits with the closest votes is
     enumerated, as near copies differ in those first. The complete distance is checked, then the
-    shingle sets themselves. In a crowded entry each member meets the smallest and its neighbour;
-    where that leaves an entry's members in several components, all pairs across these are
-    compared too, so none that meet go unseen. component_id is the smallest id reachable.
+    shingle sets themselves. Members of crowded entries are first held against what is shared at all
+    (``linkable``), which leaves out those that can have no link to another member. The others are
+    compared with a centre, and across the components that this makes wherever two can link at all
+    (``_crowd_links``), so no link of those that meet is lost. component_id is the smallest id reachable.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = landed(texts.mapInArrow(_wide, "doc_id long, key long, segments binary, doubts binary"))
     firsts = landed(signed.groupBy("key").agg(F.min(F.struct("doc_id", "segments", "doubts")).alias("f")).select("key", F.col("f.doc_id").alias("first_id"), "f.segments", "f.doubts"))
     table = firsts.select("key", "segments", "doubts")
-    probes = table.repartition(parts).mapInArrow(_wide_probes, "entry long, key long, mate long")
+    probes = table.repartition(parts).mapInArrow(_wide_probes, "entry long, key long")
     met = landed(probes.repartition(parts, "entry").sortWithinPartitions("entry", "key").mapInArrow(_wide_pairs, "u long, v long"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        close = landed(_joined(pairs, table, "segments").mapInArrow(_close, "u long, v long"))
-        wanted = close.select(F.col("u").alias("key")).distinct().union(close.select("v").distinct()).distinct().join(firsts.select("key", "first_id"), "key")
+    def sets(keys: DataFrame) -> DataFrame:
+        """(key, hashes) of some keys."""
+        wanted = keys.join(firsts.select("key", "first_id"), "key")
         # Rows under one id can hold several texts: the key says which is meant.
         held = texts.join(wanted, texts["doc_id"] == wanted["first_id"]).select("key", "text").mapInArrow(_keyed_sets, "key long, hashes binary")
-        held = landed(held.dropDuplicates(["key"]))
+        return landed(held.dropDuplicates(["key"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = landed(_joined(pairs, table, "segments").mapInArrow(_close, "u long, v long"))
+        wanted = close.select(F.col("u").alias("key")).distinct().union(close.select("v").distinct()).distinct()
+        held = crowded.join(wanted, "key", "left_semi").unionByName(sets(wanted.join(crowd, "key", "left_anti")))
         return landed(_joined(close, held, "hashes").mapInArrow(_alike, "u long, v long"))
 
-    alike = verified(met.where("v is not null").distinct())
+    crowd = landed(met.where("v is null").select(F.col("u").alias("key")).distinct())
+    crowded = sets(crowd)
+    may = linkable(crowded)
+
+    # Pairs of two members of crowds are left to what follows.
+    ends = crowd.select(F.col("key").alias("u"), F.lit(True).alias("in_u")), crowd.select(F.col("key").alias("v"), F.lit(True).alias("in_v"))
+    pairs = met.where("v is not null").distinct().join(ends[0], "u", "left").join(ends[1], "v", "left").where("in_u is null or in_v is null").select("u", "v")
+    close = landed(_joined(pairs, table, "segments").mapInArrow(_close, "u long, v long"))
+    wanted = close.select(F.col("u").alias("key")).distinct().union(close.select("v").distinct()).distinct()
+    held = crowded.join(wanted, "key", "left_semi").unionByName(sets(wanted.join(crowd, "key", "left_anti")))
+    alike = landed(_joined(close, held, "hashes").mapInArrow(_alike, "u long, v long"))
+    if not may.isEmpty():
+        alike = alike.unionByName(_crowd_links(table.join(may, "key"), crowded, alike, parts))
     roots = landed(connected_components(alike))
-    crowd = met.where("v is null").select(F.col("u").alias("key")).distinct()
-    if not crowd.isEmpty():
-        entries = table.join(crowd, "key").select("key", "segments", "doubts").mapInArrow(_wide_all, "entry long, key long")
-        placed = landed(entries.join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("root")))
-        mixed = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
-        left = landed(placed.join(mixed, "entry"))
-        right = left.withColumnsRenamed({"key": "v", "root": "other"})
-        across = left.join(right, "entry").where("root < other").select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
-        more = verified(across)
-        if not more.isEmpty():
-            roots = landed(connected_components(alike.unionByName(more)))
     rooted = firsts.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return signed.select("doc_id", "key").join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
