@@ -121,6 +121,18 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert compared[1] < 10 * 300 and compared[1] < 5 * compared[0]
 
 
+def test_common_subsequence_by_places_that_are_known():
+    rng = random.Random(8)
+    for _ in range(50):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(old[k] + 1 if x == y else max(row[-1], old[k + 1]))
+        assert decontaminate.lcs_length(a, b) == decontaminate.lcs_length(a, b, decontaminate.places(a)) == row[-1]
+
+
 def test_simhash_matches_brute_force(spark, corpus):
     found = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, corpus)).collect()}
     fps = [brute_fingerprint(t) for t in corpus]

@@ -47,15 +47,22 @@ def term_ids(words: list[bytes]):
     return (np.fromiter(map(crc32, words), np.uint32, len(words)) % TERMS).astype(np.uint16)
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, all rows of the table in one integer's bits."""
+def places(a: list) -> dict:
+    """The positions of each element of ``a``, as an integer's bits."""
     where: dict = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
+    return where
+
+
+def lcs_length(a: list, b: list, where: dict | None = None) -> int:
+    """Length of the longest common subsequence, all rows of the table in one integer's bits;
+    ``where`` is ``places(a)``."""
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
-    for x in b:
-        met = row & where.get(x, 0)
+    for bits in filter(None, map(where.get, b)):
+        met = row & bits
         if met:
             row = ((row + met) | (row - met)) & full
     return len(a) - row.bit_count()
@@ -212,6 +219,8 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
         unit[k] = q / (np.linalg.norm(q) + 1e-12)
     windows = [sorted({window_length(f * n + STEP / 2) for f in LENGTHS}) for n in sizes.tolist()]
     as_lists = [x.tolist() for x in ids]
+    where = [places(x) for x in as_lists]
+    number = np.zeros(TERMS, np.int64)
     padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
 
     def regions(text):
@@ -228,8 +237,9 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
             wanted = np.zeros(TERMS, bool)
             wanted[slots] = True
             hit = np.flatnonzero(wanted[text])
-            number = np.cumsum(wanted) - 1
-            tiles = np.zeros((-(-len(text) // width) + 1, number[-1] + 1), np.uint8)
+            own = np.flatnonzero(wanted)
+            number[own] = np.arange(len(own))
+            tiles = np.zeros((-(-len(text) // width) + 1, len(own)), np.uint8)
             tiles[hit // width, number[text[hit]]] = 1
             held = (tiles[:-1] | tiles[1:])[:, number[slots]]
             enough = np.add.reduceat(held, np.cumsum(sizes[mine]) - sizes[mine], axis=1, dtype=np.int64) >= least[mine]
@@ -281,7 +291,7 @@ def _finder(vectors, items: list[list[bytes]], min_cosine: float):
                     continue
                 for k, item, lo, hi in near(group):
                     # Equal words have equal ids, so this bound can only be too high.
-                    if lcs_length(as_lists[item], group[k][lo:hi].tolist()) >= least[item]:
+                    if lcs_length(as_lists[item], group[k][lo:hi].tolist(), where[item]) >= least[item]:
                         for column, x in zip(out, (batch.column(0)[first + k].as_py(), batch.column(1)[first + k].as_py(), item, lo, hi), strict=True):
                             column.append(x)
                 group, size, first = [], 0, at + 1
@@ -297,7 +307,8 @@ def covered(item: list[bytes], span: list[bytes], idf=None) -> tuple[bool, float
     subsequence and whether the answer stands whole there. The share is no higher than that of
     the item's distinct words found there, weighted by ``idf`` (by hashed term; equal weights
     without it), so that words which are everywhere make no leak."""
-    n, distinct = len(item), list(dict.fromkeys(item))
+    n, where = len(item), places(item)
+    distinct = list(where)
     weight = dict(zip(distinct, [1.0] * len(distinct) if idf is None else idf[term_ids(distinct)].tolist(), strict=True))
     if (mass := sum(weight.values())) <= 0:
         weight, mass = dict.fromkeys(distinct, 1.0), len(distinct)
@@ -308,7 +319,7 @@ def covered(item: list[bytes], span: list[bytes], idf=None) -> tuple[bool, float
         there = sum(weight[w] for w in set(part).intersection(weight)) / mass
         if there < best[1] and (best[0] or there < COVER_WITH_ANSWER):
             continue  # it can't be accepted, or not as well
-        share = min(lcs_length(item, part) / n, there)
+        share = min(lcs_length(item, part, where) / n, there)
         whole = share >= COVER_WITH_ANSWER and any(part[k : k + len(tail)] == tail for k in range(len(part) - len(tail) + 1))
         best = max(best, (share >= COVER or whole, share, whole))
     return best
