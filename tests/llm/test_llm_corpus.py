@@ -121,6 +121,46 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert compared[1] < 10 * 300 and compared[1] < 5 * compared[0]
 
 
+def test_counts_of_shingles_do_not_grow_with_tasks(spark, monkeypatch):
+    """What is counted of near copies is exact, and as many rows are made in 64 tasks as in 4."""
+    rng = random.Random(6)
+    base, sets = words(rng, 120, 4000).split(), {}
+    for k in range(60):
+        near = list(base)
+        for at in rng.sample(range(len(near)), k % 6):
+            near[at] = f"own{rng.random()}"
+        sets[k] = simhash.shingle_hashes(" ".join(near).encode())
+    held = spark.createDataFrame([(k, bytearray(h.tobytes())) for k, h in sets.items()], "key long, hashes binary")
+    left, want, rows_wanted = sets, {}, 0
+    for _ in range(simhash.PRUNE):
+        n = collections.Counter(x for h in left.values() for x in h.tolist())
+        rows_wanted += n.total()
+        shared = {k: sum(n[x] > 1 for x in h.tolist()) for k, h in left.items()}
+        want = {k: (len(h), shared[k], sum(round(1024 * math.log2(n[x])) for x in h.tolist()) // len(h), (9 * shared[k] - 4 * len(h)) // 4) for k, h in left.items()}
+        want = {k: x for k, x in want.items() if 5 * x[3] >= 4 * x[0]}
+        left = {k: left[k] for k in want}
+    kind, made = type(held), []
+    mapped = kind.mapInArrow
+
+    def counted(self, *args, **more):
+        out = mapped(self, *args, **more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    before, rows = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found = {r.key: (r.size, r.shared, r.weight, r.reach) for r in simhash.linkable(held).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert found == want
+        rows.append(sum(made))
+        made.clear()
+    assert rows == [rows_wanted, rows_wanted]
+
+
 def test_common_subsequence_by_places_that_are_known():
     rng = random.Random(8)
     for _ in range(50):

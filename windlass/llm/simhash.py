@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windlass.llm.common import cut, keeping, landed
@@ -503,31 +503,6 @@ def _spread(batches: Iterator) -> Iterator:
             )
 
 
-def _weighed(batches: Iterator) -> Iterator:
-    """(key, lone, weight) of rows (h, key, ...) sorted by h: how many of a set's shingles no other
-    set has, and eight times the sum of the logarithms of how many have each; sums of many parts."""
-    import numpy as np
-    import pyarrow as pa
-
-    keys, sizes, held = [], [], 0
-
-    def sums():
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.repeat(sizes, [len(k) for k in keys])
-        lone, weight = np.bincount(at, n == 1, len(key)), np.bincount(at, 8 * np.log2(n), len(key))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(lone.astype(np.int64)), pa.array(weight.astype(np.int64))], names=["key", "lone", "weight"])
-
-    for (key, *_,) in _runs(batches):
-        keys.append(key)
-        sizes.append(len(key))
-        held += len(key)
-        if held > BLOCK * 16:
-            yield sums()
-            keys, sizes, held = [], [], 0
-    if keys:
-        yield sums()
-
-
 def _reach(shared: str) -> Column:
     """The largest size of a set that a set which shares that much at most can be similar enough to."""
     return F.floor((9 * F.col(shared) - 4 * F.col("size")) / 4)
@@ -540,16 +515,17 @@ def linkable(held: DataFrame) -> DataFrame:
 
     Of a set, s shingles (``shared``) are in any other; it has 9 s >= 4 (size + other size) with each one at a
     similarity of 0.8, whose size is at least 0.8 of its own. Only counts by shingle and by key are
-    made, so the work grows with the sets, not with their pairs.
+    made, so the work grows with the sets, not with their pairs or with the number of tasks. Logarithms
+    are whole numbers (of 1024ths), whose sums are the same in any order.
     """
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(0).cast("long")
     for _ in range(PRUNE):
         grams = held.select("key", "hashes", F.lit(None).cast("binary").alias("centre"), *[none.alias(c) for c in ("size", "reach", "root", "both")])
-        rows = grams.mapInArrow(_spread, _GRAM).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_weighed, "key long, lone long, weight long")
+        rows = grams.mapInArrow(_spread, _GRAM).select("key", F.count("*").over(Window.partitionBy("h")).alias("n"))
+        sums = rows.groupBy("key").agg(F.count_if(F.col("n") == 1).alias("lone"), F.sum(F.round(1024 * F.log2("n")).cast("long")).alias("weight"))
         sized = held.select("key", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-        sized = sized.join(rows.groupBy("key").agg(F.sum("lone").alias("lone"), F.sum("weight").alias("weight")), "key")
-        sized = sized.select("key", "size", (F.col("size") - F.col("lone")).alias("shared"), F.floor(1000 * F.col("weight") / F.col("size")).alias("weight"))
+        sized = sized.join(sums, "key")
+        sized = sized.select("key", "size", (F.col("size") - F.col("lone")).alias("shared"), F.floor(F.col("weight") / F.col("size")).alias("weight"))
         found = landed(sized.withColumn("reach", _reach("shared")).where("5 * reach >= 4 * size"))
         held = held.join(found.select("key"), "key", "left_semi")
     return found
