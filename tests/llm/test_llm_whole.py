@@ -65,6 +65,24 @@ def test_lm_uses_all_windows_over_the_rounds(monkeypatch):
     assert sum(each) == len(found) and max(each) - min(each) <= 1
 
 
+def test_lm_encodes_new_words_by_one_call():
+    """Words of any bytes and length, with blanks that are none of ASCII: each has the ids that it has alone."""
+    with open(RANKS, "rb") as f:
+        shared = Shared(f.read())
+    table = lm.Words(shared.value[0], {b"known": 7})
+    whole, calls = table.encode, []
+    table.encode = lambda text: calls.append(text) or whole(text)
+    odd = ["\u00a0", "a\u2003b", "\x1c", "\u4e00\u0301", "known", "a" * (lm.PIECE - 1), "b" * lm.PIECE, "\u00e9" * 3 * lm.PIECE]
+    words = [w.encode() for w in [*(f"w{k}" for k in range(500)), *odd]] + [b"\xff\xfe"]
+    numbers = table.numbers([*words, *words])
+    assert len(calls) < 20 and (table.numbers(words) == numbers[: len(words)]).all() and len(set(numbers.tolist())) == len(words)
+    for word, number in zip(words, numbers.tolist(), strict=False):
+        piece = " " + word.decode(errors="replace")
+        want = [x for at in range(0, len(piece), lm.PIECE) for x in whole(piece[at : at + lm.PIECE])]
+        assert table.subwords(np.array([number])).tolist() == want and table.word[number] == word
+    assert table.counts(numbers[:501]).tolist() == [-1] * 501 and table.counts(numbers[504:505]).tolist() == [7]
+
+
 def test_decontamination_keeps_the_accepted_stretch():
     """A stretch with 12 of 20 words and no answer stands before one with 11 words and the answer."""
     item = [b"i%d" % k for k in range(20)]

@@ -7,7 +7,7 @@ WIDTH, CONTEXT, STRIDE = 24, 16, 12
 #: each, all others share BINS classes of about equal mass. Classes are also the input rows.
 GROUPS, MEMBERS, BINS = 32, 32, 32
 #: Windows that go through attention at once: few enough for their arrays to stay in a cache.
-CACHED = 256
+CACHED = 64
 CLASSES = GROUPS * MEMBERS
 _SHAPES = {
     "embed": (CLASSES, WIDTH), "place": (CONTEXT, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH),
@@ -59,24 +59,34 @@ def unpack(data: bytes) -> dict:
     return model
 
 
-def _attend(m: dict, x):
-    """States after attention over each window, and what the gradient needs."""
+def _tables(m: dict):
+    """The projections of a state, (WIDTH, 3 * WIDTH), and the rows of the classes and of the places:
+    [state, query, key, value]. Queries are scaled and values have gone through ``o`` already. As all is
+    linear, a window's rows are sums of these, and no product over its rows is left."""
     import numpy as np
 
+    qkv = m["qkv"]
+    mix = np.concatenate([qkv[:, :WIDTH] * np.float32(WIDTH**-0.5), qkv[:, WIDTH : 2 * WIDTH], qkv[:, 2 * WIDTH :] @ m["o"]], axis=1)
+    return mix, *(np.concatenate([m[n], m[n] @ mix], axis=1) for n in ("embed", "place"))
+
+
+def _attend(m: dict, x, tables=None, skip: int = 0):
+    """Of each window its rows, its attention and the states after it, from the place ``skip`` on."""
+    import numpy as np
+
+    _, kinds, places = tables or _tables(m)
     t = x.shape[1]
-    h = m["embed"][x]
-    h += m["place"][:t]
-    # One product over all rows, not one for each window.
-    qkv = (h.reshape(-1, WIDTH) @ m["qkv"]).reshape(*x.shape, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
+    rows = kinds.take(x, axis=0)
+    rows += places[:t]
+    h, q, k, v = (rows[..., at : at + WIDTH] for at in range(0, 4 * WIDTH, WIDTH))
+    a = q[:, skip:] @ k.transpose(0, 2, 1)
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    a *= np.tri(t, dtype=np.float32)
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    return h, q, k, v, a, o, h + (o.reshape(-1, WIDTH) @ m["o"]).reshape(h.shape)
+    a *= np.tri(t, dtype=a.dtype)[skip:]
+    a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(*a.shape[:2], 1)
+    z = a @ v
+    z += h[:, skip:]
+    return rows, a, z
 
 
 def _sorted(kinds, n: int):
@@ -87,90 +97,109 @@ def _sorted(kinds, n: int):
     return order, np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=n))])
 
 
-def _logits(m: dict, z, edges):
-    """Logits of the groups, and of the members of each row's own group, for rows sorted by group."""
+def _leaves(m: dict):
+    """For each group, the weights of all groups beside those of its own members, biases as a last row."""
     import numpy as np
 
-    top, leaf = z @ m["top"], np.empty((len(z), MEMBERS), np.result_type(z, m["leaf"]))
-    top += m["top_bias"]
-    for g, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        if b > a:
-            np.matmul(z[a:b], m["leaf"][g], out=leaf[a:b])
-            leaf[a:b] += m["leaf_bias"][g]
-    return top, leaf
+    top = np.concatenate([m["top"], m["top_bias"][None]])
+    leaf = np.concatenate([m["leaf"], m["leaf_bias"][:, None]], axis=1)
+    return np.concatenate([np.broadcast_to(top, (GROUPS, *top.shape)), leaf], axis=2)
+
+
+def _spans(edges):
+    return [(g, a, b) for g, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
 
 
-def _exponents(logits):
-    """In place; clipped far beyond what a trained model gives, so that nothing overflows."""
+def _exponents(leaves, z, spans):
+    """exp of the logits of the groups and of the members of each row's own group, for rows (with a
+    last one for the bias) sorted by group, and their sums, (n, 2). Logits are clipped far beyond what
+    a trained model gives, so that nothing overflows."""
     import numpy as np
 
-    np.clip(logits, -60, 60, out=logits)
-    return np.exp(logits, out=logits)
+    p = np.empty((len(z), GROUPS + MEMBERS), np.result_type(z, leaves))
+    for g, a, b in spans:
+        np.matmul(z[a:b], leaves[g], out=p[a:b])
+    np.clip(p, -60, 60, out=p)
+    np.exp(p, out=p)
+    return p, (p.reshape(-1, MEMBERS) @ np.ones(MEMBERS, p.dtype)).reshape(-1, 2)
 
 
-def _picked(logits, at):
-    """Natural log softmax of one entry of each row."""
+def _biased(z, at):
+    """Rows of ``z`` in an order, with a one behind each."""
     import numpy as np
 
-    found = np.clip(logits[np.arange(len(logits)), at], -60, 60)
-    return found - np.log(_exponents(logits) @ np.ones(logits.shape[1], logits.dtype))
+    made = np.empty((len(at), WIDTH + 1), z.dtype)
+    made[:, :WIDTH] = z.take(at, axis=0)
+    made[:, WIDTH] = 1
+    return made
 
 
-def log_probability(m: dict, z, classes):
+def log_probability(m: dict, z, classes, leaves=None):
     """Natural log probability of a class after each state (n, WIDTH): its group's by all groups,
     then its own by the members of that group. Rows are sorted by group once."""
     import numpy as np
 
     order, edges = _sorted(classes // MEMBERS, GROUPS)
-    y = classes[order]
-    top, leaf = _logits(m, z[order], edges)
+    y, rows = classes[order], np.arange(len(z))
+    p, sums = _exponents(_leaves(m) if leaves is None else leaves, _biased(z, order), _spans(edges))
     found = np.empty(len(z), z.dtype)
-    found[order] = _picked(top, y // MEMBERS) + _picked(leaf, y % MEMBERS)
+    found[order] = np.log(p[rows, y // MEMBERS] / sums[:, 0]) + np.log(p[rows, GROUPS + y % MEMBERS] / sums[:, 1])
     return found
 
 
 def gradient(m: dict, windows, classes) -> dict:
-    """Of the mean negative log likelihood of the windows' ids, each from those before it."""
+    """Of the mean negative log likelihood of the windows' ids, each from those before it. Some windows
+    at a time go forth and back through attention, so that their arrays stay in a cache."""
     import numpy as np
 
     x, wanted = classes[np.maximum(windows[:, :-1], 0)], windows[:, 1:].ravel()
     real = np.flatnonzero(wanted >= 0)
     y = classes[wanted[real]]
     order, edges = _sorted(y // MEMBERS, GROUPS)
-    y, at = y[order], real[order]
-    h, q, k, v, a, o, z = _attend(m, x)
-    flat = lambda u: np.ascontiguousarray(u).reshape(-1, u.shape[-1])
-    zs, rows, share = flat(z)[at], np.arange(len(y)), np.float32(1 / max(1, len(y)))
-    g = {n: np.zeros(s, np.float32) for n, s in _SHAPES.items()}
-    top, leaf = _logits(m, zs, edges)
-    for p, own in ((top, y // MEMBERS), (leaf, y % MEMBERS)):
-        _exponents(p)
-        p *= (share / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
-        p[rows, own] -= share
-    g["top"], g["top_bias"] = zs.T @ top, top.sum(axis=0)
-    dzs = top @ m["top"].T
-    for group, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        if hi > lo:
-            p = leaf[lo:hi]
-            np.matmul(zs[lo:hi].T, p, out=g["leaf"][group])
-            np.sum(p, axis=0, out=g["leaf_bias"][group])
-            dzs[lo:hi] += p @ m["leaf"][group].T
-    dz = np.zeros((x.size, WIDTH), dzs.dtype)
-    dz[at] = dzs
-    g["o"] = flat(o).T @ dz
-    do = (dz @ m["o"].T).reshape(z.shape)
-    da = do @ v.transpose(0, 2, 1)
-    da -= np.einsum("bts,bts->bt", da, a)[:, :, None]
-    da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * WIDTH)
-    g["qkv"] = flat(h).T @ dqkv
-    dh = dqkv @ m["qkv"].T
-    dh += dz
-    g["place"][: x.shape[1]] = dh.reshape(z.shape).sum(axis=0)
+    y, at, spans, share = y[order], real[order], _spans(edges), np.float32(1 / max(1, len(y)))
+    t, parts = x.shape[1], [slice(lo, lo + CACHED) for lo in range(0, len(x), CACHED)]
+    tables, leaves = _tables(m), _leaves(m)
+    mix, kind = tables[0], tables[0].dtype
+    z, held = np.empty((*x.shape, WIDTH), kind), []
+    for part in parts:
+        *kept, z[part] = _attend(m, x[part], tables)
+        held.append(kept)
+    zs = _biased(z.reshape(-1, WIDTH), at)
+    p, sums = _exponents(leaves, zs, spans)
+    pairs = p.reshape(-1, 2, MEMBERS)
+    pairs *= (share / sums)[:, :, None]
+    flat, first = p.reshape(-1), np.arange(0, p.size, GROUPS + MEMBERS)
+    flat[first + y // MEMBERS] -= share
+    flat[first + GROUPS + y % MEMBERS] -= share
+    outer, dzs = np.zeros(leaves.shape, kind), np.empty((len(y), WIDTH), kind)
+    for g, lo, hi in spans:
+        np.matmul(zs[lo:hi].T, p[lo:hi], out=outer[g])
+        np.matmul(p[lo:hi], leaves[g, :WIDTH].T, out=dzs[lo:hi])
+    d = np.zeros((x.size, WIDTH), kind)
+    d[at] = dzs
+    d, dmix = d.reshape(z.shape), np.zeros(mix.shape, kind)
+    for part, (rows, a) in zip(parts, held, strict=True):
+        dz = d[part]
+        h, q, k, v = (rows[..., c : c + WIDTH] for c in range(0, 4 * WIDTH, WIDTH))
+        da = dz @ v.transpose(0, 2, 1)
+        da -= np.einsum("bts,bts->bt", da, a)[:, :, None]
+        da *= a
+        dm = np.empty((*dz.shape[:2], 3 * WIDTH), kind)
+        np.matmul(da, k, out=dm[..., :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=dm[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dz, out=dm[..., 2 * WIDTH :])
+        dm = dm.reshape(-1, 3 * WIDTH)
+        dmix += h.reshape(-1, WIDTH).T @ dm
+        dz += (dm @ mix.T).reshape(dz.shape)
     order, edges = _sorted(x.ravel(), CLASSES)
     there = np.flatnonzero(np.diff(edges))
-    g["embed"][there] = np.add.reduceat(dh[order], edges[there], axis=0)
+    g, dv = {n: np.zeros(s, np.float32) for n, s in _SHAPES.items()}, dmix[:, 2 * WIDTH :]
+    g["embed"][there] = np.add.reduceat(d.reshape(-1, WIDTH).take(order, axis=0), edges[there], axis=0)
+    g["place"][:t] = (np.ones(len(x), kind) @ d.reshape(len(x), -1)).reshape(t, WIDTH)
+    g["qkv"][:] = np.concatenate([dmix[:, :WIDTH] * np.float32(WIDTH**-0.5), dmix[:, WIDTH : 2 * WIDTH], dv @ m["o"].T], axis=1)
+    g["o"][:] = m["qkv"][:, 2 * WIDTH :].T @ dv
+    top, leaf = outer[:, :, :GROUPS].sum(axis=0), outer[:, :, GROUPS:]
+    g["top"][:], g["top_bias"][:], g["leaf"][:], g["leaf_bias"][:] = top[:WIDTH], top[WIDTH], leaf[:, :WIDTH], leaf[:, WIDTH]
     return g
 
 
@@ -180,22 +209,35 @@ def train(m: dict, windows, classes, steps: int, rate: float, seed: int, batch:
 
     if not len(windows):
         return m
-    rng, m = np.random.default_rng(seed), {n: m[n].copy() for n in _SHAPES}
-    first, second = ({n: np.zeros_like(m[n]) for n in _SHAPES} for _ in range(2))
+    rng, m = np.random.default_rng(seed), unpack(pack(m))
+    first, second, moved = {}, {}, {}
+    for n in _SHAPES:
+        first[n], second[n], moved[n] = (np.zeros_like(m[n]) for _ in range(3))
     order, at = rng.permutation(len(windows)), 0
     for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(len(windows)), 0
         g = gradient(m, windows[order[at : at + batch]], classes)
         at += batch
+        by = np.float32(rate / (1 - 0.9**step))
         for n in _SHAPES:
-            first[n] += 0.1 * (g[n] - first[n])
-            second[n] += 0.01 * (g[n] * g[n] - second[n])
-            m[n] -= (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            # In place: the moments of Adam, then rate * first / (root of second + 1e-8), both without their bias.
+            move = moved[n]
+            first[n] += np.float32(0.1) * (g[n] - first[n])
+            np.multiply(g[n], g[n], out=move)
+            move -= second[n]
+            move *= np.float32(0.01)
+            second[n] += move
+            np.multiply(second[n], np.float32(1 / (1 - 0.99**step)), out=move)
+            np.sqrt(move, out=move)
+            move += np.float32(1e-8)
+            np.divide(first[n], move, out=move)
+            move *= by
+            m[n] -= move
     return m
 
 
-def score(m: dict, texts: list, classes, inside, end: int, block: int = 2048):
+def score(m: dict, texts: list, classes, inside, end: int, block: int = 512):
     """Natural log probability of each text, an array of ids, and of its end.
 
     Windows of CONTEXT ids start STRIDE apart and overlap; a window scores what the one before
@@ -214,20 +256,23 @@ def score(m: dict, texts: list, classes, inside, end: int, block: int = 2048):
     per = 1 + np.maximum(0, -(-(sizes - CONTEXT) // STRIDE))
     owner = np.repeat(np.arange(len(texts)), per)
     nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-    total, steps = np.zeros(len(texts)), np.arange(CONTEXT)
-    for lo in range(0, len(owner), block):
-        states, targets, owners = [], [], []
-        for at in range(lo, min(lo + block, len(owner)), CACHED):
-            own, place = owner[at : min(at + CACHED, lo + block)], nth[at : min(at + CACHED, lo + block)]
-            within = place[:, None] * STRIDE + steps
-            real = within < sizes[own][:, None]
-            spot = np.where(real, begin[own][:, None] + within, 0)
-            wanted = real & ((place == 0)[:, None] | (steps >= CONTEXT - STRIDE))
-            states.append(_attend(m, kinds[spot])[-1][wanted])
-            # The id after a text's last is the end: it stands there as the next text's beginning.
-            targets.append(spot[wanted] + 1)
-            owners.append(np.broadcast_to(own[:, None], wanted.shape)[wanted])
-        target = np.concatenate(targets)
-        found = log_probability(m, np.concatenate(states), kinds[target]) + inner[target]
-        total += np.bincount(np.concatenate(owners), found, len(texts))
+    total, steps, tables, leaves = np.zeros(len(texts)), np.arange(CONTEXT), _tables(m), _leaves(m)
+    # A text's first window scores all its ids; of the others the first few only are attended to.
+    for skip, chosen in ((0, np.flatnonzero(nth == 0)), (CONTEXT - STRIDE, np.flatnonzero(nth))):
+        for lo in range(0, len(chosen), block):
+            states, targets, owners = [], [], []
+            for at in range(lo, min(lo + block, len(chosen)), CACHED):
+                some = chosen[at : min(at + CACHED, lo + block)]
+                own = owner[some][:, None]
+                within = nth[some][:, None] * STRIDE + steps
+                real = within < sizes[own]
+                spot = begin[own] + np.where(real, within, 0)
+                wanted = real[:, skip:]
+                states.append(_attend(m, kinds[spot], tables, skip)[-1][wanted])
+                # The id after a text's last is the end: it stands there as the next text's beginning.
+                targets.append(spot[:, skip:][wanted] + 1)
+                owners.append(np.broadcast_to(own, wanted.shape)[wanted])
+            target = np.concatenate(targets)
+            found = log_probability(m, np.concatenate(states), kinds[target], leaves) + inner[target]
+            total += np.bincount(np.concatenate(owners), found, len(texts))
     return total

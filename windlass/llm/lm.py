@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,38 +33,48 @@ class Words:
     """Numbers words as they come and keeps, for each, its subword ids and its count."""
 
     def __init__(self, ranks: bytes, known: dict[bytes, int]):
+        import numpy as np
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encode = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+        # A word and the blank before it is a piece. As no word has a blank, an id whose bytes begin with one begins a word.
+        self.encode = tiktoken.Encoding("ranks", pat_str=" [^ ]*|[^ ]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.first = np.zeros(1 + max(table.values()), bool)
+        self.first[[n for x, n in table.items() if x[:1] == b" "]] = True
         self.known = known
         self.clear()
 
     def clear(self) -> None:
         from array import array
 
-        outer = self
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                ids = []
-                piece = " " + word.decode(errors="replace")
-                for at in range(0, len(piece), PIECE):
-                    ids += outer.encode(piece[at : at + PIECE])
-                outer.ids.extend(ids)
-                outer.begin.append(len(outer.ids))
-                outer.count.append(outer.known.get(word, -1))
-                outer.word.append(word)
-                self[word] = number = len(outer.word) - 1
-                return number
-
-        self.ids, self.begin, self.count, self.word, self.number = array("i"), array("q", [0]), array("q"), [], Numbers()
+        self.ids, self.begin, self.count, self.word, self.number = array("i"), array("q", [0]), array("q"), [], {}
 
     def numbers(self, words: list[bytes]):
         import numpy as np
 
+        new = set(words).difference(self.number)
+        if new:
+            self._learn([w for w in new if len(w) < PIECE], [w for w in new if len(w) >= PIECE])
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
+    def _learn(self, short: list[bytes], long: list[bytes]) -> None:
+        """Numbers new words: all short ones are encoded by one call, long ones in pieces."""
+        import numpy as np
+
+        ids = np.array(self.encode("".join([" " + w.decode(errors="replace") for w in short])), np.int32)
+        at = np.append(np.flatnonzero(self.first[ids]), len(ids))[1:]
+        self.begin.frombytes((at + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        for word in long:
+            piece = " " + word.decode(errors="replace")
+            for lo in range(0, len(piece), PIECE):
+                self.ids.extend(self.encode(piece[lo : lo + PIECE]))
+            self.begin.append(len(self.ids))
+        new, n = short + long, len(self.word)
+        self.count.extend(map(self.known.get, new, itertools.repeat(-1)))
+        self.word += new
+        self.number.update(zip(new, range(n, n + len(new)), strict=True))
+
     def subwords(self, numbers):
         """The ids of numbered words in a row."""
         import numpy as np
@@ -219,6 +230,16 @@ def _windower(kinds, end: int, size: int, turn: int):
     return windows
 
 
+def _windows(column):
+    """The windows of an Arrow column, (n, classes), without an object for each."""
+    import numpy as np
+
+    if not len(column):
+        return np.zeros((0, 0), np.int16)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.int16)[edges[0] // 2 : edges[-1] // 2].reshape(len(column), -1)
+
+
 def _learner(model: bytes, turn: int):
     def learn(batches: Iterator) -> Iterator:
         """One learner's weights after a pass over this round's windows."""
@@ -227,9 +248,9 @@ def _learner(model: bytes, turn: int):
 
         from windlass.llm import attention
 
-        held = [x for batch in batches for x in batch.column(0).to_pylist()]
+        held = [x for x in (_windows(batch.column(0)) for batch in batches) if len(x)]
         if held:
-            windows = np.frombuffer(b"".join(held), np.int16).reshape(len(held), -1)
+            windows = np.concatenate(held)
             steps = max(LEAST_STEPS, -(-len(windows) // BATCH))
             made = attention.train(attention.unpack(model), windows, np.arange(attention.CLASSES), steps, RATE / (1 + turn), turn, BATCH)
             yield pa.RecordBatch.from_arrays([pa.array([attention.pack(made)], pa.binary()), pa.array([1], pa.int64())], names=["model", "n"])
