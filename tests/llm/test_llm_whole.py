@@ -83,6 +83,71 @@ def test_lm_encodes_new_words_by_one_call():
     assert table.counts(numbers[:501]).tolist() == [-1] * 501 and table.counts(numbers[504:505]).tolist() == [7]
 
 
+def test_lm_looks_up_each_word_once_a_portion(monkeypatch):
+    """Texts of any bytes give the words, counts and ids that each gives alone, and only distinct words are looked up."""
+    odd = b"".join(bytes([k]) for k in range(256))
+    texts = [b"", b" ", b"a a  b\x0bA\tA ", odd, b"x", b"b " * 3000 + b"\xff\xfe", odd[::-1], b"\x1ca\x85 \xc2\xa0 a"]
+    with open(RANKS, "rb") as f:
+        shared = Shared(f.read())
+    shared.value = (shared.value[0], {b"a": 5, b"b": 7, b" ": 9}, object())
+    end, asked, numbers = 1 + max(int(x.split()[1]) for x in shared.value[0].splitlines()), [], lm.Words.numbers
+    monkeypatch.setattr(lm.Words, "numbers", lambda self, words: asked.extend(words) or numbers(self, words))
+    column = pa.array(texts, pa.binary()).view(pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([0] * len(texts)), column], names=["row", "doc_id", "fold", "text"])
+    words = [t.lower().split() for t in texts]
+    for size in (6 << 20, 300, 1):
+        monkeypatch.setattr(lm, "BYTES", size)
+        asked.clear()
+        made = [r for b in lm._encoded(shared, end, (100, 10))(iter([batch])) for r in b.select(["ids", "n_tokens", "n_known", "base", "rest"]).to_pylist()]
+        assert len(asked) <= sum(len(set(w)) for w in words)
+        table, bottom = lm.Words(shared.value[0], shared.value[1]), np.log10(100 + 0.5 * 11)
+        for r, w in zip(made, words, strict=True):
+            head = [shared.value[1][x] for x in [*w, b" "] if x in shared.value[1]]
+            assert (r["n_tokens"], r["n_known"]) == (len(w) + 1, len(head))
+            assert np.isclose(r["base"], np.log10(np.array(head) + 0.5).sum() - bottom * (len(w) + 1), rtol=1e-12)
+            assert {x["word"]: x["n"] for x in r["rest"]} == collections.Counter(x for x in w if x not in shared.value[1])
+            assert np.frombuffer(r["ids"], lm.id_type(end)).tolist() == table.subwords(numbers(table, w)).tolist()
+        monkeypatch.setattr(lm, "HAND_ON", 3)
+        counts = collections.Counter()
+        for b in lm._counter(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+            for word, n in zip(*b.to_pydict().values(), strict=True):
+                counts[word] += n
+        assert counts == collections.Counter(x for w in words for x in w) + collections.Counter({b" ": len(texts)})
+
+
+def test_lm_deals_windows_in_rows_of_many():
+    """A row for each window costs more than the window: rows hold some, from all over the batch, and none is lost."""
+    windows = np.arange(1000 * (attention.CONTEXT + 1), dtype=np.int16).reshape(1000, -1)
+    batch = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary())], names=["window"])
+    (made,) = lm._dealt(iter)([batch])
+    assert len(made) <= 1000 // lm.ROW and (lm._windows(made.column(0)[:1])[:, 0] // (attention.CONTEXT + 1)).max() > 900
+    assert sorted(map(tuple, lm._windows(made.column(0)).tolist())) == sorted(map(tuple, windows.tolist()))
+
+
+def test_lm_scores_are_finite_and_copies_are_scored_once(monkeypatch):
+    """Also where a class is far less likely than single precision holds."""
+    rng, asked, score = np.random.default_rng(5), [], attention.score
+    maps = attention.vocabulary(rng.integers(0, 50, 3000).astype(float))
+    model = attention.start(np.ones(attention.CLASSES))
+    model["top_bias"][:] = np.where(np.arange(attention.GROUPS) == 3, 60, -60)
+    texts = [rng.integers(0, 3000, n).astype(np.uint16).tobytes() for n in (0, 1, 5, 40, 90)]
+    monkeypatch.setattr(attention, "score", lambda m, group, *rest: asked.extend(group) or score(m, group, *rest))
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, *texts[::-1]], pa.binary()), pa.array(range(10))], names=["ids", "row"])
+    (made,) = lm._scorer(maps, attention.pack(model), 7)([batch])
+    found = made.column(1).to_pylist()
+    assert np.isfinite(found).all() and found[:5] == found[:4:-1] and len(asked) == 5
+
+
+def test_lm_forgets_no_known_words():
+    with open(RANKS, "rb") as f:
+        table = lm.Words(f.read(), {b"known": 7, b"kept": 5})
+    words = [b"one", b"known", b"seldom", b"kept", b"x" * 50]
+    before = [table.subwords(table.numbers([w])).tolist() for w in words]
+    table.clear()
+    assert table.word == [b"known", b"kept"] and table.counts(np.arange(2)).tolist() == [7, 5]
+    assert [table.subwords(table.numbers([w])).tolist() for w in words] == before and len(table.word) == len(words)
+
+
 def test_decontamination_keeps_the_accepted_stretch():
     """A stretch with 12 of 20 words and no answer stands before one with 11 words and the answer."""
     item = [b"i%d" % k for k in range(20)]

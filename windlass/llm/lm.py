@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import itertools
 import uuid
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,8 +17,10 @@ from windlass.llm.common import fold, landed
 FOLDS, HELD_OUT = 5, 1
 #: Words whose counts every worker holds, at most; the counts of all others are joined.
 HEAD = 200_000
-#: Words, or subword ids, of some texts that are worked on together.
-GROUP = 1 << 17
+#: Subword ids of some texts, and bytes of some whose words are numbered, that are worked on together.
+GROUP, BYTES = 1 << 17, 6 << 20
+#: Windows, at least, that go to a learner in one row.
+ROW = 64
 #: Windows of one learner (their number grows with the corpus); rounds between averages of their
 #: weights; the least steps of a round; windows of a step; the first round's rate.
 PER_LEARNER, ROUNDS, LEAST_STEPS, BATCH, RATE = 160_000, 3, 100, 512, 0.03
@@ -42,12 +45,17 @@ class Words:
         self.first = np.zeros(1 + max(table.values()), bool)
         self.first[[n for x, n in table.items() if x[:1] == b" "]] = True
         self.known = known
-        self.clear()
+        self.ids, self.begin, self.count, self.word, self.number = array("i"), array("q", [0]), array("q"), [], {}
 
     def clear(self) -> None:
-        from array import array
+        """Forgets all words but the known ones, which are met again and again."""
+        import numpy as np
 
-        self.ids, self.begin, self.count, self.word, self.number = array("i"), array("q", [0]), array("q"), [], {}
+        kept = np.flatnonzero(np.frombuffer(self.count, np.int64) >= 0)
+        ids, sizes, count = self.subwords(kept), self.sizes(kept), self.counts(kept)
+        self.ids, self.begin, self.count = array("i", ids.tobytes()), array("q", np.append(0, np.cumsum(sizes)).tobytes()), array("q", count.tobytes())
+        self.word = [self.word[k] for k in kept.tolist()]
+        self.number = {w: k for k, w in enumerate(self.word)}
 
     def numbers(self, words: list[bytes]):
         import numpy as np
@@ -109,29 +117,64 @@ def _words(shared) -> Words:
     return table
 
 
+def _portions(texts) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of an Arrow column, of ``BYTES`` or one text each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, lo = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _split(texts):
+    """The words of the texts of an Arrow column in a row, A-Z lower-cased, as numbers; the distinct words
+    that these stand for; and where each text begins and the last ends. Arrow's ASCII white space is that of
+    ``bytes.split``, but it leaves empty words at a text's edges."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.binary()).view(pa.string())  # not checked again: any bytes may be in it
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded, edges = found.values.view(pa.binary()).dictionary_encode(), np.asarray(found.offsets)
+    at, words = np.asarray(coded.indices), coded.dictionary
+    for blank in np.flatnonzero(np.asarray(pc.binary_length(words)) == 0).tolist():
+        kept = at != blank
+        edges = np.concatenate([[0], np.cumsum(kept)])[edges]
+        at, words = at[kept], pa.concat_arrays([words[:blank], words[blank + 1 :]])
+        at = at - (at > blank)
+    return at, words, edges
+
+
 def _counter(batches: Iterator) -> Iterator:
     """(word, n) of the training texts, and their ends under the word that no text can hold."""
-    from collections import Counter
-
+    import numpy as np
     import pyarrow as pa
 
-    seen, ends = Counter(), 0
+    held, rows, ends = [], 0, 0
 
-    def rows():
-        words = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
+    def summed():
+        made = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return made.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks()
 
     for batch in batches:
-        for value in batch.column(0).cast(pa.binary()):
-            ends += 1
-            seen.update(value.as_py().lower().split())
-            if len(seen) > HAND_ON:
-                yield rows()
+        ends += len(batch)
+        for lo, hi in _portions(batch.column(0)):
+            at, words, _ = _split(batch.column(0)[lo:hi])
+            held.append(pa.table({"word": words, "n": np.bincount(at, minlength=len(words)).astype(np.int64)}))
+            rows += len(words)
+            if rows > 2 * HAND_ON:
+                held = [summed()]
+                rows = len(held[0])
+                if rows > HAND_ON:
+                    yield from held.pop().to_batches()
+                    rows = 0
     if ends:
-        seen[b" "] += ends
-    yield rows()
+        held.append(pa.table({"word": pa.array([b" "], pa.binary()), "n": pa.array([ends], pa.int64())}))
+        yield from summed().to_batches()
 
 
 def _encoder(shared):
@@ -168,32 +211,24 @@ def _encoded(shared, end: int, totals: tuple[int, int]):
         bottom, most = math.log10(totals[0] + 0.5 * (totals[1] + 1)), shared.value[1]
         names = ["row", "doc_id", "held_out", "ids", "n_tokens", "n_known", "base", "rest"]
         for batch in batches:
-            values, lo, group, size = batch.column(3).cast(pa.binary()), 0, [], 0
-            for k, value in enumerate(values):
-                table = _words(shared) if not group else table
-                group.append(table.numbers(value.as_py().lower().split()))
-                size += len(group[-1]) + 1
-                if size < GROUP and k < len(values) - 1:
-                    continue
-                ids, n_tokens, n_known, base, per, words, times = [], [], [], [], [0], [], []
-                for g in group:
-                    count = table.counts(g)
-                    head = count >= 0
-                    ids.append(table.subwords(g).astype(id_type(end)).tobytes())
-                    n_tokens.append(len(g) + 1)
-                    n_known.append(int(head.sum()) + (b" " in most))
-                    base.append(float(np.log10(count[head] + 0.5).sum()) + math.log10(most.get(b" ", 0) + 0.5) - bottom * (len(g) + 1))
-                    rest, n = np.unique(g[~head], return_counts=True)
-                    words += [table.word[x] for x in rest.tolist()]
-                    times.append(n)
-                    per.append(per[-1] + len(rest))
-                rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(times).astype(np.int64))], names=["word", "n"])
-                part = batch.slice(lo, len(group))
+            for lo, hi in _portions(batch.column(3)):
+                part, table = batch.slice(lo, hi - lo), _words(shared)
+                at, words, edges = _split(part.column(3))
+                numbers, n = table.numbers(words.to_pylist()), hi - lo
+                count, ids = table.counts(numbers), table.subwords(numbers[at]).astype(id_type(end))
+                spots = np.concatenate([[0], np.cumsum(table.sizes(numbers)[at])])[edges] * ids.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(spots.astype(np.int32)), pa.py_buffer(ids)])
+                owner, head = np.repeat(np.arange(n), np.diff(edges)), (count >= 0)[at]
+                n_tokens = np.diff(edges) + 1
+                n_known = np.bincount(owner[head], minlength=n) + (b" " in most)
+                base = np.bincount(owner, np.log10(np.where(count >= 0, count, 0.5) + 0.5)[at], n) + math.log10(most.get(b" ", 0) + 0.5) - bottom * n_tokens
+                key, times = np.unique(owner[~head] * len(words) + at[~head], return_counts=True)
+                of, word = np.divmod(key, max(1, len(words)))
+                rest = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times.astype(np.int64))], names=["word", "n"])
+                per = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
                 held = pa.array(np.asarray(part.column(2)) == HELD_OUT)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64())
-                made = [pa.array(c, t) for c, t in zip((ids, n_tokens, n_known, base), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held, *made, pa.ListArray.from_arrays(pa.array(per, pa.int32()), rest)], names=names)
-                group, size, lo = [], 0, k + 1
+                made = [pa.array(c.astype(t)) for c, t in ((n_tokens, np.int64), (n_known, np.int64), (base, np.float64))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held, ids, *made, pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), rest)], names=names)
 
     return run
 
@@ -212,32 +247,60 @@ def _windower(kinds, end: int, size: int, turn: int):
         import numpy as np
         import pyarrow as pa
 
-        kind, before = pa.binary(2 * size), np.array([kinds[end]], np.int16)
         for batch in batches:
-            parts, held = [], 0
-            for at, (row, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                ids = kinds[np.frombuffer(value.as_py(), id_type(end))]
-                # Windows share one id: the last target of one is the first input of the next.
-                whole = len(ids) // (size - 1) + 1
-                part = np.concatenate([before, ids, before, np.full(whole * (size - 1) - len(ids) - 1, -1, np.int16)])
-                parts.append(np.lib.stride_tricks.sliding_window_view(part, size)[:: size - 1][(turn - row) % ROUNDS :: ROUNDS])
-                held += len(ids)
-                if held > GROUP or at == len(batch) - 1:
-                    made = np.ascontiguousarray(np.concatenate(parts))
-                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(kind, len(made), [None, pa.py_buffer(made)]).cast(pa.binary())], names=["window"])
-                    parts, held = [], 0
+            rows, texts = np.asarray(batch.column(0)), [np.frombuffer(x.as_py(), id_type(end)) for x in batch.column(1)]
+            ends, lo = np.cumsum([len(x) + 1 for x in texts]), 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + GROUP, "right")))
+                made = _cut(rows[lo:hi], texts[lo:hi], kinds, end, size, turn)
+                edges = np.arange(0, made.nbytes + 1, 2 * size, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(edges), pa.py_buffer(made)])], names=["window"])
+                lo = hi
 
     return windows
 
 
+def _cut(rows, texts: list, kinds, end: int, size: int, turn: int):
+    """The windows of one round, of texts by their rows and ids."""
+    import numpy as np
+
+    n = np.array([len(x) for x in texts])
+    # Windows share one id: the last target of one is the first input of the next.
+    whole = n // (size - 1) + 1
+    span = whole * (size - 1) + 1
+    at = np.cumsum(span) - span
+    flat = np.full(span.sum(), -1, np.int16)
+    for x, a in zip(texts, (at + 1).tolist(), strict=True):
+        flat[a : a + len(x)] = kinds[x]
+    flat[at] = flat[at + n + 1] = kinds[end]
+    nth = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+    mine = (np.repeat(rows, whole) + nth) % ROUNDS == turn
+    return np.lib.stride_tricks.sliding_window_view(flat, size)[(np.repeat(at, whole) + nth * (size - 1))[mine]]
+
+
+def _dealt(windows):
+    def deal(batches: Iterator) -> Iterator:
+        """The windows in rows of some, each from all over its batch, as a row each costs more than its windows."""
+        import pyarrow as pa
+
+        for batch in windows(batches):
+            found = _windows(batch.column(0))
+            n = max(1, len(found) // ROW)
+            yield pa.RecordBatch.from_arrays([pa.array([found[k::n].tobytes() for k in range(n)], pa.binary())], names=["window"])
+
+    return deal
+
+
 def _windows(column):
     """The windows of an Arrow column, (n, classes), without an object for each."""
     import numpy as np
 
+    from windlass.llm.attention import CONTEXT
+
     if not len(column):
-        return np.zeros((0, 0), np.int16)
+        return np.zeros((0, CONTEXT + 1), np.int16)
     edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.int16)[edges[0] // 2 : edges[-1] // 2].reshape(len(column), -1)
+    return np.frombuffer(column.buffers()[2], np.int16)[edges[0] // 2 : edges[-1] // 2].reshape(-1, CONTEXT + 1)
 
 
 def _learner(model: bytes, turn: int):
@@ -297,13 +360,15 @@ def _scorer(maps, model: bytes, end: int):
 
         net = attention.unpack(model)
         for batch in batches:
-            group, size, found = [], 0, []
+            group, of, size, found = {}, [], 0, []  # copies that stand together are scored once
             for k, value in enumerate(batch.column(0)):
-                group.append(np.frombuffer(value.as_py(), id_type(end)))
-                size += len(group[-1]) + 1
+                ids = value.as_py()
+                if ids not in group:
+                    size += len(ids) // id_type(end)(0).nbytes + 1
+                of.append(group.setdefault(ids, len(group)))
                 if size >= GROUP or k == len(batch) - 1:
-                    found.append(attention.score(net, group, *maps, end) / math.log(10))
-                    group, size = [], 0
+                    found.append(attention.score(net, [np.frombuffer(x, id_type(end)) for x in group], *maps, end)[of] / math.log(10))
+                    group, of, size = {}, [], 0
             score = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*batch.schema.names[1:], "score"])
 
@@ -361,7 +426,7 @@ def score_documents(docs: DataFrame, ranks: str, head: int = HEAD) -> DataFrame:
     learners = max(1, int(ids[:end].sum() // attention.CONTEXT + ids[end]) // PER_LEARNER)
     training = encoded.where("not held_out").select("row", "ids")
     for turn in range(ROUNDS):
-        made = training.mapInArrow(_windower(maps[0].astype(np.int16), end, attention.CONTEXT + 1, turn), "window binary").repartition(learners)
+        made = training.mapInArrow(_dealt(_windower(maps[0].astype(np.int16), end, attention.CONTEXT + 1, turn)), "window binary").repartition(learners)
         model = _averaged(landed(made.mapInArrow(_learner(model, turn), "model binary, n long")), learners) or model
 
     narrow = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double"
