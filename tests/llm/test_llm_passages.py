@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from windlass.llm import passages, suffixes
@@ -93,5 +95,46 @@ def test_many_groups_buckets_and_slices_change_nothing(spark, rows, monkeypatch)
     check(spark, [r for r in rows if len(r[1] or "") < 20_000])
 
 
+def test_texts_of_a_group_are_hashed_together(monkeypatch):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(18, 90)).encode() for _ in range(60)] + [b"-" * 300, b"ab" * 200, b"x" * 100, b"x" * 100]
+    ends = np.cumsum([len(x) for x in texts])
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    for k in (passages.ANCHOR, passages.MEETING):
+        apart = [passages.window_runs(np.frombuffer(x, np.uint8), k, look=True) for x in texts]
+        apart = [(h, e - len(x) + a, e - len(x) + b, twice) for x, e, runs in zip(texts, ends.tolist(), apart, strict=True) for h, a, b, twice in zip(*(y.tolist() for y in runs), strict=True)]
+        assert list(zip(*(y.tolist() for y in passages.window_runs(joined, k, look=True, ends=ends)), strict=True)) == apart
+    wide = {a for _, first, end, _ in apart for a in range(first, end)}
+    calls, own = [], passages.hashes
+    monkeypatch.setattr(passages, "hashes", lambda *a: calls.append(1) or own(*a))
+    monkeypatch.setattr(passages, "SLICE", 256)
+    made = passages.window_runs(joined, look=True, ends=ends)
+    assert {a for first, end in zip(made[1].tolist(), made[2].tolist(), strict=True) for a in range(first, end)} == wide
+    assert len(calls) == -(-(len(joined) - passages.WIDTH + 1) // 256)
+
+
+def test_a_bucket_of_many_shards_is_searched_once():
+    import time
+
+    taken = {}
+    for shards in (8, 800):
+        rng = np.random.default_rng(3)
+        values = rng.integers(0, 1 << 62, 300_000, dtype=np.uint64)
+        parts = [np.unique(x) for x in np.array_split(np.concatenate([values, values[:100_000]]), shards)]
+        more = [x[::50] for x in parts]
+        once = [x[np.arange(len(x)) % 50 > 0] for x in parts]
+        table = pa.table({"bucket": [0] * shards, "shard": range(shards), "once": [passages._packed(x) for x in once], "more": [passages._packed(x) for x in more]})
+        began = time.process_time()
+        made = passages._repeated(table)
+        taken[shards] = time.process_time() - began
+        times = Counter(np.concatenate(parts).tolist())
+        every = set(np.concatenate(more).tolist())
+        found = {s: passages._unpacked(x, np.uint64).tolist() for s, x in zip(made["shard"].to_pylist(), made["repeated"].to_pylist(), strict=True)}
+        assert {s: sorted(x) for s, x in found.items()} == {s: y for s, x in enumerate(parts) if (y := [v for v in x.tolist() if times[v] > 1 or v in every])}
+        assert made["n"].to_pylist() == [len(x) for x in found.values()] and not any(made["n_crowded"].to_pylist())
+    # The same values in a hundred times as many shards: before, a search among all for each shard.
+    assert taken[800] < 8 * taken[8] + 0.2
+
+
 def test_long_texts_in_one_window_run(spark):
     check(spark, [(1, "a" * 400_000), (2, "a" * 300_000), (3, None)])

@@ -63,19 +63,32 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def window_runs(text: np.ndarray, k: int = ANCHOR, look: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _fitting(at: int, n: int, ends: np.ndarray) -> np.ndarray:
+    """Which of the ``n`` windows from ``at`` on reach over none of ``ends``."""
+    near = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + n + WIDTH - 2, "right")] - at
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.maximum(near - WIDTH + 1, 0), 1)
+    np.add.at(change, np.minimum(near, n), -1)
+    return np.cumsum(change[:-1]) == 0
+
+
+def window_runs(text: np.ndarray, k: int = ANCHOR, look: bool = False, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, start, end, again): runs of neighbouring windows that share their anchor; windows
     start from ``start`` to ``end`` - 1, and ``again`` says, with ``look``, that the anchor stands in
-    the run more than once. Texts are taken in slices that overlap by a window."""
-    made, reach = [], WIDTH - k + 1
+    the run more than once. ``ends`` are the ends of texts that stand one after the other in
+    ``text``; no window reaches from one into the next. Taken in slices that overlap by a window."""
+    made, reach = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))], WIDTH - k + 1
     for at in range(0, len(text) - WIDTH + 1, SLICE):
         own = hashes(text[at : at + SLICE + WIDTH - 1], k)
         least = _least(own, reach)
-        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        end, anchor, again = np.append(first[1:], len(least)), least[first], np.zeros(len(first), bool)
+        fits = np.ones(len(least), bool) if ends is None else _fitting(at, len(least), ends)
+        first = np.concatenate([[0], np.flatnonzero((least[1:] != least[:-1]) | (fits[1:] != fits[:-1])) + 1])
+        end, kept = np.append(first[1:], len(least)), fits[first]
+        first, end = first[kept], end[kept]
+        anchor, again = least[first], np.zeros(len(first), bool)
         if look:
             # An anchor that comes into the window, or leaves it, stands at its end; else look for it.
-            before, after = np.append(np.zeros(1, _U), least[first[1:] - 1]), np.append(least[end[:-1]], np.zeros(1, _U))
+            before, after = np.where(first > 0, least[first - 1], _U(0)), np.where(end < len(least), least[np.minimum(end, len(least) - 1)], _U(0))
             left, right, inside = first + reach - 1, end - 1, sliding_window_view(own, reach)
             x, y = np.flatnonzero(before <= anchor), np.flatnonzero(after <= anchor)
             left[x] = first[x] + (inside[first[x]] == anchor[x, None]).argmax(axis=1)
@@ -126,19 +139,23 @@ def _texts(shards: int):
 
 
 class _Shard:
-    """The texts of a shard, in order of (doc_id, th), one of each digest, with its least id."""
+    """The texts of a shard, in order of (doc_id, th), one of each digest, with its least id; ``text``
+    has them one after the other, and they end at ``ends``."""
 
     def __init__(self, table):
         import zstandard
 
         rows = sorted(zip(table["doc_id"].to_pylist(), table["th"].to_pylist(), table["held"], strict=True), key=lambda r: r[:2])
-        known, self.ids, self.digests, self.texts = set(), [], [], []
+        known, self.ids, self.digests, texts = set(), [], [], []
         for doc_id, th, held in rows:
             if th not in known:
                 known.add(th)
                 self.ids.append(doc_id)
                 self.digests.append(th)
-                self.texts.append(np.frombuffer(zstandard.decompress(held.as_py()), np.uint8))
+                texts.append(zstandard.decompress(held.as_py()))
+        self.ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+        self.starts = np.append(np.zeros(1, np.int64), self.ends[:-1])[: len(texts)]
+        self.text = np.frombuffer(b"".join(texts), np.uint8)
 
 
 def _buckets(shard: int, found: np.ndarray, times: np.ndarray, buckets: int):
@@ -163,15 +180,24 @@ def _repeated(table):
 
     once = [_unpacked(x, _U) for x in table["once"].to_pylist()]
     more = [_unpacked(x, _U) for x in table["more"].to_pylist()]
-    every, shards = np.unique(np.concatenate([*once, *more]), return_counts=True)
-    kept = (shards > 1) | np.isin(every, np.concatenate(more))
-    crowded = every[shards > CROWD]
-    every = every[kept]
+    # All in order, once: a search for each shard among all would grow with the square of the shards.
+    pieces = [*once, *more]
+    every = np.concatenate(pieces)
+    order = np.argsort(every)
+    first = np.flatnonzero(np.append(True, every[order[1:]] != every[order[:-1]]) if len(every) else np.zeros(0, bool))
+    shards = np.diff(first, append=len(every))
+    seen_more = np.arange(len(every)) >= sum(map(len, once))
+    kept, crowd = np.empty(len(every), bool), np.empty(len(every), bool)
+    kept[order] = np.repeat((shards > 1) | np.logical_or.reduceat(seen_more[order], first) if len(every) else shards > 1, shards)
+    crowd[order] = np.repeat(shards > CROWD, shards)
+    edges = np.cumsum([len(x) for x in pieces])[:-1]
+    kept, crowd = np.split(kept, edges), np.split(crowd, edges)
     out = []
-    for shard, a, b in zip(table["shard"].to_pylist(), once, more, strict=True):
-        own = np.concatenate([a[np.isin(a, every)], b])
+    for k, shard in enumerate(table["shard"].to_pylist()):
+        both = [(pieces[x][kept[x]], pieces[x][crowd[x]]) for x in (k, len(once) + k)]
+        own, crowded = (np.concatenate(x) for x in zip(*both, strict=True))
         if len(own):
-            out.append((shard, own, own[np.isin(own, crowded)]))
+            out.append((shard, own, crowded))
     return pa.table({"shard": pa.array([s for s, _, _ in out], pa.int64()), "n": pa.array([len(x) for _, x, _ in out], pa.int64()), "repeated": pa.array([_packed(x) for _, x, _ in out], pa.binary()), "n_crowded": pa.array([len(x) for _, _, x in out], pa.int64()), "crowded": pa.array([_packed(x) for _, _, x in out], pa.binary())})
 
 
@@ -193,37 +219,53 @@ def _anchors(buckets: int):
     """The anchors of a shard's texts, each once, by bucket."""
 
     def body(table):
-        found = []
-        for text in _Shard(table).texts:
-            anchor, _, _, again = window_runs(text, look=True)
-            found += [anchor, anchor[again]]
+        held = _Shard(table)
+        anchor, _, _, again = window_runs(held.text, look=True, ends=held.ends)
+        found = [anchor, anchor[again]]
         return _buckets(table["shard"][0].as_py(), *np.unique(np.concatenate(found), return_counts=True), buckets)
 
     return body
 
 
-def _whole_windows(text: np.ndarray, start: int, end: int) -> np.ndarray:
-    return np.concatenate([hashes(text[a : min(a + SLICE, end) + WIDTH - 1], WIDTH) for a in range(start, end, SLICE)])
+def _marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places are in one of the runs, which have no place in common."""
+    change = np.zeros(n + 1, np.int8)
+    change[start] += 1
+    change[end] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
+
+
+def _whole_windows(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The hashes of the windows that start where ``wanted`` says."""
+    out = [np.zeros(0, _U)]
+    for a in range(0, len(text) - WIDTH + 1, SLICE):
+        own = wanted[a : min(a + SLICE, len(text) - WIDTH + 1)]
+        if own.any():
+            out.append(hashes(text[a : a + SLICE + WIDTH - 1], WIDTH)[own])
+    return np.concatenate(out)
 
 
 def _crowded_windows(buckets: int):
     """The hashes of whole windows of the anchors that a crowd of shards has, by bucket."""
 
     def body(table, said):
-        crowded, found = _joined(said, "crowded"), [np.zeros(0, _U)]
-        for text in _Shard(table).texts if len(crowded) else ():
-            anchor, start, end, _ = window_runs(text)
-            found += [_whole_windows(text, a, b) for a, b in zip(*(x[_in(anchor, crowded)].tolist() for x in (start, end)), strict=True)]
+        crowded, found = _joined(said, "crowded"), np.zeros(0, _U)
+        if len(crowded):
+            held = _Shard(table)
+            anchor, start, end, _ = window_runs(held.text, ends=held.ends)
+            x = _in(anchor, crowded)
+            found = _whole_windows(held.text, _marked(len(held.text), start[x], end[x]))
         shard = table["shard"][0].as_py() if len(table) else 0
-        return _buckets(shard, *np.unique(np.concatenate(found), return_counts=True), buckets)
+        return _buckets(shard, *np.unique(found, return_counts=True), buckets)
 
     return body
 
 
 def _contexts(shards: int):
-    """Rows (bucket, shard, ...): of each run of windows that may repeat, its place and bytes for the
+    """Rows (bucket, shard, held): of each run of windows that may repeat, its place and bytes for the
     shard of suffixes it is dealt to; a run of the same bytes earlier in this group of texts
-    settles it, and such runs come back as bucket -1."""
+    settles it, and such runs come back as bucket -1. A row's values are packed as one, as with many
+    groups and shards few runs go from one to the other."""
 
     def body(table, said):
         import pyarrow as pa
@@ -232,42 +274,50 @@ def _contexts(shards: int):
         repeated, crowded = _joined(said.filter(pa.array(anchors)), "repeated"), _joined(said.filter(pa.array(anchors)), "crowded")
         windows = _joined(said.filter(pa.array(~anchors)), "repeated")
         held, seen, copies, made = _Shard(table), set(), [], {}
-        for k, text in enumerate(held.texts if len(repeated) else ()):
-            anchor, start, end, _ = window_runs(text)
-            kept = np.repeat(_in(anchor, repeated), end - start)
-            for x in np.flatnonzero(_in(anchor, crowded)).tolist():  # only those that stand elsewhere as well
-                kept[start[x] : end[x]] = _in(_whole_windows(text, int(start[x]), int(end[x])), windows)
-            for first, last in _spans(kept).tolist():
-                raw = text[first : last + WIDTH - 1]
-                meeting, start_, end_, again = window_runs(raw, MEETING, look=True)
-                raw = raw.tobytes()
-                for h, place, a, b, twice in zip(meeting.view(np.int64).tolist(), (meeting % _U(shards)).tolist(), start_.tolist(), end_.tolist(), again.tolist(), strict=True):
-                    bytes_ = raw[a : b + WIDTH - 1]
-                    if bytes_ in seen:
-                        copies.append((k, first + a, first + b + WIDTH - 1))
-                    else:
-                        seen.add(bytes_)
-                        made.setdefault(place, []).append((k, first + a, bytes_, h, twice))
+        if len(repeated):
+            text = held.text
+            anchor, start, end, _ = window_runs(text, ends=held.ends)
+            x, y = _in(anchor, repeated), _in(anchor, crowded)
+            kept = _marked(len(text), start[x], end[x])
+            if y.any():  # only those that stand elsewhere as well
+                among = _marked(len(text), start[y], end[y])
+                kept[among] = _in(_whole_windows(text, among), windows)
+            spans = _spans(kept)
+            size = spans[:, 1] - spans[:, 0] + WIDTH - 1
+            raw_ends = np.cumsum(size)
+            raw = np.concatenate([text[:0], *(text[a : b + WIDTH - 1] for a, b in spans.tolist())])
+            meeting, start, end, again = window_runs(raw, MEETING, look=True, ends=raw_ends)
+            of = np.searchsorted(raw_ends, start, "right")
+            at = start - (raw_ends - size)[of] + spans[of, 0]
+            number = np.searchsorted(held.ends, at, "right")
+            raw = raw.tobytes()
+            runs = (number, at - held.starts[number], meeting.view(np.int64), (meeting % _U(shards)).astype(np.int64), start, end + WIDTH - 1, again)
+            for k, first, h, place, a, b, twice in zip(*(x.tolist() for x in runs), strict=True):
+                bytes_ = raw[a:b]
+                if bytes_ in seen:
+                    copies.append((k, first, first + b - a))
+                else:
+                    seen.add(bytes_)
+                    made.setdefault(place, []).append((k, first, bytes_, h, twice))
         shard = table["shard"][0].as_py() if len(table) else 0
-        out = [(-1, shard, _packed(np.array(copies, np.int64).reshape(-1, 3)), b"", b"", b"")]
+        out = [(-1, shard, _packed(np.array(copies, np.int64).reshape(-1, 3)))]
         for bucket, rows in made.items():
-            at = np.array([(held.ids[k], a, len(x), h, twice) for k, a, x, h, twice in rows], np.int64)
-            digests, raw = b"".join(held.digests[k] for k, *_ in rows), b"".join(r[2] for r in rows)
-            out.append((bucket, shard, _packed(at), _packed(np.array([k for k, *_ in rows], np.int64)), _packed(np.frombuffer(digests, np.uint8)), _packed(np.frombuffer(raw, np.uint8))))
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "shard", "places", "texts", "digests", "held"])
+            at = np.array([(held.ids[k], a, len(x), h, twice, k) for k, a, x, h, twice in rows], np.int64)
+            parts = (np.int64(len(rows)).tobytes(), at.tobytes(), *(held.digests[r[0]] for r in rows), *(r[2] for r in rows))
+            out.append((bucket, shard, _packed(np.frombuffer(b"".join(parts), np.uint8))))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "shard", "held"])
 
     return body
 
 
-_CONTEXTS = "bucket long, shard long, places binary, texts binary, digests binary, held binary"
+_CONTEXTS = "bucket long, shard long, held binary"
 
 
-def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
-    """Of each of ``pieces``, in the order of their places: which windows stand earlier, in it or in
-    one before it. Suffixes in order, windows are equal where neighbours share WIDTH bytes."""
+def repeated_windows(pieces: list[bytes]) -> np.ndarray:
+    """(piece, first, past the last) of the runs of windows that stand earlier, in their piece or in
+    one before it; ``pieces`` are in the order of their places. Suffixes in order, windows are equal where neighbours share WIDTH bytes."""
     if not pieces:
-        return []
+        return np.zeros((0, 3), np.int64)
     size = np.array([len(x) for x in pieces], np.int64)
     text = np.frombuffer(b"\n".join(pieces) + b"\n\n", np.uint8).astype(np.int16) + 2
     first = np.cumsum(size + 1) - size - 1
@@ -281,7 +331,9 @@ def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
     least = np.minimum.reduceat(order, np.flatnonzero(np.diff(group, prepend=-1)))
     later = np.zeros(len(text), bool)
     later[order] = least[group - group[0]] < order
-    return [later[a : a + n - WIDTH + 1] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+    runs = _spans(later)  # what is no whole window of a piece shares too little with any other
+    of = np.searchsorted(first, runs[:, 0], "right") - 1
+    return np.column_stack([of, runs - first[of, None]])
 
 
 def _spans(windows: np.ndarray) -> np.ndarray:
@@ -295,10 +347,13 @@ def _sorted_shard(table):
     import pyarrow as pa
 
     rows = []
-    for shard, places, texts, digests, held in zip(*(table[c].to_pylist() for c in ("shard", "places", "texts", "digests", "held")), strict=True):
-        at, number, th, raw = _unpacked(places, np.int64).reshape(-1, 5), _unpacked(texts, np.int64), _unpacked(digests, np.uint8).tobytes(), _unpacked(held, np.uint8).tobytes()
-        end = np.cumsum(at[:, 2]).tolist()
-        rows += [(d, th[32 * k : 32 * k + 32], a, shard, n, raw[e - s : e], h, twice) for k, ((d, a, s, h, twice), n, e) in enumerate(zip(at.tolist(), number.tolist(), end, strict=True))]
+    for shard, held in zip(table["shard"].to_pylist(), table["held"].to_pylist(), strict=True):
+        own = _unpacked(held, np.uint8)
+        n = int(own[:8].view(np.int64)[0])
+        digests = 8 + 48 * n
+        at, raw = own[8:digests].view(np.int64).reshape(n, 6), own.tobytes()
+        end = (digests + 32 * n + np.cumsum(at[:, 2])).tolist()
+        rows += [(d, raw[digests + 32 * k : digests + 32 * k + 32], a, shard, number, raw[e - s : e], h, twice) for k, ((d, a, s, h, twice, number), e) in enumerate(zip(at.tolist(), end, strict=True))]
     rows.sort(key=lambda r: r[:3])
     seen, kept, spans, runs = set(), [], {}, Counter()
     for r in rows:
@@ -311,8 +366,9 @@ def _sorted_shard(table):
     # Windows are equal only under one hash: a run that is alone under its hash and no longer than what
     # one place of it reaches has nothing to be compared with.
     kept = [r for r in kept if runs[r[6]] > 1 or r[7]]
-    for r, windows in zip(kept, repeated_windows([r[5] for r in kept]), strict=True):
-        spans.setdefault(r[3], []).extend((r[4], r[2] + a, r[2] + b + WIDTH - 1) for a, b in _spans(windows).tolist())
+    for k, a, b in repeated_windows([r[5] for r in kept]).tolist():
+        r = kept[k]
+        spans.setdefault(r[3], []).append((r[4], r[2] + a, r[2] + b + WIDTH - 1))
     return pa.table({"shard": pa.array(list(spans), pa.int64()), "spans": pa.array([_packed(np.array(v, np.int64).reshape(-1, 3)) for v in spans.values()], pa.binary())})
 
 
@@ -326,7 +382,7 @@ def _cleaned(table, said):
     touched, first = np.unique(spans[:, 0], return_index=True)
     out: list[list] = [[] for _ in range(5)]
     for k, own in zip(touched.tolist(), np.split(spans, first[1:]) if len(touched) else (), strict=True):
-        text = held.texts[k]
+        text = held.text[held.starts[k] : held.ends[k]]
         change = np.zeros(len(text) + 1, np.int64)
         np.add.at(change, own[:, 1], 1)
         np.add.at(change, own[:, 2], -1)
@@ -360,7 +416,7 @@ def _found(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     shards = max(1, -(-(n or 0) * (WIDTH - ANCHOR) * 2 * WIDTH // ((WIDTH - MEETING) * SUFFIXES)))
     contexts = landed(by_group.cogroup(said.groupBy("shard")).applyInArrow(_contexts(shards), _CONTEXTS))
     sorted_ = contexts.where("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_shard, "shard long, spans binary")
-    spans = contexts.where("bucket < 0").select("shard", F.col("places").alias("spans")).unionByName(sorted_)
+    spans = contexts.where("bucket < 0").select("shard", F.col("held").alias("spans")).unionByName(sorted_)
     return by_group.cogroup(spans.groupBy("shard")).applyInArrow(_cleaned, _CLEANED)
 
 
